@@ -20,7 +20,8 @@ its pairs are never enumerated:
    differences, ordered with the elements foreign to the hub first, then form
    the keys of an exact prefix-filter join.  Copies of one text with private
    edits share no foreign element, so this join stays near linear.  Two members
-   both linked to the hub need no comparison: they are in one component.
+   both linked to the hub need no comparison: they are in one component.  Nor
+   do two that other hubs have already brought into one component.
 
 Component ids come from large-star/small-star rounds.  All intermediate results
 are written tables; none reaches the driver.
@@ -132,16 +133,24 @@ def _sets(hasher: WordHasher, column: pa.Array, width: int) -> Iterator[np.ndarr
         yield made
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) pairs with both texts.  Only texts that some pair names are shuffled."""
-    texts = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    named = pairs.select(F.col("a").alias("b")).union(pairs.select("b")).distinct()
-    texts = texts.join(named, "b", "left_semi")
+def named_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts that some (a, b) pair names, written once: (b, b_text).
+
+    Both sides are shuffled at every size: the ids grow with the corpus, so they
+    are not broadcast.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    kept = docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return common.written(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")))
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, both texts, the pairs' other columns)."""
     hubs = texts.select(F.col("b").alias("a"), F.col("b_text").alias("a_text"))
-    return pairs.join(texts, "b").join(hubs, "a").select("a", "b", "a_text", "b_text")
+    return pairs.join(texts.hint("merge"), "b").join(hubs.hint("merge"), "a").select("a", "b", "a_text", "b_text", *(c for c in pairs.columns if c not in ("a", "b")))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """(a, b, linked) for candidate pairs, decided on full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +162,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, type=pa.bool_())], names=["a", "b", "linked"])
 
-    return _with_texts(pairs, docs).mapInArrow(run, "a long, b long, linked boolean")
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean")
 
 
-_DELTA = "hub long, x long, linked boolean, size long, delta long, element long, place long, small boolean, large boolean"
+_DELTA = "hub long, x long, linked boolean, part long, size long, delta long, element long, place long, small boolean, large boolean"
 
 
-def difference_keys(stars: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def difference_keys(stars: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Prefix keys of every member's symmetric difference to its hub.
 
-    ``stars`` has (a = hub, b = member, linked).  A key row says whether it
+    ``stars`` has (a = hub, b = member, linked, part = the member's component so far).  A key row says whether it
     serves where the member has the smaller difference of a pair, the larger,
     or either.  With rate r = (100 - percent) / (100 + percent), a link of x and
     y means |X ^ Y| <= r (|x| + |y|) and |y| <= 100 / percent |x|.
@@ -172,8 +181,8 @@ def difference_keys(stars: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            hub, member, linked = (batch.column(i).to_pylist() for i in (0, 1, 4))
+            out: list[list] = [[] for _ in range(10)]
+            hub, member, linked, part = (batch.column(i).to_pylist() for i in (0, 1, 4, 5))
             for i, (h, x) in enumerate(zip(_sets(hasher, batch.column(2), p.width), _sets(hasher, batch.column(3), p.width), strict=True)):
                 foreign, missing = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
                 delta = np.concatenate([foreign, missing])
@@ -187,28 +196,27 @@ def difference_keys(stars: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                 place = np.arange(keep)
                 for column, values in zip(
                     out,
-                    (np.full(keep, hub[i]), np.full(keep, member[i]), np.full(keep, linked[i]), np.full(keep, len(x)), np.full(keep, n), delta[:keep].view(np.int64), place, place <= small, place < large),
+                    (np.full(keep, hub[i]), np.full(keep, member[i]), np.full(keep, linked[i]), np.full(keep, part[i]), np.full(keep, len(x)), np.full(keep, n), delta[:keep].view(np.int64), place, place <= small, place < large),
                     strict=True,
                 ):
                     column.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=[c.split()[0] for c in _DELTA.split(", ")])
 
-    flags = stars.select("a", "b", "linked")
-    return _with_texts(stars.select("a", "b"), docs).join(flags, ["a", "b"]).select("a", "b", "a_text", "b_text", "linked").mapInArrow(run, _DELTA)
+    return _with_texts(stars.select("a", "b", "linked", "part"), texts).mapInArrow(run, _DELTA)
 
 
 def difference_pairs(keys: DataFrame, p: Params) -> DataFrame:
-    """Candidate pairs of members of one hub whose differences overlap enough."""
+    """Candidate pairs: members of one hub, in two components so far, whose differences overlap enough."""
     r = (100 - p.percent) / (100 + p.percent)
-    cols = ("x", "linked", "size", "delta", "place")
+    cols = ("x", "part", "size", "delta", "place")
     s = keys.filter("small").select("hub", "element", *(F.col(c).alias(f"s_{c}") for c in cols))
     g = keys.filter("large").select("hub", "element", *(F.col(c).alias(f"l_{c}") for c in cols))
     need = F.greatest(F.lit(1.0), F.ceil((F.col("s_delta") + F.col("l_delta") - r * (F.col("s_size") + F.col("l_size"))) / 2 - 1e-9))
     ordered = (F.col("s_delta") < F.col("l_delta")) | ((F.col("s_delta") == F.col("l_delta")) & (F.col("s_x") < F.col("l_x")))
     sizes = (100 * F.least("s_size", "l_size") >= p.percent * F.greatest("s_size", "l_size"))
     fits = (F.col("s_delta") - F.col("s_place") >= need) & (F.col("l_delta") - F.col("l_place") >= need)
-    both = s.join(g, ["hub", "element"]).filter(ordered & sizes & fits & ~(F.col("s_linked") & F.col("l_linked")))
+    both = s.join(g, ["hub", "element"]).filter((F.col("s_part") != F.col("l_part")) & ordered & sizes & fits)
     return both.select(F.least("s_x", "l_x").alias("a"), F.greatest("s_x", "l_x").alias("b")).distinct()
 
 
@@ -260,15 +268,18 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     entries = reps.select(F.col("rep").alias("b"), F.explode("entries").alias("entry"))
     hubs = entries.groupBy("entry").agg(F.min("b").alias("a"), F.max("b").alias("z")).filter("a <> z").select("entry", "a")
     pairs = common.written(entries.join(hubs, "entry").filter("a <> b").select("a", "b").distinct())
-    stars = common.written(confirmed(pairs, docs, p))
-
-    open_hubs = stars.groupBy("a").agg(F.count("*").alias("n"), F.bool_and("linked").alias("closed")).filter("n > 1 AND NOT closed").select("a")
-    rest = difference_pairs(common.written(difference_keys(stars.join(open_hubs, "a", "left_semi"), docs, p)), p)
-    known = stars.select("a", "b")
-    more = confirmed(common.written(rest.join(known, ["a", "b"], "left_anti")), docs, p)
-    linked = common.written(stars.union(more).filter("linked").select("a", "b"))
-
-    parts = components(linked)
+    texts = named_texts(pairs, docs)
+    stars = common.written(confirmed(pairs, texts, p))
+    parts = common.written(components(stars.filter("linked")))
+
+    label = parts.select(F.col("node").alias("b"), "component")
+    stars = common.written(stars.join(label.hint("merge"), "b", "left").select("a", "b", "linked", F.coalesce("component", "b").alias("part")))
+    open_hubs = stars.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("a")
+    keys = difference_keys(stars.join(open_hubs, "a", "left_semi"), texts, p)
+    rest = difference_pairs(common.written(keys), p).join(stars, ["a", "b"], "left_anti")
+    more = confirmed(common.written(rest), texts, p).filter("linked").select("a", "b")
+
+    parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     reps = reps.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     grouped = signs.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
