@@ -12,7 +12,7 @@ Links are confirmed on full sets.  An entry may hold thousands of documents, so
 its pairs are never enumerated:
 
 1. documents with equal sets collapse into one representative;
-2. in each entry every member is confirmed against one hub (the least id);
+2. in each entry every member is confirmed against one hub, its most central one;
 3. members not linked to their hub may still be linked to one another.  For two
    members x, y of a hub h the symmetric differences X = x ^ h, Y = y ^ h
    satisfy ``|x ^ y| = |X| + |Y| - 2 |X & Y|``; a link asks ``|x ^ y| <=
@@ -133,6 +133,21 @@ def _sets(hasher: WordHasher, column: pa.Array, width: int) -> Iterator[np.ndarr
         yield made
 
 
+def star_pairs(reps: DataFrame) -> DataFrame:
+    """(a = hub, b = member) over all index entries of (rep, entries), each pair once.
+
+    An entry's hub is its most central member: the one whose entries hold the most
+    documents in all, then the least id.  Of copies with private edits that is the
+    least edited one, so the others differ from it by little but their own edits.
+    """
+    entries = reps.select(F.col("rep").alias("b"), F.explode("entries").alias("entry"))
+    held = entries.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = common.written(entries.join(held.hint("merge"), "entry"))
+    weight = shared.groupBy("b").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weight.hint("merge"), "b").groupBy("entry").agg((-F.max(F.struct("weight", (-F.col("b")).alias("b")))["b"]).alias("a"))
+    return shared.join(hubs.hint("merge"), "entry").filter("a <> b").select("a", "b").distinct()
+
+
 def named_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The texts that some (a, b) pair names, written once: (b, b_text).
 
@@ -265,9 +280,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("entries", "doc_id").alias("entries"))
     reps = common.written(reps)
 
-    entries = reps.select(F.col("rep").alias("b"), F.explode("entries").alias("entry"))
-    hubs = entries.groupBy("entry").agg(F.min("b").alias("a"), F.max("b").alias("z")).filter("a <> z").select("entry", "a")
-    pairs = common.written(entries.join(hubs, "entry").filter("a <> b").select("a", "b").distinct())
+    pairs = common.written(star_pairs(reps))
     texts = named_texts(pairs, docs)
     stars = common.written(confirmed(pairs, texts, p))
     parts = common.written(components(stars.filter("linked")))
@@ -277,7 +290,8 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     open_hubs = stars.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("a")
     keys = difference_keys(stars.join(open_hubs, "a", "left_semi"), texts, p)
     rest = difference_pairs(common.written(keys), p).join(stars, ["a", "b"], "left_anti")
-    more = confirmed(common.written(rest), texts, p).filter("linked").select("a", "b")
+    rest = common.written(rest)
+    more = confirmed(rest, texts, p).filter("linked").select("a", "b")
 
     parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     reps = reps.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
