@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import common, neardup
+from statuta.llm import common, decontam, langid, neardup, pieces, pii
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document goes if no language can be told, or its probability is below this.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told; one without a letter, or torn between languages, goes."""
+    return langid.keep_told(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the least id, of each group of near copies."""
@@ -17,11 +26,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts; n_chars follows the text, all documents stay."""
+    return pii.masked(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as piece ids, with the N-best scores."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language id", language),
     ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("sentencepiece", encoding),
 ]
 
-#: Language models, Viterbi lattices and signatures have no SQL form.
+#: Language models, signatures and lattices have no SQL form; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 

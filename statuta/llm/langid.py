@@ -117,3 +117,20 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_told(documents: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows, all columns, whose language is told with at least this probability.
+
+    A filter in place: nothing is shuffled, and rows with a null doc_id are judged
+    like any other.
+    """
+    place = documents.columns.index("text")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = predict_texts(batch.column(place).to_pylist(), shared.value)
+            yield batch.filter(pa.array([lang != "und" and s >= least_score for lang, s in zip(langs, scores.tolist(), strict=True)], type=pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

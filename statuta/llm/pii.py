@@ -223,3 +223,17 @@ def find(documents: DataFrame, redacted: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64() if i < 5 else pa.string()) for i, c in enumerate(columns))], names=names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND)
+
+
+def masked(documents: DataFrame) -> DataFrame:
+    """All columns of ``documents``, in order, with personal data in text masked in place
+    and n_chars, where there is one, counted anew.  Null texts stay null."""
+    place, schema = documents.columns.index("text"), documents.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else redact(t, all_spans(t)[1]) for t in batch.column(place).to_pylist()]
+            yield batch.set_column(place, "text", pa.array(texts, type=batch.schema.field(place).type))
+
+    out = documents.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
