@@ -1,21 +1,484 @@
-"""Every registered query of the retrieval engine with its SQL oracle."""
+"""Every registered query of the retrieval engine with its SQL oracle.
+
+Queries run over whole tables.  ``documents`` stands in for the statute corpus
+(source as law name, language as kind); statute markup is put around its texts
+where a query needs some.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import ann, corpus, search, segment
+from ..operators.corpus import law_documents, table, text_corpus
+from ..sources import markup
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+BATCH = [(1, "the"), (2, "password"), (3, "que la"), (4, ""), (5, "  "), (6, "ción"), (7, "th thing"), (8, "no such text")]
+PROBES = [(1, "the thing", 3), (2, "de la ción", 14), (3, "der und", 25)]
+EXPECTED = [(1, "the", 10), (2, "password", 5), (3, "que la", 3), (4, "no such text", 1)]
+BOOSTS = {"en": 5, "de": 3, "fr": 2, "es": 1}
+TERMS = ["the", "de", "que", "und", "token"]
+
+SQL_TEXT = "t AS (SELECT 'doc_' || doc_id AS id, doc_id, text AS content, source AS law_name, split_part(text, chr(10), 1) AS title, lang AS chunk_type FROM documents)"
+SQL_LAW = """law AS (SELECT 'doc_' || d.doc_id AS id, d.doc_id, d.text AS content, d.source AS law_name, split_part(d.text, chr(10), 1) AS title,
+ d.lang AS chunk_type, coalesce(l.quality = 1, false) AS is_definition, CAST(e.embedding AS DOUBLE[]) AS embedding
+ FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+SQL_STATUTE = """s AS (SELECT 'law_' || doc_id AS law_id, doc_id, CAST(doc_id % 40 + 1 AS VARCHAR) AS n, string_split(text, ' ')[1] AS head, text,
+ '제' || (doc_id % 40 + 1) || '조(' || string_split(text, ' ')[1] || ') ' || text || chr(10) || '제' || (doc_id % 40 + 2) || '조 (second) see 제' || (doc_id % 40 + 1) || '조제2항 and 제99조' AS body FROM documents
+ WHERE text NOT LIKE '%(%' AND text NOT LIKE '%)%' AND string_split(text, ' ')[1] <> '')"""
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("'" + str(x) + "'" if isinstance(x, str) else f"CAST({x} AS BIGINT)" for x in r) + ")" for r in rows)
+
+
+SQL_BATCH = f"q(qid, query) AS (SELECT * FROM (VALUES {_values(BATCH)}))"
+SQL_PROBES = f"p(qid, query, vid) AS (SELECT * FROM (VALUES {_values(PROBES)})), q AS (SELECT qid, query, CAST(e.embedding AS DOUBLE[]) AS qvec FROM p JOIN embeddings e ON e.vec_id = p.vid)"
+SQL_HITS = "h AS (SELECT qid, id, (length(content) - length(replace(content, query, ''))) / length(query) AS score FROM t JOIN q ON contains(content, query) WHERE length(trim(query)) > 0)"
+SQL_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC NULLS LAST, id) AS rank FROM h)"
+
+
+def batch(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BATCH, "qid long, query string")
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(PROBES, "qid long, query string, vec_id long")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("qvec")).join(F.broadcast(rows), "vec_id").select("qid", "query", "qvec")
+
+
+def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(law_id, doc_id, n, head, text, body): texts with statute markup around them."""
+    docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("(")) & ~F.contains("text", F.lit(")")))
+    head = F.split("text", " ")[0]
+    n = F.col("doc_id") % 40 + 1
+    s = lambda c: c.cast("string")
+    body = F.concat(F.lit("제"), s(n), F.lit("조("), head, F.lit(") "), F.col("text"), F.lit("\n제"), s(n + 1), F.lit("조 (second) see 제"), s(n), F.lit("조제2항 and 제99조"))
+    return docs.filter(head != "").select(F.concat(F.lit("law_"), s(F.col("doc_id"))).alias("law_id"), "doc_id", s(n).alias("n"), head.alias("head"), "text", body.alias("body"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def simple(name: str, sql: str, *columns: Column | str, source: str = "text", where: Column | None = None) -> None:
+    """A query that projects (and filters) one table row by row."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = text_corpus(spark, sf_dir) if source == "text" else law_documents(spark, sf_dir) if source == "law" else table(spark, sf_dir, source)
+        return (df if where is None else df.filter(where)).select(*columns)
+
+    query(name, sql)(run)
+
+
+def long(c: Column) -> Column:
+    return c.cast("long")
+
+
+C, TITLE = F.col("content"), F.col("title")
+
+# --- sources, sinks, maintenance -------------------------------------------------------
+simple("scan_corpus", f"WITH {SQL_TEXT} SELECT id, law_name FROM t", "id", "law_name")
+
+
+def _xml(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+@query("read_law_list_xml", "SELECT CAST(doc_id AS VARCHAR) AS law_id, 'name ' || source AS law_name, CASE WHEN lang = 'en' THEN '미분류' ELSE lang END AS law_type, '2024' AS promulgation_date, CAST(NULL AS VARCHAR) AS enforcement_date FROM documents WHERE doc_id % 7 <> 0")
+def read_law_list_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    ident = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("doc_id").cast("string"))
+    kind = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.concat(F.lit("<법령구분명>"), "lang", F.lit("</법령구분명>")))
+    law = F.concat(F.lit("<law><법령일련번호> "), ident, F.lit(" </법령일련번호><법령명한글> name "), _xml(F.col("source")), F.lit("</법령명한글>"), kind, F.lit("<공포일자>2024</공포일자><시행일자></시행일자></law>"))
+    return markup.law_list(d.select(F.concat(F.lit("<LawSearch>"), law, F.lit("</LawSearch>")).alias("xml")))
+
+
+@query("read_law_detail_xml", "SELECT CAST(doc_id AS VARCHAR) AS law_id, CASE WHEN k = 1 THEN '1' ELSE '2' END AS article_number, CASE WHEN k = 1 THEN source ELSE NULL END AS title, CAST(CASE WHEN k = 1 THEN doc_id % 3 ELSE 0 END AS BIGINT) AS n_paragraphs FROM documents, (VALUES (1), (2)) v(k) WHERE doc_id % 5 <> 0")
+def read_law_detail_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    pars = F.repeat(F.lit("<항><항번호>①</항번호><항내용>text</항내용></항>"), (F.col("doc_id") % 3).cast("int"))
+    one = F.concat(F.lit("<조문><조문번호>1</조문번호><조문제목> "), _xml(F.col("source")), F.lit(" </조문제목><조문내용>body</조문내용>"), pars, F.lit("</조문>"))
+    end = F.when(F.col("doc_id") % 5 == 0, F.lit("<broken")).otherwise(F.lit("</법령>"))
+    xml = F.concat(F.lit("<법령><법령일련번호>"), F.col("doc_id").cast("string"), F.lit("</법령일련번호><법령명한글>n</법령명한글>"), one, F.lit("<조문><조문번호>2</조문번호><조문내용>b</조문내용></조문>"), end)
+    rows = markup.exploded_articles(markup.law_details(d.select(xml.alias("xml"))))
+    return rows.select("law_id", "article_number", "title", long(F.size("paragraphs")).alias("n_paragraphs"))
+
+
+_ART, _H1 = "(?s)<article>(.*?)</article>", "(?s)<h1>(.*?)</h1>"
+
+
+@query("read_law_html", f"SELECT page_id, trim(regexp_extract(a, '{_H1}', 1)) AS number, len(regexp_extract_all(a, '(?s)<p>')) AS n_p FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_ART}', 1)) AS a FROM pages) WHERE regexp_matches(a, '{_H1}')")
+def read_law_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = markup.blocks(table(spark, sf_dir, "pages"), "page_id", "html", _ART, _H1, content="(?s)^(.*)$")
+    return rows.select("page_id", F.trim("number").alias("number"), long(F.regexp_count("content", F.lit("<p>"))).alias("n_p"))
+
+
+_SELECTORS = {"article": "<article", "heading": "<h1", "paragraph": "<p>", "item": "<li>", "law": 'class="article"'}
+
+
+@query("probe_selectors", "SELECT page_id, k AS selector, CAST(len(regexp_extract_all(html, p)) AS BIGINT) AS n FROM pages, (VALUES " + _values(list(_SELECTORS.items())) + ") v(k, p)")
+def probe_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.selector_counts(table(spark, sf_dir, "pages"), "page_id", "html", _SELECTORS)
+
+
+@query("concat_page_text", "SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def concat_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.page_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("append_chunks", f"WITH {SQL_TEXT} SELECT id FROM t WHERE doc_id % 3 = 0 AND id NOT IN (SELECT 'doc_' || vec_id FROM embeddings)")
+def append_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("id"))
+    return corpus.new_only(text_corpus(spark, sf_dir).filter("doc_id % 3 = 0").select("id"), have)
+
+
+_QUERIES["new_only_anti_join"] = append_chunks
+_ORACLES["new_only_anti_join"] = _ORACLES["append_chunks"]
+
+
+@query("upsert_corpus", "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN upper(source) ELSE source END AS law_name, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM documents UNION ALL SELECT doc_id + 10000000, upper(source), CAST(2 AS BIGINT) FROM documents WHERE doc_id % 4 = 0")
+def upsert_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    old = d.select(F.col("doc_id").alias("id"), F.col("source").alias("law_name"), F.lit(1).cast("long").alias("version"))
+    new = d.filter("doc_id % 4 = 0").select(F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 10_000_000)).alias("id"), F.upper("source").alias("law_name"), F.lit(2).cast("long").alias("version"))
+    return corpus.upsert(old, new)
+
+
+@query("collection_stats", f"WITH {SQL_LAW} SELECT count(*) AS n_rows, max(len(embedding)) AS dim FROM law")
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.collection_stats(law_documents(spark, sf_dir))
+
+
+@query("check_schema", f"WITH {SQL_LAW} SELECT count(*) - count(DISTINCT id) AS repeated_ids, count(*) FILTER (content IS NULL) AS null_content, count(*) FILTER (len(embedding) <> 32) AS bad_vectors FROM law")
+def check_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.check_schema(law_documents(spark, sf_dir), 32)
+
+
+# --- projections, filters ---------------------------------------------------------------
+simple("metadata_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src3' AND chunk_type = 'en'", "id", where=(F.col("law_name") == "src3") & (F.col("chunk_type") == "en"))
+simple("like_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE content LIKE '%pass_ord%'", "id", where=C.like("%pass_ord%"))
+simple("contains_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE contains(content, 'token')", "id", where=F.contains("content", F.lit("token")))
+simple("metadata_project", f"WITH {SQL_TEXT} SELECT id, coalesce(nullif(title, ''), 'untitled') AS title, split_part(id, '_', 2) AS number, coalesce(chunk_type, 'article') AS kind FROM t", "id", F.coalesce(F.nullif(TITLE, F.lit("")), F.lit("untitled")).alias("title"), F.get(F.split("id", "_"), F.lit(1)).alias("number"), F.coalesce("chunk_type", F.lit("article")).alias("kind"))
+simple("require_fields", f"WITH {SQL_TEXT} SELECT id FROM t WHERE length(id) > 0 AND length(trim(title)) > 20", "id", where=(F.length("id") > 0) & (F.length(F.trim("title")) > 20))
+simple("content_bounds", f"WITH {SQL_TEXT} SELECT id, substr(content, 1, 2000) AS content FROM t WHERE length(content) > 10", "id", T.truncated(C).alias("content"), where=F.length("content") > 10)
+simple("law_tier", f"WITH {SQL_TEXT} SELECT id, CASE WHEN contains(content, 'token') THEN 'token' WHEN contains(content, 'password') THEN 'password' ELSE 'none' END AS tier FROM t", "id", T.tier(C, ("token", "password"), "none").alias("tier"))
+simple("is_definition", f"WITH {SQL_TEXT} SELECT id, coalesce(regexp_matches(title, 'the|der|que'), false) AS found FROM t", "id", T.title_has(TITLE, "the|der|que").alias("found"))
+simple("law_name_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src7'", "id", where=F.col("law_name") == "src7")
+
+
+@query("valid_query", "WITH q AS (SELECT row_number() OVER () AS n, text AS query FROM conversations) SELECT count(*) FILTER (length(trim(query)) > 0) AS valid, count(*) FILTER (coalesce(length(trim(query)) = 0, true)) AS rejected FROM q")
+def valid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "conversations").select(F.col("text").alias("query"))
+    return search.valid_queries(q).select(F.lit(1).alias("v"), F.lit(0).alias("r")).union(search.rejected_queries(q).select(F.lit(0), F.lit(1))).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("valid"), F.coalesce(F.sum("r"), F.lit(0)).alias("rejected"))
+
+
+# --- aggregations ------------------------------------------------------------------------
+@query("count_rows", "SELECT count(*) AS n FROM documents WHERE contains(text, 'token')")
+def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_corpus(spark, sf_dir).filter(F.contains("content", F.lit("token"))).agg(F.count("*").alias("n"))
+
+
+@query("conditional_counts", "SELECT count(*) AS n, count(*) FILTER (contains(text, 'token')) AS tokens, count(*) FILTER (contains(text, 'password')) AS passwords FROM documents")
+def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_corpus(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.contains("content", F.lit("token"))).alias("tokens"), F.count_if(F.contains("content", F.lit("password"))).alias("passwords"))
+
+
+@query("count_by_law", "SELECT coalesce(source, 'Unknown') AS law_name, count(*) AS n FROM documents GROUP BY 1")
+def count_by_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_corpus(spark, sf_dir).groupBy(F.coalesce("law_name", F.lit("Unknown")).alias("law_name")).agg(F.count("*").alias("n"))
+
+
+@query("avg_content_length", "SELECT source AS law_name, round(avg(length(text))) AS mean_length FROM documents GROUP BY 1")
+def avg_content_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_corpus(spark, sf_dir).groupBy("law_name").agg(F.round(F.avg(F.length("content"))).alias("mean_length"))
+
+
+@query("term_coverage", "SELECT source AS law_name, term, count(*) FILTER (contains(text, term)) AS n, round(100.0 * count(*) FILTER (contains(text, term)) / count(*), 1) AS percent FROM documents, (VALUES " + _values([(t,) for t in TERMS]) + ") v(term) GROUP BY 1, 2")
+def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per term in one pass over the texts, then one row per law and term."""
+    counts = [F.count_if(F.contains("content", F.lit(t))).alias(f"n_{i}") for i, t in enumerate(TERMS)]
+    wide = text_corpus(spark, sf_dir).groupBy("law_name").agg(F.count("*").alias("all"), *counts)
+    pairs = ", ".join(f"'{t}', n_{i}" for i, t in enumerate(TERMS))
+    return wide.select("law_name", "all", F.expr(f"stack({len(TERMS)}, {pairs}) AS (term, n)")).select("law_name", "term", "n", F.round(100.0 * F.col("n") / F.col("all"), 1).alias("percent"))
+
+
+@query("distinct_laws", "SELECT DISTINCT source AS law_name FROM documents WHERE source <> ''")
+def distinct_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_corpus(spark, sf_dir).filter("law_name <> ''").select("law_name").distinct()
+
+
+_QUERIES["distinct"], _ORACLES["distinct"] = distinct_laws, _ORACLES["distinct_laws"]
+
+
+@query("occurrence_totals", f"WITH {SQL_TEXT} SELECT law_name, sum((length(content) - length(replace(content, 'the', ''))) / 3) AS total FROM t GROUP BY 1")
+def occurrence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_corpus(spark, sf_dir).groupBy("law_name").agg(F.sum(T.occurrences(C, F.lit("the"))).alias("total"))
+
+
+@query("ingest_tally", "SELECT source AS law_name, count(*) FILTER (length(text) > 10) AS success, count(*) FILTER (NOT length(text) > 10) AS failed FROM documents GROUP BY ROLLUP (source)")
+def ingest_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_corpus(spark, sf_dir).rollup("law_name").agg(F.count_if(F.length("content") > 10).alias("success"), F.count_if(~(F.length("content") > 10)).alias("failed"))
+
+
+@query("max_score", f"WITH {SQL_TEXT}, {SQL_BATCH}, {SQL_HITS} SELECT qid, greatest(max(score), 0.0001) AS max_score FROM h GROUP BY qid")
+def max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.keyword_hits(text_corpus(spark, sf_dir), batch(spark)).groupBy("qid").agg(F.greatest(F.max("score"), F.lit(1e-4)).alias("max_score"))
+
+
+SQL_EVAL = f"""WITH {SQL_TEXT}, q(qid, query, expected_min) AS (SELECT * FROM (VALUES {_values(EXPECTED)})), {SQL_HITS}, {SQL_RANKED},
+ f AS (SELECT qid, count(*) AS found FROM r WHERE rank <= 20 GROUP BY qid), e AS (SELECT q.*, coalesce(found, 0) AS found, coalesce(found, 0) >= expected_min AS passed FROM q LEFT JOIN f USING (qid)) """
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.evaluate(text_corpus(spark, sf_dir), spark.createDataFrame(EXPECTED, "qid long, query string, expected_min long"))
+
+
+query("eval_expectations", SQL_EVAL + "SELECT qid, query, CAST(expected_min AS BIGINT) AS expected_min, found, passed FROM e")(lambda s, d: _evaluated(s, d).select("qid", "query", "expected_min", "found", "passed"))
+SQL_VERDICT = SQL_EVAL + "SELECT count(*) FILTER (passed) AS n_passed, count(*) AS n, count(*) FILTER (passed) / count(*) AS rate, CASE WHEN count(*) FILTER (passed) = count(*) THEN 'pass' WHEN count(*) FILTER (passed) / count(*) >= 0.75 THEN 'warn' ELSE 'fail' END AS verdict FROM e"
+query("pass_rate", SQL_VERDICT)(lambda s, d: search.verdict(_evaluated(s, d)))
+query("evaluate_search", SQL_VERDICT)(lambda s, d: search.verdict(_evaluated(s, d)))
+
+SQL_BM25 = f"""WITH {SQL_LAW}, {SQL_PROBES}, w AS (SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS words FROM law),
+ st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM w), post AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM (SELECT id, len(words) AS dl, unnest(words) AS term FROM w) GROUP BY 1, 2),
+ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1), raw AS (SELECT term, df, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, st),
+ tm AS (SELECT term, df, n, avgdl, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+ qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(string_split(query, ' ')) AS term FROM q) GROUP BY 1, 2),
+ kh AS (SELECT qid, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tm USING (term) JOIN post USING (term) GROUP BY 1, 2),
+ kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM kh) """
+SQL_VEC = ", vh AS (SELECT qid, id, list_cosine_similarity(embedding, qvec) AS similarity FROM law, q WHERE embedding IS NOT NULL), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 9) DESC NULLS LAST, id) AS rank FROM vh) "
+
+
+@query("bm25_corpus_stats", SQL_BM25 + "SELECT term, df, n, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM tm")
+def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.Bm25Index(text_corpus(spark, sf_dir)).terms, "avgdl", "idf")
+
+
+simple("doc_length", f"WITH {SQL_TEXT} SELECT id, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n FROM t", "id", long(F.size(T.tokens(C))).alias("n"))
+simple("tokenize_ws", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS words FROM t", "id", T.tokens(C).alias("words"))
+simple("vector_norms", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings", "vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), source="embeddings")
+
+
+# --- search arms, ranks, fusion ------------------------------------------------------------
+def _keyword(k: int, factor: float = 1.0) -> Query:
+    return lambda s, d: search.keyword_search(text_corpus(s, d), batch(s), k, factor)
+
+
+SQL_KEYWORD = f"WITH {SQL_TEXT}, {SQL_BATCH}, {SQL_HITS}, {SQL_RANKED} "
+query("keyword_search", SQL_KEYWORD + "SELECT qid, id, score, rank FROM r WHERE rank <= 100")(_keyword(100))
+query("keyword_topk", SQL_KEYWORD + "SELECT qid, id, score, rank FROM r WHERE rank <= 10")(_keyword(10))
+query("candidate_overfetch", SQL_KEYWORD + "SELECT qid, id, score, rank FROM r WHERE rank <= 20")(_keyword(20))
+query("keyword_search_x10", SQL_KEYWORD + "SELECT qid, id, score * 10 AS score, rank FROM r WHERE rank <= 100")(_keyword(100, 10.0))
+query("keyword_theta_join", f"WITH {SQL_TEXT}, {SQL_BATCH}, {SQL_HITS} SELECT qid, id, score FROM h")(lambda s, d: search.keyword_hits(text_corpus(s, d), batch(s)))
+query("occurrence_score", f"WITH {SQL_TEXT} SELECT id, (length(content) - length(replace(content, 'th', ''))) / 2 AS score FROM t")(lambda s, d: text_corpus(s, d).select("id", T.occurrences(C, F.lit("th")).alias("score")))
+query("score_share", SQL_KEYWORD + "SELECT qid, id, round(100 * score / greatest(max(score) OVER (PARTITION BY qid), 0.0001), 6) AS share FROM r WHERE rank <= 100")(lambda s, d: rounded(search.with_share(_keyword(100)(s, d)).select("qid", "id", "share"), "share"))
+_QUERIES["normalized_score"], _ORACLES["normalized_score"] = _QUERIES["score_share"], _ORACLES["score_share"]
+
+
+def _vectors(k: int, metric: str = "cosine") -> Query:
+    return lambda s, d: rounded(search.vector_search(law_documents(s, d), probes(s, d), k, metric), "similarity")
+
+
+SQL_V = f"WITH {SQL_LAW}, {SQL_PROBES}" + SQL_VEC
+query("vector_search", SQL_V + "SELECT qid, id, round(similarity, 6) AS similarity, rank FROM vr WHERE rank <= 10")(_vectors(10))
+query("semantic_rank", SQL_V + "SELECT qid, id, rank FROM vr")(lambda s, d: _vectors(1 << 30)(s, d).select("qid", "id", "rank"))
+query("vector_cross_join", SQL_V + "SELECT qid, id, round(similarity, 6) AS similarity FROM vh")(lambda s, d: _vectors(1 << 30)(s, d).select("qid", "id", "similarity"))
+_QUERIES["cosine_similarity"], _ORACLES["cosine_similarity"] = _QUERIES["vector_cross_join"], _ORACLES["vector_cross_join"]
+query("l2sq_distance", f"WITH {SQL_LAW}, {SQL_PROBES}, vh AS (SELECT qid, id, 1 - list_sum(list_transform(range(1, 65), lambda i: (embedding[i] - qvec[i]) ** 2)) AS similarity FROM law, q WHERE embedding IS NOT NULL), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 9) DESC, id) AS rank FROM vh) SELECT qid, id, round(similarity, 6) AS similarity, rank FROM vr WHERE rank <= 10")(_vectors(10, "l2sq"))
+
+
+@query("bm25_search", SQL_BM25 + "SELECT qid, id, round(score, 6) AS score, rank FROM kr WHERE rank <= 20 AND score > 0")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.Bm25Index(text_corpus(spark, sf_dir)).search(probes(spark, sf_dir), 20), "score")
+
+
+@query("bm25_score", SQL_BM25 + "SELECT qid, id, round(score, 6) AS score FROM kh")
+def bm25_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.Bm25Index(text_corpus(spark, sf_dir)).scores(probes(spark, sf_dir)), "score")
+
+
+for _name in ("bm25_topk", "positive_score", "list_rank"):
+    _QUERIES[_name], _ORACLES[_name] = bm25_search, _ORACLES["bm25_search"]
+_QUERIES["bm25_term_join"], _ORACLES["bm25_term_join"] = bm25_score, _ORACLES["bm25_score"]
+
+SQL_FUSED = SQL_BM25 + SQL_VEC + """, u AS (SELECT qid, id, 0.7 / (60 + rank) AS part, rank AS vector_rank, NULL AS keyword_rank FROM vr WHERE rank <= 20 UNION ALL SELECT qid, id, 0.3 / (60 + rank), NULL, rank FROM kr WHERE rank <= 20 AND score > 0),
+ fu AS (SELECT qid, id, sum(part) AS fused, max(vector_rank) AS vector_rank, max(keyword_rank) AS keyword_rank FROM u GROUP BY 1, 2) """
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, law = probes(spark, sf_dir), law_documents(spark, sf_dir)
+    return search.fuse_by_sum(search.vector_search(law, q, 20), search.Bm25Index(text_corpus(spark, sf_dir)).search(q, 20))
+
+
+query("fuse_union_sum", SQL_FUSED + "SELECT qid, id, round(fused, 6) AS fused, vector_rank, keyword_rank FROM fu")(lambda s, d: rounded(_fused(s, d), "fused"))
+_QUERIES["rrf_python"], _ORACLES["rrf_python"] = _QUERIES["fuse_union_sum"], _ORACLES["fuse_union_sum"]
+query("fusion_topk", SQL_FUSED + "SELECT * FROM (SELECT qid, id, round(fused, 6) AS fused, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC, id) AS rank FROM fu) WHERE rank <= 10")(lambda s, d: rounded(search.ranked(_fused(s, d).select("qid", "id", "fused"), "fused", 10), "fused"))
+query("lookup_payload", SQL_FUSED + "SELECT qid, id, law_name, content FROM fu JOIN law USING (id)")(lambda s, d: text_corpus(s, d).select("id", "law_name", "content").join(_fused(s, d).select("qid", "id"), "id"))
+SQL_HYBRID = SQL_FUSED + """, b AS (SELECT qid, id, query, fused, title, law_name, content, fused + CASE WHEN len(list_filter(string_split(query, ' '), lambda x: contains(title, x))) > 0 THEN 10.0 ELSE 0.0 END
+ + CASE chunk_type WHEN 'en' THEN 5.0 WHEN 'de' THEN 3.0 WHEN 'fr' THEN 2.0 WHEN 'es' THEN 1.0 ELSE 0.0 END + CASE WHEN is_definition THEN 3.0 ELSE 0.0 END AS final FROM fu JOIN law USING (id) JOIN q USING (qid)),
+ br AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, round(fused, 9) DESC, id) AS rank FROM b) """
+query("rule_rerank", SQL_HYBRID + "SELECT qid, id, round(final, 6) AS final, rank FROM br")(lambda s, d: rounded(search.rerank(_fused(s, d), law_documents(s, d), probes(s, d), BOOSTS).select("qid", "id", "final", "rank"), "final"))
+_QUERIES["rerank_sort"], _ORACLES["rerank_sort"] = _QUERIES["rule_rerank"], _ORACLES["rule_rerank"]
+
+
+@query("hybrid_search", SQL_HYBRID + "SELECT qid, id, law_name, round(final, 6) AS final, rank, list_reduce(list_filter(string_split(query, ' '), lambda x: length(x) > 1), lambda a, k: replace(a, k, '<mark>' || k || '</mark>'), content) AS highlighted FROM br WHERE rank <= 10")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = search.hybrid_search(law_documents(spark, sf_dir), probes(spark, sf_dir), 10, BOOSTS)
+    return rounded(best.select("qid", "id", "law_name", "final", "rank", "highlighted"), "final")
+
+
+SQL_TS = f"""WITH {SQL_LAW}, {SQL_PROBES}, ql AS (SELECT qid, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS lex FROM q), wl AS (SELECT qid, len(lex) AS need, unnest(lex) AS word FROM ql WHERE len(lex) > 0),
+ toks AS (SELECT id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS l FROM law)),
+ pl AS (SELECT qid, id, need, toks.word, pos FROM toks JOIN wl USING (word)), fd AS (SELECT qid, id, max(need) AS need, count(*) AS n FROM pl GROUP BY 1, 2 HAVING count(DISTINCT word) = max(need)),
+ sg AS (SELECT qid, id, 0.1 * list_sum(list_transform(range(1, n + 1), lambda j: 1.0 / (j * j))) / 1.64493406685 AS score FROM fd WHERE need = 1),
+ mu AS (SELECT a.qid, a.id, 1 - exp(sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)))))) AS score FROM pl a JOIN pl b ON a.qid = b.qid AND a.id = b.id AND a.word < b.word AND abs(a.pos - b.pos) <= 100 GROUP BY 1, 2),
+ th AS (SELECT * FROM sg UNION ALL SELECT fd.qid, fd.id, coalesce(score, 0) FROM fd LEFT JOIN mu ON fd.qid = mu.qid AND fd.id = mu.id WHERE need > 1),
+ tr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM th) """
+query("ts_rank", SQL_TS + "SELECT qid, id, round(score, 6) AS score FROM th")(lambda s, d: rounded(search.text_rank(text_corpus(s, d), probes(s, d)), "score"))
+query("keyword_rank", SQL_TS + "SELECT qid, id, rank FROM tr")(lambda s, d: search.ranked(search.text_rank(text_corpus(s, d), probes(s, d)), "score", 1 << 30).select("qid", "id", "rank"))
+query("ts_match", f"WITH {SQL_TEXT} SELECT id, len(list_intersect(list_distinct(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')), ['the', 'thing'])) = 2 AS matched FROM t")(lambda s, d: text_corpus(s, d).select("id", T.matches_all(C, F.lit("The thing!")).alias("matched")))
+SQL_OUTER = SQL_TS + SQL_VEC + """, fo AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.id, k.id) AS id, v.rank AS semantic_rank, k.rank AS keyword_rank, 100 * (0.7 / (60 + coalesce(v.rank, 999999)) + 0.3 / (60 + coalesce(k.rank, 999999))) AS relevance
+ FROM (SELECT * FROM vr WHERE rank <= 20) v FULL OUTER JOIN (SELECT * FROM tr WHERE rank <= 20) k ON v.qid = k.qid AND v.id = k.id) """
+
+
+def _outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, law = probes(spark, sf_dir), law_documents(spark, sf_dir)
+    return search.fuse_full_outer(search.vector_search(law, q, 20), search.ranked(search.text_rank(text_corpus(spark, sf_dir), q), "score", 20))
+
+
+query("fuse_full_outer", SQL_OUTER + "SELECT qid, id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance FROM fo")(lambda s, d: rounded(_outer(s, d), "relevance"))
+_QUERIES["rrf_sql"], _ORACLES["rrf_sql"] = _QUERIES["fuse_full_outer"], _ORACLES["fuse_full_outer"]
+query("hybrid_search_sql", SQL_OUTER + "SELECT * FROM (SELECT qid, id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 9) DESC, id) AS rank FROM fo) WHERE rank <= 10")(lambda s, d: rounded(search.hybrid_search_sql(law_documents(s, d), probes(s, d), 10), "relevance"))
+SQL_WEB = SQL_KEYWORD + """, wb AS (SELECT qid, rank, id, score, round(100 * score / greatest(max(score) OVER (PARTITION BY qid), 0.0001), 6) AS share, law_name, title, query, content FROM r JOIN t USING (id) JOIN q USING (qid) WHERE rank <= 100) """
+SQL_BODY = "regexp_replace(regexp_replace(list_reduce(list_filter(regexp_split_to_array(trim(query), '[\\s,]+'), lambda x: x <> ''), lambda a, k: replace(a, k, '<mark>' || k || '</mark>'), content), '\\n\\n+', '<br><br>', 'g'), '\\n', ' ', 'g')"
+query("web_search", SQL_WEB + f"SELECT qid, rank, id, score, share, law_name, title, {SQL_BODY} AS body FROM wb")(lambda s, d: rounded(search.web_search(text_corpus(s, d), batch(s)), "share"))
+query("format_response", SQL_WEB + "SELECT qid, count(*) AS n_hits, string_agg(id, ',' ORDER BY rank) AS ids, string_agg(law_name, ',' ORDER BY rank) AS laws FROM wb GROUP BY qid")(
+    lambda s, d: search.responses(search.web_search(text_corpus(s, d), batch(s))).select("qid", "n_hits", F.array_join(F.transform("articles", lambda a: a["id"]), ",").alias("ids"), F.array_join(F.transform("articles", lambda a: a["law_name"]), ",").alias("laws"))
+)
+
+# --- windows, limits, sets ---------------------------------------------------------------
+query("first_n_per_group", f"WITH {SQL_TEXT} SELECT id, law_name, rn FROM (SELECT *, row_number() OVER (PARTITION BY law_name ORDER BY id) AS rn FROM t) WHERE rn <= 3")(lambda s, d: corpus.first_per_group(text_corpus(s, d).select("id", "law_name"), "law_name", "id", 3))
+query("sample_cap", f"WITH {SQL_TEXT} SELECT id FROM t ORDER BY id LIMIT 200")(lambda s, d: text_corpus(s, d).select("id").orderBy("id").limit(200))
+query("union_all", "SELECT source AS name FROM documents UNION ALL SELECT url FROM pages")(lambda s, d: table(s, d, "documents").select(F.col("source").alias("name")).union(table(s, d, "pages").select("url")))
+
+
+@query("compare_result_sets", f"WITH {SQL_TEXT}, a AS (SELECT id FROM t WHERE content LIKE '%to_en%'), b AS (SELECT id FROM t WHERE contains(content, 'token')) SELECT (SELECT count(*) FROM (SELECT id FROM a EXCEPT SELECT id FROM b)) AS only_like, (SELECT count(*) FROM (SELECT id FROM b EXCEPT SELECT id FROM a)) AS only_literal")
+def compare_result_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text_corpus(spark, sf_dir)
+    a, b = t.filter(C.like("%to_en%")).select("id"), t.filter(F.contains("content", F.lit("token"))).select("id")
+    return a.subtract(b).agg(F.count("*").alias("only_like")).crossJoin(b.subtract(a).agg(F.count("*").alias("only_literal")))
+
+
+# --- text functions ------------------------------------------------------------------------
+simple("remove_stopwords", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '' AND x NOT IN ('the', 'de', 'la')) AS words FROM t", "id", T.without_stopwords(T.tokens(C), ["the", "de", "la"]).alias("words"))
+simple("legal_terms", f"WITH {SQL_TEXT} SELECT id, list_filter([CASE WHEN contains(content, 'token') THEN 'T' END, CASE WHEN contains(content, 'the') THEN 'D' END], lambda x: x IS NOT NULL) AS terms FROM t", "id", T.legal_terms(C, [("token", "T"), ("the", "D")]).alias("terms"))
+simple("highlight_mark", f"WITH {SQL_TEXT} SELECT id, replace(replace(content, 'th', '<mark>th</mark>'), 'mark', '<mark>mark</mark>') AS body FROM t", "id", T.highlight(C, F.array(F.lit("th"), F.lit("mark"))).alias("body"))
+simple("highlight_ci", f"WITH {SQL_TEXT} SELECT id, regexp_replace(content, '(?i)(the)', '<mark style=\"background:#ff0\">\\1</mark>', 'g') AS body FROM t", "id", T.highlight_ignoring_case(C, ["the"]).alias("body"))
+simple("normalize_newlines", f"WITH {SQL_TEXT} SELECT id, regexp_replace(regexp_replace(content, '\\n\\n+', '<br><br>', 'g'), '\\n', ' ', 'g') AS body FROM t", "id", T.normalized_newlines(C).alias("body"))
+simple("split_keywords", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(trim(title), '[\\s,]+'), lambda x: x <> '') AS by_comma, list_filter(string_split(title, ' '), lambda x: length(x) > 1) AS by_space FROM t", "id", T.keywords_by_comma(TITLE).alias("by_comma"), T.keywords_by_space(TITLE).alias("by_space"))
+simple("kwic_snippet", f"WITH {SQL_TEXT} SELECT id, CASE WHEN instr(content, 'tion') > 0 THEN substr(content, greatest(1, instr(content, 'tion') - 30), least(length(content) + 1, instr(content, 'tion') + 35) - greatest(1, instr(content, 'tion') - 30)) END AS snippet FROM t", "id", T.snippet(C, F.lit("tion"), 30, 35).alias("snippet"))
+simple("preview", f"WITH {SQL_TEXT} SELECT id, CASE WHEN length(content) > 400 THEN left(content, 400) || '...' ELSE content END AS body FROM t", "id", T.preview(C, 400).alias("body"))
+simple("compose_metadata", f"WITH {SQL_TEXT} SELECT id, law_name, title AS label, true AS full_article FROM t", "id", F.struct("law_name", TITLE.alias("label"), F.lit(True).alias("full_article")).alias("m"))
+_compose = _QUERIES["compose_metadata"]
+_QUERIES["compose_metadata"] = lambda s, d: _compose(s, d).select("id", "m.*")
+simple("query_plan_columns", "SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words, text AS original FROM benchmark", "item_id", T.tokens(F.col("text")).alias("words"), F.col("text").alias("original"), source="benchmark")
+
+
+# --- statutes --------------------------------------------------------------------------------
+SQL_ARTICLES = f"""WITH {SQL_STATUTE}, a AS (SELECT law_id, '제' || n || '조' AS article_number, trim(head) AS title, trim(text, chr(10) || chr(13) || chr(9) || ' ') AS content FROM s
+ UNION ALL SELECT law_id, '제' || (CAST(n AS BIGINT) + 1) || '조', 'second', 'see 제' || n || '조제2항 and 제99조' FROM s) """
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.articles(statutes(spark, sf_dir).select("law_id", F.col("body").alias("text")))
+
+
+query("segment_articles", SQL_ARTICLES + "SELECT law_id, article_number, title, substr(content, 1, 2000) AS content FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", "title", "content"))
+query("segment_bounds", SQL_ARTICLES + "SELECT law_id, article_number, length(substr(content, 1, 2000)) AS n FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", long(F.length("content")).alias("n")))
+query("first_wins_dedup", SQL_ARTICLES + ", b AS (SELECT *, row_number() OVER (PARTITION BY law_id, article_number ORDER BY title DESC) FROM a) SELECT law_id, article_number FROM b WHERE length(content) > 10")(lambda s, d: segment.articles(statutes(s, d).select("law_id", F.concat("body", F.lit("\n제"), "n", F.lit("조(again) a repeated article that loses")).alias("text"))).select("law_id", "article_number"))
+query("extract_article_refs", SQL_ARTICLES + "SELECT law_id, article_number, list_sort(list_distinct(regexp_extract_all(content, '제[0-9]+조(?:제[0-9]+항)?(?:제[0-9]+호)?'))) AS refs FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", T.distinct_refs(C).alias("refs")))
+query("article_reference_graph", SQL_ARTICLES + "SELECT law_id, article_number AS src, d AS dst, d <> '제99조' AND d IN (SELECT article_number FROM a b WHERE b.law_id = a.law_id AND length(b.content) > 10) AS resolved FROM a, (VALUES (1), (2)) v(k), LATERAL (SELECT CASE WHEN k = 1 THEN regexp_extract(content, '제[0-9]+조') ELSE '제99조' END AS d) WHERE title = 'second' AND content LIKE 'see %'")(lambda s, d: segment.reference_edges(_articles(s, d)))
+
+SQL_LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents), l2 AS (SELECT doc_id, no, trim(line) AS line FROM ln WHERE trim(line) <> ''), g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-M]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS grp FROM l2)"
+SQL_PARAGRAPHS = f"WITH {SQL_LINES}, m AS (SELECT doc_id, grp, string_agg(line, ' ' ORDER BY no) AS body FROM g WHERE grp > 0 GROUP BY 1, 2) SELECT doc_id, CAST(grp AS BIGINT) AS grp, substr(body, 1, 1) AS number, trim(substr(body, 2)) AS content FROM m"
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text", "^[A-M]", "^([A-M])")
+
+
+query("extract_paragraphs", SQL_PARAGRAPHS)(_paragraphs)
+query("paragraph_groups", f"WITH {SQL_LINES} SELECT doc_id, CAST(max(grp) AS BIGINT) AS n FROM g WHERE grp > 0 GROUP BY doc_id")(lambda s, d: _paragraphs(s, d).groupBy("doc_id").agg(F.max("grp").alias("n")))
+query("classify_line", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'chapter' WHEN doc_id % 6 = 1 THEN 'article' WHEN doc_id % 6 = 2 THEN 'paragraph' WHEN doc_id % 6 = 3 THEN 'item' WHEN doc_id % 6 = 4 THEN 'subitem' ELSE 'body' END AS kind FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", T.line_kind(F.concat(F.element_at(F.array(*map(F.lit, ("제1장 ", "제2조 ", "③", "12. ", "가. ", ""))), (F.col("doc_id") % 6 + 1).cast("int")), F.regexp_replace("text", "^[0-9①-⑮]+", ""))).alias("kind"))
+)
+SQL_SPLIT = """WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS part, 0 AS start, 0 AS stop, '' AS chunk, false AS last FROM documents WHERE length(text) >= 512
+ UNION ALL SELECT doc_id, text, part + 1, CASE WHEN last THEN NULL ELSE CASE WHEN part = 0 THEN 0 ELSE stop - 50 END END, e, substr(text, s + 1, e - s), e >= length(text) FROM (
+  SELECT *, CASE WHEN s + 512 < length(text) AND cut > 0 AND s + cut - 50 > s THEN s + cut ELSE s + 512 END AS e FROM (
+   SELECT *, CASE WHEN s + 512 < length(text) THEN length(regexp_extract(substr(text, s + 1, 512), '(?s)^.*[.\\n]')) ELSE 0 END AS cut FROM (SELECT *, CASE WHEN part = 0 THEN 0 ELSE stop - 50 END AS s FROM w WHERE NOT last))))
+ SELECT doc_id, trim(chunk, chr(10) || chr(13) || chr(9) || ' ') AS chunk FROM w WHERE part > 0 AND trim(chunk, chr(10) || chr(13) || chr(9) || ' ') <> ''"""
+query("split_long_text", SQL_SPLIT)(lambda s, d: table(s, d, "documents").filter(F.length("text") >= 512).select("doc_id", F.explode(segment.split_long_text(F.col("text"))).alias("chunk")))
+
+
+def _laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles from documents; every third has its lines as paragraphs."""
+    pars = F.when(F.col("doc_id") % 3 == 0, F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("string").alias("number"), x.alias("content"))))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("law_"), "source").alias("law_id"), F.col("doc_id").cast("string").alias("article_number"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"), pars.alias("paragraphs"))
+
+
+SQL_PAR = "par AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id % 3 = 0 AND {})"
+query("chunk_articles", f"WITH {SQL_PAR.format('length(text) >= 512')} SELECT 'law_' || source || '_' || doc_id AS chunk_id, 'article' AS chunk_type, text AS content FROM documents WHERE length(text) < 512 UNION ALL SELECT 'law_' || source || '_' || doc_id || '_' || i, 'paragraph', line FROM par")(lambda s, d: segment.chunks(_laid_out(s, d)).filter("chunk_type <> 'text_split'").select("chunk_id", "chunk_type", "content"))
+SQL_WHOLE = "doc_id || ' ' || '' || chr(10) || text"
+query("chunk_full_text", f"WITH {SQL_PAR.format(f'length({SQL_WHOLE}) >= 512')} SELECT CAST(doc_id AS VARCHAR) AS article_number, 'full_article' AS chunk_type, {SQL_WHOLE} AS content FROM documents WHERE length({SQL_WHOLE}) < 512 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'paragraph', doc_id || ' ' || i || chr(10) || line FROM par")(lambda s, d: segment.full_text_chunks(_laid_out(s, d)).select("article_number", "chunk_type", "content"))
+query("chunk_table", "SELECT 'law_' || source || '_table_' || doc_id AS chunk_id, '별표' || doc_id AS article_number, text AS content FROM documents")(lambda s, d: segment.table_chunks(table(s, d, "documents").select(F.concat(F.lit("law_"), "source").alias("law_id"), F.col("doc_id").alias("n"), F.col("source").alias("title"), F.col("text").alias("content"))).select("chunk_id", "article_number", "content"))
+query("ingest_statutes", SQL_ARTICLES + "SELECT CASE WHEN length(c) < 512 THEN 'article' ELSE 'long' END AS kind, count(*) AS n FROM (SELECT substr(content, 1, 2000) AS c FROM a WHERE length(content) > 10) GROUP BY 1")(
+    lambda s, d: segment.embed(segment.chunks(_articles(s, d).withColumn("paragraphs", F.lit(None).cast("array<struct<number:string,content:string>>")))).filter("coalesce(part, 0) = 0 AND size(embedding) = 64").groupBy(F.when(F.col("chunk_type") == "text_split", "long").otherwise("article").alias("kind")).agg(F.count("*").alias("n"))
+)
+query("compliance_match", "WITH r AS (SELECT DISTINCT lang AS business_type, source AS law FROM documents) SELECT r.business_type, r.law, CAST(k AS VARCHAR) AS article_number, EXISTS (SELECT 1 FROM documents d WHERE d.source = r.law AND d.doc_id % 50 = k) AS matched FROM r, (VALUES (1), (2), (60)) v(k)")(
+    lambda s, d: segment.compliance(
+        segment.load_rules(table(s, d, "documents").groupBy(F.col("lang").alias("business_type")).agg(F.transform(F.collect_set("source"), lambda x: F.struct(x.alias("law"), F.array(F.lit("1"), F.lit("2"), F.lit("60")).alias("articles"))).alias("required_laws"))),
+        table(s, d, "documents").select(F.col("source").alias("law"), F.concat(F.lit("name "), "source").alias("law_name")).distinct(),
+        table(s, d, "documents").select(F.concat(F.lit("name "), "source").alias("law_name"), (F.col("doc_id") % 50).cast("string").alias("article_number")),
+    ).select("business_type", "law", "article_number", "matched")
+)
+query("load_rules", "SELECT DISTINCT lang AS business_type, source AS law, k AS article_number FROM documents, (VALUES ('1'), ('2')) v(k)")(
+    lambda s, d: segment.load_rules(table(s, d, "documents").groupBy(F.col("lang").alias("business_type")).agg(F.transform(F.collect_set("source"), lambda x: F.struct(x.alias("law"), F.array(F.lit("1"), F.lit("2")).alias("articles"))).alias("required_laws")))
+)
+query("corpus_report", f"WITH {SQL_TEXT} SELECT law_name, count(*) AS n, round(avg(length(content))) AS mean_length, round(100.0 * count(*) FILTER (contains(content, 'the')) / count(*), 1) AS percent, min(id) AS first_id FROM t GROUP BY 1")(
+    lambda s, d: text_corpus(s, d).groupBy("law_name").agg(F.count("*").alias("n"), F.round(F.avg(F.length("content"))).alias("mean_length"), F.round(100.0 * F.count_if(F.contains("content", F.lit("the"))) / F.count("*"), 1).alias("percent"), F.min("id").alias("first_id"))
+)
+
+# --- no SQL form: tests check these against brute force or properties --------------------------
+query("embed_documents")(lambda s, d: segment.embed(text_corpus(s, d).select("id", "content")).select("id", "embedding"))
+query("ann_topk")(lambda s, d: ann.CellIndex(law_documents(s, d), cells=20).search(probes(s, d), 10, probe=8))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return hybrid_search(spark, sf_dir)
