@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 # Unit words.
 UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s ms min h hr hours hour minutes minute seconds second days day weeks week months month years year percent dollars dollar euros euro usd eur cents"
 
@@ -46,20 +48,23 @@ def template(words: Column) -> Column:
     return F.lower(F.regexp_replace(units, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]*", "2"))
 
 
-def window_hashes(tokens: Column, window: int) -> Column:
-    """For every place the hash of the window that starts there (those past the end match nothing)."""
-    h, n = F.transform(tokens, lambda t: F.xxhash64(t)), 1
+def with_window_hashes(rows: DataFrame, tokens: str, window: int) -> DataFrame:
+    """Adds ``h``: for every place the hash of the window that starts there (those past
+    the end match nothing).  Widths double from step to step; each step is a projection
+    of its own, since an expression that names its operand twice would be worked out
+    anew for each mention."""
+    rows, n = rows.withColumn("h", F.transform(tokens, lambda t: F.xxhash64(t))), 1
     while n < window:
-        h = F.zip_with(h, F.slice(h, F.lit(n + 1), F.greatest(F.size(h), F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        rows = rows.withColumn("h", F.zip_with("h", F.slice("h", n + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)))
         n *= 2
-    return h
+    return rows
 
 
 def item_windows(benchmark: DataFrame, p: Params) -> DataFrame:
     """(h, item_id, item_at) of the usable windows of the items."""
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", F.split(template(plain_words(F.col("text"))), " ").alias("t"))
     items = items.filter(F.size("t") >= p.window)
-    placed = items.select("item_id", "t", F.posexplode(window_hashes(F.col("t"), p.window)).alias("item_at", "h")).filter(F.col("item_at") <= F.size("t") - p.window)
+    placed = with_window_hashes(items, "t", p.window).select("item_id", "t", F.posexplode("h").alias("item_at", "h")).filter(F.col("item_at") <= F.size("t") - p.window)
     literal = F.size(F.filter(F.slice("t", F.col("item_at") + 1, p.window), lambda t: ~t.isin("0", "1", "2")))
     return placed.filter(literal >= p.literals).select("h", "item_id", "item_at").distinct()
 
@@ -85,9 +90,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(
     windows = item_windows(benchmark, p)
     n_windows = windows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     probe = F.broadcast(windows) if windows.count() <= p.broadcast_windows else windows
-    hashed = docs.select("doc_id", F.posexplode(window_hashes(F.split(template(plain_words(F.col("text"))), " "), p.window)).alias("at", "h"))
+    hashed = docs.select("doc_id", F.split(template(plain_words(F.col("text"))), " ").alias("t"))
+    hashed = with_window_hashes(hashed, "t", p.window).select("doc_id", F.posexplode("h").alias("at", "h"))
     hits = hashed.join(probe, "h").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-    runs = hits.agg(F.count_distinct("item_at").alias("n"), F.min("item_at").alias("lo"), F.max("item_at").alias("hi"))
+    runs = common.written(hits.agg(F.count_distinct("item_at").alias("n"), F.min("item_at").alias("lo"), F.max("item_at").alias("hi")))
 
     own = runs.select("doc_id").distinct()
     texts = docs.join(own.hint("merge"), docs["doc_id"].eqNullSafe(own["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
