@@ -1,8 +1,8 @@
 """Benchmark decontamination by canonical templates, with DataFrame functions only.
 
-Punctuation becomes a space; then numbers, units that follow a number, and
-capitalised words become typed placeholders (0, 1, 2) and the rest lower case.
-The hashes of all windows of eight template words are hash-joined with those of
+Numbers, units that follow a number and capitalised words become typed
+placeholders (0, 1, 2), the rest becomes lower case; whatever is no letter, mark
+or number parts words.  The hashes of all windows of eight template words are hash-joined with those of
 the benchmark items.  Matches of a document and an item that lie on one diagonal
 are aligned word by word, and the fillers of their placeholders compared: a copy
 fills them alike, a re-parameterised question renames them consistently (one
@@ -36,23 +36,32 @@ class Params:
     broadcast_windows: int = 400_000
 
 
-def plain_words(text: Column) -> Column:
-    """Words in their source form, parted by single spaces."""
-    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "))
+_OUTSIDE = r"[^\p{L}\p{M}\p{N}]"
+_INSIDE = r"[\p{L}\p{M}\p{N}]"
 
 
-def template(words: Column) -> Column:
-    """The canonical form of ``plain_words``: as many words, in the same places."""
-    numbers = F.regexp_replace(words, "[0-9]+", "0")
-    units = F.regexp_replace(numbers, "(?<=(?:^| )0 )(?:" + "|".join(UNITS.split()) + ")(?= |$)", "1")
-    return F.lower(F.regexp_replace(units, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]*", "2"))
+def words(text: Column) -> Column:
+    """The words of a text, in source or template form; a text that begins or ends
+    with punctuation has an empty first or last word in both."""
+    return F.split(text, _OUTSIDE + "+")
+
+
+def template(text: Column) -> Column:
+    """The canonical form of a text, word for word in the same places.
+
+    Each pattern begins with the character it looks for, and looks behind only there.
+    """
+    numbers = F.regexp_replace(text, "[0-9]+", "0")
+    units = F.regexp_replace(numbers, rf"0(?<!{_INSIDE}0){_OUTSIDE}+(?:" + "|".join(UNITS.split()) + rf")(?!{_INSIDE})", "0 1")
+    return F.lower(F.regexp_replace(units, rf"\p{{Lu}}(?<!{_INSIDE}\p{{Lu}})[\p{{L}}\p{{M}}]*", "2"))
 
 
 def with_window_hashes(rows: DataFrame, tokens: str, window: int) -> DataFrame:
     """Adds ``h``: for every place the hash of the window that starts there (those past
     the end match nothing).  Widths double from step to step; each step is a projection
     of its own, since an expression that names its operand twice would be worked out
-    anew for each mention."""
+    anew for each mention.  Explode ``h`` with an outer form: the plain one infers a
+    filter on its operand, in which all steps would be folded into one expression."""
     rows, n = rows.withColumn("h", F.transform(tokens, lambda t: F.xxhash64(t))), 1
     while n < window:
         rows = rows.withColumn("h", F.zip_with("h", F.slice("h", n + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)))
@@ -62,11 +71,12 @@ def with_window_hashes(rows: DataFrame, tokens: str, window: int) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, p: Params) -> DataFrame:
     """(h, item_id, item_at) of the usable windows of the items."""
-    items = benchmark.filter("item_id IS NOT NULL").select("item_id", F.split(template(plain_words(F.col("text"))), " ").alias("t"))
+    items = benchmark.filter("item_id IS NOT NULL").select("item_id", words(template(F.col("text"))).alias("t"))
     items = items.filter(F.size("t") >= p.window)
-    placed = with_window_hashes(items, "t", p.window).select("item_id", "t", F.posexplode("h").alias("item_at", "h")).filter(F.col("item_at") <= F.size("t") - p.window)
-    literal = F.size(F.filter(F.slice("t", F.col("item_at") + 1, p.window), lambda t: ~t.isin("0", "1", "2")))
-    return placed.filter(literal >= p.literals).select("h", "item_id", "item_at").distinct()
+    placed = with_window_hashes(items, "t", p.window).select("item_id", "t", F.posexplode_outer("h").alias("item_at", "h")).filter(F.col("item_at") <= F.size("t") - p.window)
+    window = F.slice("t", F.col("item_at") + 1, p.window)
+    literal = F.size(F.filter(window, lambda t: ~t.isin("0", "1", "2")))
+    return placed.filter((literal >= p.literals) & ~F.array_contains(window, "")).select("h", "item_id", "item_at").distinct()
 
 
 def _slots(p: Params) -> Column:
@@ -90,16 +100,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(
     windows = item_windows(benchmark, p)
     n_windows = windows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     probe = F.broadcast(windows) if windows.count() <= p.broadcast_windows else windows
-    hashed = docs.select("doc_id", F.split(template(plain_words(F.col("text"))), " ").alias("t"))
-    hashed = with_window_hashes(hashed, "t", p.window).select("doc_id", F.posexplode("h").alias("at", "h"))
+    hashed = docs.select("doc_id", words(template(F.col("text"))).alias("t"))
+    hashed = with_window_hashes(hashed, "t", p.window).select("doc_id", F.posexplode_outer("h").alias("at", "h"))
     hits = hashed.join(probe, "h").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     runs = common.written(hits.agg(F.count_distinct("item_at").alias("n"), F.min("item_at").alias("lo"), F.max("item_at").alias("hi")))
 
     own = runs.select("doc_id").distinct()
     texts = docs.join(own.hint("merge"), docs["doc_id"].eqNullSafe(own["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-    texts = texts.select("doc_id", plain_words(F.col("text")).alias("w")).select("doc_id", F.split("w", " ").alias("doc_w"), F.split(template(F.col("w")), " ").alias("doc_t"))
-    items = benchmark.filter("item_id IS NOT NULL").dropDuplicates(["item_id"]).select("item_id", plain_words(F.col("text")).alias("w"))
-    items = items.select("item_id", F.split("w", " ").alias("item_w"), F.split(template(F.col("w")), " ").alias("item_t"))
+    texts = texts.select("doc_id", words(F.col("text")).alias("doc_w"), words(template(F.col("text"))).alias("doc_t"))
+    items = benchmark.filter("item_id IS NOT NULL").dropDuplicates(["item_id"]).select("item_id", words(F.col("text")).alias("item_w"), words(template(F.col("text"))).alias("item_t"))
     texts = texts.withColumnRenamed("doc_id", "d")
     aligned = runs.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d").join(items, "item_id").select("doc_id", "item_id", "n", _slots(p).alias("slots"))
     pairs = F.array_distinct("slots")
