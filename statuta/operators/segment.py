@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -142,20 +143,25 @@ def compliance(rules: DataFrame, aliases: DataFrame, rows: DataFrame) -> DataFra
     return rules.join(aliases, "law", "left").join(have, ["law_name", "article_number"], "left").withColumn("matched", F.coalesce("have", F.lit(False))).drop("have")
 
 
-def hashed_embedding(content: Column, dim: int = 64) -> Column:
-    """A deterministic unit vector by feature hashing of words: an offline stand-in for a model."""
-    place = lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    parts = F.transform(text.tokens(content), lambda w: F.struct(place(w).alias("p"), sign(w).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(parts, lambda x: x["p"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
-    return sums
+def hashing_model(dim: int = 64):
+    """A deterministic stand-in for an embedding model: signed feature hashing of words."""
 
+    def encode(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [0.0] * dim
+            for w in t.split():
+                h = zlib.crc32(w.encode())
+                v[h % dim] += 1.0 if h >> 16 & 1 else -1.0
+            out.append(v)
+        return out
 
-def embed(rows: DataFrame, model=None, batch: int = 32) -> DataFrame:
-    """Adds ``embedding``: from a model function (list of texts -> list of vectors), made once
-    per worker by calling ``model()``, in batches; by feature hashing without one."""
-    if model is None:
-        return rows.withColumn("embedding", hashed_embedding(F.col("content")))
+    return encode
+
+
+def embed(rows: DataFrame, model=hashing_model, batch: int = 32) -> DataFrame:
+    """Adds ``embedding`` by a model function (list of texts -> list of vectors), made once
+    per worker by calling ``model()`` and given texts in batches; a null text counts as empty."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
