@@ -62,22 +62,8 @@ class Params:
         return self.chunks * (self.errors + 1) - 1
 
 
-def index_keys(signature: np.ndarray, p: Params) -> np.ndarray:
-    """The index entries of one signature: a 64-bit key per chunk and choice of left-out symbols."""
-    low = signature & np.uint64((1 << p.bits) - 1)
-    keys, n = [], 0
-    for c in range(p.chunks):
-        for kept in itertools.combinations(range(p.size), p.size - p.errors):
-            n += 1
-            key = np.uint64(n)
-            for j in kept:
-                key = mix(np.array([key * np.uint64(0x9E3779B97F4A7C15) + low[c * p.size + j]], dtype=np.uint64))[0]
-            keys.append(key)
-    return np.array(keys, dtype=np.uint64).view(np.int64)
-
-
-def all_index_keys(signatures: np.ndarray, p: Params) -> np.ndarray:
-    """``index_keys`` of many signatures at once, a row each."""
+def index_keys(signatures: np.ndarray, p: Params) -> np.ndarray:
+    """The index entries of signatures, a row each: a 64-bit key per chunk and choice of left-out symbols."""
     low = signatures & np.uint64((1 << p.bits) - 1)
     out, n = [], 0
     for c in range(p.chunks):
@@ -113,7 +99,7 @@ def signed(docs: DataFrame, p: Params) -> DataFrame:
                     rows.append(i)
             ends = np.zeros(n + 1, dtype=np.int32)
             ends[1:][rows] = width
-            entries = all_index_keys(np.stack(found), p).ravel() if found else np.empty(0, dtype=np.int64)
+            entries = index_keys(np.stack(found), p).ravel() if found else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(digests, type=pa.binary()), pa.ListArray.from_arrays(np.cumsum(ends, dtype=np.int32), pa.array(entries))],
                 names=["doc_id", "n_shingles", "digest", "entries"],
