@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8), at
 
 
+def runs(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """Bounds [lo, hi) of runs of texts of about ``chars`` characters, at least one text each."""
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= chars:
+            yield lo, i + 1
+            lo, n = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32 of the id's text modulo 4 is 2: rows that no model may learn from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
