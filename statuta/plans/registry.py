@@ -80,24 +80,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def simple(name: str, sql: str, *columns: Column | str, source: str = "text", where: Column | None = None) -> None:
-    """A query that projects (and filters) one table row by row."""
+def simple(name: str, sql: str, columns: Callable[[], list[Column | str]], source: str = "text", where: Callable[[], Column] | None = None) -> None:
+    """A query that projects (and filters) one table row by row; columns need a session, so they are made late."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = text_corpus(spark, sf_dir) if source == "text" else law_documents(spark, sf_dir) if source == "law" else table(spark, sf_dir, source)
-        return (df if where is None else df.filter(where)).select(*columns)
+        df = text_corpus(spark, sf_dir) if source == "text" else table(spark, sf_dir, source)
+        return (df if where is None else df.filter(where())).select(*columns())
 
     query(name, sql)(run)
 
 
+def _content() -> Column:
+    return F.col("content")
+
+
+def _title() -> Column:
+    return F.col("title")
+
+
 def long(c: Column) -> Column:
     return c.cast("long")
 
 
-C, TITLE = F.col("content"), F.col("title")
+
 
 # --- sources, sinks, maintenance -------------------------------------------------------
-simple("scan_corpus", f"WITH {SQL_TEXT} SELECT id, law_name FROM t", "id", "law_name")
+simple("scan_corpus", f"WITH {SQL_TEXT} SELECT id, law_name FROM t", lambda: ["id", "law_name"])
 
 
 def _xml(c: Column) -> Column:
@@ -175,15 +183,15 @@ def check_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- projections, filters ---------------------------------------------------------------
-simple("metadata_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src3' AND chunk_type = 'en'", "id", where=(F.col("law_name") == "src3") & (F.col("chunk_type") == "en"))
-simple("like_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE content LIKE '%pass_ord%'", "id", where=C.like("%pass_ord%"))
-simple("contains_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE contains(content, 'token')", "id", where=F.contains("content", F.lit("token")))
-simple("metadata_project", f"WITH {SQL_TEXT} SELECT id, coalesce(nullif(title, ''), 'untitled') AS title, split_part(id, '_', 2) AS number, coalesce(chunk_type, 'article') AS kind FROM t", "id", F.coalesce(F.nullif(TITLE, F.lit("")), F.lit("untitled")).alias("title"), F.get(F.split("id", "_"), F.lit(1)).alias("number"), F.coalesce("chunk_type", F.lit("article")).alias("kind"))
-simple("require_fields", f"WITH {SQL_TEXT} SELECT id FROM t WHERE length(id) > 0 AND length(trim(title)) > 20", "id", where=(F.length("id") > 0) & (F.length(F.trim("title")) > 20))
-simple("content_bounds", f"WITH {SQL_TEXT} SELECT id, substr(content, 1, 2000) AS content FROM t WHERE length(content) > 10", "id", T.truncated(C).alias("content"), where=F.length("content") > 10)
-simple("law_tier", f"WITH {SQL_TEXT} SELECT id, CASE WHEN contains(content, 'token') THEN 'token' WHEN contains(content, 'password') THEN 'password' ELSE 'none' END AS tier FROM t", "id", T.tier(C, ("token", "password"), "none").alias("tier"))
-simple("is_definition", f"WITH {SQL_TEXT} SELECT id, coalesce(regexp_matches(title, 'the|der|que'), false) AS found FROM t", "id", T.title_has(TITLE, "the|der|que").alias("found"))
-simple("law_name_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src7'", "id", where=F.col("law_name") == "src7")
+simple("metadata_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src3' AND chunk_type = 'en'", lambda: ["id"], where=lambda: (F.col("law_name") == "src3") & (F.col("chunk_type") == "en"))
+simple("like_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE content LIKE '%pass_ord%'", lambda: ["id"], where=lambda: _content().like("%pass_ord%"))
+simple("contains_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE contains(content, 'token')", lambda: ["id"], where=lambda: F.contains("content", F.lit("token")))
+simple("metadata_project", f"WITH {SQL_TEXT} SELECT id, coalesce(nullif(title, ''), 'untitled') AS title, split_part(id, '_', 2) AS number, coalesce(chunk_type, 'article') AS kind FROM t", lambda: ["id", F.coalesce(F.nullif(_title(), F.lit("")), F.lit("untitled")).alias("title"), F.get(F.split("id", "_"), F.lit(1)).alias("number"), F.coalesce("chunk_type", F.lit("article")).alias("kind")])
+simple("require_fields", f"WITH {SQL_TEXT} SELECT id FROM t WHERE length(id) > 0 AND length(trim(title)) > 20", lambda: ["id"], where=lambda: (F.length("id") > 0) & (F.length(F.trim("title")) > 20))
+simple("content_bounds", f"WITH {SQL_TEXT} SELECT id, substr(content, 1, 2000) AS content FROM t WHERE length(content) > 10", lambda: ["id", T.truncated(_content()).alias("content")], where=lambda: F.length("content") > 10)
+simple("law_tier", f"WITH {SQL_TEXT} SELECT id, CASE WHEN contains(content, 'token') THEN 'token' WHEN contains(content, 'password') THEN 'password' ELSE 'none' END AS tier FROM t", lambda: ["id", T.tier(_content(), ("token", "password"), "none").alias("tier")])
+simple("is_definition", f"WITH {SQL_TEXT} SELECT id, coalesce(regexp_matches(title, 'the|der|que'), false) AS found FROM t", lambda: ["id", T.title_has(_title(), "the|der|que").alias("found")])
+simple("law_name_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src7'", lambda: ["id"], where=lambda: F.col("law_name") == "src7")
 
 
 @query("valid_query", "WITH q AS (SELECT row_number() OVER () AS n, text AS query FROM conversations) SELECT count(*) FILTER (length(trim(query)) > 0) AS valid, count(*) FILTER (coalesce(length(trim(query)) = 0, true)) AS rejected FROM q")
@@ -232,7 +240,7 @@ _QUERIES["distinct"], _ORACLES["distinct"] = distinct_laws, _ORACLES["distinct_l
 
 @query("occurrence_totals", f"WITH {SQL_TEXT} SELECT law_name, sum((length(content) - length(replace(content, 'the', ''))) / 3) AS total FROM t GROUP BY 1")
 def occurrence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_corpus(spark, sf_dir).groupBy("law_name").agg(F.sum(T.occurrences(C, F.lit("the"))).alias("total"))
+    return text_corpus(spark, sf_dir).groupBy("law_name").agg(F.sum(T.occurrences(_content(), F.lit("the"))).alias("total"))
 
 
 @query("ingest_tally", "SELECT source AS law_name, count(*) FILTER (length(text) > 10) AS success, count(*) FILTER (NOT length(text) > 10) AS failed FROM documents GROUP BY ROLLUP (source)")
@@ -273,9 +281,9 @@ def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.Bm25Index(text_corpus(spark, sf_dir)).terms, "avgdl", "idf")
 
 
-simple("doc_length", f"WITH {SQL_TEXT} SELECT id, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n FROM t", "id", long(F.size(T.tokens(C))).alias("n"))
-simple("tokenize_ws", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS words FROM t", "id", T.tokens(C).alias("words"))
-simple("vector_norms", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings", "vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), source="embeddings")
+simple("doc_length", f"WITH {SQL_TEXT} SELECT id, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n FROM t", lambda: ["id", long(F.size(T.tokens(_content()))).alias("n")])
+simple("tokenize_ws", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS words FROM t", lambda: ["id", T.tokens(_content()).alias("words")])
+simple("vector_norms", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings", lambda: ["vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm")], source="embeddings")
 
 
 # --- search arms, ranks, fusion ------------------------------------------------------------
@@ -289,7 +297,7 @@ query("keyword_topk", SQL_KEYWORD + "SELECT qid, id, score, rank FROM r WHERE ra
 query("candidate_overfetch", SQL_KEYWORD + "SELECT qid, id, score, rank FROM r WHERE rank <= 20")(_keyword(20))
 query("keyword_search_x10", SQL_KEYWORD + "SELECT qid, id, score * 10 AS score, rank FROM r WHERE rank <= 100")(_keyword(100, 10.0))
 query("keyword_theta_join", f"WITH {SQL_TEXT}, {SQL_BATCH}, {SQL_HITS} SELECT qid, id, score FROM h")(lambda s, d: search.keyword_hits(text_corpus(s, d), batch(s)))
-query("occurrence_score", f"WITH {SQL_TEXT} SELECT id, (length(content) - length(replace(content, 'th', ''))) / 2 AS score FROM t")(lambda s, d: text_corpus(s, d).select("id", T.occurrences(C, F.lit("th")).alias("score")))
+query("occurrence_score", f"WITH {SQL_TEXT} SELECT id, (length(content) - length(replace(content, 'th', ''))) / 2 AS score FROM t")(lambda s, d: text_corpus(s, d).select("id", T.occurrences(_content(), F.lit("th")).alias("score")))
 query("score_share", SQL_KEYWORD + "SELECT qid, id, round(100 * score / greatest(max(score) OVER (PARTITION BY qid), 0.0001), 6) AS share FROM r WHERE rank <= 100")(lambda s, d: rounded(search.with_share(_keyword(100)(s, d)).select("qid", "id", "share"), "share"))
 _QUERIES["normalized_score"], _ORACLES["normalized_score"] = _QUERIES["score_share"], _ORACLES["score_share"]
 
@@ -355,7 +363,7 @@ SQL_TS = f"""WITH {SQL_LAW}, {SQL_PROBES}, ql AS (SELECT qid, list_distinct(list
  tr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM th) """
 query("ts_rank", SQL_TS + "SELECT qid, id, round(score, 6) AS score FROM th")(lambda s, d: rounded(search.text_rank(text_corpus(s, d), probes(s, d)), "score"))
 query("keyword_rank", SQL_TS + "SELECT qid, id, rank FROM tr")(lambda s, d: search.ranked(search.text_rank(text_corpus(s, d), probes(s, d)), "score", 1 << 30).select("qid", "id", "rank"))
-query("ts_match", f"WITH {SQL_TEXT} SELECT id, len(list_intersect(list_distinct(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')), ['the', 'thing'])) = 2 AS matched FROM t")(lambda s, d: text_corpus(s, d).select("id", T.matches_all(C, F.lit("The thing!")).alias("matched")))
+query("ts_match", f"WITH {SQL_TEXT} SELECT id, len(list_intersect(list_distinct(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')), ['the', 'thing'])) = 2 AS matched FROM t")(lambda s, d: text_corpus(s, d).select("id", T.matches_all(_content(), F.lit("The thing!")).alias("matched")))
 SQL_OUTER = SQL_TS + SQL_VEC + """, fo AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.id, k.id) AS id, v.rank AS semantic_rank, k.rank AS keyword_rank, 100 * (0.7 / (60 + coalesce(v.rank, 999999)) + 0.3 / (60 + coalesce(k.rank, 999999))) AS relevance
  FROM (SELECT * FROM vr WHERE rank <= 20) v FULL OUTER JOIN (SELECT * FROM tr WHERE rank <= 20) k ON v.qid = k.qid AND v.id = k.id) """
 
@@ -384,23 +392,23 @@ query("union_all", "SELECT source AS name FROM documents UNION ALL SELECT url FR
 @query("compare_result_sets", f"WITH {SQL_TEXT}, a AS (SELECT id FROM t WHERE content LIKE '%to_en%'), b AS (SELECT id FROM t WHERE contains(content, 'token')) SELECT (SELECT count(*) FROM (SELECT id FROM a EXCEPT SELECT id FROM b)) AS only_like, (SELECT count(*) FROM (SELECT id FROM b EXCEPT SELECT id FROM a)) AS only_literal")
 def compare_result_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text_corpus(spark, sf_dir)
-    a, b = t.filter(C.like("%to_en%")).select("id"), t.filter(F.contains("content", F.lit("token"))).select("id")
+    a, b = t.filter(_content().like("%to_en%")).select("id"), t.filter(F.contains("content", F.lit("token"))).select("id")
     return a.subtract(b).agg(F.count("*").alias("only_like")).crossJoin(b.subtract(a).agg(F.count("*").alias("only_literal")))
 
 
 # --- text functions ------------------------------------------------------------------------
-simple("remove_stopwords", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '' AND x NOT IN ('the', 'de', 'la')) AS words FROM t", "id", T.without_stopwords(T.tokens(C), ["the", "de", "la"]).alias("words"))
-simple("legal_terms", f"WITH {SQL_TEXT} SELECT id, list_filter([CASE WHEN contains(content, 'token') THEN 'T' END, CASE WHEN contains(content, 'the') THEN 'D' END], lambda x: x IS NOT NULL) AS terms FROM t", "id", T.legal_terms(C, [("token", "T"), ("the", "D")]).alias("terms"))
-simple("highlight_mark", f"WITH {SQL_TEXT} SELECT id, replace(replace(content, 'th', '<mark>th</mark>'), 'mark', '<mark>mark</mark>') AS body FROM t", "id", T.highlight(C, F.array(F.lit("th"), F.lit("mark"))).alias("body"))
-simple("highlight_ci", f"WITH {SQL_TEXT} SELECT id, regexp_replace(content, '(?i)(the)', '<mark style=\"background:#ff0\">\\1</mark>', 'g') AS body FROM t", "id", T.highlight_ignoring_case(C, ["the"]).alias("body"))
-simple("normalize_newlines", f"WITH {SQL_TEXT} SELECT id, regexp_replace(regexp_replace(content, '\\n\\n+', '<br><br>', 'g'), '\\n', ' ', 'g') AS body FROM t", "id", T.normalized_newlines(C).alias("body"))
-simple("split_keywords", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(trim(title), '[\\s,]+'), lambda x: x <> '') AS by_comma, list_filter(string_split(title, ' '), lambda x: length(x) > 1) AS by_space FROM t", "id", T.keywords_by_comma(TITLE).alias("by_comma"), T.keywords_by_space(TITLE).alias("by_space"))
-simple("kwic_snippet", f"WITH {SQL_TEXT} SELECT id, CASE WHEN instr(content, 'tion') > 0 THEN substr(content, greatest(1, instr(content, 'tion') - 30), least(length(content) + 1, instr(content, 'tion') + 35) - greatest(1, instr(content, 'tion') - 30)) END AS snippet FROM t", "id", T.snippet(C, F.lit("tion"), 30, 35).alias("snippet"))
-simple("preview", f"WITH {SQL_TEXT} SELECT id, CASE WHEN length(content) > 400 THEN left(content, 400) || '...' ELSE content END AS body FROM t", "id", T.preview(C, 400).alias("body"))
-simple("compose_metadata", f"WITH {SQL_TEXT} SELECT id, law_name, title AS label, true AS full_article FROM t", "id", F.struct("law_name", TITLE.alias("label"), F.lit(True).alias("full_article")).alias("m"))
+simple("remove_stopwords", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '' AND x NOT IN ('the', 'de', 'la')) AS words FROM t", lambda: ["id", T.without_stopwords(T.tokens(_content()), ["the", "de", "la"]).alias("words")])
+simple("legal_terms", f"WITH {SQL_TEXT} SELECT id, list_filter([CASE WHEN contains(content, 'token') THEN 'T' END, CASE WHEN contains(content, 'the') THEN 'D' END], lambda x: x IS NOT NULL) AS terms FROM t", lambda: ["id", T.legal_terms(_content(), [("token", "T"), ("the", "D")]).alias("terms")])
+simple("highlight_mark", f"WITH {SQL_TEXT} SELECT id, replace(replace(content, 'th', '<mark>th</mark>'), 'mark', '<mark>mark</mark>') AS body FROM t", lambda: ["id", T.highlight(_content(), F.array(F.lit("th"), F.lit("mark"))).alias("body")])
+simple("highlight_ci", f"WITH {SQL_TEXT} SELECT id, regexp_replace(content, '(?i)(the)', '<mark style=\"background:#ff0\">\\1</mark>', 'g') AS body FROM t", lambda: ["id", T.highlight_ignoring_case(_content(), ["the"]).alias("body")])
+simple("normalize_newlines", f"WITH {SQL_TEXT} SELECT id, regexp_replace(regexp_replace(content, '\\n\\n+', '<br><br>', 'g'), '\\n', ' ', 'g') AS body FROM t", lambda: ["id", T.normalized_newlines(_content()).alias("body")])
+simple("split_keywords", f"WITH {SQL_TEXT} SELECT id, list_filter(regexp_split_to_array(trim(title), '[\\s,]+'), lambda x: x <> '') AS by_comma, list_filter(string_split(title, ' '), lambda x: length(x) > 1) AS by_space FROM t", lambda: ["id", T.keywords_by_comma(_title()).alias("by_comma"), T.keywords_by_space(_title()).alias("by_space")])
+simple("kwic_snippet", f"WITH {SQL_TEXT} SELECT id, CASE WHEN instr(content, 'tion') > 0 THEN substr(content, greatest(1, instr(content, 'tion') - 30), least(length(content) + 1, instr(content, 'tion') + 35) - greatest(1, instr(content, 'tion') - 30)) END AS snippet FROM t", lambda: ["id", T.snippet(_content(), F.lit("tion"), 30, 35).alias("snippet")])
+simple("preview", f"WITH {SQL_TEXT} SELECT id, CASE WHEN length(content) > 400 THEN left(content, 400) || '...' ELSE content END AS body FROM t", lambda: ["id", T.preview(_content(), 400).alias("body")])
+simple("compose_metadata", f"WITH {SQL_TEXT} SELECT id, law_name, title AS label, true AS full_article FROM t", lambda: ["id", F.struct("law_name", _title().alias("label"), F.lit(True).alias("full_article")).alias("m")])
 _compose = _QUERIES["compose_metadata"]
 _QUERIES["compose_metadata"] = lambda s, d: _compose(s, d).select("id", "m.*")
-simple("query_plan_columns", "SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words, text AS original FROM benchmark", "item_id", T.tokens(F.col("text")).alias("words"), F.col("text").alias("original"), source="benchmark")
+simple("query_plan_columns", "SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words, text AS original FROM benchmark", lambda: ["item_id", T.tokens(F.col("text")).alias("words"), F.col("text").alias("original")], source="benchmark")
 
 
 # --- statutes --------------------------------------------------------------------------------
@@ -415,7 +423,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("segment_articles", SQL_ARTICLES + "SELECT law_id, article_number, title, substr(content, 1, 2000) AS content FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", "title", "content"))
 query("segment_bounds", SQL_ARTICLES + "SELECT law_id, article_number, length(substr(content, 1, 2000)) AS n FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", long(F.length("content")).alias("n")))
 query("first_wins_dedup", SQL_ARTICLES + ", b AS (SELECT *, row_number() OVER (PARTITION BY law_id, article_number ORDER BY title DESC) FROM a) SELECT law_id, article_number FROM b WHERE length(content) > 10")(lambda s, d: segment.articles(statutes(s, d).select("law_id", F.concat("body", F.lit("\n제"), "n", F.lit("조(again) a repeated article that loses")).alias("text"))).select("law_id", "article_number"))
-query("extract_article_refs", SQL_ARTICLES + "SELECT law_id, article_number, list_sort(list_distinct(regexp_extract_all(content, '제[0-9]+조(?:제[0-9]+항)?(?:제[0-9]+호)?'))) AS refs FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", T.distinct_refs(C).alias("refs")))
+query("extract_article_refs", SQL_ARTICLES + "SELECT law_id, article_number, list_sort(list_distinct(regexp_extract_all(content, '제[0-9]+조(?:제[0-9]+항)?(?:제[0-9]+호)?'))) AS refs FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", T.distinct_refs(_content()).alias("refs")))
 query("article_reference_graph", SQL_ARTICLES + "SELECT law_id, article_number AS src, d AS dst, d <> '제99조' AND d IN (SELECT article_number FROM a b WHERE b.law_id = a.law_id AND length(b.content) > 10) AS resolved FROM a, (VALUES (1), (2)) v(k), LATERAL (SELECT CASE WHEN k = 1 THEN regexp_extract(content, '제[0-9]+조') ELSE '제99조' END AS d) WHERE title = 'second' AND content LIKE 'see %'")(lambda s, d: segment.reference_edges(_articles(s, d)))
 
 SQL_LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents), l2 AS (SELECT doc_id, no, trim(line) AS line FROM ln WHERE trim(line) <> ''), g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-M]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS grp FROM l2)"
