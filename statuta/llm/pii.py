@@ -84,8 +84,10 @@ _FOLDED = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKE, *_INVISIBLE])) +
 _UNIT = r"(?:[0-9]|" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + r")"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,.-]{{1,2}})?{_UNIT}(?:[\s,-]{{1,2}}(?:(?:dot|point|punkt|punto)[\s,-]{{1,2}})?{_UNIT}){{3,}}(?!\w)", re.I)
 _DIGIT_WORD = re.compile("|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)), re.I)
-_AT = r"(?:\s?[\[({<]\s?(?:at|@|arroba|ät|chez)\s?[\])}>]\s?)"
-_DOT = r"(?:\s?[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]\s?)"
+_IN_AT = r"[\[({<]\s?(?:at|@|arroba|ät|chez)\s?[\])}>]"
+_IN_DOT = r"[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]"
+_AT = rf"(?:\s?{_IN_AT}\s?)"
+_DOT = rf"(?:\s?{_IN_DOT}\s?)"
 _BARE_DOT = r"(?:\s(?:dot|punkt|punto|point)\s)"
 _NAME = r"[A-Za-z0-9_%+-]+"
 _ADDRESS = re.compile(
@@ -141,24 +143,38 @@ def spell_out_digits(m: Mapped) -> None:
             continue
         new = re.sub(r"^(?:plus|\+)[\s,.-]*", "+", x[0], flags=re.I)
         new = re.sub(r"[\s,-]+(?:dot|point|punkt|punto)[\s,-]+", ".", new, flags=re.I)
-        new = _DIGIT_WORD.sub(lambda w: str(_DIGIT_WORDS[w[0].lower()]), new)
+        new = _DIGIT_WORD.sub(lambda w: str(_DIGIT_WORDS[_lower(w[0])]), new)
         edits.append((x.start(), x.end(), re.sub(r"[\s,-]+", "", new)))
     m.rewrite(edits)
 
 
-def _disguised(text: str, low: str) -> bool:
-    """Whether any transducer could change the text (a cheap look before the work)."""
+#: What the patterns' IGNORECASE takes for i, s and k, though lower() doesn't.
+_CASELESS = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
+#: A spelled number of four digits has one of these, whatever its language (all else is at most one digit word).
+_TELLING = tuple(w for w in _DIGIT_WORDS if len(w) > 3 or w in ("one", "two", "six", "oh", "zwo", "dos", "uno", "un"))
+_AT_APART = re.compile(rf"{_IN_AT}|\s@|@\s", re.I)
+_DOT_APART = re.compile(rf"{_IN_DOT}|{_BARE_DOT}", re.I)
+
+
+def _lower(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_CASELESS).lower()
+
+
+def _disguised(text: str) -> bool:
+    """Whether any transducer could change the text (a cheap look before the work).
+
+    Made of the transducers' own patterns: an address changes only by an "at" other
+    than a plain @ or by a "dot" form, a bare "at" counts only beside such a form, and
+    a dotted number needs one too.
+    """
     if not text.isascii() and _FOLDED.search(text):
         return True
-    if any(w in low for w in ("dot", "punkt", "punto", "point")) and ("@" in low or "at" in low or "arroba" in low or "ät" in low or "chez" in low or _DIGIT.search(low)):
+    if _AT_APART.search(text):
         return True
-    if ("(at" in low or "[at" in low or "{at" in low or "<at" in low or "( at" in low or "[ at" in low) or " @" in low or "@ " in low or "[@" in low or "(@" in low:
+    if _DOT_APART.search(text) and (_AT_ANY.search(text) or _DIGIT.search(text)):
         return True
-    return _SPELLED.search(low) is not None if any(w in low for w in _TELLING) else False
-
-
-#: A spelled number of four digits has one of these, whatever its language (all else is at most one digit word).
-_TELLING = tuple(w for w in _DIGIT_WORDS if len(w) > 3 or w in ("one", "two", "six", "oh", "zwo", "dos", "uno", "un"))
+    low = _lower(text)
+    return any(w in low for w in _TELLING) and _SPELLED.search(text) is not None
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -167,7 +183,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     An added span doesn't touch a base span of its kind.
     """
     base = base_spans(text)
-    if not _disguised(text, text.lower()):
+    if not _disguised(text):
         return base, base
     m = Mapped(text)
     fold_lookalikes(m)
