@@ -7,6 +7,9 @@ the benchmark items.  Matches of a document and an item that lie on one diagonal
 are aligned word by word, and the fillers of their placeholders compared: a copy
 fills them alike, a re-parameterised question renames them consistently (one
 filler for each original, and back), while a chance match doesn't.
+
+A second hash join looks for exact copies whatever their case, slots or length: it
+takes windows of eight words that only lose their case, and of a shorter item all its words.
 """
 
 from __future__ import annotations
@@ -56,6 +59,11 @@ def template(text: Column) -> Column:
     return F.lower(F.regexp_replace(units, rf"\p{{Lu}}(?<!{_INSIDE}\p{{Lu}})[\p{{L}}\p{{M}}]*", "2"))
 
 
+def plain(text: Column) -> Column:
+    """The text without case; ß is ss, as in capitals."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def with_window_hashes(rows: DataFrame, tokens: str, window: int) -> DataFrame:
     """Adds ``h``: for every place the hash of the window that starts there (those past
     the end match nothing).  Widths double from step to step; each step is a projection
@@ -79,6 +87,44 @@ def item_windows(benchmark: DataFrame, p: Params) -> DataFrame:
     return placed.filter((literal >= p.literals) & ~F.array_contains(window, "")).select("h", "item_id", "item_at").distinct()
 
 
+def with_plain_windows(rows: DataFrame, tokens: str, p: Params, lengths: list[int]) -> DataFrame:
+    """Adds ``plain_h``: an array of (width, h), h as in ``with_window_hashes``, for the
+    full window and each of ``lengths`` below it.  A width between powers of two joins
+    two windows that overlap."""
+    rows, n = rows.withColumn("w1", F.transform(tokens, lambda t: F.xxhash64(t))), 1
+    while n < p.window:
+        rows = rows.withColumn(f"w{2 * n}", F.zip_with(f"w{n}", F.slice(f"w{n}", n + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)))
+        n *= 2
+    held = []
+    for width in [*lengths, p.window]:
+        low = 1 << (width.bit_length() - 1)
+        h = F.col(f"w{low}") if low == width else F.zip_with(f"w{low}", F.slice(f"w{low}", width - low + 1, 1 << 30), lambda a, b: F.xxhash64(a, b, F.lit(width)))
+        held.append(F.struct(F.lit(width).alias("width"), h.alias("h")))
+    return rows.withColumn("plain_h", F.array(*held))
+
+
+def plain_windows(benchmark: DataFrame, p: Params) -> DataFrame:
+    """(width, h, item_id, item_at): the different windows of the items without case, each
+    at its first place; of an item below the window, all its words."""
+    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.array_remove(words(plain(F.col("text"))), "").alias("t")).filter(F.size("t") > 0)
+    placed = with_plain_windows(items, "t", p, list(range(1, p.window))).select("item_id", F.size("t").alias("n"), F.explode_outer("plain_h").alias("x"))
+    placed = placed.filter(F.col("x.width") == F.least("n", F.lit(p.window))).select("item_id", "n", F.col("x.width").alias("width"), F.posexplode_outer("x.h").alias("item_at", "h"))
+    return placed.filter(F.col("item_at") <= F.col("n") - F.col("width")).groupBy("width", "h", "item_id").agg(F.min("item_at").alias("item_at"))
+
+
+def exact_copies(docs: DataFrame, benchmark: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, item_id, n, item_windows) by plain windows: so many of the item's
+    different windows are in the document."""
+    windows = common.written(plain_windows(benchmark, p))
+    total = windows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    lengths = sorted(r["width"] for r in windows.filter(F.col("width") < p.window).select("width").distinct().collect())
+    probe = F.broadcast(windows) if windows.count() <= p.broadcast_windows else windows
+    hashed = with_plain_windows(docs.select("doc_id", words(plain(F.col("text"))).alias("t")), "t", p, lengths)
+    hashed = hashed.select("doc_id", F.explode_outer("plain_h").alias("x")).select("doc_id", F.col("x.width").alias("width"), F.explode_outer("x.h").alias("h"))
+    found = hashed.join(probe, ["width", "h"]).select("doc_id", "item_id", "item_at").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    return found.join(total, "item_id")
+
+
 def _slots(p: Params) -> Column:
     """Aligned fillers (item's, document's) of the places that are placeholders in both."""
     at = F.sequence(F.col("lo"), F.col("hi") + p.window - 1)
@@ -91,8 +137,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(
     windows and item_windows long, coverage double, slots and changed_slots long,
     consistency double (1: fillers equal or renamed one to one).
 
-    Null and empty texts hold nothing; items with a null id, without text or with
-    fewer words than a window are not looked for.  Rows that share a doc_id count
+    Null and empty texts hold nothing; items with a null id or without a word are not
+    looked for; one with fewer words than a window, whole and exact but for case and
+    punctuation.  Where only plain windows show an item, the figures count these (each
+    different one once) and there are no slots.  Rows that share a doc_id count
     as one document (of null ids too); equal items are each reported.  Empty
     tables give no rows; more columns are ignored.
     """
@@ -118,8 +166,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(
     )
     found = judged.filter(F.col("consistency") >= p.consistency).groupBy("doc_id", "item_id")
     found = found.agg(F.sum("n").alias("n"), F.sum("slots").alias("slots"), F.sum("changed").alias("changed_slots"), F.min("consistency").alias("consistency")).join(n_windows, "item_id")
+    exact = exact_copies(docs, benchmark, p).withColumns({"slots": F.lit(0), "changed_slots": F.lit(0), "consistency": F.lit(1.0), "by_template": F.lit(False)})
     share = F.least(F.lit(1.0), F.col("n") / F.col("item_windows"))
-    return found.filter((share >= p.coverage) | (F.col("n") >= p.windows)).select("doc_id", "item_id", F.col("n").alias("windows"), "item_windows", share.alias("coverage"), "slots", "changed_slots", "consistency")
+    hit = found.withColumn("by_template", F.lit(True)).unionByName(exact).withColumn("coverage", share).filter((share >= p.coverage) | (F.col("n") >= p.windows))
+    figures = F.max(F.struct("by_template", F.col("n").alias("windows"), "item_windows", "coverage", F.col("slots").cast("long").alias("slots"), F.col("changed_slots").cast("long").alias("changed_slots"), "consistency")).alias("x")
+    return hit.groupBy("doc_id", "item_id").agg(figures).select("doc_id", "item_id", *(f"x.{c}" for c in ("windows", "item_windows", "coverage", "slots", "changed_slots", "consistency")))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:

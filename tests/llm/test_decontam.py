@@ -58,6 +58,30 @@ def test_inconsistent_fillers_are_no_hit(spark):
     assert len(run(spark, item.replace("Anna", "Bea"), item)) == 1
 
 
+def test_exact_copies_of_any_length_case_and_slots(spark):
+    short, named, numbers = "What is the capital of France?", "Do Anna Maria Jones and Peter Paul Smith know Berlin", "1 2 3 4 5 6 7 8 9 10 11 12"
+    bench = [(1, short), (2, named), (3, numbers), (4, ITEM), (5, "Why?"), (6, "«a a a»"), (7, "a a a a"), (8, "!?"), (9, "0 0 0 0 0 0 0 0 0"), (10, "Große Straße")]
+    texts = {
+        1: ("he asked: " + short + " Paris", {1}),
+        2: ("WHAT IS THE CAPITAL OF FRANCE", {1}),
+        3: ("what is the capital of Spain", set()),
+        4: ("so: " + named.lower() + " well", {2}),
+        5: ("count " + numbers + " done", {3}),
+        6: (ITEM.upper(), {4}),
+        7: ("why", {5}),
+        8: ("b a a a b", {6}),
+        9: ("b a a a a", {6, 7}),
+        10: ("11 22 33 44 55 66 77 88 99", set()),
+        11: ("What is the capital", set()),
+        12: ("GROSSE STRASSE", {10}),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()] + [(13, None), (14, "")], "doc_id long, text string")
+    found = decontam.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {i: {r.item_id for r in found if r.doc_id == i} for i in range(1, 15)}
+    assert got == {i: w for i, (_, w) in texts.items()} | {13: set(), 14: set()}
+    assert len(found) == sum(map(len, got.values())) and all(r.consistency == 1 for r in found)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, ITEM), (3, ITEM), (3, ITEM), (4, ITEM + " x" * 60_000)], "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS windows")
     bench = spark.createDataFrame([(9, ITEM), (10, None), (None, ITEM), (11, "too short"), (12, ITEM)], "item_id long, text string").selectExpr("*", "1 AS doc_id")
