@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statuta.llm import common, decontam, langid, neardup, pieces, pii
 
@@ -21,9 +22,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the least id, of each group of near copies."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keeps one document, the least id, of each group of near copies.
+
+    Rows without an id are nobody's copy and stay.  Different texts under one id are
+    documents of their own; then rows are numbered in the order of their ids.
+    """
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_digest", F.coalesce(F.md5("text"), F.lit("")))
+    several = named.groupBy("doc_id").agg(F.min("_digest").alias("low"), F.max("_digest").alias("high")).filter("low <> high")
+    if several.take(1):
+        order = ["doc_id", "_digest"]
+        numbers = common.written(named.select(order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+        rows = common.written(named.join(numbers, order))
+    else:
+        rows = named.withColumn("_row", F.col("doc_id"))
+    kept = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(kept, "_row", "left_semi").select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

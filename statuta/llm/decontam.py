@@ -174,6 +174,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents that hold no benchmark item, all columns."""
-    found = contaminated(documents, benchmark, p).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(documents.columns)
+    """The documents that hold no benchmark item, all columns.
+
+    Each row is judged by its own text, whether its doc_id is null or repeated.
+    """
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5("text"))
+    rows = documents.withColumn("_row", row)
+    found = contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, p).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(documents.columns)

@@ -47,6 +47,29 @@ def test_stages_by_brute_force(spark):
     assert {r.doc_id: r.text for r in pieces.decode(last, public_tokenizers.path("piece_bpe_32k.model")).collect()} == masked
 
 
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    one, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("ab", "cd", "ef"))
+    rows = [(None, one), (None, other), (None, item), (None, None), (1, one), (2, one + " x"), (3, other), (3, item), (4, other), (5, third), (5, third + " y"), (6, None), (7, third)]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def got(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    single = common.written(stages["near duplicates"](spark, rows, SF))
+    assert single.columns == docs.columns
+    want = [(None, one), (None, other), (None, item), (None, None), (1, one), (3, other), (3, item), (6, None)]
+    fifth = [x for x in got(single) if x[0] == 5]
+    assert len(fifth) == 1 and got(single) == sorted(want + fifth, key=str)
+    want = [x for x in want + fifth if x[1] != item]
+    assert got(stages["decontamination"](spark, single, SF)) == sorted(want, key=str)
+    distinct = rows.filter("doc_id IS NULL OR doc_id IN (1, 2, 4, 6)")
+    want = [(None, one), (None, other), (None, item), (None, None), (1, one), (4, other), (6, None)]
+    assert got(stages["near duplicates"](spark, distinct, SF)) == sorted(want, key=str)
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["language id", "near duplicates", "decontamination", "personal data", "sentencepiece"]
     assert neardup.Params().percent == 85
