@@ -44,7 +44,7 @@ class Params:
 # Forms and strings that are public.
 _ALLOWED_FORMS = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
-    r"|(?:/?[a-z]+(?:[_-][a-z]+)*)+/?"  # path of lower-case words
+    r"|/?[a-z]+(?:[/_-][a-z]+)*/?"  # path of lower-case words
     r"|[A-Za-z]+(?:[_-][A-Za-z]+)*=*"  # words without a digit
     r"|[0-9=_+/-]+"  # numbers, rules
     r"|[A-Za-z_-]*(?:EXAMPLE|example|sample|dummy|placeholder|changeme)[A-Za-z0-9_-]*"

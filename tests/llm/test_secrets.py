@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import signal
 
 import pytest
 from hypothesis import given, settings
@@ -15,6 +16,28 @@ def plain(text):
     return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
 
 
+def test_long_slugs_end():
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        for slug in ("guide-to-building-applications-with-many-long-words-and-then-some-2024", "a" * 5_000 + "1", "/usr/share" * 500 + "9", "a-b_c/" * 900 + "0"):
+            secrets.all_spans(f"see {slug} there")
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet="ab/_-1", max_size=12))
+def test_paths_are_allowed_as_before(s):
+    path = re.fullmatch("(?:/?[a-z]+(?:[_-][a-z]+)*)+/?", s)
+    assert bool(path) == bool(re.fullmatch("/?[a-z]+(?:[/_-][a-z]+)*/?", s))
+    assert not path or secrets.allowed(s, 0, len(s))
+
+
 PARTS = ["token", "Password", "api_key", "APIKEY", "ſecret", "=", ": ", '"', "abcdef0123456789", "AKIA", "AKIAZZ12", "QWE9", " ", "x", "é", "deadbeef" * 4]
 
 
