@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under the one the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in tests on one machine, a temporary
-    folder of this machine takes its place for the session.
+    Where that setting is missing, a local session (tests on one machine) gets a
+    temporary folder for it; on a cluster, whose executors wouldn't see one, it's an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="statuta-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/statuta-{uuid.uuid4().hex}"
@@ -36,7 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` once everything that reads them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +72,24 @@ def runs(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+class Covered:
+    """The union of spans, asked by bisection whether another span overlaps it."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self._start: list[int] = []
+        self._end: list[int] = []
+        for s, e in sorted(spans):
+            if self._end and s <= self._end[-1]:
+                self._end[-1] = max(self._end[-1], e)
+            else:
+                self._start.append(s)
+                self._end.append(e)
+
+    def touches(self, start: int, end: int) -> bool:
+        at = bisect_left(self._start, end) - 1
+        return at >= 0 and self._end[at] > start
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32 of the id's text modulo 4 is 2: rows that no model may learn from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
