@@ -120,7 +120,7 @@ def _sets(hasher: WordHasher, column: pa.Array, width: int) -> Iterator[np.ndarr
 
 
 def star_pairs(reps: DataFrame) -> DataFrame:
-    """(a = hub, b = member) over all index entries of (rep, entries), each pair once.
+    """(a = hub, b = member) over all index entries of (rep, entries), each pair once, as a written table.
 
     An entry's hub is its most central member: the one whose entries hold the most
     documents in all, then the least id.  Of copies with private edits that is the
@@ -131,7 +131,9 @@ def star_pairs(reps: DataFrame) -> DataFrame:
     shared = common.written(entries.join(held.hint("merge"), "entry"))
     weight = shared.groupBy("b").agg(F.sum("n").alias("weight"))
     hubs = shared.join(weight.hint("merge"), "b").groupBy("entry").agg((-F.max(F.struct("weight", (-F.col("b")).alias("b")))["b"]).alias("a"))
-    return shared.join(hubs.hint("merge"), "entry").filter("a <> b").select("a", "b").distinct()
+    pairs = common.written(shared.join(hubs.hint("merge"), "entry").filter("a <> b").select("a", "b").distinct())
+    common.discard(shared)
+    return pairs
 
 
 def named_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -243,7 +245,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = common.written(small.filter("u <> v").distinct())
+        old, edges = edges, common.written(small.filter("u <> v").distinct())
+        common.discard(old)
         before, state = state, _state(edges)
         if state == before:
             break
@@ -266,20 +269,22 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("entries", "doc_id").alias("entries"))
     reps = common.written(reps)
 
-    pairs = common.written(star_pairs(reps))
+    pairs = star_pairs(reps)
     texts = named_texts(pairs, docs)
-    stars = common.written(confirmed(pairs, texts, p))
-    parts = common.written(components(stars.filter("linked")))
+    found = common.written(confirmed(pairs, texts, p))
+    common.discard(pairs)
+    parts = common.written(components(found.filter("linked")))
 
     label = parts.select(F.col("node").alias("b"), "component")
-    stars = common.written(stars.join(label.hint("merge"), "b", "left").select("a", "b", "linked", F.coalesce("component", "b").alias("part")))
+    stars = common.written(found.join(label.hint("merge"), "b", "left").select("a", "b", "linked", F.coalesce("component", "b").alias("part")))
     open_hubs = stars.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("a")
-    keys = difference_keys(stars.join(open_hubs, "a", "left_semi"), texts, p)
-    rest = difference_pairs(common.written(keys), p).join(stars, ["a", "b"], "left_anti")
-    rest = common.written(rest)
+    keys = common.written(difference_keys(stars.join(open_hubs, "a", "left_semi"), texts, p))
+    rest = common.written(difference_pairs(keys, p).join(stars, ["a", "b"], "left_anti"))
+    common.discard(found, keys)
     more = confirmed(rest, texts, p).filter("linked").select("a", "b")
 
-    parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    first, parts = parts, components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    common.discard(first, stars, texts, rest)
     reps = reps.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     grouped = signs.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
