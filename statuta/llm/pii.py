@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
@@ -53,11 +54,17 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _in_a_byte(digits: str) -> bool:
+    """At most 255; leading zeros, however many, don't count."""
+    own = digits.lstrip("0")
+    return len(own) < 3 or (len(own) == 3 and own <= "255")
+
+
 def base_spans(text: str) -> list[Span]:
     """The base spans by start, then kind."""
     out = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_in_a_byte, m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -84,20 +91,34 @@ _FOLDED = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKE, *_INVISIBLE])) +
 _UNIT = r"(?:[0-9]|" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + r")"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,.-]{{1,2}})?{_UNIT}(?:[\s,-]{{1,2}}(?:(?:dot|point|punkt|punto)[\s,-]{{1,2}})?{_UNIT}){{3,}}(?!\w)", re.I)
 _DIGIT_WORD = re.compile("|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)), re.I)
-_IN_AT = r"[\[({<]\s?(?:at|@|arroba|ät|chez)\s?[\])}>]"
-_IN_DOT = r"[\[({<]\s?(?:dot|\.|punkt|punto|point)\s?[\])}>]"
-_AT = rf"(?:\s?{_IN_AT}\s?)"
-_DOT = rf"(?:\s?{_IN_DOT}\s?)"
-_BARE_DOT = r"(?:\s(?:dot|punkt|punto|point)\s)"
-_NAME = r"[A-Za-z0-9_%+-]+"
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?:{_NAME}(?:\.|{_DOT}|{_BARE_DOT})){{0,3}}{_NAME}"
-    rf"(?:{_AT}(?:[A-Za-z0-9-]+(?:\.|{_DOT}|{_BARE_DOT}))+|\s?@\s?(?:[A-Za-z0-9-]+(?:\.|{_DOT}|{_BARE_DOT}))+|\s(?:at|arroba)\s(?:[A-Za-z0-9-]+(?:{_DOT}|{_BARE_DOT}))+)[A-Za-z]{{2,}}",
-    re.I,
-)
-_DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|{_BARE_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_AT_ANY = re.compile(rf"{_AT}|\s?@\s?|\s(?:at|arroba)\s", re.I)
-_DOT_ANY = re.compile(rf"{_DOT}|{_BARE_DOT}", re.I)
+# The words that stand for @ and a full stop.
+_AT_WORDS, _BARE_AT_WORDS, _DOT_WORDS = ("at", "arroba", "ät", "chez"), ("at", "arroba"), ("dot", "punkt", "punto", "point")
+_OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+def _turned(words: tuple[str, ...]) -> str:
+    return _any_of(tuple(w[::-1] for w in words))
+
+
+_IN_AT = _OPEN + _any_of((*_AT_WORDS, "@")) + _CLOSE
+_IN_DOT = _OPEN + _any_of((*_DOT_WORDS, r"\.")) + _CLOSE
+_BARE_DOT = rf"\s{_any_of(_DOT_WORDS)}\s"
+_DOT = rf"(?:\s?{_IN_DOT}\s?|{_BARE_DOT})"
+_AT_ANY = re.compile(rf"(?P<boxed>\s?{_IN_AT}\s?|\s?@\s?)|(?P<bare>\s{_any_of(_BARE_AT_WORDS)}\s)", re.I)
+_DOT_ANY = re.compile(_DOT, re.I)
+#: What follows the at: labels parted by any dot; after a bare at, by disguised dots alone.
+_HOST = {
+    "boxed": re.compile(rf"(?:[A-Za-z0-9-]+(?:\.|{_DOT}))+[A-Za-z]{{2,}}", re.I),
+    "bare": re.compile(rf"(?:[A-Za-z0-9-]+{_DOT})+[A-Za-z]{{2,}}", re.I),
+}
+#: What stands before the at, read backwards on the reversed text: as many names as there are.
+_NAME = r"[A-Za-z0-9_%+-]++"
+_OWNER = re.compile(rf"{_NAME}(?:(?:\.|\s?[\])}}>]\s?(?:{_turned(_DOT_WORDS)}|\.)\s?[\[({{<]\s?|\s{_turned(_DOT_WORDS)}\s){_NAME})*+", re.I)
+_DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
 
 class Mapped:
@@ -123,14 +144,27 @@ def fold_lookalikes(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), _LOOKALIKE.get(x[0], "")) for x in _FOLDED.finditer(m.text)])
 
 
+def disguised_addresses(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, start of the at, end of the at, end) of what has an address's shape, left to right without overlaps.
+
+    From each at, the host is read forwards and the owner backwards, so names of any number of parts cost linear time.
+    """
+    turned, last = text[::-1], 0
+    for at in _AT_ANY.finditer(text):
+        host = _HOST[at.lastgroup].match(text, at.end())
+        owner = _OWNER.match(turned, len(text) - at.start()) if host else None
+        if owner and len(text) - owner.end() >= last:
+            last = host.end()
+            yield len(text) - owner.end(), at.start(), at.end(), last
+
+
 def spell_out_addresses(m: Mapped) -> None:
     """In what has the shape of an address with a disguise, at and dot become @ and a full stop."""
     edits = []
-    for x in _ADDRESS.finditer(m.text):
-        at = next(_AT_ANY.finditer(m.text, x.start(), x.end()), None)
-        if at:
-            parts = [(at.start(), at.end(), "@")] + [(d.start(), d.end(), ".") for lo, hi in ((x.start(), at.start()), (at.end(), x.end())) for d in _DOT_ANY.finditer(m.text, lo, hi)]
-            edits += sorted(parts)
+    for start, at, after, end in disguised_addresses(m.text):
+        edits += [(d.start(), d.end(), ".") for d in _DOT_ANY.finditer(m.text, start, at)]
+        edits.append((at, after, "@"))
+        edits += [(d.start(), d.end(), ".") for d in _DOT_ANY.finditer(m.text, after, end)]
     m.rewrite(edits)
     m.rewrite([(d.start(), d.end(), ".") for x in _DOTTED_IP.finditer(m.text) for d in _DOT_ANY.finditer(m.text, x.start(), x.end())])
 
@@ -153,7 +187,6 @@ _CASELESS = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
 #: A spelled number of four digits has one of these, whatever its language (all else is at most one digit word).
 _TELLING = tuple(w for w in _DIGIT_WORDS if len(w) > 3 or w in ("one", "two", "six", "oh", "zwo", "dos", "uno", "un"))
 _AT_APART = re.compile(rf"{_IN_AT}|\s@|@\s", re.I)
-_DOT_APART = re.compile(rf"{_IN_DOT}|{_BARE_DOT}", re.I)
 
 
 def _lower(text: str) -> str:
@@ -171,7 +204,7 @@ def _disguised(text: str) -> bool:
         return True
     if _AT_APART.search(text):
         return True
-    if _DOT_APART.search(text) and (_AT_ANY.search(text) or _DIGIT.search(text)):
+    if _DOT_ANY.search(text) and (_AT_ANY.search(text) or _DIGIT.search(text)):
         return True
     low = _lower(text)
     return any(w in low for w in _TELLING) and _SPELLED.search(text) is not None
@@ -191,11 +224,9 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     spell_out_digits(m)
     if m.text == text:
         return base, base
-    added = []
-    for kind, a, b in base_spans(m.text):
-        s, e = m.start[a], m.end[b - 1]
-        if not any(k == kind and s < y and x < e for k, x, y in base):
-            added.append((kind, s, e))
+    taken = {kind: common.Covered([(s, e) for k, s, e in base if k == kind]) for kind in KINDS}
+    found = [(kind, m.start[a], m.end[b - 1]) for kind, a, b in base_spans(m.text)]
+    added = [(kind, s, e) for kind, s, e in found if not taken[kind].touches(s, e)]
     return base, sorted({*base, *added}, key=lambda x: (x[1], _ORDER[x[0]], x[2]))
 
 
