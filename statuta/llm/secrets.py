@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 Span = tuple[str, int, int]
 KINDS = ("assign", "access", "hex")
 _ORDER = {k: i for i, k in enumerate((*KINDS, "entropy"))}
@@ -106,11 +108,11 @@ def allowed(text: str, start: int, end: int) -> bool:
 def all_spans(text: str, p: Params = Params()) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans); an added span touches no base span."""
     base = base_spans(text)
-    added = []
+    added, taken = [], common.Covered([(s, e) for _, s, e in base])
     for m in _CANDIDATE.finditer(text):
         start, end = m.start(), m.end()
         bound = needed(m[0], p)
-        if bound is None or any(s < end and start < e for _, s, e in base) or allowed(text, start, end):
+        if bound is None or taken.touches(start, end) or allowed(text, start, end):
             continue
         if any(h > bound for h in window_entropies(m[0].rstrip("="), p.window)):
             added.append(("entropy", start, end))

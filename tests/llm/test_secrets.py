@@ -63,6 +63,52 @@ def test_added_and_allowed():
         assert not [s for s in secrets.all_spans(text)[1] if s[0] == "entropy"], text
 
 
+def needs(s, p):
+    """The bound of a candidate, from the words of the specification."""
+    if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
+        return math.inf
+    if re.fullmatch("[0-9a-f]*", s) or re.fullmatch("[0-9A-F]*", s):
+        return p.hexadecimal
+    return p.alphanumeric if re.fullmatch("[A-Za-z0-9]*", s) else p.base64
+
+
+def entropies(s, width):
+    w = min(width, len(s))
+    return [-sum(c / w * math.log2(c / w) for c in collections.Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1)] if w else []
+
+
+SNIPPETS = ["wJalrXUtnFEMI/K7MDENG", "bPxRfiCYz9", "0123456789", "abcdefghij", "commit ", "sha256=", "deadbeef00", "77AC", " ", "=", "_", "/usr/share", "EXAMPLE", "q8Z", "é", "token=", "123e4567-e89b-12d3-a456-426614174000"]
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(SNIPPETS), max_size=10).map("".join))
+def test_added_spans_equal_brute_force(text):
+    p = secrets.Params()
+    base, spans = secrets.all_spans(text)
+    want = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        s = m[0]
+        if len(s) < 20 or any(set(range(x, y)) & set(range(m.start(), m.end())) for _, x, y in base):
+            continue
+        public = (
+            re.fullmatch("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", s)
+            or re.fullmatch("/?[a-z]+([/_-][a-z]+)*/?", s)
+            or re.fullmatch("[A-Za-z]+([_-][A-Za-z]+)*=*", s)
+            or re.fullmatch("[0-9=_+/-]+", s)
+            or re.fullmatch("[A-Za-z_-]*(EXAMPLE|example|sample|dummy|placeholder|changeme)[A-Za-z0-9_-]*", s)
+            or any(a[i : i + 10] in s for a in secrets._ALPHABETS for i in range(0, len(a) - 9, 4))
+            or re.search(r"(sha-?(1|256|384|512)|md5|commit|checksum|digest|integrity|etag)[\s:=\"'(-]*$", text[max(0, m.start() - 24) : m.start()], re.I)
+        )
+        if not public and any(h > needs(s, p) for h in entropies(s.rstrip("="), p.window)):
+            want.append(("entropy", m.start(), m.end()))
+    assert sorted(set(spans) - set(base)) == sorted(want)
+
+
+def test_many_candidates_take_linear_time():
+    base, spans = secrets.all_spans("token=abcdefgh1 x8KqZr5TnWc2LmYp7VbD " * 20_000)
+    assert len(base) == 20_000 and len(spans) == 40_000
+
+
 def test_frame(spark):
     rows = [(1, "token=abcdefgh1"), (1, "token=abcdefgh1"), (2, None), (3, ""), (None, "A" * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans")
