@@ -1,11 +1,12 @@
-"""WARC records in ZIP archives: writing, and reading by byte ranges.
-
-A task packs its pages into archives of bounded size.  An archive is a ZIP file
-with two stored members: the WARC file, and an index that gives each record's
-offset and length in it.  The reader finds the end record, follows the ZIP64
-locator where there is one, parses the central directory, and from a stored
-member's local header knows where its bytes lie; it then reads the index and each
-record by range.  Nothing is extracted.
+"""WARC records in ZIP archives: writing files, and reading them by byte ranges.
+
+A task streams its pages into ZIP files of the shared store.  Such an archive has two
+stored members: the WARC file, and an index that gives each record's offset and length in
+it.  The reader works in two steps.  The first opens each file, finds the end record,
+follows the ZIP64 locator where there is one, parses the central directory, learns from
+a member's local header where its bytes lie, and reads the index (or, without one, walks
+the records' heads); it gives ranges of whole records.  The second, dealt by ranges, reads
+the records by position.  Nothing is extracted and no file is read whole.
 """
 
 from __future__ import annotations
@@ -16,18 +17,23 @@ import io
 import json
 import re
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.jsonl"
+#: A range that one step of reading takes holds about so many bytes.
+RANGE_BYTES = 8 << 20
 
 
 class Ranges(Protocol):
@@ -49,15 +55,21 @@ class Blob:
 
 
 class OpenFile:
-    """Ranges of an open binary file that can seek, of any file system."""
+    """Ranges of an open file of any store."""
 
-    def __init__(self, file: io.BufferedIOBase) -> None:
-        self._file = file
-        self.size = file.seek(0, io.SEEK_END)
+    def __init__(self, file: pa.NativeFile) -> None:
+        self._file, self.size = file, file.size()
 
     def read(self, offset: int, length: int) -> bytes:
-        self._file.seek(offset)
-        return self._file.read(length)
+        return self._file.read_at(length, offset)
+
+
+@contextmanager
+def opened(path: str) -> Iterator[OpenFile]:
+    """A file by its URI, in a store that both Spark and pyarrow know (local, HDFS, object stores)."""
+    store, own = fs.FileSystem.from_uri(path)
+    with store.open_input_file(own) as file:
+        yield OpenFile(file)
 
 
 @dataclass(frozen=True)
@@ -181,29 +193,79 @@ def parse(data: bytes) -> dict:
     }
 
 
-def pack(records: list[bytes]) -> bytes:
-    """A ZIP archive of the records and their index, both stored."""
-    out, at, lines = io.BytesIO(), 0, []
-    for r in records:
-        lines.append(json.dumps({"offset": at, "length": len(r)}))
-        at += len(r)
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-        z.writestr(zipfile.ZipInfo(WARC_MEMBER), b"".join(records))
-        z.writestr(zipfile.ZipInfo(INDEX_MEMBER), "\n".join(lines))
-    return out.getvalue()
+class Packer:
+    """Writes one archive to a stream that needs no seeking, record by record."""
 
+    def __init__(self, stream) -> None:
+        self._zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True)
+        self._data = self._zip.open(zipfile.ZipInfo(WARC_MEMBER), "w", force_zip64=True)
+        self._lines: list[str] = []
+        self.size = 0
 
-def records_of(source: Ranges) -> Iterator[bytes]:
-    """Every record that the archive's index names, by range."""
+    def add(self, one: bytes) -> None:
+        self._lines.append(json.dumps({"filename": WARC_MEMBER, "offset": self.size, "length": len(one)}))
+        self._data.write(one)
+        self.size += len(one)
+
+    def close(self) -> None:
+        self._data.close()
+        self._zip.writestr(zipfile.ZipInfo(INDEX_MEMBER), "\n".join(self._lines))
+        self._zip.close()
+
+
+def _indexed(source: Ranges, members: dict[str, Member]) -> dict[str, list[tuple[int, int]]]:
+    """By data member: (offset, length) of its records, as the archive's indexes have them.
+
+    A line names its data member by path or by last part; with one data member it needn't.
+    """
+    data = [n for n in members if n.endswith(".warc")]
+    by_name = {n.rpartition("/")[2]: n for n in data} | {n: n for n in data}
+    out: dict[str, list[tuple[int, int]]] = {}
+    for index in members.values():
+        if index.name.endswith(".jsonl"):
+            for line in source.read(data_start(source, index), index.size).splitlines():
+                entry = json.loads(line)
+                if isinstance(entry, dict) and "offset" in entry and "length" in entry:
+                    name = by_name.get(entry.get("filename", data[0] if len(data) == 1 else None))
+                    if name:
+                        out.setdefault(name, []).append((int(entry["offset"]), int(entry["length"])))
+    return out
+
+
+def _walked(source: Ranges, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of a data member, from their heads alone."""
+    at = 0
+    while at < size:
+        head, want = b"", 4096
+        while b"\r\n\r\n" not in head and len(head) < size - at:
+            head = source.read(start + at, min(want, size - at))
+            want *= 2
+        fields, found, _ = head.partition(b"\r\n\r\n")
+        if not found:
+            raise BadArchive("a record's head doesn't end")
+        length = len(fields) + 4 + int(_headers(fields)["content-length"]) + 4
+        yield at, length
+        at += length
+
+
+def record_ranges(source: Ranges) -> Iterator[tuple[int, int]]:
+    """(position in the archive, length) of every record of every .warc member."""
     members = directory(source)
-    index, data = members[INDEX_MEMBER], members[WARC_MEMBER]
-    start = data_start(source, data)
-    for line in source.read(data_start(source, index), index.size).splitlines():
-        entry = json.loads(line)
-        yield source.read(start + entry["offset"], entry["length"])
+    indexed = _indexed(source, members)
+    for data in members.values():
+        if data.name.endswith(".warc"):
+            start = data_start(source, data)
+            for offset, length in indexed.get(data.name) or _walked(source, start, data.size):
+                yield start + offset, length
+
+
+def records_of(source: Ranges) -> Iterator[bytes]:
+    """Every record, by range."""
+    for offset, length in record_ranges(source):
+        yield source.read(offset, length)
 
 
-def deduplicated(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = 200_000) -> DataFrame:
+def deduplicated(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = 200_000, spread: int = 64) -> DataFrame:
     """page_id, url, payload (UTF-8 bytes, null html empty), refers_to: for payloads of
     at least ``least_bytes`` that occur more than once, the least page_id (null for it)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
@@ -211,41 +273,84 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = 2
     # counts from the hashes alone; the payloads only move if very many of them repeat
     copies = rows.filter(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "n", "first")
     copies = common.written(copies)
-    side = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
     refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    return rows.join(side, ["sha", "n"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    if copies.count() <= broadcast_rows:
+        found = rows.join(F.broadcast(copies), ["sha", "n"], "left")
+    else:  # one payload, such as the empty one, may be that of very many pages: it is spread
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)))
+        found = rows.join(copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<long>"))), ["sha", "n", "salt"], "left")
+    return found.select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20, least_bytes: int = 0) -> DataFrame:
-    """(content binary): ZIP archives of about ``archive_bytes``, a record per row of pages.
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20, least_bytes: int = 0) -> DataFrame:
+    """(path string, length long) of the ZIP files written under ``folder``, a URI of the
+    shared store: each of about ``archive_bytes``, a record per row of pages.
 
-    The rows are written to the shared folder by Spark's committed writer, so a
-    lost task leaves no half archive.
+    A file's name is new for each attempt of a task, and the list of files is a table that
+    Spark commits: of a lost or repeated attempt a file may stay, but no list names it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, payload, refers = (batch.column(k)[i].as_py() for k in range(4))
-                held.append(record(page_id, url, payload, base64.b32encode(hashlib.sha1(payload).digest()).decode(), refers))
-                size += len(held[-1])
-                if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(held)], type=pa.binary())], names=["content"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(held)], type=pa.binary())], names=["content"])
-
-    return common.written(deduplicated(pages, least_bytes).mapInArrow(run, "content binary"))
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        paths, packer, stream = [], None, None
+        try:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if packer is None:
+                        name = f"pages-{uuid.uuid4().hex}.zip"
+                        stream = store.open_output_stream(f"{root}/{name}")
+                        packer = Packer(stream)
+                        paths.append(f"{folder}/{name}")
+                    page_id, url, payload, refers = (batch.column(k)[i].as_py() for k in range(4))
+                    packer.add(record(page_id, url, payload, base64.b32encode(hashlib.sha1(payload).digest()).decode(), refers))
+                    if packer.size >= archive_bytes:
+                        packer.close()
+                        stream.close()
+                        packer = None
+            if packer is not None:
+                packer.close()
+        finally:
+            if stream is not None:
+                stream.close()
+        sizes = [store.get_file_info(f"{root}/{x.rpartition('/')[2]}").size for x in paths]
+        yield pa.RecordBatch.from_arrays([pa.array(paths, type=pa.string()), pa.array(sizes, type=pa.int64())], names=["path", "length"])
+
+    return common.written(deduplicated(pages, least_bytes).mapInArrow(run, "path string, length long"))
 
 
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def archive_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, offsets array, lengths array): neighbouring records of (path) archives, about ``range_bytes`` a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+        def row(path: str, held: list[tuple[int, int]]) -> pa.RecordBatch:
+            values = ([path], [[o for o, _ in held]], [[n for _, n in held]])
+            return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(values, kinds, strict=True)], names=["path", "offsets", "lengths"])
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                held: list[tuple[int, int]] = []
+                with opened(path) as source:
+                    for one in record_ranges(source):
+                        held.append(one)
+                        if one[0] + one[1] - held[0][0] >= range_bytes:
+                            yield row(path, held)
+                            held = []
+                if held:
+                    yield row(path, held)
+
+    return archives.select("path").filter("path IS NOT NULL").mapInArrow(run, "path string, offsets array<long>, lengths array<long>")
+
+
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of (content binary) archives, such as ``spark.read.format("binaryFile")`` gives.
+    """The records of the archives that a table of paths (path string) names.
 
-    Without ``payloads`` that column is null.  A null content is no archive; one
+    Without ``payloads`` that column is null.  A null path is no archive; a file
     that can't be parsed fails the query rather than losing records.
     """
 
@@ -253,19 +358,21 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         names = [c.split()[0] for c in _READ.split(", ")]
         for batch in batches:
-            for content in batch.column(0):
-                if content.is_valid:
-                    rows = [parse(r) for r in records_of(Blob(content.as_py()))]
-                    if not payloads:
-                        rows = [r | {"payload": None} for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=k) for n, k in zip(names, kinds, strict=True)], names=names)
+            for path, offsets, lengths in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with opened(path) as source:
+                    rows = [parse(source.read(at, n)) for at, n in zip(offsets, lengths, strict=True)]
+                if not payloads:
+                    rows = [r | {"payload": None} for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return archives.select("content").mapInArrow(run, _READ)
+    ranges = archive_ranges(archives).repartition(F.col("path"), F.get("offsets", F.lit(0)))
+    return ranges.mapInArrow(run, _READ)
 
 
-def read_zip_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ZIP archives under a path, of any store Spark reads."""
-    return read_archives(spark.read.format("binaryFile").load(path))
+def read_zip_files(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
+    """The records of all ZIP archives under a path: Spark lists the files, never their contents, and
+    tasks read them by range.  The store must be one that pyarrow knows too."""
+    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -277,4 +384,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     theirs is the least; a page with a null page_id is a response.  An empty
     table gives no rows; more columns are ignored.
     """
-    return read_archives(write_archives(pages), payloads=False).drop("payload", "url")
+    return read_archives(write_archives(pages, common.shared_dir(pages.sparkSession)), payloads=False).drop("payload", "url")
