@@ -1,18 +1,22 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Word acceptors (insult, threat, target, negation, reported speech) turn a clause
-into a string of marks; small transducers run over it and their composition
-weighs it: an insult or threat counts more when it is aimed at a target, little
-when it is negated and less when it is reported.  The document's score is a
-logistic function of its clauses' weights, not of isolated words.
-
-Only the insult acceptor and the logistic weights are learned.  The acceptor is a
-trie over words and word stems that labelled rows tie to the label (stems stand
-for inflected forms in languages with endings); the other acceptors are fixed.
+A lexicon transducer reads each word of a clause as a symbol (insult, threat, target,
+negation, reported speech, quotation mark, other).  Three transducers over these symbols
+change what an insult or threat is worth: less in the reach of a negation, less when it is
+reported or quoted, more when a target stands in its clause.  They are composed into one
+machine; a clause weighs what its best path sums up to.  A document's features are those of
+its matched clauses: the sum of their weights, the heaviest, and the weight a clause of the
+document bears on average.  No word counts by itself.
+
+Only the lexicon's insults and the logistic weights are learned; the latter are never
+negative, so that a clause that weighs less never makes a document more toxic.  An insult is
+a word or word stem (for languages with endings) that labelled rows tie to the label, and
+its value the log odds of that tie.  The other word classes are fixed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,20 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .grammar import Lexicon, Transducer, compose
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n\"“”„«»]")
 _CLAUSE_END = frozenset(".!?;:\n")
-_QUOTE = frozenset('"“”„«»')
 
 # Closed word classes in the four languages of the corpus, and seeds.
-_THREAT = frozenset("kill hurt murder shoot stab burn destroy beat punish töten schlagen umbringen vernichten tuer frapper détruire tuerai matar golpear destruir mataré".split())
-_TARGET = frozenset("you your you're yourself they them he she him her u du dich dir dein deine euch ihr sie tu toi te vous votre ton ta tú usted ustedes vosotros ti".split())
-_NEGATION = frozenset("not no never neither nor isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun ne no nunca jamás ni".split())
-_REPORT = frozenset("said says say called calls claimed claims quoted reported wrote tells told according sagte sagt nannte behauptet schrieb dit disait appelle écrit dijo dice llamó escribió".split())
-_SEED_INSULTS = frozenset("idiot moron stupid loser scum trash".split())
+_QUOTE = '"“”„«»'
+_THREAT = "kill hurt murder shoot stab burn destroy beat punish töten schlagen umbringen vernichten tuer frapper détruire tuerai matar golpear destruir mataré".split()
+_TARGET = "you your you're yourself they them he she him her u du dich dir dein deine euch ihr sie tu toi te vous votre ton ta tú usted ustedes vosotros ti".split()
+_NEGATION = "not no never neither nor isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun ne nunca jamás ni".split()
+_REPORT = "said says say called calls claimed claims quoted reported wrote tells told according sagte sagt nannte behauptet schrieb dit disait appelle écrit dijo dice llamó escribió".split()
+_SEED_INSULTS = "idiot moron stupid loser scum trash".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
-FEATURES = 8
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = "other", "insult", "threat", "target", "negation", "report", "quote"
+SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE)
+WEIGHED = (INSULT, THREAT)
+FEATURES = 3
 
 
 @dataclass(frozen=True)
@@ -46,136 +53,169 @@ class Params:
     stems: tuple[int, ...] = (4, 5, 6, 7)
     #: An insult stem or word occurs in at least so many toxic rows, this share of all rows that have it.
     support: int = 5
-    precision: float = 0.9
-    #: Bound on learned stems (the model's size); the best supported ones are taken.
-    most_stems: int = 20_000
+    precision: float = 0.93
+    #: What an insult or threat is worth by its place in the clause.
+    aimed: float = 1.5
+    negated: float = 0.2
+    reported: float = 0.4
+    unaimed_threat: float = 0.1
+    #: Words that a negation reaches.
+    reach: int = 3
+    #: Value of a threat word and of a seed insult.
+    fixed_value: float = 3.0
     threshold: float = 0.3
 
 
+def negation(p: Params) -> Transducer:
+    """States count the words still in reach."""
+    t = Transducer([0], set(range(p.reach + 1)))
+    for left in range(p.reach + 1):
+        for s in SYMBOLS:
+            then = p.reach if s == NEGATION else left if s == QUOTE else max(0, left - 1)
+            t.arc(left, s, s, 0.0 if s not in WEIGHED else p.negated if left else 1.0, then)
+    return t
+
+
+def reported(p: Params) -> Transducer:
+    """States are (after a verb of speech, inside quotation marks)."""
+    states = [(said, quoted) for said in (False, True) for quoted in (False, True)]
+    t = Transducer([(False, False)], set(states))
+    for said, quoted in states:
+        for s in SYMBOLS:
+            then = (said or s == REPORT, quoted != (s == QUOTE))
+            t.arc((said, quoted), s, s, p.reported if s in WEIGHED and (said or quoted) else 1.0, then)
+    return t
+
+
+def aimed(p: Params) -> Transducer:
+    """Guesses at the start whether the clause has a target: one guess ends well only with one, the other only without."""
+    t = Transducer(["aimed, not yet seen", "not aimed"], {"aimed, seen", "not aimed"})
+    for s in SYMBOLS:
+        for state in ("aimed, not yet seen", "aimed, seen"):
+            t.arc(state, s, s, p.aimed if s in WEIGHED else 1.0, "aimed, seen" if s == TARGET else state)
+        if s != TARGET:
+            t.arc("not aimed", s, s, p.unaimed_threat if s == THREAT else 1.0, "not aimed")
+    return t
+
+
+def clause_machine(p: Params) -> Transducer:
+    return compose(compose(negation(p), reported(p)), aimed(p))
+
+
 @dataclass
 class Model:
+    #: Learned insults and their values; a word by itself is led by "=", a stem isn't.
     stems: dict[str, float]
-    #: Intercept and one weight per feature.
+    #: Intercept and one weight, not negative, per feature.
     weights: np.ndarray
     params: Params
-    _marks: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False)
-
-    def mark(self, word: str) -> tuple[int, float]:
-        """The word's class and insult weight: the longest accepted stem counts."""
-        if word in _NEGATION:
-            return NEGATION, 0.0
-        if word in _TARGET:
-            return TARGET, 0.0
-        if word in _REPORT:
-            return REPORT, 0.0
-        if word in _THREAT:
-            return THREAT, 1.0
-        for n in (0, *sorted(self.params.stems, reverse=True)):
-            w = self.stems.get("=" + word) if n == 0 else self.stems.get(word[:n]) if len(word) >= n else None
-            if w is not None:
-                return INSULT, w
-        return (INSULT, 1.0) if word in _SEED_INSULTS else (OTHER, 0.0)
-
-    def marks(self, words: list[str]) -> None:
-        """Fills the memory of word classes; beyond 400,000 words it starts anew."""
-        new = set(words).difference(self._marks)
-        if len(self._marks) + len(new) > 400_000:
-            self._marks.clear()
+    machine: Transducer = field(init=False, repr=False)
+    lexicon: Lexicon = field(init=False, repr=False)
+    _symbols: dict[str, tuple[str, float]] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self) -> None:
+        self.machine, self.lexicon = clause_machine(self.params), Lexicon(OTHER)
+        for forms, symbol in ((_QUOTE, QUOTE), (_NEGATION, NEGATION), (_TARGET, TARGET), (_REPORT, REPORT)):
+            self.lexicon.add(forms, symbol)
+        self.lexicon.add(_THREAT, THREAT, self.params.fixed_value)
+        for form, value in self.stems.items():
+            self.lexicon.add([form.removeprefix("=")], INSULT, value, stem=not form.startswith("="))
+        self.lexicon.add(_SEED_INSULTS, INSULT, self.params.fixed_value)
+
+    def symbols(self, words: list[str]) -> list[tuple[str, float]]:
+        """What the words are read as.  Words are remembered; beyond 400,000 the memory starts anew."""
+        new = set(words).difference(self._symbols)
+        if len(self._symbols) + len(new) > 400_000:
+            self._symbols.clear()
             new = set(words)
         for w in new:
-            self._marks[w] = self.mark(w)
+            self._symbols[w] = self.lexicon.read(w)
+        return [self._symbols[w] for w in words]
 
 
 def word_keys(words: set[str], p: Params) -> set[str]:
-    """What may become a stem: each word itself (marked) and its prefixes."""
+    """What may become an insult: each word itself (marked) and its prefixes."""
     return {"=" + w for w in words} | {w[:n] for w in words for n in p.stems if len(w) >= n}
 
 
-def clause_weights(marks: list[tuple[int, float]], quoted: bool) -> tuple[float, float, float, float]:
-    """(aimed, plain, negated, reported) weight of one clause.
+def clause_weights(text: str, model: Model) -> tuple[list[float], int]:
+    """The weights of the matched clauses of a whole text, and the number of its clauses.
 
-    Negation reaches the next three words; reported speech the rest of the
-    clause; a target anywhere in the clause makes its insults and threats aimed,
-    and a threat without one counts with the reported ones.
+    A quotation goes on in the next clause, but ends with its line.
     """
-    aimed = any(m == TARGET for m, _ in marks)
-    reach, reported, out = 0, quoted, [0.0, 0.0, 0.0, 0.0]
-    for mark, weight in marks:
-        if mark == NEGATION:
-            reach = 4
-        elif mark == REPORT:
-            reported = True
-        elif mark in (INSULT, THREAT):
-            weak = reported or (mark == THREAT and not aimed)
-            out[2 if reach else 3 if weak else 0 if aimed else 1] += weight
-        reach = max(0, reach - 1)
-    return out[0], out[1], out[2], out[3]
+    tokens = _TOKEN.findall(text.lower())
+    symbols = model.symbols(tokens)
+    if not any(s in WEIGHED for s, _ in symbols):
+        return [], 0
+    out, n, clause = [], 0, []
+    for token, symbol in zip([*tokens, "\n"], [*symbols, (OTHER, 0.0)], strict=True):
+        if token in _CLAUSE_END:
+            n += bool(clause)
+            if any(s in WEIGHED for s, _ in clause):
+                out.append(model.machine.best(clause) or 0.0)
+            quoted = sum(s == QUOTE for s, _ in clause) % 2 == 1 and token != "\n"
+            clause = [(QUOTE, 0.0)] if quoted else []
+        else:
+            clause.append(symbol)
+    return out, n
 
 
 def features(text: str, model: Model) -> np.ndarray:
-    """Of a whole text: summed and greatest clause weights, and how dense they are."""
-    out = np.zeros(FEATURES)
-    tokens = _TOKEN.findall(text.lower())
-    model.marks(tokens)
-    marks = [model._marks[t] for t in tokens]
-    if not any(m in (INSULT, THREAT) for m, _ in marks):
-        return out
-    sums, most, clause, quoted, hits = np.zeros(4), 0.0, [], False, 0
-    for token, mark in zip([*tokens, "."], [*marks, (OTHER, 0.0)], strict=True):
-        if token in _QUOTE:
-            quoted = not quoted
-        elif token in _CLAUSE_END:
-            if any(m in (INSULT, THREAT) for m, _ in clause):
-                w = clause_weights(clause, quoted)
-                sums += w
-                most = max(most, sum(w))
-                hits += 1
-            clause = []
-        else:
-            clause.append(mark)
-    insults = sum(m == INSULT for m, _ in marks)
-    out[:4] = np.log1p(sums)
-    out[4], out[5] = most, np.log1p(hits)
-    out[6], out[7] = float(insults > 0), np.log1p(1000 * insults / len(tokens))
-    return out
+    """Of a whole text's matched clauses: summed weight, heaviest, weight per clause of the text (logs)."""
+    weights, n = clause_weights(text, model)
+    total = sum(weights)
+    return np.log1p([total, max(weights, default=0.0), 20 * total / max(1, n)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the intercept is the first weight."""
-    a = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(a.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gain = a.T @ (y - p) - ridge * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), gain)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+    """Ridge logistic regression by Newton steps, intercept first; a feature whose weight
+    would be negative is left out and the rest fitted anew."""
+    own = list(range(x.shape[1]))
+    while True:
+        a = np.hstack([np.ones((len(x), 1)), x[:, own]])
+        w = np.zeros(a.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
+        if not own or w[1:].min() >= 0:
+            out = np.zeros(1 + x.shape[1])
+            out[[0, *(1 + i for i in own)]] = w
+            return out
+        own.pop(int(np.argmin(w[1:])))
 
 
 def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """Learns from labelled rows that are not held out.
 
-    The rows are a sample of about ``rows`` drawn by a hash of the id.  Stem counts
-    are summed in Spark; the driver gets the stems that pass and, per sampled row,
-    a handful of features.
+    The rows are a sample of about ``rows`` ids drawn by a hash; an id that any label calls
+    toxic is toxic, and of several texts of one id the least counts.  Word counts are summed
+    in Spark; the driver gets the insults that pass and, per sampled id, three features.
     """
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out("doc_id")).select("doc_id", (F.col("toxic") > 0).cast("double").alias("toxic"))
-    size = known.count()
-    share = min(1.0, p.rows / max(1, size))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["doc_id"])
-    rows = common.written(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known) if size * share <= 4 * p.rows else known, "doc_id"))
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out("doc_id"))
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("toxic"))
+    share = min(1.0, p.rows / max(1, known.count()))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = common.written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = list(word_keys({t for t in _TOKEN.findall(text.lower()) if t[0].isalpha()}, p))
-                yield pa.RecordBatch.from_arrays([pa.array(own, type=pa.string()), pa.array([toxic] * len(own), type=pa.float64())], names=["stem", "toxic"])
-
-    counts = rows.select("text", "toxic").mapInArrow(keys, "stem string, toxic double").groupBy("stem").agg(F.sum("toxic").alias("yes"), F.count("*").alias("n"))
-    passed = counts.filter((F.col("yes") >= p.support) & (F.col("yes") >= p.precision * F.col("n"))).orderBy(F.desc("yes"), "stem").limit(p.most_stems)
-    stems = {r["stem"]: 1.0 for r in passed.collect()}
+            forms, toxic = [], []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = word_keys({t for t in _TOKEN.findall(text.lower()) if t[0].isalpha()}, p)
+                forms += own
+                toxic += [label] * len(own)
+                if len(forms) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(forms, type=pa.string()), pa.array(toxic, type=pa.float64())], names=["form", "toxic"])
+                    forms, toxic = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(forms, type=pa.string()), pa.array(toxic, type=pa.float64())], names=["form", "toxic"])
+
+    counts = rows.select("text", "toxic").mapInArrow(keys, "form string, toxic double").groupBy("form").agg(F.sum("toxic").alias("yes"), F.count("*").alias("n"))
+    passed = counts.filter((F.col("yes") >= p.support) & (F.col("yes") >= p.precision * F.col("n")))
+    stems = {r["form"]: math.log((r["yes"] + 0.5) / (r["n"] - r["yes"] + 0.5)) for r in passed.collect()}
     model = Model(stems, np.r_[-3.0, np.zeros(FEATURES)], p)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -187,6 +227,7 @@ def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     seen = rows.select("text", "toxic").mapInArrow(measure, "toxic double, x array<double>").collect()
     if seen:
         model.weights = _logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen]))
+    common.discard(rows)
     return model
 
 
