@@ -1,8 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams per language in Spark; the log-probability matrix
-(buckets x languages, a size fixed by parameters) is broadcast, and workers score
-documents as sparse bucket counts times that matrix.
+(buckets x languages: it grows with the label set, never with the rows) is broadcast.
+Workers lay the texts of a batch end to end; their n-grams' buckets, with the document
+each belongs to, are a sparse matrix of counts whose product with the log-probability
+matrix gives the scores of the whole batch.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 
 
 @dataclass(frozen=True)
@@ -35,22 +37,31 @@ class Model:
     languages: list[str]
     #: buckets x languages; empty when nothing could be learned.
     log_prob: np.ndarray
+    #: Logs of the languages' shares of the rows learned from (before they are sampled).
     prior: np.ndarray
     params: Params
 
 
-def bucket_counts(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse n-gram counts of a whole text: the buckets that occur and how often."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    total = np.zeros(p.buckets, dtype=np.int64)
+def has_letter(text: str) -> bool:
+    return _PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
+def sparse_counts(texts: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every n-gram of whole texts; an entry that occurs twice counts twice."""
+    low = [t.lower() for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
+    rows, buckets = [], []
     for n in p.orders:
-        if len(points) >= n:
-            h = np.full(len(points) - n + 1, n, dtype=np.uint64)
+        end = len(points) - n + 1
+        if end > 0:
+            h = np.full(end, n, dtype=np.uint64)
             for k in range(n):
-                h = (h ^ points[k : len(points) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            total += np.bincount((h >> np.uint64(40)).astype(np.int64) & (p.buckets - 1), minlength=p.buckets)
-    found = np.flatnonzero(total)
-    return found, total[found]
+                h = (h ^ points[k : end + k]) * np.uint64(0x9E3779B97F4A7C15)
+            inside = row[:end] == row[n - 1 :]
+            rows.append(row[:end][inside])
+            buckets.append(((h >> np.uint64(40)).astype(np.int64) & (p.buckets - 1))[inside])
+    return (np.concatenate(rows), np.concatenate(buckets)) if rows else (np.empty(0, np.int32), np.empty(0, np.int64))
 
 
 def fit(documents: DataFrame, p: Params = Params()) -> Model:
@@ -58,7 +69,7 @@ def fit(documents: DataFrame, p: Params = Params()) -> Model:
 
     The rows are a sample bounded by ``rows_per_language`` in expectation, drawn
     by a hash of the id.  Counts are summed in Spark; the driver receives at most
-    buckets x languages sums.
+    buckets x languages sums.  The prior is learned from all such rows.
     """
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out("doc_id")).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -71,9 +82,8 @@ def fit(documents: DataFrame, p: Params = Params()) -> Model:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = sums.setdefault(lang, np.zeros(p.buckets, dtype=np.int64))
-                at, n = bucket_counts(text, p)
-                own[at] += n
+                own = np.bincount(sparse_counts([text], p)[1], minlength=p.buckets)
+                sums[lang] = sums[lang] + own if lang in sums else own
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), type=pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "bucket", "n"])
@@ -83,21 +93,21 @@ def fit(documents: DataFrame, p: Params = Params()) -> Model:
     matrix = np.full((p.buckets, len(languages)), p.smoothing)
     place = {lang: i for i, lang in enumerate(languages)}
     matrix[counted["bucket"].to_numpy(dtype=np.int64), counted["lang"].map(place).to_numpy(dtype=np.int64)] += counted["n"].to_numpy(dtype=np.float64)
-    return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.full(len(languages), -np.log(len(languages))), p)
+    return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.log(np.array([sizes[x] for x in languages]) / sum(sizes.values())), p)
 
 
 def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and posterior probability; ``und`` and 0 without a letter or a model."""
-    langs, scores = [], np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        if text is None or not model.languages or _LETTER.search(text) is None:
-            langs.append("und")
-            continue
-        at, n = bucket_counts(text, model.params)
-        like = model.prior + n @ model.log_prob[at]
-        best = int(np.argmax(like))
-        langs.append(model.languages[best])
-        scores[i] = 1 / np.exp(np.minimum(like - like[best], 0)).sum()
+    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    asked = [i for i, t in enumerate(texts) if t is not None and model.languages and has_letter(t)]
+    for lo, hi in common.runs([texts[i] for i in asked], 1 << 20):
+        own = asked[lo:hi]
+        row, bucket = sparse_counts([texts[i] for i in own], model.params)
+        like = np.stack([np.bincount(row, weights=column[bucket], minlength=len(own)) for column in model.log_prob.T], axis=1) + model.prior
+        best = np.argmax(like, axis=1)
+        scores[own] = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, k in zip(own, best.tolist(), strict=True):
+            langs[i] = model.languages[k]
     return langs, scores
 
 

@@ -1,3 +1,7 @@
+import collections
+import math
+import zlib
+
 import numpy as np
 from statuta.llm import langid
 
@@ -12,13 +16,49 @@ def test_held_out_accuracy(spark):
     assert got.score.between(0, 1).all() and len(got) == 1000
 
 
+def gram_buckets(text, p):
+    """The buckets of a text's n-grams, one by one."""
+    low, out = [ord(c) for c in text.lower()], []
+    for n in p.orders:
+        for i in range(len(low) - n + 1):
+            h = n
+            for c in low[i : i + n]:
+                h = (h ^ c) * 0x9E3779B97F4A7C15 % (1 << 64)
+            out.append((h >> 40) % p.buckets)
+    return out
+
+
 def test_counts_equal_a_plain_loop():
     p = langid.Params(buckets=1 << 10)
-    text = "Straße Ñandú é — ab"
-    at, n = langid.bucket_counts(text, p)
-    assert n.sum() == sum(max(0, len(text.lower()) - k + 1) for k in p.orders)
-    assert langid.bucket_counts("", p)[0].size == 0
-    assert np.array_equal(langid.bucket_counts("AB" * 9, p)[1], langid.bucket_counts("ab" * 9, p)[1])
+    texts = ["Straße Ñandú é — ab", "", "x", "İx", "ab" * 9]
+    row, bucket = langid.sparse_counts(texts, p)
+    for i, t in enumerate(texts):
+        assert sorted(bucket[row == i].tolist()) == sorted(gram_buckets(t, p))
+
+
+def test_table_equals_naive_bayes_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    p, rows = langid.Params(buckets=1 << 9), docs.collect()
+    model = langid.fit(docs, p)
+    counts, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts[r.lang].update(gram_buckets(r.text, p))
+            n_docs[r.lang] += 1
+    want = {}
+    for r in rows:
+        grams = collections.Counter(gram_buckets(r.text, p))
+        like = {x: math.log(n_docs[x] / sum(n_docs.values())) + sum(n * math.log((c[g] + p.smoothing) / (c.total() + p.smoothing * p.buckets)) for g, n in grams.items()) for x, c in counts.items()}
+        best = max(sorted(like), key=like.get)
+        want[r.doc_id] = (best, 1 / sum(math.exp(v - like[best]) for v in like.values()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i][1] - s) < 1e-6 for i, (_, s) in want.items())
+
+
+def test_numerals_are_no_letters():
+    m = langid.Model(["en", "es"], np.zeros((1 << 14, 2)), np.log([0.5, 0.5]), langid.Params())
+    assert langid.predict_texts(["½ ²", "① 12", "_", "", None, "é", "字", "a"], m)[0] == ["und"] * 5 + ["en"] * 3
 
 
 def test_edges(spark):
