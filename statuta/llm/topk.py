@@ -1,22 +1,28 @@
 """Exact top-k inner-product search by Fagin's threshold algorithm.
 
-Vectors are dealt into blocks of bounded size.  Each (candidate block, query
-block) pair is one task group: it sorts the candidates once per dimension, and
-each query walks all its lists from the end that its sign prefers.  Every object
-met is scored in full (random access).  The threshold is the score of an object
-that would stand at the current place of every list; once it is below the k-th
-score found, no unseen object can enter, ties included, and the walk stops.  The
-blocks' winners are merged by a window over k rows a block.
+Candidates are dealt once into blocks of bounded size, by a hash of their rows, and written
+with their sorted lists, one per dimension.  Queries come to the blocks in broadcast batches
+of bounded size, so that what is shuffled grows with the candidates alone.  A query walks all
+lists of a block from the end that its sign prefers.  Every object met is scored in full
+(random access).  The threshold is the score of an object that would stand at the current
+place of every list; once it is below the k-th score found, no unseen object can enter, ties
+included, and the walk stops.  A task takes the k-th score along from block to block.  The
+tasks' winners are merged by a window over k rows a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OUT = "query_id long, vec_id long, score long"
+from . import common
+
+_BLOCK = "ids binary, copies binary, vectors binary, lists binary, dims int"
+_OUT = "query_id long, vec_id long, score long, copies long"
 
 
 def quantised(vector: Column, scale: float) -> Column:
@@ -35,8 +41,11 @@ def sorted_lists(vectors: np.ndarray) -> np.ndarray:
     return np.argsort(vectors.T, axis=1, kind="stable")
 
 
-def threshold_search(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, k: int, first: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores, depth reached) of one query's k best rows; rows with id ``own`` are left out."""
+def threshold_search(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, k: int, first: int = 16, floor: float = -np.inf) -> tuple[np.ndarray, int]:
+    """(places of one query's k best rows with their scores, depth reached).
+
+    Rows with id ``own`` are left out, and rows that can't reach ``floor`` may be.
+    """
     n = len(ids)
     walked = np.flatnonzero(query)
     down = query[walked] > 0
@@ -59,14 +68,14 @@ def threshold_search(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.n
             break
         last = np.where(down, lists[walked, n - depth], lists[walked, depth - 1])
         bound = (query[walked] * vectors[last, walked]).sum()
-        if np.partition(score, n - k)[n - k] > bound if k <= n else False:
+        if max(floor, np.partition(score, n - k)[n - k] if k <= n else -np.inf) > bound:
             break
         done, depth = depth, min(n, 2 * depth)
     found = np.flatnonzero(score > -np.inf)
     if len(found) > k:
         found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
     best = found[np.lexsort((ids[found], -score[found]))][:k]
-    return ids[best], score[best], depth
+    return best, score[best], depth
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -81,26 +90,40 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
-def _widest(column: pa.ChunkedArray) -> int:
-    return max((len(v) for v in column), default=0)
-
-
-def search_block(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    dims = max(1, _widest(candidates["v"]), _widest(queries["v"]))
-    v, q = _matrix(candidates["v"], dims), _matrix(queries["v"], dims)
-    most = int(np.abs(v).max(initial=0)) * int(np.abs(q).max(initial=0)) * dims
-    if most < 1 << 53:  # sums of products are exact in doubles
-        v, q = v.astype(np.float64), q.astype(np.float64)
-    ids, lists = candidates["vec_id"].to_numpy(), sorted_lists(v)
-    out: list[list[np.ndarray]] = [[], [], []]
-    for own, query in zip(queries["vec_id"].to_numpy(), q, strict=True):
-        found, score, _ = threshold_search(query, own, v, ids, lists, k)
-        for column, values in zip(out, (np.full(len(found), own), found, score.astype(np.int64)), strict=True):
-            column.append(values)
-    return pa.table([pa.array(np.concatenate(c) if c else np.empty(0), type=pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
-
-
-def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, block: int = 16_384, query_block: int = 1024) -> DataFrame:
+def pack(rows: pa.Table) -> pa.Table:
+    """A block of candidates as one row: ids, copies, vectors and sorted lists."""
+    dims = max(1, max((len(v) for v in rows["v"]), default=0))
+    v = _matrix(rows["v"], dims)
+    columns = (rows["vec_id"].to_numpy().astype(np.int64), rows["copies"].to_numpy().astype(np.int64), v, sorted_lists(v).astype(np.int32))
+    return pa.table([*(pa.array([c.tobytes()], type=pa.binary()) for c in columns), pa.array([dims], type=pa.int32())], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def search_blocks(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows (k ids of k scores, with their copies) of each query over all blocks of a task."""
+    best: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))] * len(query_ids)
+    for batch in batches:
+        for ids, copies, vectors, lists, dims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
+            v, lists = np.frombuffer(vectors, np.int64).reshape(len(ids), dims), np.frombuffer(lists, np.int32).reshape(dims, len(ids))
+            q = np.zeros((len(queries), dims), dtype=np.int64)
+            q[:, : queries.shape[1]] = queries[:, :dims]
+            most = int(np.abs(v).max(initial=0)) * int(np.abs(q).max(initial=0)) * dims
+            kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # sums of products are exact
+            v, q = v.astype(kind), q.astype(kind)
+            for i, own in enumerate(query_ids.tolist()):
+                held = best[i]
+                floor = held[1][-1] if len(held[1]) == k else -np.inf
+                at, score, _ = threshold_search(q[i], own, v, ids, lists, k, max(16, len(ids) // 64), floor)
+                both = tuple(np.concatenate(x) for x in zip(held, (ids[at], score, copies[at]), strict=True))
+                order = np.lexsort((both[0], -both[1]))[:k]
+                best[i] = tuple(x[order] for x in both)
+    if best:
+        own = np.repeat(query_ids, [len(b[0]) for b in best])
+        found, score, copies = (np.concatenate(x) for x in zip(*best, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found), pa.array(score.astype(np.int64)), pa.array(copies)], names=["query_id", "vec_id", "score", "copies"])
+
+
+def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, block: int = 8192, query_block: int = 32_768) -> DataFrame:
     """Per query its k best candidates: query_id, rank int, vec_id, score long.
 
     ``embeddings`` and ``queries`` have vec_id long and embedding array of numbers.
@@ -109,14 +132,25 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 20, scale: float =
     ending in zeros.  A repeated vec_id among the queries is one query (of its
     largest vector); candidates with the query's vec_id are left out, other
     repeated rows are candidates each.  An empty table gives no rows.
+
+    Blocks hold about ``block`` different candidates, a broadcast about ``query_block``
+    queries; each batch of queries reads the blocks anew.
     """
+    spark = embeddings.sparkSession
     good = lambda df: df.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"))
-    c, q = good(embeddings), good(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
-    n_c, n_q = c.agg(F.count("*")).first()[0], q.agg(F.count("*")).first()[0]
-    c_blocks, q_blocks = max(1, -(-n_c // block)), max(1, -(-n_q // query_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id() if salt == 1 else F.lit(2)), F.lit(n))
-    c = c.withColumn("c_block", deal(c_blocks, 1)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>")))
-    q = q.withColumn("q_block", deal(q_blocks, 2)).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<long>")))
-    found = c.groupBy("c_block", "q_block").cogroup(q.groupBy("c_block", "q_block")).applyInArrow(lambda a, b: search_block(a, b, k), _OUT)
+    c = common.written(good(embeddings).groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies")))
+    q = common.written(good(queries).groupBy("vec_id").agg(F.max("v").alias("v")))
+    n_blocks, n_batches = max(1, -(-c.count() // block)), max(1, -(-q.count() // query_block))
+    dealt = c.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)))
+    blocks = common.written(dealt.groupBy("block").applyInArrow(pack, _BLOCK))
+    common.discard(c)
+    found = spark.createDataFrame([], _OUT)
+    for i in range(n_batches):
+        batch = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_batches)) == i).toArrow()
+        if batch.num_rows:
+            shared = spark.sparkContext.broadcast((batch["vec_id"].to_numpy(), _matrix(batch["v"], max(1, max(len(v) for v in batch["v"])))))
+            found = found.union(blocks.mapInArrow(lambda rows, b=shared: search_blocks(rows, *b.value, k), _OUT))
+    common.discard(q)
+    each = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from statuta.llm import topk
@@ -16,8 +17,14 @@ def test_one_query_equals_brute_force(n, dims, k, seed):
     r = np.random.default_rng(seed)
     v, ids = r.integers(-3, 4, (n, dims)).astype(float), r.permutation(n)
     q = r.integers(-3, 4, dims).astype(float)
-    got, score, _ = topk.threshold_search(q, 0, v, ids, topk.sorted_lists(v), k, first=2)
-    assert list(zip(got.tolist(), score.astype(int).tolist())) == brute(q, 0, v, ids, k)
+    want = brute(q, 0, v, ids, k)
+    at, score, _ = topk.threshold_search(q, 0, v, ids, topk.sorted_lists(v), k, first=2)
+    assert list(zip(ids[at].tolist(), score.astype(int).tolist(), strict=True)) == want
+    if want:  # a floor loses nothing that reaches it
+        floor = want[len(want) // 2][1]
+        at, score, _ = topk.threshold_search(q, 0, v, ids, topk.sorted_lists(v), k, first=2, floor=floor)
+        got = list(zip(ids[at].tolist(), score.astype(int).tolist(), strict=True))
+        assert [x for x in got if x[1] >= floor] == [x for x in want if x[1] >= floor]
 
 
 def test_stops_early():
@@ -27,16 +34,29 @@ def test_stops_early():
     assert depth < 2500
 
 
-def test_table_equals_brute_force(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(rows, rows.filter("vec_id % 20 = 0"), block=100, query_block=7).collect()}
+@pytest.mark.parametrize(("block", "query_block"), [(100, 7), (60, 10_000)])
+def test_table_equals_brute_force(spark, block, query_block):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rows = rows.union(rows.filter("vec_id % 3 = 0")).union(rows.filter("vec_id % 9 = 0")).union(rows.filter("vec_id % 7 = 0").selectExpr("vec_id", "reverse(embedding)"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(rows, rows.filter("vec_id % 20 = 0"), block=block, query_block=query_block).collect()}
     data = rows.toPandas()
     v = np.floor(64 * np.stack(data.embedding).astype(np.float64)).astype(int)
     ids = data.vec_id.to_numpy()
-    want = {(int(i), n + 1): x for i, q in zip(ids, v) if i % 20 == 0 for n, x in enumerate(brute(q, i, v, ids, 20))}
+    queries = {}
+    for i, q in zip(ids, v, strict=True):
+        if i % 20 == 0 and tuple(q) >= tuple(queries.get(i, q)):
+            queries[i] = q
+    want = {(int(i), n + 1): x for i, q in queries.items() for n, x in enumerate(brute(q, i, v, ids, 20))}
     assert got == want
 
 
+def test_shuffle_is_that_of_the_candidates(spark):
+    """What is dealt to blocks doesn't depend on the number of query batches, and no exchange deals queries to blocks."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    plan = topk.top_k(rows, rows.filter("vec_id % 20 = 0"), block=100, query_block=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") > 1
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [-1.0, 0.0]), (None, [1.0, 1.0]), (20, [2.0]), (40, [0.0, 0.0])]
