@@ -178,7 +178,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
 
     Each row is judged by its own text, whether its doc_id is null or repeated.
     """
-    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5("text"))
-    rows = documents.withColumn("_row", row)
-    found = contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, p).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(found, "_row", "left_anti").select(documents.columns)
+    row = common.fresh(documents, "_row")
+    rows = documents.withColumn(row, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5("text")))
+    found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, p).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(found, row, "left_anti").select(documents.columns)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import fresh
 from .shingle import WordHasher, minhash, mix, set_digest, shingle_set
 
 
@@ -253,6 +254,20 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def numbered(documents: DataFrame, row: str) -> tuple[DataFrame, bool]:
+    """The rows with a number in column ``row`` for each different (doc_id, text), null without
+    an id: the doc_id itself or, if some id has several texts (then True), the place in their order."""
+    text = fresh(documents, "_digest")
+    named = documents.withColumn(text, F.coalesce(F.md5("text"), F.lit("")))
+    several = named.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low <> high")
+    if not several.take(1):
+        return documents.withColumn(row, F.col("doc_id").cast("long")), False
+    order = ["doc_id", text]
+    numbers = named.filter("doc_id IS NOT NULL").select(order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = common.written(numbers.withColumn(row, F.monotonically_increasing_id()))
+    return common.written(named.join(numbers, order, "left").drop(text)), True
+
+
 def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """Per row of ``documents`` (doc_id long, text string; more columns are ignored):
     doc_id, n_shingles long, component_id long, kept boolean.
@@ -261,9 +276,31 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     with nothing and is kept.  Exact copies are linked (their ids tie-break: the
     least stays).  Rows with a null doc_id are their own component (null) and
     kept; repeated rows (equal doc_id and text) each get a row with one result.
-    An empty table gives no rows.
+    Different texts under one doc_id are documents of their own, of which no more than
+    one in a component is kept.  An empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, several = numbered(docs, "row")
+    found = _components_of(rows.select(F.col("row").alias("doc_id"), "text"), p)
+    if not several:
+        return found
+    names = rows.filter("row IS NOT NULL").select("row", "doc_id").distinct()
+    found = found.withColumnsRenamed({"doc_id": "row", "component_id": "least"}).join(names, "row", "left")
+    least = names.select(F.col("row").alias("least"), F.col("doc_id").alias("component_id"))
+    return found.join(least, "least", "left").select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_copies(documents: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of ``documents``, all columns: of each component the document with the least
+    id (repeated rows of it all stay), and every row without an id."""
+    row = fresh(documents, "_row")
+    rows, _ = numbered(documents, row)
+    gone = _components_of(rows.select(F.col(row).alias("doc_id"), "text"), p).filter("NOT kept").select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(gone, row, "left_anti").select(documents.columns)
+
+
+def _components_of(docs: DataFrame, p: Params) -> DataFrame:
+    """``near_duplicates`` of documents whose ids name one text each."""
     signs = common.written(signed(docs, p))
     full = signs.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("entries", "doc_id").alias("entries"))
@@ -287,5 +324,5 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     common.discard(first, stars, texts, rest)
     reps = reps.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     grouped = signs.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return grouped.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

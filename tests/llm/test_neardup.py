@@ -96,3 +96,11 @@ def test_shingles_equal_plain_words():
     texts = ["", "a", "a  B\tc d e F g", "A b c d e", "x y " * 500, "ünï cödé Ä b c d"]
     sizes = [len(shingle.shingle_set(hasher.words(np.frombuffer(t.encode(), np.uint8)))) for t in texts]
     assert sizes == [len(s) for s in word_sets(enumerate(texts)).values()]
+
+
+def test_several_texts_under_one_id(spark):
+    one, two = (" ".join(f"{w}{k}" for k in range(40)) for w in ("ab", "cd"))
+    rows = [(1, one), (2, one + " x"), (2, two), (3, two), (3, two), (4, two + " y"), (None, one), (2, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 36, 1, True), (2, 37, 1, False), (2, 36, 2, True), (3, 36, 2, False), (3, 36, 2, False), (4, 37, 2, False), (None, 36, None, True), (2, 0, 2, True)]
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got))) == sorted(map(str, want))

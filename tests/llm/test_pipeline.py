@@ -70,6 +70,27 @@ def test_rows_without_an_id_or_with_a_shared_one(spark):
     assert got(stages["near duplicates"](spark, distinct, SF)) == sorted(want, key=str)
 
 
+CLASHING = ["_row", "_row_", "_digest", "row", "h", "t", "score", "lang_pred", "kept", "component_id", "ids", "item_id", "part", "n"]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    wide = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in CLASHING))
+    wide = common.written(wide.union(wide.filter("doc_id < 5")).union(wide.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", *wide.columns[2:])))
+    for name, stage in corpus_pipeline.STAGES:
+        none, some = stage(spark, wide.limit(0), SF), stage(spark, wide, SF)
+        assert none.count() == 0
+        if name == "sentencepiece":
+            assert some.count() == wide.count()
+            continue
+        assert some.columns == wide.columns and none.columns == wide.columns
+        plain = sorted(map(str, (tuple(r) for r in stage(spark, wide.select(docs.columns), SF).collect())))
+        got = some.collect()
+        assert sorted(str(tuple(r)[: len(docs.columns)]) for r in got) == plain
+        assert all(r[c] == f"{c}{r['_row'].removeprefix('_row')}" for r in got for c in CLASHING)
+        assert all(r.doc_id is None or r["_row"] == f"_row{r.doc_id}" for r in got)
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["language id", "near duplicates", "decontamination", "personal data", "sentencepiece"]
     assert neardup.Params().percent == 85
