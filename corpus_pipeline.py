@@ -1,4 +1,8 @@
-"""A corpus-cleaning pipeline over ``documents``: each stage rereads what its predecessor wrote."""
+"""A corpus-cleaning pipeline over ``documents``: each stage rereads what its predecessor wrote.
+
+Every stage takes and (but for the last) returns all columns it is given, whatever else they
+are named; an empty table goes through as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from statuta.llm import common, decontam, langid, neardup, pieces, pii
 
@@ -17,40 +20,32 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; one without a letter, or torn between languages, goes."""
+    """Keeps documents whose language is told; one without a letter (null and empty texts
+    too), or torn between languages, goes.  Rows are judged by their text alone."""
     return langid.keep_told(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the least id, of each group of near copies.
 
-    Rows without an id are nobody's copy and stay.  Different texts under one id are
-    documents of their own; then rows are numbered in the order of their ids.
+    Rows without an id are nobody's copy and stay, as do empty texts.  Different texts under
+    one id are documents of their own; repeated rows stay or go together.
     """
-    named = docs.filter("doc_id IS NOT NULL").withColumn("_digest", F.coalesce(F.md5("text"), F.lit("")))
-    several = named.groupBy("doc_id").agg(F.min("_digest").alias("low"), F.max("_digest").alias("high")).filter("low <> high")
-    if several.take(1):
-        order = ["doc_id", "_digest"]
-        numbers = common.written(named.select(order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
-        rows = common.written(named.join(numbers, order))
-    else:
-        rows = named.withColumn("_row", F.col("doc_id"))
-    kept = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    return neardup.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; each row is judged by its own text, null and empty ones stay."""
     return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts; n_chars follows the text, all documents stay."""
+    """Masks personal data in the texts; n_chars follows the text, all rows stay, null texts as they are."""
     return pii.masked(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as piece ids, with the N-best scores."""
+    """The documents as piece ids, with the N-best scores; a row for each row, nulls for a null text."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -67,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.discard(before)
+        before = docs
     return docs
