@@ -23,5 +23,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    return 1 - cosine(a, b)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))

@@ -4,35 +4,49 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .search import DIGITS, ranked, small
+from .search import DIGITS, held, ranked
 
 
 class CellIndex:
-    """Every vector with its cell; centres come from a bounded sample, all rows are indexed."""
+    """Every vector with its cell; centres come from a bounded sample, all rows are indexed.
+
+    ``save`` writes the vectors in a folder a cell, and a loaded index reads the folders of
+    the cells that a batch of queries probes (partition pruning by the join on cell).
+    """
 
     def __init__(self, corpus: DataFrame, cells: int = 100, sample_rows: int = 50_000, seed: int = 1) -> None:
         rows = corpus.filter("embedding IS NOT NULL").select("id", "embedding")
         n = rows.count()
         share = min(1.0, sample_rows / max(1, n))
         sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).select(array_to_vector("embedding").alias("features"))
-        self.cells = max(1, min(cells, n))
-        model = KMeans(k=self.cells, seed=seed, maxIter=10).fit(sample)
+        model = KMeans(k=max(1, min(cells, n)), seed=seed, maxIter=10).fit(sample)
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         self.centres = corpus.sparkSession.createDataFrame(centres, "cell long, centre array<double>")
         self.rows = model.transform(rows.withColumn("features", array_to_vector("embedding"))).select("id", "embedding", F.col("prediction").cast("long").alias("cell"))
 
     def save(self, path: str) -> None:
-        """Partitioned by cell, so that a search reads only the cells it probes."""
-        self.rows.write.mode("overwrite").partitionBy("cell").parquet(path)
+        self.centres.write.parquet(f"{path}/centres")
+        self.rows.repartition("cell").write.partitionBy("cell").parquet(f"{path}/rows")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        out = cls.__new__(cls)
+        out.centres = spark.read.parquet(f"{path}/centres")
+        out.rows = spark.read.parquet(f"{path}/rows").withColumn("cell", F.col("cell").cast("long"))
+        return out
 
     def search(self, queries: DataFrame, k: int, probe: int) -> DataFrame:
-        """(qid, id, similarity, rank) from each query's ``probe`` nearest cells; exact if it probes all."""
-        q = queries.select("qid", "qvec")
+        """(qid, id, similarity, rank) from each query's ``probe`` nearest cells; exact if it probes all.
+
+        Rows meet a cell's queries as one array, so a row is not repeated before it is scored.
+        """
+        q, few = held(queries.select("qid", "qvec"))
         near = q.crossJoin(F.broadcast(self.centres)).withColumn("d", vectors.squared_distance(F.col("centre"), F.col("qvec")))
-        near = near.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("d", DIGITS), "cell"))).filter(F.col("n") <= probe).select("qid", "qvec", "cell")
-        hits = self.rows.join(small(near), "cell").select("qid", "id", vectors.cosine(F.col("embedding"), F.col("qvec")).alias("similarity"))
-        return ranked(hits, "similarity", k)
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("d", DIGITS), "cell"))).filter(F.col("n") <= probe).select("qid", "cell")
+        asked = near.groupBy("cell").agg(F.collect_list("qid").alias("qids"))
+        hits = self.rows.join(F.broadcast(asked) if few else asked, "cell").select("id", "embedding", F.explode("qids").alias("qid")).join(F.broadcast(q) if few else q, "qid")
+        return ranked(hits.select("qid", "id", vectors.cosine(F.col("embedding"), F.col("qvec")).alias("similarity")), "similarity", k)

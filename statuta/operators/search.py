@@ -1,27 +1,49 @@
 """Search arms, fusion and re-ranking over batches of queries.
 
-Query batches are small tables of (qid long, query string [, qvec]); they are
-broadcast behind a size check, and contents and vectors stay out of every stage
-that ranks.
+Query batches are small tables of (qid long, query string [, qvec]).  A batch within a
+checked bound is held as a local table and broadcast; a larger one is worked off in parts
+of that bound where no key joins it.  Contents and vectors stay out of every stage that
+ranks, and contents are fetched for what is left of each query's candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import text
 
-#: Up to so many queries are broadcast; beyond that Spark chooses.
+#: Up to so many queries are held and broadcast at once.
 BROADCAST_QUERIES = 10_000
 DIGITS = 9
 
 
-def small(queries: DataFrame) -> DataFrame:
-    """The batch, marked for broadcast if its size allows (the count stops just above the bound)."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+def held(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """The batch as a local table, and True, if its size allows (one job looks just above the bound)."""
+    rows = queries.limit(BROADCAST_QUERIES + 1).toArrow()
+    if rows.num_rows > BROADCAST_QUERIES:
+        return queries, False
+    return F.broadcast(queries.sparkSession.createDataFrame(rows, queries.schema)), True
+
+
+def in_parts(queries: DataFrame) -> list[DataFrame]:
+    """The batch in held parts, dealt by a hash of qid; one part if it's within the bound."""
+    whole, fits = held(queries)
+    if fits:
+        return [whole]
+    n = 2 * (queries.count() // BROADCAST_QUERIES + 1)
+    return [part for i in range(n) for part in in_parts(queries.filter(F.pmod(F.xxhash64("qid", F.lit(n)), F.lit(n)) == i))]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:
@@ -42,7 +64,8 @@ def ranked(rows: DataFrame, score: str, k: int, rank: str = "rank", descending:
 
 def keyword_hits(corpus: DataFrame, queries: DataFrame, factor: float = 1.0) -> DataFrame:
     """(qid, id, score) of documents that contain a query's text literally."""
-    joined = corpus.select("id", "content").join(small(valid_queries(queries)), F.contains("content", "query"))
+    found = lambda q: corpus.select("id", "content").join(q, F.contains("content", "query"))
+    joined = _union([found(q) for q in in_parts(valid_queries(queries).select("qid", "query"))])
     return joined.select("qid", "id", (text.occurrences(F.col("content"), F.col("query")) * factor).alias("score"))
 
 
@@ -50,41 +73,141 @@ def keyword_search(corpus: DataFrame, queries: DataFrame, k: int = 100, factor:
     return ranked(keyword_hits(corpus, queries, factor), "score", k)
 
 
+def _rows_by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length, those with a null or non-finite component left out."""
+    column = column.cast(pa.list_(pa.float64()))
+    sizes = np.diff(column.offsets.to_numpy())
+    sizes[~column.is_valid().to_numpy(zero_copy_only=False)] = 0
+    flat, starts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[:-1]
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        rows = flat[starts[at][:, None] + np.arange(n)]
+        good = np.isfinite(rows).all(axis=1)
+        if good.any():
+            yield at[good], rows[good]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], queries: pa.Table, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """The k best of each query among a task's rows (id, embedding), as (qid, id, similarity)."""
+    qids, wanted = queries["qid"].to_numpy(), list(_rows_by_length(queries["qvec"].combine_chunks()))
+    best = {i: (np.empty(0), np.empty(0, dtype=object)) for i in range(len(qids))}
+    for batch in batches:
+        ids = np.array(batch.column(0).to_pylist(), dtype=object)
+        for at, rows in _rows_by_length(batch.column(1)):
+            for q_at, q in wanted:
+                if q.shape[1] != rows.shape[1]:
+                    continue
+                for lo in range(0, len(q_at), 256):
+                    part = q[lo : lo + 256]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        if metric == "cosine":
+                            value = part @ rows.T / (np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(rows, axis=1))
+                        else:
+                            value = 1 - ((part**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1) - 2 * part @ rows.T)
+                    value[~np.isfinite(value)] = -np.inf  # a zero vector has no cosine
+                    order = np.round(value, DIGITS)
+                    bound = np.partition(order, max(0, len(rows) - k), axis=1)[:, max(0, len(rows) - k)]
+                    for i, row, keep in zip(q_at[lo : lo + 256].tolist(), value, (order >= bound[:, None]) & (order > -np.inf), strict=True):
+                        some = np.flatnonzero(keep)
+                        scores, names = np.concatenate([best[i][0], row[some]]), np.concatenate([best[i][1], ids[at[some]]])
+                        chosen = sorted(range(len(scores)), key=lambda j: (-round(scores[j], DIGITS), names[j]))[:k] if len(scores) > k else slice(None)
+                        best[i] = scores[chosen], names[chosen]
+    own = np.repeat(qids, [len(best[i][0]) for i in range(len(qids))])
+    values = np.concatenate([best[i][0] for i in range(len(qids))]) if best else np.empty(0)
+    names = np.concatenate([best[i][1] for i in range(len(qids))]) if best else np.empty(0, dtype=object)
+    yield pa.RecordBatch.from_arrays([pa.array(own, type=pa.int64()), pa.array(names.tolist(), type=pa.string()), pa.array(values, type=pa.float64())], names=["qid", "id", "similarity"])
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """(qid, id, similarity, rank): exact search; null vectors take no part."""
-    rows = corpus.filter("embedding IS NOT NULL").select("id", "embedding").crossJoin(small(queries.select("qid", "qvec")))
-    if metric == "cosine":
-        value = vectors.cosine(F.col("embedding"), F.col("qvec"))
-    else:
-        value = 1 - vectors.squared_distance(F.col("embedding"), F.col("qvec"))
-    return ranked(rows.select("qid", "id", value.alias("similarity")), "similarity", k)
+    """(qid, id, similarity, rank): exact search over (id, embedding).
+
+    Each task multiplies its vectors with the broadcast queries' and keeps k a query, so
+    only those are shuffled.  Null vectors, such with a null or non-finite component, of
+    another length than the query's, or (for cosine) of norm zero take no part.
+    """
+    rows = corpus.filter("embedding IS NOT NULL").select(F.col("id").cast("string").alias("id"), "embedding")
+    found = []
+    for part in in_parts(queries.select("qid", "qvec")):
+        shared = rows.sparkSession.sparkContext.broadcast(part.toArrow())
+        found.append(rows.mapInArrow(lambda batches, q=shared: _nearest(batches, q.value, k, metric), "qid long, id string, similarity double"))
+    return ranked(_union(found), "similarity", k)
 
 
 class Bm25Index:
-    """Postings, document lengths and term statistics; corpus statistics hold for the whole corpus."""
+    """Term statistics of a whole corpus (id, content) for many batches of queries.
+
+    Without ``save`` the index is the table of terms alone, persisted; a batch's words are
+    then counted in the texts.  A saved index also has the postings, dealt into folders by
+    a hash of the term, of which a batch reads those of its own terms.
+    """
+
+    FOLDERS = 64
 
     def __init__(self, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> None:
-        words = corpus.select("id", text.tokens(F.col("content")).alias("words"))
-        self.k1, self.b = k1, b
-        self.postings = words.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-        self.stats = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-        raw = self.postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))
-        raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        self.k1, self.b, self.epsilon = k1, b, epsilon
+        self._words = corpus.select("id", F.coalesce(text.tokens(F.col("content")), F.array().cast("array<string>")).alias("words"))
+        self._postings: DataFrame | None = None
+        # One pass: each document counts once under each of its terms and once, with its length, under null.
+        seen = self._words.select(F.size("words").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("term"))
+        self._table = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")).persist()
+
+    @property
+    def facts(self) -> DataFrame:
+        """One row: n, avgdl."""
+        return self._table.filter("term IS NULL").select(F.col("df").alias("n"), F.try_divide(F.col("length").cast("double"), F.col("df")).alias("avgdl"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df, n, avgdl, idf); a negative idf is replaced by epsilon times the mean over all terms."""
+        raw = self._table.filter("term IS NOT NULL").crossJoin(F.broadcast(self.facts)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw").alias("mean"))
-        idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
-        self.terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", "n", "avgdl", idf.alias("idf"))
-
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(qid, id, score): every query token counts, repeats too."""
-        q = valid_queries(queries).select("qid", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-        terms = self.terms.join(small(q), "term")
-        rows = self.postings.join(F.broadcast(terms) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else terms, "term")
+        idf = F.when(F.col("raw") < 0, self.epsilon * F.col("mean")).otherwise(F.col("raw"))
+        return raw.crossJoin(F.broadcast(mean)).select("term", "df", "n", "avgdl", idf.alias("idf"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, id, tf, dl)."""
+        if self._postings is not None:
+            return self._postings
+        each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+        return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+
+    def save(self, path: str) -> None:
+        self._table.write.parquet(f"{path}/terms")
+        folder = F.pmod(F.xxhash64("term"), F.lit(self.FOLDERS)).alias("folder")
+        self.postings.select("*", folder).repartition("folder").sortWithinPartitions("term").write.partitionBy("folder").parquet(f"{path}/postings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25Index:
+        out = cls.__new__(cls)
+        out.k1, out.b, out.epsilon = k1, b, epsilon
+        out._table, out._postings = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings")
+        return out
+
+    def matches(self, queries: DataFrame) -> DataFrame:
+        """(qid, id, term, times, tf, dl, idf, avgdl): every query token counts, repeats too."""
+        queries, few = held(valid_queries(queries).select("qid", "query"))
+        mark = F.broadcast if few else (lambda df: df)
+        q = queries.select("qid", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+        wanted = self.terms.join(mark(q.select("term").distinct()), "term").select("term", "idf", "avgdl")
+        if self._postings is not None:
+            wanted = wanted.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(self.FOLDERS)))
+            rows = self._postings.join(mark(wanted), ["folder", "term"])
+        else:
+            each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).join(mark(wanted), "term")
+            rows = each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("idf").alias("idf"), F.max("avgdl").alias("avgdl"))
+        return rows.join(mark(q), "term").select("qid", "id", "term", "times", "tf", "dl", "idf", "avgdl")
+
+    def scores(self, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
+        """(qid, id, score), of the ids in ``within`` if given; statistics stay those of the whole corpus."""
+        rows = self.matches(queries)
         part = F.col("times") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        return rows.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+        found = rows.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+        return found if within is None else found.join(within.select("id"), "id", "left_semi").select("qid", "id", "score")
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
         """The k best, cut first, then without scores of zero or less."""
-        return ranked(self.scores(queries), "score", k).filter("score > 0")
+        return ranked(self.scores(queries, within), "score", k).filter("score > 0")
 
 
 def text_rank(corpus: DataFrame, queries: DataFrame) -> DataFrame:
@@ -93,20 +216,24 @@ def text_rank(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     One lexeme: 0.1 * sum of 1/j^2 over its n occurrences, over pi^2/6.  Several:
     one minus the product over pairs of positions of distinct lexemes, at most 100
     apart, of 1 - 0.1 sqrt(1 / (1.005 + 0.05 e^(d/1.5 - 2))).
+
+    The corpus is split into words once; a document's places of a query's words are then
+    one row.  No more than 100 places lie within 100 words, so each place is held against
+    the next 100.
     """
-    q = valid_queries(queries).select("qid", F.array_distinct(text.lexemes(F.col("query"))).alias("lex")).filter(F.size("lex") > 0)
-    wanted = q.select("qid", F.size("lex").alias("need"), F.explode("lex").alias("word"))
-    places = corpus.select("id", F.posexplode(text.lexemes(F.col("content"))).alias("at", "word")).join(small(wanted), "word")
-    found = places.groupBy("qid", "id").agg(F.count_distinct("word").alias("have"), F.max("need").alias("need"), F.count("*").alias("n")).filter("have = need")
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda acc, j: acc + 1.0 / (j * j))
-    single = found.filter("need = 1").select("qid", "id", (0.1 * harmonic / 1.64493406685).alias("score"))
-    several = places.join(found.filter("need > 1").select("qid", "id"), ["qid", "id"], "left_semi").withColumn("cell", F.floor(F.col("at") / 101))
-    near = several.select("qid", "id", F.col("word").alias("word2"), F.col("at").alias("at2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    pairs = several.join(near, ["qid", "id", "cell"]).filter((F.col("word") < F.col("word2")) & (F.abs(F.col("at") - F.col("at2")) <= 100))
-    w = 0.1 * F.sqrt(1 / (1.005 + 0.05 * F.exp(F.abs(F.col("at") - F.col("at2")) / 1.5 - 2)))
-    joint = pairs.groupBy("qid", "id").agg((1 - F.exp(F.sum(F.log(1 - w)))).alias("score"))
-    joint = found.filter("need > 1").select("qid", "id").join(joint, ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return single.unionByName(joint)
+    queries, few = held(valid_queries(queries).select("qid", "query"))
+    q = queries.select("qid", F.array_distinct(text.lexemes(F.col("query"))).alias("lex")).filter(F.size("lex") > 0)
+    wanted = q.select("qid", F.size("lex").alias("need"), F.posexplode("lex").alias("nth", "word"))
+    words = corpus.select("id", F.posexplode(text.lexemes(F.col("content"))).alias("at", "word"))
+    hits = words.join(F.broadcast(wanted) if few else wanted, "word")
+    found = hits.groupBy("qid", "id", "need").agg(F.sort_array(F.collect_list(F.struct("at", "nth"))).alias("places"))
+    found = found.filter(F.size(F.array_distinct(F.transform("places", lambda p: p["nth"]))) == F.col("need"))
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.size("places")), F.lit(0.0), lambda acc, j: acc + 1.0 / (j * j))
+    gain = lambda d: F.log(1 - 0.1 * F.sqrt(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))
+    near = lambda x, y: (y["nth"] != x["nth"]) & (y["at"] - x["at"] <= 100)
+    each = F.transform("places", lambda x, i: F.aggregate(F.slice("places", i + 2, F.lit(100)), F.lit(0.0), lambda acc, y: acc + F.when(near(x, y), gain(y["at"] - x["at"])).otherwise(0.0)))
+    joint = 1 - F.exp(F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v))
+    return found.select("qid", "id", F.when(F.col("need") == 1, 0.1 * harmonic / 1.64493406685).otherwise(joint).alias("score"))
 
 
 def fuse_by_sum(vector_arm: DataFrame, keyword_arm: DataFrame, k: int = 60, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
@@ -132,26 +259,63 @@ def rule_boost(query: Column, title: Column, kind: Column, definition: Column, b
     return F.when(F.coalesce(in_title, F.lit(False)), 10.0).otherwise(0.0) + by_kind + F.when(definition, 3.0).otherwise(0.0)
 
 
-def rerank(fused: DataFrame, corpus: DataFrame, queries: DataFrame, boosts: Mapping[str, float]) -> DataFrame:
-    """Adds title and final (fused plus boosts) and orders by it, then by fused, then id."""
-    payload = corpus.select("id", "title", "chunk_type", "is_definition")
-    rows = payload.join(fused, "id").join(small(queries.select("qid", "query")), "qid")
+def rerank(fused: DataFrame, corpus: DataFrame, queries: DataFrame, boosts: Mapping[str, float], flags: DataFrame | None = None) -> DataFrame:
+    """Adds the corpus's other columns and final (fused plus boosts), and orders by it, then by fused, then id.
+
+    ``fused`` holds a few candidates a query: it is broadcast to the corpus if the batch of
+    queries is within its bound, so the corpus is read once and not shuffled.  Where
+    is_definition is in a table of its own (id, is_definition), that is ``flags``.
+    """
+    queries, few = held(queries.select("qid", "query"))
+    mark = F.broadcast if few else (lambda df: df)
+    rows = corpus.join(mark(fused), "id")
+    if flags is not None:
+        own = flags.join(mark(fused.select("id").distinct()), "id")
+        rows = rows.join(own, "id", "left").withColumn("is_definition", F.coalesce("is_definition", F.lit(False)))
     final = F.col("fused") + rule_boost(F.col("query"), F.col("title"), F.col("chunk_type"), F.col("is_definition"), boosts)
     w = Window.partitionBy("qid").orderBy(F.round("final", DIGITS).desc(), F.round("fused", DIGITS).desc(), "id")
-    return rows.withColumn("final", final).withColumn("rank", F.row_number().over(w).cast("long"))
-
-
-def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int, boosts: Mapping[str, float], index: Bm25Index | None = None) -> DataFrame:
-    """Vector and BM25 arms of 2k each, fused by sum, re-ranked by rules, cut to k, contents fetched last."""
+    return rows.join(mark(queries), "qid").withColumn("final", final).withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+def hybrid_search(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int,
+    boosts: Mapping[str, float],
+    index: Bm25Index | None = None,
+    vectors: DataFrame | None = None,
+    flags: DataFrame | None = None,
+    where: Column | None = None,
+    filter_scope: str = "both",
+    cut: int | None = None,
+) -> DataFrame:
+    """Vector and BM25 arms of 2k each, fused by sum, re-ranked by rules, cut to k, contents highlighted.
+
+    The corpus has id, content, law_name, title, chunk_type, and is_definition and embedding
+    unless ``flags`` and ``vectors`` (id, embedding) hold them.  ``where`` is a condition on the
+    corpus for both arms, or (``filter_scope`` "vector") for the vector arm alone; BM25's
+    statistics are the index's in any case.  ``cut`` keeps another number than k of the
+    up to 4k candidates.
+    """
+    if filter_scope not in ("both", "vector"):
+        raise ValueError("filter_scope is 'both' or 'vector'")
+    queries, few = held(queries.select("qid", "query", "qvec"))
     index = index or Bm25Index(corpus)
-    fused = fuse_by_sum(vector_search(corpus, queries, 2 * k), index.search(queries, 2 * k))
-    best = rerank(fused, corpus, queries, boosts).filter(F.col("rank") <= k)
-    return best.join(corpus.select("id", "content", "law_name"), "id").withColumn("highlighted", text.highlight(F.col("content"), text.keywords_by_space(F.col("query"))))
+    allowed = None if where is None else corpus.filter(where)
+    if vectors is None:
+        rows = corpus if allowed is None else allowed
+    else:
+        rows = vectors if allowed is None else vectors.join(allowed.select("id"), "id", "left_semi")
+    fused = fuse_by_sum(vector_search(rows, queries, 2 * k), index.search(queries, 2 * k, allowed if filter_scope == "both" else None))
+    payload = corpus.select("id", "content", "law_name", "title", "chunk_type", *([] if flags is not None else ["is_definition"]))
+    best = rerank(fused.persist() if few else fused, payload, queries, boosts, flags).filter(F.col("rank") <= (cut or k))
+    return best.withColumn("highlighted", text.highlight(F.col("content"), text.keywords_by_space(F.col("query"))))
 
 
-def hybrid_search_sql(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def hybrid_search_sql(corpus: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None) -> DataFrame:
     """Cosine and full-text arms of 2k each, full outer join, cut to k."""
-    fused = fuse_full_outer(vector_search(corpus, queries, 2 * k), ranked(text_rank(corpus, queries), "score", 2 * k))
+    queries, _ = held(queries.select("qid", "query", "qvec"))
+    fused = fuse_full_outer(vector_search(corpus if vectors is None else vectors, queries, 2 * k), ranked(text_rank(corpus, queries), "score", 2 * k))
     return ranked(fused, "relevance", k)
 
 
@@ -163,8 +327,9 @@ def with_share(hits: DataFrame) -> DataFrame:
 
 def web_search(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """Keyword search with normalised scores, highlighted content and the response's fields."""
-    hits = with_share(keyword_search(corpus, queries, k))
-    rows = corpus.select("id", "content", "law_name", "title").join(hits, "id").join(small(queries.select("qid", "query")), "qid")
+    queries, few = held(queries.select("qid", "query"))
+    hits = with_share(keyword_search(corpus, queries, k)).join(queries, "qid")
+    rows = corpus.select("id", "content", "law_name", "title").join(F.broadcast(hits) if few else hits, "id")
     marked = text.normalized_newlines(text.highlight(F.col("content"), text.keywords_by_comma(F.col("query"))))
     return rows.select("qid", "rank", "id", "score", "share", "law_name", "title", marked.alias("body"))
 
