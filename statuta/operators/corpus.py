@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,16 @@ def law_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(vectors, "doc_id", "left").join(labels, "doc_id", "left").select(*_columns(), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_definition"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding) of the corpus."""
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, is_definition) of the rows that are definitions."""
+    return table(spark, sf_dir, "labels").filter("quality = 1").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.lit(True).alias("is_definition")).distinct()
+
+
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``law_documents`` without what other tables hold: no join."""
     return table(spark, sf_dir, "documents").select(*_columns())
@@ -48,55 +61,102 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "id") -> DataF
     return incoming.join(existing.select(key).distinct(), key, "left_anti")
 
 
+def one_each(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row of each key: the greatest by ``order``, equal ones told apart by a hash of the row,
+    so the choice doesn't depend on how rows are dealt.  An aggregate with map-side combine, no sort."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order, F.xxhash64(*rows.columns))).alias("row")
+    return rows.groupBy(key).agg(last).select("row.*")
+
+
 def append_chunks(incoming: DataFrame, path: str) -> int:
-    """Appends rows whose id isn't there yet; replaying a batch changes nothing."""
-    spark = incoming.sparkSession
+    """Appends rows whose id isn't there yet, stamped with created_at, and returns how many;
+    replaying a batch adds no row."""
+    spark, fresh = incoming.sparkSession, one_each(incoming, "id")
     try:
-        existing = spark.read.parquet(path).select("id")
-        fresh = new_only(incoming.dropDuplicates(["id"]), existing)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
+        fresh = new_only(fresh, spark.read.parquet(path).select("id"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        fresh = incoming.dropDuplicates(["id"])
     fresh = fresh.withColumn("created_at", F.current_timestamp()) if "created_at" not in fresh.columns else fresh
-    before = fresh.count()
-    if before:
+    fresh = fresh.persist()
+    n = fresh.count()
+    if n:
         fresh.write.mode("append").parquet(path)
-    return before
+    fresh.unpersist()
+    return n
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """The last version of each key: an aggregate with map-side combine, no sort."""
-    last = F.max_by(F.struct(*rows.columns), F.col(version)).alias("row")
-    return rows.groupBy(key).agg(last).select("row.*")
+    """The last version of each key; a null version is before all others."""
+    return one_each(rows, key, F.col(version))
+
 
+def newest_of_group(rows: DataFrame, group: str, version: str) -> DataFrame:
+    """The rows that have their group's newest version; what an older version had and a newer one hasn't goes."""
+    newest = rows.groupBy(F.col(group).alias("_group")).agg(F.max(version).alias("_newest"))
+    return rows.join(newest, F.col(group).eqNullSafe(F.col("_group")) & F.col(version).eqNullSafe(F.col("_newest"))).drop("_group", "_newest")
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
-    """Both tables' rows, the last version of each key."""
-    return latest(existing.unionByName(incoming), key, version)
 
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", version: str = "version", group: str | None = None) -> DataFrame:
+    """Both tables' rows, the last version of each key and, if asked for, of each group."""
+    both = existing.unionByName(incoming)
+    return latest(both if group is None else newest_of_group(both, group, version), key, version)
 
-def upsert_table(spark: SparkSession, root: str, incoming: DataFrame, key: str = "id", version: str = "version") -> str:
-    """Writes the merged table to a new folder under ``root`` and returns it; readers
-    of the old folder aren't disturbed, and a crash leaves it as it was."""
-    current = current_folder(spark, root)
-    merged = incoming if current is None else upsert(spark.read.parquet(current), incoming, key, version)
+
+def upsert_table(spark: SparkSession, root: str, incoming: DataFrame, key: str = "id", version: str = "version", group: str | None = None, parts: int = 64) -> None:
+    """Merges rows into the table under ``root``, for one writer at a time.
+
+    The table is dealt into parts by a hash of ``group`` (or ``key``).  Only parts that
+    incoming rows touch are merged and written, to a new folder; then one file with the
+    parts' new places is added to the list.  Readers go by the list's last entry for each
+    part, so a crash at any point leaves the table as it was.
+    """
+    places = _places(spark, root)
+    part = F.pmod(F.xxhash64(group or key), F.lit(places["parts"].iloc[0] if len(places) else parts))
+    touched = [r["part"] for r in incoming.select(part.alias("part")).distinct().collect()]
+    if not touched:
+        return
+    folders = places[places["part"].isin(touched) & places["folder"].notna()]["folder"].tolist()
+    merged = upsert(spark.read.schema(incoming.schema).parquet(*folders), incoming, key, version, group) if folders else upsert(incoming.limit(0), incoming, key, version, group)
     folder = f"{root}/data-{uuid.uuid4().hex}"
-    latest(merged, key, version).write.parquet(folder)
-    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
-    return folder
+    merged.withColumn("dealt", part).repartition("dealt").write.partitionBy("dealt").parquet(folder)
+    full = {r["dealt"] for r in spark.read.parquet(folder).select("dealt").distinct().collect()}
+    number = int(places["number"].max()) + 1 if len(places) else 1
+    rows = [(number, p, f"{folder}/dealt={p}" if p in full else None, int(places["parts"].iloc[0]) if len(places) else parts) for p in touched]
+    spark.createDataFrame(rows, _PLACES).coalesce(1).write.mode("append").parquet(f"{root}/places")
+
 
+_PLACES = "number long, part long, folder string, parts long"
 
-def current_folder(spark: SparkSession, root: str) -> str | None:
+
+def _places(spark: SparkSession, root: str) -> pd.DataFrame:
+    """The last entry of each part: at most as many rows as there are parts."""
     try:
-        return spark.read.parquet(f"{root}/current").first()["folder"]
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+        entries = spark.read.schema(_PLACES).parquet(f"{root}/places")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        entries = spark.createDataFrame([], _PLACES)
+    return entries.groupBy("part").agg(F.max("number").alias("number"), F.max_by("folder", "number").alias("folder"), F.max("parts").alias("parts")).toPandas()
+
+
+def current_table(spark: SparkSession, root: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """The table under ``root`` as last merged; None (or, with a schema, no rows) before that."""
+    folders = _places(spark, root)["folder"].dropna().tolist()
+    if not folders:
+        return None if schema is None else spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*sorted(folders))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder in the store that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/statuta-{uuid.uuid4().hex}"
 
 
-def reset_collection(spark: SparkSession, name: str, schema: str) -> None:
+def reset_collection(spark: SparkSession, name: str, schema: StructType | str) -> None:
+    """Deletes and recreates a table without rows."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.createDataFrame([], schema).write.mode("overwrite").saveAsTable(name)
 

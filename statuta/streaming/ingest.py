@@ -9,24 +9,37 @@ from ..operators import corpus, segment
 
 
 def chunked(laws: DataFrame) -> DataFrame:
-    """Chunks of (law_id, text, version), keyed by chunk id, the law's version kept."""
+    """Chunks of (law_id, text, version), keyed by chunk id, the law's version kept.
+
+    A law without any article gives one row of type "empty", so that its version is known
+    and takes the place of older ones.
+    """
     versions = corpus.latest(laws, "law_id", "version")
     arts = segment.articles(versions).withColumn("paragraphs", F.lit(None).cast("array<struct<number:string,content:string>>"))
-    return segment.chunks(arts).withColumnRenamed("chunk_id", "id").join(versions.select("law_id", "version"), "law_id")
+    chunks = segment.chunks(arts).withColumnRenamed("chunk_id", "id")
+    rows = versions.select("law_id", "version").join(chunks, "law_id", "left")
+    return rows.withColumn("chunk_type", F.coalesce("chunk_type", F.lit("empty"))).withColumn("id", F.coalesce("id", F.concat("law_id", F.lit("_empty"))))
 
 
-def incremental_ingest(spark: SparkSession, source: str, root: str, checkpoint: str) -> str | None:
+def incremental_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, parts: int = 64) -> DataFrame | None:
     """Takes up files that have arrived under ``source`` since the last call, and upserts
     their chunks into the table under ``root``.
 
-    The checkpoint picks up each file once; the upsert makes a replayed batch
-    harmless.  Returns the table's current folder.
+    The checkpoint picks up each file once; the upsert makes a replayed batch harmless.
+    Of each law only the newest version's chunks stay, whatever order versions arrive in,
+    and only the parts of the table that hold laws of the batch are rewritten.  Returns the
+    table's rows (see ``current_rows``).
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        if batch.take(1):
-            corpus.upsert_table(batch.sparkSession, root, chunked(batch))
+        corpus.upsert_table(batch.sparkSession, root, chunked(batch), group="law_id", parts=parts)
 
     stream = spark.readStream.schema("law_id string, text string, version long").parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return corpus.current_folder(spark, root)
+    return current_rows(spark, root)
+
+
+def current_rows(spark: SparkSession, root: str) -> DataFrame | None:
+    """The chunks under ``root``, without the marks of empty laws."""
+    rows = corpus.current_table(spark, root)
+    return None if rows is None else rows.filter("chunk_type <> 'empty'")
