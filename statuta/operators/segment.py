@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-_CUT = "\x01"
+#: A mark that no text holds: it is drawn anew for each session.
+_CUT = f"\x01{uuid.uuid4().hex}\x01"
 
 
 def page_text(pages: DataFrame, doc: str, order: str, content: str) -> DataFrame:
@@ -53,27 +57,32 @@ def paragraphs(rows: DataFrame, key: str, content: str, starts: str = f"^[{text.
     return grouped.groupBy(key, "grp").agg(joined.alias("all")).select(key, "grp", F.regexp_extract("all", lead, 1).alias("number"), F.trim(F.regexp_replace("all", lead, "")).alias("content"))
 
 
-def split_text(value: str, size: int = 512, overlap: int = 50) -> list[str]:
-    """Windows of ``size`` characters, each cut after its last full stop or newline.
+_BOUNDARY = re.compile(r"[.\n]")
+
 
-    A boundary counts only if the next window then starts later than this one;
-    otherwise the window is cut hard, so the loop always ends.
+def windows(value: str, size: int = 512, overlap: int = 50) -> Iterator[tuple[int, int]]:
+    """Bounds of the windows over a text.
+
+    The ends of all full stops and newlines are listed once.  A window ends at the last
+    of them that is within ``size`` of its start, provided that the next window, which
+    begins ``overlap`` before that end, begins later than this one; else it has full size.
     """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the window")
-    out, start = [], 0
-    while start < len(value):
-        end = start + size
-        if end < len(value):
-            cut = max(value.rfind(".", start, end), value.rfind("\n", start, end))
-            if cut + 1 - overlap > start:
-                end = cut + 1
-        if part := value[start:end].strip():
-            out.append(part)
-        if end >= len(value):
-            break
+    ends, start = [m.end() for m in _BOUNDARY.finditer(value)], 0
+    while start + size < len(value):
+        nearest = bisect_right(ends, start + size) - 1
+        end = ends[nearest] if nearest >= 0 and ends[nearest] > start + overlap else start + size
+        yield start, end
         start = end - overlap
-    return out
+    if value:
+        yield start, len(value)
+
+
+def split_text(value: str, size: int = 512, overlap: int = 50) -> list[str]:
+    """The windows' texts without white space around them; blank ones go."""
+    stripped = (value[a:b].strip() for a, b in windows(value, size, overlap))
+    return [t for t in stripped if t]
 
 
 def split_long_text(content: Column, size: int = 512, overlap: int = 50) -> Column:
@@ -159,8 +168,8 @@ def hashing_model(dim: int = 64):
     return encode
 
 
-def embed(rows: DataFrame, model=hashing_model, batch: int = 32) -> DataFrame:
-    """Adds ``embedding`` by a model function (list of texts -> list of vectors), made once
+def embed(rows: DataFrame, model=hashing_model, batch: int = 32, content: str = "content", name: str = "embedding") -> DataFrame:
+    """Adds a vector column by a model function (list of texts -> list of vectors), made once
     per worker by calling ``model()`` and given texts in batches; a null text counts as empty."""
 
     @F.pandas_udf("array<double>")
@@ -170,4 +179,9 @@ def embed(rows: DataFrame, model=hashing_model, batch: int = 32) -> DataFrame:
             texts = values.fillna("").tolist()
             yield pd.Series([list(map(float, v)) for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])])
 
-    return rows.withColumn("embedding", run(F.col("content")))
+    return rows.withColumn(name, run(F.col(content)))
+
+
+def embed_query(queries: DataFrame, model=hashing_model) -> DataFrame:
+    """A batch of queries (qid, query) with ``qvec`` by the model that embeds documents."""
+    return embed(queries, model, content="query", name="qvec")

@@ -33,6 +33,13 @@ def law_list(rows: DataFrame, column: str = "xml") -> DataFrame:
     return out.filter("law_id IS NOT NULL AND law_name IS NOT NULL")
 
 
+def of_type(headers: DataFrame, keyword: str, law_type: str | None = None, display: int = 100) -> DataFrame:
+    """Headers whose name holds the keyword, of one type if given: the first ``display`` (100 at most) by id."""
+    rows = headers.filter(F.contains("law_name", F.lit(keyword)))
+    rows = rows if law_type is None else rows.filter(F.col("law_type") == law_type)
+    return rows.orderBy("law_id").limit(min(display, 100))
+
+
 def law_details(rows: DataFrame, column: str = "xml") -> DataFrame:
     """Nested laws; what is no well-formed law document gives no row."""
     law = rows.select(F.from_xml(column, DETAIL_SCHEMA + ", _corrupt_record STRING").alias("l")).select("l.*").filter("_corrupt_record IS NULL AND `법령일련번호` IS NOT NULL")
