@@ -184,13 +184,15 @@ def spell_out_digits(m: Mapped) -> None:
 
 #: What the patterns' IGNORECASE takes for i, s and k, though lower() doesn't.
 _CASELESS = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
-#: A spelled number of four digits has one of these, whatever its language (all else is at most one digit word).
-_TELLING = tuple(w for w in _DIGIT_WORDS if len(w) > 3 or w in ("one", "two", "six", "oh", "zwo", "dos", "uno", "un"))
+_FOLDED_CASE = re.compile("[\u0130\u0131\u017f\u212a]")
+#: Of a spelled number's four or more units, the inner ones stand between white space, commas and hyphens.
+_UNITS = frozenset([*_DIGIT_WORDS, *"0123456789"])
 _AT_APART = re.compile(rf"{_IN_AT}|\s@|@\s", re.I)
+_DOT_APART = re.compile(rf"{_IN_DOT}|{_BARE_DOT}", re.I)
 
 
 def _lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_CASELESS).lower()
+    return text.lower() if text.isascii() or not _FOLDED_CASE.search(text) else text.translate(_CASELESS).lower()
 
 
 def _disguised(text: str) -> bool:
@@ -198,16 +200,16 @@ def _disguised(text: str) -> bool:
 
     Made of the transducers' own patterns: an address changes only by an "at" other
     than a plain @ or by a "dot" form, a bare "at" counts only beside such a form, and
-    a dotted number needs one too.
+    a dotted number needs one too.  Before a pattern, what it can't do without is looked for.
     """
     if not text.isascii() and _FOLDED.search(text):
         return True
-    if _AT_APART.search(text):
+    low, boxed = _lower(text), any(c in text for c in "[({<")
+    if (boxed or "@" in text) and _AT_APART.search(text):
         return True
-    if _DOT_ANY.search(text) and (_AT_ANY.search(text) or _DIGIT.search(text)):
+    if (boxed or any(w in low for w in _DOT_WORDS)) and _DOT_APART.search(text) and (_AT_ANY.search(text) or _DIGIT.search(text)):
         return True
-    low = _lower(text)
-    return any(w in low for w in _TELLING) and _SPELLED.search(text) is not None
+    return not _UNITS.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and _SPELLED.search(text) is not None
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
