@@ -88,7 +88,7 @@ def preview(content: Column, n: int) -> Column:
 
 def lexemes(text: Column) -> Column:
     """Lower-case words of letters and digits, as full-text search without stemming has them."""
-    return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def matches_all(content: Column, query: Column) -> Column:

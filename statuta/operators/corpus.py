@@ -45,7 +45,7 @@ def _columns() -> list[Column]:
         "doc_id",
         F.col("text").alias("content"),
         F.col("source").alias("law_name"),
-        F.element_at(F.split("text", "\n"), 1).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("lang").alias("chunk_type"),
     ]  # type: ignore[list-item]
 

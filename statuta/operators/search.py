@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,8 +138,9 @@ class Bm25Index:
     """Term statistics of a whole corpus (id, content) for many batches of queries.
 
     Without ``save`` the index is the table of terms alone, persisted; a batch's words are
-    then counted in the texts.  A saved index also has the postings, dealt into folders by
-    a hash of the term, of which a batch reads those of its own terms.
+    then counted in the texts.  Indexes over one plan share what is persisted: ``close`` it
+    when files have changed behind Spark's back.  A saved index also has the postings, dealt
+    into folders by a hash of the term, of which a batch reads those of its own terms.
     """
 
     FOLDERS = 64
@@ -151,6 +153,9 @@ class Bm25Index:
         seen = self._words.select(F.size("words").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("term"))
         self._table = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")).persist()
 
+    def close(self) -> None:
+        self._table.unpersist()
+
     @property
     def facts(self) -> DataFrame:
         """One row: n, avgdl."""
@@ -169,8 +174,8 @@ class Bm25Index:
         """(term, id, tf, dl)."""
         if self._postings is not None:
             return self._postings
-        each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-        return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+        each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term"))
+        return each.filter("term IS NOT NULL").groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
     def save(self, path: str) -> None:
         self._table.write.parquet(f"{path}/terms")
@@ -194,7 +199,8 @@ class Bm25Index:
             wanted = wanted.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(self.FOLDERS)))
             rows = self._postings.join(mark(wanted), ["folder", "term"])
         else:
-            each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).join(mark(wanted), "term")
+            # The outer form: the plain one infers a filter for which the texts would be split twice.
+            each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).join(mark(wanted), "term")
             rows = each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("idf").alias("idf"), F.max("avgdl").alias("avgdl"))
         return rows.join(mark(q), "term").select("qid", "id", "term", "times", "tf", "dl", "idf", "avgdl")
 
@@ -218,24 +224,43 @@ def text_rank(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     apart, of 1 - 0.1 sqrt(1 / (1.005 + 0.05 e^(d/1.5 - 2))).
 
     The corpus is split into words once; a document's places of a query's words are then
-    one row.  No more than 100 places lie within 100 words, so each place is held against
+    one row.  No more than 100 places follow within 100 words, so each place is held against
     the next 100.
     """
     queries, few = held(valid_queries(queries).select("qid", "query"))
     q = queries.select("qid", F.array_distinct(text.lexemes(F.col("query"))).alias("lex")).filter(F.size("lex") > 0)
     wanted = q.select("qid", F.size("lex").alias("need"), F.posexplode("lex").alias("nth", "word"))
-    words = corpus.select("id", F.posexplode(text.lexemes(F.col("content"))).alias("at", "word"))
+    words = corpus.select("id", F.posexplode_outer(text.lexemes(F.col("content"))).alias("at", "word"))
     hits = words.join(F.broadcast(wanted) if few else wanted, "word")
     found = hits.groupBy("qid", "id", "need").agg(F.sort_array(F.collect_list(F.struct("at", "nth"))).alias("places"))
     found = found.filter(F.size(F.array_distinct(F.transform("places", lambda p: p["nth"]))) == F.col("need"))
     harmonic = F.aggregate(F.sequence(F.lit(1), F.size("places")), F.lit(0.0), lambda acc, j: acc + 1.0 / (j * j))
-    gain = lambda d: F.log(1 - 0.1 * F.sqrt(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))
-    near = lambda x, y: (y["nth"] != x["nth"]) & (y["at"] - x["at"] <= 100)
-    each = F.transform("places", lambda x, i: F.aggregate(F.slice("places", i + 2, F.lit(100)), F.lit(0.0), lambda acc, y: acc + F.when(near(x, y), gain(y["at"] - x["at"])).otherwise(0.0)))
-    joint = 1 - F.exp(F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v))
+    joint = _proximity(F.col("places.at"), F.col("places.nth"))
     return found.select("qid", "id", F.when(F.col("need") == 1, 0.1 * harmonic / 1.64493406685).otherwise(joint).alias("score"))
 
 
+def _proximity(at: Column, nth: Column) -> Column:
+    """The score of several lexemes' places, in order (an Arrow function: of each place and
+    its next 100, by whole arrays, which higher-order functions only do one by one)."""
+
+    @F.pandas_udf("double")
+    def joint(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        part = np.log(1 - 0.1 * np.sqrt(1 / (1.005 + 0.05 * np.exp(np.arange(101) / 1.5 - 2))))
+        for places, words in batches:
+            out = np.empty(len(places))
+            for i, (a, w) in enumerate(zip(places, words, strict=True)):
+                total = 0.0
+                for k in range(1, min(101, len(a))):
+                    d = a[k:] - a[:-k]
+                    if d.min() > 100:
+                        break
+                    total += part[d[(d <= 100) & (w[k:] != w[:-k])]].sum()
+                out[i] = 1 - np.exp(total)
+            yield pd.Series(out)
+
+    return joint(at, nth)
+
+
 def fuse_by_sum(vector_arm: DataFrame, keyword_arm: DataFrame, k: int = 60, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """(qid, id, fused, vector_rank, keyword_rank): weighted reciprocal ranks; an absent arm adds nothing."""
     v = vector_arm.select("qid", "id", (weights[0] / (k + F.col("rank"))).alias("part"), F.col("rank").alias("vector_rank"), F.lit(None).cast("long").alias("keyword_rank"))
