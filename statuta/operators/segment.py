@@ -9,10 +9,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, vectors
 
 #: A mark that no text holds: it is drawn anew for each session.
 _CUT = f"\x01{uuid.uuid4().hex}\x01"
@@ -30,7 +32,8 @@ def articles(laws: DataFrame, keep: str = "first", least: int = 10, most: int =
 
     An article goes from its head to the next head, repeated ones included.  Of
     repeated numbers the first (or, by choice, the longest) stays; only then do
-    contents of ``least`` characters or fewer go, and long ones are cut.
+    contents of ``least`` characters or fewer go.  Long ones are cut before they are
+    shuffled, their length goes along.
     """
     pieces = F.split(F.regexp_replace("text", f"({text.ARTICLE_HEAD})", f"{_CUT}$1"), _CUT)
     rows = laws.select("law_id", F.posexplode(pieces).alias("at", "piece")).filter("at > 0")
@@ -42,9 +45,10 @@ def articles(laws: DataFrame, keep: str = "first", least: int = 10, most: int =
         F.trim(F.regexp_extract("piece", head, 2)).alias("title"),
         F.trim(F.regexp_replace("piece", head, ""), F.lit(" \n\r\t")).alias("content"),
     )
-    order = F.struct(-F.col("at")) if keep == "first" else F.struct(F.length("content"), -F.col("at"))
-    best = rows.groupBy("law_id", "article_number").agg(F.max_by(F.struct("title", "content", "at"), order).alias("a")).select("law_id", "article_number", "a.*")
-    return best.filter(F.length("content") > least).withColumn("content", text.truncated(F.col("content"), most))
+    rows = rows.withColumn("n", F.length("content")).withColumn("content", text.truncated(F.col("content"), most))
+    order = F.struct(-F.col("at")) if keep == "first" else F.struct("n", -F.col("at"))
+    best = rows.groupBy("law_id", "article_number").agg(F.max_by(F.struct("title", "content", "at", "n"), order).alias("a")).select("law_id", "article_number", "a.*")
+    return best.filter(F.col("n") > least).drop("n")
 
 
 def paragraphs(rows: DataFrame, key: str, content: str, starts: str = f"^[{text.CIRCLED}]", lead: str = f"^([{text.CIRCLED}])") -> DataFrame:
@@ -168,6 +172,27 @@ def hashing_model(dim: int = 64):
     return encode
 
 
+class WordVectors:
+    """An embedding model trained on the corpus (id, content): a text is the mean of its words' vectors, at unit length.
+
+    The word vectors are learned by skip-gram from a bounded sample of rows, about
+    ``sample_rows`` drawn by a hash of the id; words under ``least`` occurrences have none.
+    Null and empty texts, and such without a known word, give the zero vector.
+    """
+
+    def __init__(self, corpus: DataFrame, dim: int = 64, sample_rows: int = 20_000, least: int = 5, seed: int = 1) -> None:
+        share = min(1.0, sample_rows / max(1, corpus.count()))
+        sample = corpus.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
+        words = sample.select(F.coalesce(text.tokens(F.lower("content")), F.array().cast("array<string>")).alias("words"))
+        self.model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, maxIter=1, numPartitions=8, inputCol="words", outputCol="vector").fit(words)
+
+    def embed(self, rows: DataFrame, content: str = "content", name: str = "embedding") -> DataFrame:
+        words = rows.withColumn("words", F.coalesce(text.tokens(F.lower(content)), F.array().cast("array<string>")))
+        mean = self.model.transform(words).withColumn(name, vector_to_array("vector")).drop("words", "vector")
+        length = vectors.norm(F.col(name))
+        return mean.withColumn(name, F.when(length > 0, F.transform(name, lambda x: x / length)).otherwise(F.col(name)))
+
+
 def embed(rows: DataFrame, model=hashing_model, batch: int = 32, content: str = "content", name: str = "embedding") -> DataFrame:
     """Adds a vector column by a model function (list of texts -> list of vectors), made once
     per worker by calling ``model()`` and given texts in batches; a null text counts as empty."""
