@@ -77,7 +77,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(law_id, doc_id, n, head, text, body): texts with statute markup around them."""
     docs = table(spark, sf_dir, "documents")
-    head = F.concat(F.lit("head "), F.replace(F.replace(F.split("text", " ")[0], F.lit("("), F.lit("")), F.lit(")"), F.lit("")))
+    head = F.concat(F.lit("head "), F.replace(F.replace(F.substring_index("text", " ", 1), F.lit("("), F.lit("")), F.lit(")"), F.lit("")))
     n = F.col("doc_id") % 40 + 1
     s = lambda c: c.cast("string")
     body = F.concat(F.lit("제"), s(n), F.lit("조("), head, F.lit(") "), F.col("text"), F.lit("\n제"), s(n + 1), F.lit("조 (second) see 제"), s(n), F.lit("조제2항 and 제99조"))
@@ -560,8 +560,12 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("extract_paragraphs", SQL_PARAGRAPHS)(_paragraphs)
 query("paragraph_groups", f"WITH {SQL_LINES} SELECT doc_id, CAST(max(grp) AS BIGINT) AS n FROM g WHERE grp > 0 GROUP BY doc_id")(lambda s, d: _paragraphs(s, d).groupBy("doc_id").agg(F.max("grp").alias("n")))
-query("classify_line", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'chapter' WHEN doc_id % 6 = 1 THEN 'article' WHEN doc_id % 6 = 2 THEN 'paragraph' WHEN doc_id % 6 = 3 THEN 'item' WHEN doc_id % 6 = 4 THEN 'subitem' ELSE 'body' END AS kind FROM documents")(
-    lambda s, d: table(s, d, "documents").select("doc_id", T.line_kind(F.concat(F.element_at(F.array(*map(F.lit, ("제1장 ", "제2조 ", "③", "12. ", "가. ", ""))), (F.col("doc_id") % 6 + 1).cast("int")), F.regexp_replace("text", "^[0-9①-⑮]+", ""))).alias("kind"))
+SQL_KINDS = "CASE WHEN regexp_matches(line, '^제[0-9]+장') THEN 'chapter' WHEN regexp_matches(line, '^제[0-9]+조') THEN 'article' WHEN regexp_matches(line, '^[①-⑮]') THEN 'paragraph' WHEN regexp_matches(line, '^[0-9]+[.]') THEN 'item' WHEN regexp_matches(line, '^[가-힣][.]') THEN 'subitem' ELSE 'body' END"
+query("classify_line", f"SELECT doc_id, no, {SQL_KINDS} AS kind FROM (SELECT doc_id, no, ['제1장 ', '제2조 ', '③', '12. ', '가. ', ''][CAST((doc_id + no) % 6 + 1 AS BIGINT)] || line AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents))")(
+    lambda s, d: table(s, d, "documents")
+    .select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    .withColumn("no", long(F.col("at") + 1))
+    .select("doc_id", "no", T.line_kind(F.concat(F.element_at(F.array(*map(F.lit, ("제1장 ", "제2조 ", "③", "12. ", "가. ", ""))), ((F.col("doc_id") + F.col("no")) % 6 + 1).cast("int")), "line")).alias("kind"))
 )
 SQL_WINDOWS = """w AS (SELECT key, text, 0 AS part, 0 AS start, 0 AS stop, '' AS chunk, false AS last FROM long
  UNION ALL SELECT key, text, part + 1, CASE WHEN last THEN NULL ELSE CASE WHEN part = 0 THEN 0 ELSE stop - 50 END END, e, substr(text, s + 1, e - s), e >= length(text) FROM (
@@ -625,6 +629,9 @@ query("corpus_report", f"WITH {SQL_TEXT} SELECT law_name, count(*) AS n, round(a
 
 # --- no SQL form: tests check these against brute force or properties --------------------------
 query("embed_documents")(lambda s, d: segment.embed(text_corpus(s, d).select("id", "content")).select("id", "embedding"))
+query("embed_documents_trained")(lambda s, d: segment.WordVectors(text_corpus(s, d)).embed(text_corpus(s, d).select("id", "content")).select("id", "embedding"))
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> ann.CellIndex:
     folder = corpus.scratch_folder(spark)
     ann.CellIndex(corpus.vectors(spark, sf_dir), CELLS).save(folder)

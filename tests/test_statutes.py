@@ -322,6 +322,19 @@ def test_embedding_takes_a_model(spark):
     assert asked.qvec == want
 
 
+def test_trained_word_vectors(spark):
+    sea, hill = "ship wave sail harbour".split(), "rock peak slope ridge".split()
+    rng = random.Random(5)
+    rows = [(str(i), " ".join(rng.choice(hill if i % 2 else sea) for _ in range(30))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id string, content string")
+    model = segment.WordVectors(docs, dim=16)
+    asked = spark.createDataFrame([("a", "Ship wave"), ("b", "sail harbour"), ("c", "rock ridge"), ("d", None), ("e", "unknown"), ("f", "")], "id string, content string")
+    got = {r.id: r.embedding for r in model.embed(asked).collect()}
+    dot = lambda x, y: sum(a * b for a, b in zip(got[x], got[y], strict=True))
+    assert dot("a", "b") > 0.8 > dot("a", "c") and dot("a", "a") == pytest.approx(1)
+    assert got["d"] == got["e"] == got["f"] == [0.0] * 16
+
+
 def test_collections(spark):
     spark.range(3).write.mode("overwrite").saveAsTable("reset_me")
     corpus.reset_collection(spark, "reset_me", "id string")
