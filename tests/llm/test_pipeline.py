@@ -2,11 +2,39 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
-from statuta.llm import common, decontam, neardup, pieces, pii
+from statuta.llm import common, neardup, pieces
 
 SF = "/root/testdata/sf0.001"
 
 
+def copied(texts, items):
+    """Ids of the texts that hold 12 different windows of eight words of an item, or 30 % of all."""
+    grams = lambda t: {tuple(w[k : k + 8]) for w in [re.findall(r"[^\W_]+", t.lower().replace("ß", "ss"))] for k in range(len(w) - 7)}
+    wanted = [grams(x) for x in items]
+    return {i for i, t in texts.items() for own in [grams(t)] for item in wanted if len(own & item) >= 12 or len(own & item) >= 0.3 * len(item)}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def hidden(text):
+    """The text with what the plain patterns find replaced by its kind; the leftmost of overlapping finds counts."""
+    found = []
+    for order, (kind, pattern) in enumerate([("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+){3}"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}
+            if good[kind]:
+                found.append((m.start(), order, m.end(), kind))
+    out, last = "", 0
+    for start, _, end, kind in sorted(found):
+        if start >= last:
+            out += text[last:start] + f"[{kind}]"
+        last = max(last, end)
+    return out + text[last:]
+
+
 def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     junk = spark.createDataFrame([(9_000_001, "12 34 !!", None, "s", 8), (9_000_002, None, "en", "s", 0)], docs.schema)
@@ -38,11 +66,10 @@ def test_stages_by_brute_force(spark):
     single = {i for i in ids if find(i) == i}
     assert {r.doc_id for r in got["near duplicates"].collect()} == single
 
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    leaks = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
-    assert {r.doc_id for r in got["decontamination"].collect()} == single - leaks
+    leaks = copied(told, [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    assert leaks and {r.doc_id for r in got["decontamination"].collect()} == single - leaks
     masked = {r.doc_id: r.text for r in got["personal data"].collect()}
-    assert masked == {i: pii.redact(told[i], pii.all_spans(told[i])[1]) for i in single - leaks}
+    assert masked == {i: hidden(told[i]) for i in single - leaks} and any(masked[i] != told[i] for i in masked)
     last = got["sentencepiece"]
     assert {r.doc_id: r.text for r in pieces.decode(last, public_tokenizers.path("piece_bpe_32k.model")).collect()} == masked
 
