@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8), at
 
 
+def small(batches: Iterator[pa.RecordBatch], *places: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in slices (views, at least one row each) whose strings at ``places`` take about ``limit`` bytes.
+
+    What Arrow has freed goes back to the system at the end: workers live on between tasks.
+    """
+    for batch in batches:
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for p in places:
+            size += pc.binary_length(batch.column(p)).fill_null(0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size) - size) // limit
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
+
+
 def runs(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
     """Bounds [lo, hi) of runs of texts of about ``chars`` characters, at least one text each."""
     lo, n = 0, 0

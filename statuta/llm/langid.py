@@ -100,7 +100,7 @@ def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.
     """Language and posterior probability; ``und`` and 0 without a letter or a model."""
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
     asked = [i for i, t in enumerate(texts) if t is not None and model.languages and has_letter(t)]
-    for lo, hi in common.runs([texts[i] for i in asked], 1 << 20):
+    for lo, hi in common.runs([texts[i] for i in asked], 1 << 18):
         own = asked[lo:hi]
         row, bucket = sparse_counts([texts[i] for i in own], model.params)
         like = np.stack([np.bincount(row, weights=column[bucket], minlength=len(own)) for column in model.log_prob.T], axis=1) + model.prior
@@ -121,7 +121,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small(batches, 2):
             langs, scores = predict_texts(batch.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, type=pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -139,7 +139,7 @@ def keep_told(documents: DataFrame, model: Model, least_score: float) -> DataFra
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small(batches, place):
             langs, scores = predict_texts(batch.column(place).to_pylist(), shared.value)
             yield batch.filter(pa.array([lang != "und" and s >= least_score for lang, s in zip(langs, scores.tolist(), strict=True)], type=pa.bool_()))
 

@@ -86,7 +86,7 @@ def signed(docs: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seeds = WordHasher(), p.seeds()
         width = p.chunks * len(list(itertools.combinations(range(p.size), p.errors)))
-        for batch in batches:
+        for batch in common.small(batches, 1):
             data, at = common.text_bytes(batch.column(1))
             n = batch.num_rows
             sizes, digests = np.zeros(n, dtype=np.int64), [None] * n
@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
+        for batch in common.small(batches, 2, 3):
             linked = [
                 100 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= p.percent * (len(x) + len(y) - both)
                 for x, y in zip(_sets(hasher, batch.column(2), p.width), _sets(hasher, batch.column(3), p.width), strict=True)
@@ -184,7 +184,7 @@ def difference_keys(stars: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
+        for batch in common.small(batches, 2, 3):
             out: list[list] = [[] for _ in range(10)]
             hub, member, linked, part = (batch.column(i).to_pylist() for i in (0, 1, 4, 5))
             for i, (h, x) in enumerate(zip(_sets(hasher, batch.column(2), p.width), _sets(hasher, batch.column(3), p.width), strict=True)):

@@ -262,7 +262,7 @@ def find(documents: DataFrame, redacted: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _FOUND.split(", ")]
-        for batch in batches:
+        for batch in common.small(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = all_spans(text or "")
@@ -280,7 +280,7 @@ def masked(documents: DataFrame) -> DataFrame:
     place, schema = documents.columns.index("text"), documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small(batches, place):
             texts = [None if t is None else redact(t, all_spans(t)[1]) for t in batch.column(place).to_pylist()]
             yield batch.set_column(place, "text", pa.array(texts, type=batch.schema.field(place).type))
 
