@@ -33,13 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/statuta-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder.
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder, with a subfolder for each value of the columns ``by``.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -119,3 +119,55 @@ def held_out(doc_id: Column | str) -> Column:
     """crc32 of the id's text modulo 4 is 2: rows that no model may learn from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def whole(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) of finite doubles, for a scale that is a power of two: as doubles, or as
+    Python integers if any is beyond what a double holds exactly."""
+    with np.errstate(over="ignore"):
+        v = np.floor(x * scale)
+    if np.abs(v).max(initial=0) < 1 << 53:
+        return v
+    exact = [int(a) * int(scale) if abs(a) >= 1 << 53 else int(np.floor(a * scale)) for a in x.ravel().tolist()]
+    return np.array([*exact, None], dtype=object)[:-1].reshape(x.shape)
+
+
+def exact_kind(*factors: np.ndarray, times: int = 1) -> type:
+    """The quickest of float32, float64 and object (Python integers) in which the products of
+    rows of two matrices of whole numbers, and ``times`` such a product, are exact."""
+    most = times * max(1, *(f.shape[-1] for f in factors))
+    for f in factors:
+        most *= int(np.abs(f).max(initial=0))
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
+
+
+def in_kind(v: np.ndarray, kind: type) -> np.ndarray:
+    """Whole numbers as ``kind``; doubles become Python integers for object."""
+    return v.astype(np.int64).astype(object) if kind is object and v.dtype != object else v.astype(kind)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b as longs; a sum beyond a long's range counts as the nearest end of it."""
+    out = a @ b
+    return (np.clip(out, *LONG) if out.dtype == object else out).astype(np.int64)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> np.ndarray:
+    """Rows of a list column as a matrix of doubles; short vectors end in zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], type=column.type)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), max(1, int(sizes.max(initial=0))) if dims is None else dims))
+    out[np.repeat(np.arange(len(column)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
+def best_rows(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k highest scores (longs), ties to the smaller id, by row."""
+    order = np.lexsort((ident, ~score, row))
+    first = np.searchsorted(row[order], row[order])
+    return order[np.arange(len(order)) - first < k]
