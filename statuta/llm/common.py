@@ -166,6 +166,13 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> np.nd
     return out
 
 
+def widened(v: np.ndarray, dims: int) -> np.ndarray:
+    """The rows with zeros behind them, up to ``dims``."""
+    out = np.zeros((*v.shape[:-1], dims), dtype=v.dtype)
+    out[..., : v.shape[-1]] = v
+    return out
+
+
 def best_rows(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
     """Places of each row's k highest scores (longs), ties to the smaller id, by row."""
     order = np.lexsort((ident, ~score, row))

@@ -116,11 +116,14 @@ class Plan:
     row: np.ndarray  # of each pair, its item
     term: np.ndarray  # its term
     weight: np.ndarray
+    docs: int = _DOCS  # in a tile
+    block: int = _ITEMS
+    most: int = _WIDTH
 
     def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of items: (first, last item, their vocabulary, and of each pair row, column, weight within the block)."""
-        for lo in range(0, len(self.items), _ITEMS):
-            hi = min(lo + _ITEMS, len(self.items))
+        for lo in range(0, len(self.items), self.block):
+            hi = min(lo + self.block, len(self.items))
             own = slice(*np.searchsorted(self.row, [lo, hi]))
             vocabulary, column = np.unique(self.term[own], return_inverse=True)
             yield lo, hi, vocabulary, self.row[own] - lo, column, self.weight[own]
@@ -128,7 +131,7 @@ class Plan:
     @property
     def width(self) -> int:
         """Terms in a tile: so few that a sum of weight times impact stays below 2^53."""
-        return max(1, min(_WIDTH, ((1 << 53) - 1) // (max(1, int(self.weight.max(initial=1))) * _TOP_IMPACT)))
+        return max(1, min(self.most, ((1 << 53) - 1) // (max(1, int(self.weight.max(initial=1))) * _TOP_IMPACT)))
 
 
 def score_tiles(batches: Iterator[pa.RecordBatch], plan: Plan, k: int) -> Iterator[pa.RecordBatch]:
@@ -138,8 +141,8 @@ def score_tiles(batches: Iterator[pa.RecordBatch], plan: Plan, k: int) -> Iterat
     best = [[np.empty(0, np.int64)] * 3 for _ in blocks]  # item within the block, score, document
     floor = [np.ones(hi - lo, dtype=np.int64) for lo, hi, *_ in blocks]  # an item's k-th best score; below it nothing enters
     for whole in batches:
-        for at in range(0, whole.num_rows, _DOCS):
-            batch = whole.slice(at, _DOCS)
+        for at in range(0, whole.num_rows, plan.docs):
+            batch = whole.slice(at, plan.docs)
             ids, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             (terms, doc), (tfs, _) = _lists(batch.column(2)), _lists(batch.column(3))
             impact = impacts(n, tfs, doc, plan.n_documents, plan.n_terms)
@@ -215,7 +218,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, tile: int = 1
         item_ids, row = np.unique(known["item_id"].to_numpy(), return_inverse=True)
         weights = np.array([weight(n_documents, df.get(t, 0)) for t in range(len(vocabulary))], dtype=np.int64)
         order = np.lexsort((term, row))
-        plan = spark.sparkContext.broadcast(Plan(n_documents, n_terms, item_ids, row[order], term[order], weights[term[order]]))
+        plan = spark.sparkContext.broadcast(Plan(n_documents, n_terms, item_ids, row[order], term[order], weights[term[order]], _DOCS, _ITEMS, _WIDTH))
         found = counts.filter("doc_id IS NOT NULL AND size(terms) > 0").mapInArrow(lambda b, p=plan: score_tiles(b, p.value, k), _HITS)
         # Two steps, so that what meets in one task is neither all tasks' winners of an item nor many items.
         for keys in (["item_id", F.pmod(F.xxhash64("doc_id"), F.lit(64))], ["item_id"]):

@@ -146,10 +146,9 @@ def mine_blocks(batches: Iterator[pa.RecordBatch], walks: list[Walk], slot_score
                 v = common.whole(x[some], scale)
                 for w in walks:
                     if w.label == label:
-                        own = w.v.shape[1]
-                        if own < dims:  # the shorter side ends in zeros
-                            w.v, w.centre = np.pad(w.v, ((0, 0), (0, dims - own))), np.pad(w.centre, (0, dims - own))
-                        w.over(v if own <= dims else np.pad(v, ((0, 0), (0, own - dims))), ids[some])
+                        most = max(dims, w.v.shape[1])  # the shorter side ends in zeros
+                        w.v, w.centre = common.widened(w.v, most), common.widened(w.centre, most)
+                        w.over(common.widened(v, most), ids[some])
     for w, slots in zip(walks, slot_scores, strict=True):
         row, score, found = w.found
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (w.ids[row // w.low.shape[1]], slots.ravel()[row], found, score)], names=["anchor_id", "slot_score", "found_id", "score"])

@@ -1,8 +1,8 @@
 """Personal data in texts, plain and disguised, with spans in the source text.
 
 The base detectors look at the text as it is.  The method adds what disguises
-hide: a chain of rewriting transducers maps look-alike characters, bracketed or
-spelled "at" and "dot", and spelled digits to what they stand for.  Each keeps,
+hide: a chain of rewriting transducers maps character references, look-alike characters,
+bracketed or spelled "at" and "dot", and spelled digits to what they stand for.  Each keeps,
 for every output character, the source span it came from, so a detector's span
 in the normalised text maps back to source characters.
 """
@@ -10,7 +10,10 @@ in the normalised text maps back to source characters.
 from __future__ import annotations
 
 import hashlib
+import html
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,12 +77,20 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
-# Characters that look like ASCII ones, and number words of four languages.
-_LOOKALIKE = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЅЈ", "aeopcyxijshdqwABEKMHOPCTYXISJ", strict=True))
-_LOOKALIKE |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρα", "ABEZHIKMNOPTYXovpa", strict=True))
-_LOOKALIKE |= {"․": ".", "。": ".", "｡": ".", "‑": "-", "–": "-", "−": "-", "⁺": "+", " ": " "}
-_LOOKALIKE |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(base + i): str(i) for base in (0x0660, 0x06F0, 0x0966) for i in range(10)}
-_INVISIBLE = "​‌‍⁠﻿­"
+# Letters of other scripts that look like ASCII ones, and number words of four languages.
+_LOOKALIKE = dict(zip("аеорсухіјѕһԁԛԝѵвгкмпткАВЕКМНОРСТУХІЅЈ", "aeopcyxijshdqwvbrkmntkABEKMHOPCTYXISJ", strict=True))
+_LOOKALIKE |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονραικητυωγεβ", "ABEZHIKMNOPTYXovpaikntuwyeb", strict=True))
+_LOOKALIKE |= dict(zip("օսոհզցıɑɡɪʟɴʀʏ", "ounhqgiagilnry", strict=True))
+_LOOKALIKE |= {"․": ".", "。": ".", "｡": ".", "‑": "-", "–": "-", "−": "-", "⁺": "+", "\u00a0": " ", "\u2009": " ", "\u202f": " "}
+#: By rule: what compatibility decomposition makes one printable ASCII character (mathematical, circled, full-width,
+#: raised and lowered forms), and the decimal digits of every script.
+for _c in map(chr, [*range(0x80, 0x10000), *range(0x10400, 0x12000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x1FBF0, 0x1FBFA)]):
+    _plain = unicodedata.normalize("NFKC", _c)
+    if len(_plain) == 1 and "!" <= _plain <= "~":
+        _LOOKALIKE.setdefault(_c, _plain)
+    elif unicodedata.category(_c) == "Nd":
+        _LOOKALIKE.setdefault(_c, str(unicodedata.digit(_c)))
+_INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _DIGIT_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "oh": 0,
     "null": 0, "eins": 1, "zwei": 2, "zwo": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
@@ -88,6 +99,7 @@ _DIGIT_WORDS = {
 }
 
 _FOLDED = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKE, *_INVISIBLE])) + "]")
+_REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10});")
 _UNIT = r"(?:[0-9]|" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + r")"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,.-]{{1,2}})?{_UNIT}(?:[\s,-]{{1,2}}(?:(?:dot|point|punkt|punto)[\s,-]{{1,2}})?{_UNIT}){{3,}}(?!\w)", re.I)
 _DIGIT_WORD = re.compile("|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)), re.I)
@@ -140,6 +152,11 @@ class Mapped:
         self.text, self.start, self.end = "".join(text) + self.text[last:], start + self.start[last:], end + self.end[last:]
 
 
+def decode_references(m: Mapped) -> None:
+    """Character references of HTML become the character they stand for."""
+    m.rewrite([(x.start(), x.end(), c) for x in _REFERENCE.finditer(m.text) if len(c := html.unescape(x[0])) == 1])
+
+
 def fold_lookalikes(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), _LOOKALIKE.get(x[0], "")) for x in _FOLDED.finditer(m.text)])
 
@@ -204,6 +221,8 @@ def _disguised(text: str) -> bool:
     """
     if not text.isascii() and _FOLDED.search(text):
         return True
+    if "&" in text and _REFERENCE.search(text):
+        return True
     low, boxed = _lower(text), any(c in text for c in "[({<")
     if (boxed or "@" in text) and _AT_APART.search(text):
         return True
@@ -215,23 +234,31 @@ def _disguised(text: str) -> bool:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by start, then kind.
 
-    An added span doesn't touch a base span of its kind.
+    An added span may cover a base span of its kind, as a disguise within an address leaves
+    a shorter address beside it; one that is equal to or inside a base span is not added.
     """
     base = base_spans(text)
     if not _disguised(text):
         return base, base
     m = Mapped(text)
+    decode_references(m)
     fold_lookalikes(m)
     spell_out_addresses(m)
     spell_out_digits(m)
     if m.text == text:
         return base, base
-    taken = {kind: common.Covered([(s, e) for k, s, e in base if k == kind]) for kind in KINDS}
-    found = [(kind, m.start[a], m.end[b - 1]) for kind, a, b in base_spans(m.text)]
-    added = [(kind, s, e) for kind, s, e in found if not taken[kind].touches(s, e)]
+    own = {kind: [(s, e) for k, s, e in base if k == kind] for kind in KINDS}
+    found = {(kind, m.start[a], m.end[b - 1]) for kind, a, b in base_spans(m.text)}
+    added = [(kind, s, e) for kind, s, e in found if not _inside(own[kind], s, e)]
     return base, sorted({*base, *added}, key=lambda x: (x[1], _ORDER[x[0]], x[2]))
 
 
+def _inside(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the spans, which are in order and don't overlap, holds all of [start, end)."""
+    at = bisect_right(spans, start, key=lambda s: s[0]) - 1
+    return at >= 0 and end <= spans[at][1]
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -256,7 +283,7 @@ def find(documents: DataFrame, redacted: bool = True) -> DataFrame:
     the base spans, all spans (kind:start:end in code points, end exclusive) and,
     if asked for, the text with all spans masked (else null).
 
-    A null text counts as empty: no spans, a null masked text.  Repeated rows give
+    A null text counts as empty: no spans, a null masked text.  Texts are taken whole, however long, in linear time.  Repeated rows give
     repeated results, an empty table none; only doc_id and text are looked at.
     """
 

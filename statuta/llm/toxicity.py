@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +51,13 @@ class Params:
     #: About so many labelled rows are learned from.
     rows: int = 24_000
     stems: tuple[int, ...] = (4, 5, 6, 7)
-    #: An insult stem or word occurs in at least so many toxic rows, this share of all rows that have it.
+    #: An insult stem or word occurs in at least so many toxic rows, this share of all rows that have it;
+    #: ``fit`` chooses among the candidates by cross-validation on the rows that it learns from.
     support: int = 5
-    precision: float = 0.93
+    precision: float = 0.9
+    supports: tuple[int, ...] = (4, 8)
+    precisions: tuple[float, ...] = (0.8, 0.9, 0.95)
+    folds: int = 3
     #: What an insult or threat is worth by its place in the clause.
     aimed: float = 1.5
     negated: float = 0.2
@@ -104,11 +108,14 @@ def clause_machine(p: Params) -> Transducer:
 
 @dataclass
 class Model:
+    """A lexicon's learned part and the logistic weights; ``memory`` bounds the words remembered."""
+
     #: Learned insults and their values; a word by itself is led by "=", a stem isn't.
     stems: dict[str, float]
     #: Intercept and one weight, not negative, per feature.
     weights: np.ndarray
     params: Params
+    memory: int = 400_000
     machine: Transducer = field(init=False, repr=False)
     lexicon: Lexicon = field(init=False, repr=False)
     _symbols: dict[str, tuple[str, float]] = field(default_factory=dict, repr=False)
@@ -123,9 +130,9 @@ class Model:
         self.lexicon.add(_SEED_INSULTS, INSULT, self.params.fixed_value)
 
     def symbols(self, words: list[str]) -> list[tuple[str, float]]:
-        """What the words are read as.  Words are remembered; beyond 400,000 the memory starts anew."""
+        """What the words are read as.  Words are remembered; beyond ``memory`` of them it starts anew."""
         new = set(words).difference(self._symbols)
-        if len(self._symbols) + len(new) > 400_000:
+        if len(self._symbols) + len(new) > self.memory:
             self._symbols.clear()
             new = set(words)
         for w in new:
@@ -138,12 +145,15 @@ def word_keys(words: set[str], p: Params) -> set[str]:
     return {"=" + w for w in words} | {w[:n] for w in words for n in p.stems if len(w) >= n}
 
 
-def clause_weights(text: str, model: Model) -> tuple[list[float], int]:
-    """The weights of the matched clauses of a whole text, and the number of its clauses.
+def tokens_of(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())
+
+
+def clause_weights(tokens: list[str], model: Model) -> tuple[list[float], int]:
+    """The weights of the matched clauses of a whole text's tokens, and the number of its clauses.
 
     A quotation goes on in the next clause, but ends with its line.
     """
-    tokens = _TOKEN.findall(text.lower())
     symbols = model.symbols(tokens)
     if not any(s in WEIGHED for s, _ in symbols):
         return [], 0
@@ -160,9 +170,9 @@ def clause_weights(text: str, model: Model) -> tuple[list[float], int]:
     return out, n
 
 
-def features(text: str, model: Model) -> np.ndarray:
+def features(tokens: list[str], model: Model) -> np.ndarray:
     """Of a whole text's matched clauses: summed weight, heaviest, weight per clause of the text (logs)."""
-    weights, n = clause_weights(text, model)
+    weights, n = clause_weights(tokens, model)
     total = sum(weights)
     return np.log1p([total, max(weights, default=0.0), 20 * total / max(1, n)])
 
@@ -187,63 +197,99 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
         own.pop(int(np.argmin(w[1:])))
 
 
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
+
+
+def quality(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, float, np.ndarray]:
+    """(F1 at the threshold, negative log loss, logistic weights) of features of rows."""
+    w = _logistic(x, y)
+    p = np.clip(probability(x, w), 1e-9, 1 - 1e-9)
+    hit = ((p >= threshold) & (y == 1)).sum()
+    return 2 * hit / max(1, (p >= threshold).sum() + (y == 1).sum()), float(np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))), w
+
+
 def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    """Learns from labelled rows that are not held out.
+    """Learns from labelled rows that are not held out, and chooses its bounds by them alone.
 
     The rows are a sample of about ``rows`` ids drawn by a hash; an id that any label calls
-    toxic is toxic, and of several texts of one id the least counts.  Word counts are summed
-    in Spark; the driver gets the insults that pass and, per sampled id, three features.
+    toxic is toxic, and of several texts of one id the least counts.  They are dealt to folds by
+    another hash.  For each candidate bound of support and precision, the insults of all folds
+    but one give the features of that fold's rows; the candidate whose features, over all folds,
+    tell the labels apart best (F1 at the threshold, then log loss) is taken, with the logistic
+    weights of these features, and its insults are those of all rows.  Word counts are summed in
+    Spark, by fold; the driver gets the insults that pass and, per sampled id, three features
+    a candidate.  Without rows the model has no learned insults.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out("doc_id"))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("toxic"))
     share = min(1.0, p.rows / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = common.written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(p.folds)).cast("int").alias("fold")
+    rows = common.written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", fold))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            forms, toxic = [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = word_keys({t for t in _TOKEN.findall(text.lower()) if t[0].isalpha()}, p)
+        for batch in common.small(batches, 0):
+            forms, toxic, folds = [], [], []
+            for text, label, own_fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = word_keys({t for t in tokens_of(text) if t[0].isalpha()}, p)
                 forms += own
                 toxic += [label] * len(own)
-                if len(forms) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(forms, type=pa.string()), pa.array(toxic, type=pa.float64())], names=["form", "toxic"])
-                    forms, toxic = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(forms, type=pa.string()), pa.array(toxic, type=pa.float64())], names=["form", "toxic"])
-
-    counts = rows.select("text", "toxic").mapInArrow(keys, "form string, toxic double").groupBy("form").agg(F.sum("toxic").alias("yes"), F.count("*").alias("n"))
-    passed = counts.filter((F.col("yes") >= p.support) & (F.col("yes") >= p.precision * F.col("n")))
-    stems = {r["form"]: math.log((r["yes"] + 0.5) / (r["n"] - r["yes"] + 0.5)) for r in passed.collect()}
-    model = Model(stems, np.r_[-3.0, np.zeros(FEATURES)], p)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+                folds += [own_fold] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(toxic, pa.float64()), pa.array(folds, pa.int32())], names=["form", "toxic", "fold"])
+
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(p.folds) for c in ("toxic", "one")]
+    counts = rows.mapInArrow(keys, "form string, toxic double, fold int").withColumn("one", F.lit(1.0)).groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("one").alias("one"), *sums)
+    passes = F.lit(False)
+    for f in (None, *range(p.folds)):  # any candidate, with or without any fold
+        yes, n = (F.col(c) - (F.lit(0.0) if f is None else F.col(f"{c}_{f}")) for c in ("toxic", "one"))
+        passes |= (yes >= min(p.supports)) & (yes >= min(p.precisions) * n)
+    passed = [r.asDict() for r in counts.filter(passes).collect()]
+
+    def insults(support: int, precision: float, without: int | None) -> dict[str, float]:
+        out = {}
+        for r in passed:
+            yes, n = (r[c] - (0 if without is None else r[f"{c}_{without}"]) for c in ("toxic", "one"))
+            if yes >= support and yes >= precision * n:
+                out[r["form"]] = math.log((yes + 0.5) / (n - yes + 0.5))
+        return out
+
+    candidates = [(s, q) for s in p.supports for q in p.precisions]
+    none = np.r_[-3.0, np.zeros(FEATURES)]
+    shared = documents.sparkSession.sparkContext.broadcast([[Model(insults(*c, f), none, p, 20_000) for c in candidates] for f in range(p.folds)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t, shared.value).tolist() for t in batch.column(0).to_pylist()]
+        for batch in common.small(batches, 0):
+            found = []
+            for text, own_fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                tokens = tokens_of(text)
+                found.append(np.concatenate([features(tokens, m) for m in shared.value[own_fold]]).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, type=pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    seen = rows.select("text", "toxic").mapInArrow(measure, "toxic double, x array<double>").collect()
-    if seen:
-        model.weights = _logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen]))
+    seen = rows.mapInArrow(measure, "toxic double, x array<double>").toArrow()
+    shared.destroy()
     common.discard(rows)
-    return model
+    best, chosen = (-1.0, 0.0, none), (p.support, p.precision)
+    if seen.num_rows:
+        y, x = seen["toxic"].to_numpy(), common.matrix(seen["x"]).reshape(seen.num_rows, len(candidates), FEATURES)
+        best, chosen = max(((quality(x[:, i], y, p.threshold), c) for i, c in enumerate(candidates)), key=lambda r: r[0][:2])
+    return Model(insults(*chosen, None), best[2], replace(p, support=chosen[0], precision=chosen[1]))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, held_out boolean, score double (0 to 1), predicted int.
 
-    Null and empty texts score as texts without any marked clause.  Repeated rows
+    Null and empty texts score as texts without any marked clause; texts are taken whole, however long.  Repeated rows
     give repeated results, an empty table none; only doc_id and text are looked at.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            x = np.array([features(t or "", m) for t in batch.column(2).to_pylist()]).reshape(-1, FEATURES)
-            s = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30)))
+        for batch in common.small(batches, 2):
+            x = np.array([features(tokens_of(t or ""), m) for t in batch.column(2).to_pylist()]).reshape(-1, FEATURES)
+            s = probability(x, m.weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= m.params.threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -152,6 +152,53 @@ def test_whole_table_behind_disguises(spark):
     assert hidden > 10
 
 
+LOOKS = {}
+for _look, _is in pii._LOOKALIKE.items():
+    LOOKS.setdefault(_is, []).append(_look)
+ADDRESS = "jane.roe+x@mail-1.example.co.uk"
+
+
+def hidden_at(i):
+    """The address with its i-th character disguised, in each way there is."""
+    c = ADDRESS[i]
+    forms = [*LOOKS.get(c, [])[:12], *LOOKS.get(c, [])[-4:], f"&#{ord(c)};", f"&#x{ord(c):x};", *(["\u00ad" + c, "\u200b" + c] if i else [])]
+    if c == ".":
+        forms += DOTS
+    if c == "@":
+        forms += [*BOXED, "&commat;"]
+    return [ADDRESS[:i] + f + ADDRESS[i + 1 :] for f in forms]
+
+
+def test_no_character_of_a_partly_disguised_address_survives_masking():
+    n = 0
+    for i in range(len(ADDRESS)):
+        for one in hidden_at(i):
+            text = f"write to {one} now"
+            base, spans = pii.all_spans(text)
+            assert base == plain(text) and set(base) <= set(spans)
+            assert pii.redact(text, spans) == "write to [email] now", (one, spans)
+            n += 1
+    assert n > 400
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, len(ADDRESS) - 1), st.integers(0, 10**6)), min_size=1, max_size=6))
+def test_several_disguises_within_one_address(places):
+    one = list(ADDRESS)
+    for i, pick in places:
+        looks = [*LOOKS.get(ADDRESS[i], []), f"&#{ord(ADDRESS[i])};"]
+        one[i] = looks[pick % len(looks)]
+    text = "an " + "".join(one) + "; 日本語 é"
+    base, spans = pii.all_spans(text)
+    assert base == plain(text) and pii.redact(text, spans) == "an [email]; 日本語 é"
+
+
+def test_other_kinds_behind_partial_disguises():
+    for one, kind in (("192.16８.0.1", "ip"), ("192.168.٠.1", "ip"), ("192&#46;168.0.1", "ip"), ("192.168.0.𝟏", "ip"), ("4111 1111 11𝟏1 1111", "card"), ("４111-1111-1111-1111", "card"), ("+1 (988) 5५5-2485", "phone"), ("⁺49 30 1234 5678", "phone")):
+        text = f"see {one} there"
+        assert pii.redact(text, pii.all_spans(text)[1]) == f"see [{kind}] there", (one, pii.all_spans(text))
+
+
 def test_clean_text_stays():
     for text in ("we met at noon and looked at example houses", "one two three", "at the dot com boom", "un dos tres", ""):
         assert pii.all_spans(text) == ([], [])

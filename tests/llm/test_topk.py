@@ -1,3 +1,7 @@
+import math
+import os
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -34,7 +38,7 @@ def test_stops_early():
     assert depth < 2500
 
 
-@pytest.mark.parametrize(("block", "query_block"), [(100, 7), (60, 10_000)])
+@pytest.mark.parametrize(("block", "query_block"), [(100, 20), (60, 10_000)])
 def test_table_equals_brute_force(spark, block, query_block):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
     rows = rows.union(rows.filter("vec_id % 3 = 0")).union(rows.filter("vec_id % 9 = 0")).union(rows.filter("vec_id % 7 = 0").selectExpr("vec_id", "reverse(embedding)"))
@@ -50,11 +54,51 @@ def test_table_equals_brute_force(spark, block, query_block):
     assert got == want
 
 
-def test_shuffle_is_that_of_the_candidates(spark):
-    """What is dealt to blocks doesn't depend on the number of query batches, and no exchange deals queries to blocks."""
+def test_batches_are_read_and_released_one_by_one(spark, monkeypatch):
+    """The driver holds one batch of queries at a time, and nothing but the result stays in the shared folder."""
+    held, most, destroyed = [0], [0], [0]
+    context = type(spark.sparkContext)
+    plain = context.broadcast
+
+    def broadcast(self, value):
+        out = plain(self, value)
+        held[0] += len(value[0])
+        most[0] = max(most[0], held[0])
+        kill = out.destroy
+
+        def destroy(blocking=False):
+            held[0] -= len(value[0])
+            destroyed[0] += 1
+            kill(blocking)
+
+        out.destroy = destroy
+        return out
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    made = []
+    fresh = topk.common.shared_dir
+    monkeypatch.setattr(topk.common, "shared_dir", lambda s: made.append(fresh(s)) or made[-1])
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    plan = topk.top_k(rows, rows.filter("vec_id % 20 = 0"), block=100, query_block=10)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and plan.count("MapInArrow") > 1
+    out = topk.top_k(rows, rows.filter("vec_id % 20 = 0"), block=100, query_block=10)
+    assert out.count() == 500 and destroyed[0] >= 3 and most[0] < 25 and held[0] == 0
+    assert [os.path.exists(m.removeprefix("file://")) for m in made].count(True) == 1
+
+
+BIG = [2.0**30, 2.0**45, 2.0**57, 2.0**100, 1e300]
+
+
+@pytest.mark.parametrize("size", BIG)
+def test_components_of_any_size_are_exact(spark, size):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.round(r.normal(size=3) * 8) * (size if i % 3 else 1.0) + np.round(r.normal(size=3) * 4)]) for i in range(60)]
+    rows += [(100, [size]), (101, [1.0]), (102, [size, 1 / 64]), (103, [size, 2 / 64]), (104, [-size])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_k(df, df, k=7, block=20, query_block=40).collect()}
+    exact = {i: [math.floor(Fraction(x) * 64) for x in [*v, 0.0, 0.0][:3]] for i, v in rows}
+    for q, a in exact.items():
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in exact.items() if i != q)
+        for rank, (s, i) in enumerate(scores[:7], 1):
+            assert got[q, rank] == (i, -s)
 
 
 def test_edges(spark):
