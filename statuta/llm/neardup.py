@@ -210,18 +210,35 @@ def difference_keys(stars: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return _with_texts(stars.select("a", "b", "linked", "part"), texts).mapInArrow(run, _DELTA)
 
 
+def meetings(keys: DataFrame, p: Params) -> DataFrame:
+    """Rows of keys (s_ the smaller difference's, l_ the larger one's) that meet under one (hub, element), in two components so far.
+
+    Members of one component never meet: keys whose rows are all of one component go, and components
+    meet before their members do, so that a family of m linked members costs m rows under a key, not m^2.
+    """
+    mixed = keys.groupBy("hub", "element").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("hub", "element")
+    mixed = common.written(keys.join(mixed.hint("merge"), ["hub", "element"]))
+    cols = ("x", "part", "size", "delta", "place")
+    sides = [mixed.filter(kind).select("hub", "element", *(F.col(c).alias(f"{side}_{c}") for c in cols)) for kind, side in (("small", "s"), ("large", "l"))]
+    s, g = (rows.groupBy("hub", "element", f"{k}_part").agg(F.min(f"{k}_size").alias(f"{k}_least"), F.max(f"{k}_size").alias(f"{k}_most")) for rows, k in zip(sides, "sl", strict=True))
+    near = (100 * F.col("l_most") >= p.percent * F.col("s_least")) & (100 * F.col("s_most") >= p.percent * F.col("l_least"))
+    pairs = s.join(g.hint("merge"), ["hub", "element"]).filter((F.col("s_part") != F.col("l_part")) & near).select("hub", "element", "s_part", "l_part")
+    out = pairs.join(sides[0].hint("merge"), ["hub", "element", "s_part"]).join(sides[1].hint("merge"), ["hub", "element", "l_part"])
+    out._written_at = mixed._written_at
+    return out
+
+
 def difference_pairs(keys: DataFrame, p: Params) -> DataFrame:
-    """Candidate pairs: members of one hub, in two components so far, whose differences overlap enough."""
+    """Candidate pairs, as a written table: members of one hub, in two components so far, whose differences overlap enough."""
     r = (100 - p.percent) / (100 + p.percent)
-    cols = ("x", "part", "size", "delta", "place")
-    s = keys.filter("small").select("hub", "element", *(F.col(c).alias(f"s_{c}") for c in cols))
-    g = keys.filter("large").select("hub", "element", *(F.col(c).alias(f"l_{c}") for c in cols))
     need = F.greatest(F.lit(1.0), F.ceil((F.col("s_delta") + F.col("l_delta") - r * (F.col("s_size") + F.col("l_size"))) / 2 - 1e-9))
     ordered = (F.col("s_delta") < F.col("l_delta")) | ((F.col("s_delta") == F.col("l_delta")) & (F.col("s_x") < F.col("l_x")))
     sizes = (100 * F.least("s_size", "l_size") >= p.percent * F.greatest("s_size", "l_size"))
     fits = (F.col("s_delta") - F.col("s_place") >= need) & (F.col("l_delta") - F.col("l_place") >= need)
-    both = s.join(g, ["hub", "element"]).filter((F.col("s_part") != F.col("l_part")) & ordered & sizes & fits)
-    return both.select(F.least("s_x", "l_x").alias("a"), F.greatest("s_x", "l_x").alias("b")).distinct()
+    met = meetings(keys, p)
+    out = common.written(met.filter(ordered & sizes & fits).select(F.least("s_x", "l_x").alias("a"), F.greatest("s_x", "l_x").alias("b")).distinct())
+    common.discard(met)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -316,8 +333,9 @@ def _components_of(docs: DataFrame, p: Params) -> DataFrame:
     stars = common.written(found.join(label.hint("merge"), "b", "left").select("a", "b", "linked", F.coalesce("component", "b").alias("part")))
     open_hubs = stars.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("a")
     keys = common.written(difference_keys(stars.join(open_hubs, "a", "left_semi"), texts, p))
-    rest = common.written(difference_pairs(keys, p).join(stars, ["a", "b"], "left_anti"))
-    common.discard(found, keys)
+    near = difference_pairs(keys, p)
+    rest = common.written(near.join(stars, ["a", "b"], "left_anti"))
+    common.discard(found, keys, near)
     more = confirmed(rest, texts, p).filter("linked").select("a", "b")
 
     first, parts = parts, components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -104,3 +104,21 @@ def test_several_texts_under_one_id(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, 36, 1, True), (2, 37, 1, False), (2, 36, 2, True), (3, 36, 2, False), (3, 36, 2, False), (4, 37, 2, False), (None, 36, None, True), (2, 0, 2, True)]
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got))) == sorted(map(str, want))
+
+
+def test_linked_members_of_a_hub_do_not_meet_one_another(spark):
+    """m linked members and an outsider under one key cost about 2m rows; every pair of different components meets."""
+    p, m = neardup.Params(), 300
+    rows = [(0, x, False, 1, 100, 20, 5, 3, True, True) for x in range(1, m)] + [(0, m, False, m, 100, 20, 5, 3, True, True)] + [(0, x, False, 1, 100, 20, 6, 3, True, True) for x in range(1, m)]
+    keys = spark.createDataFrame(rows, neardup._DELTA)
+    met = {(r.s_x, r.l_x) for r in neardup.meetings(keys, p).collect()}
+    assert met == {(x, m) for x in range(1, m)} | {(m, x) for x in range(1, m)}
+
+
+def test_revised_template_equals_brute_force(spark):
+    """Families that are linked among themselves and share most words with one another's hub."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    template = [rng.choice(words) for _ in range(200)]
+    rows = [r for f in range(3) for r in family(rng, template + [rng.choice(words) for _ in range(62)], 60, 1000 * f)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

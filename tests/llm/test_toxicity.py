@@ -113,13 +113,13 @@ def document_score(text, m):
     """A document's score from its clauses by the words of the specification, without the machine or the trie."""
     weights, n, clause = [], 0, []
     def read(word):
-        if word in tox._SEED_INSULTS:
-            return tox.INSULT, 3.0
-        if "=" + word in m.stems:
-            return tox.INSULT, m.stems["=" + word]
-        for words, symbol in ((tox._THREAT, tox.THREAT), (tox._REPORT, tox.REPORT), (tox._TARGET, tox.TARGET), (tox._NEGATION, tox.NEGATION), (tox._QUOTE, tox.QUOTE)):
+        for words, symbol in ((tox._QUOTE, tox.QUOTE), (tox._NEGATION, tox.NEGATION), (tox._TARGET, tox.TARGET), (tox._REPORT, tox.REPORT), (tox._THREAT, tox.THREAT)):
             if word in words:
                 return symbol, 3.0 if symbol == tox.THREAT else 0.0
+        if "=" + word in m.stems:
+            return tox.INSULT, m.stems["=" + word]
+        if word in tox._SEED_INSULTS:
+            return tox.INSULT, 3.0
         stem = max((f for f in m.stems if not f.startswith("=") and word.startswith(f)), key=len, default=None)
         return (tox.INSULT, m.stems[stem]) if stem else (tox.OTHER, 0.0)
 
