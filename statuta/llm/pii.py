@@ -98,7 +98,9 @@ _DIGIT_WORDS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 
-_FOLDED = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKE, *_INVISIBLE])) + "]")
+#: Characters of the first plane are one table to the pattern; those beyond are looked up one by one.
+_FOLDED = re.compile("[" + "".join(re.escape(c) for c in (*_LOOKALIKE, *_INVISIBLE) if c <= "\uffff") + "\U00010000-\U0010ffff]")
+_FOLDS = {**_LOOKALIKE, **dict.fromkeys(_INVISIBLE, "")}
 _REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10});")
 _UNIT = r"(?:[0-9]|" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + r")"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,.-]{{1,2}})?{_UNIT}(?:[\s,-]{{1,2}}(?:(?:dot|point|punkt|punto)[\s,-]{{1,2}})?{_UNIT}){{3,}}(?!\w)", re.I)
@@ -158,7 +160,7 @@ def decode_references(m: Mapped) -> None:
 
 
 def fold_lookalikes(m: Mapped) -> None:
-    m.rewrite([(x.start(), x.end(), _LOOKALIKE.get(x[0], "")) for x in _FOLDED.finditer(m.text)])
+    m.rewrite([(x.start(), x.end(), _FOLDS[x[0]]) for x in _FOLDED.finditer(m.text) if x[0] in _FOLDS])
 
 
 def disguised_addresses(text: str) -> Iterator[tuple[int, int, int, int]]:
@@ -219,7 +221,7 @@ def _disguised(text: str) -> bool:
     than a plain @ or by a "dot" form, a bare "at" counts only beside such a form, and
     a dotted number needs one too.  Before a pattern, what it can't do without is looked for.
     """
-    if not text.isascii() and _FOLDED.search(text):
+    if not text.isascii() and any(x[0] in _FOLDS for x in _FOLDED.finditer(text)):
         return True
     if "&" in text and _REFERENCE.search(text):
         return True
