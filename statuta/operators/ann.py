@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .search import DIGITS, held, ranked
+from .batch import held
+from .search import DIGITS, ranked
 
 
 class CellIndex:

@@ -150,8 +150,11 @@ def current_table(spark: SparkSession, root: str, schema: StructType | str | Non
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder in the store that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder in the store that driver and executors share (spark.checkpoint.dir); a local session may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/statuta-{uuid.uuid4().hex}"
 
 

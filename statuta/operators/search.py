@@ -17,36 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .batch import by_parts, held
+from .substring import TrigramIndex, scan
 
-#: Up to so many queries are held and broadcast at once.
-BROADCAST_QUERIES = 10_000
 DIGITS = 9
 
 
-def held(queries: DataFrame) -> tuple[DataFrame, bool]:
-    """The batch as a local table, and True, if its size allows (one job looks just above the bound)."""
-    rows = queries.limit(BROADCAST_QUERIES + 1).toArrow()
-    if rows.num_rows > BROADCAST_QUERIES:
-        return queries, False
-    return F.broadcast(queries.sparkSession.createDataFrame(rows, queries.schema)), True
-
-
-def in_parts(queries: DataFrame) -> list[DataFrame]:
-    """The batch in held parts, dealt by a hash of qid; one part if it's within the bound."""
-    whole, fits = held(queries)
-    if fits:
-        return [whole]
-    n = 2 * (queries.count() // BROADCAST_QUERIES + 1)
-    return [part for i in range(n) for part in in_parts(queries.filter(F.pmod(F.xxhash64("qid", F.lit(n)), F.lit(n)) == i))]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def valid_queries(queries: DataFrame) -> DataFrame:
     return queries.filter(F.length(F.trim("query")) > 0)
 
@@ -63,15 +39,20 @@ def ranked(rows: DataFrame, score: str, k: int, rank: str = "rank", descending:
     return rows.withColumn(rank, F.row_number().over(w).cast("long")).filter(F.col(rank) <= k)
 
 
-def keyword_hits(corpus: DataFrame, queries: DataFrame, factor: float = 1.0) -> DataFrame:
-    """(qid, id, score) of documents that contain a query's text literally."""
-    found = lambda q: corpus.select("id", "content").join(q, F.contains("content", "query"))
-    joined = _union([found(q) for q in in_parts(valid_queries(queries).select("qid", "query"))])
-    return joined.select("qid", "id", (text.occurrences(F.col("content"), F.col("query")) * factor).alias("score"))
+def keyword_hits(corpus: DataFrame, queries: DataFrame, factor: float = 1.0, index: TrigramIndex | None = None) -> DataFrame:
+    """(qid, id, score) of documents that contain a query's text literally.
+
+    The batch is one automaton, so each text is read once; with an index, only the texts that
+    hold a selective query's rarest trigrams are.
+    """
+    asked = valid_queries(queries).select("qid", "query")
+    found = scan(corpus, asked) if index is None else index.hits(corpus, asked)
+    asked, few = held(asked)
+    return found.join(asked, "query").select("qid", "id", (F.col("n").cast("double") * factor).alias("score"))
 
 
-def keyword_search(corpus: DataFrame, queries: DataFrame, k: int = 100, factor: float = 1.0) -> DataFrame:
-    return ranked(keyword_hits(corpus, queries, factor), "score", k)
+def keyword_search(corpus: DataFrame, queries: DataFrame, k: int = 100, factor: float = 1.0, index: TrigramIndex | None = None) -> DataFrame:
+    return ranked(keyword_hits(corpus, queries, factor, index), "score", k)
 
 
 def _rows_by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,11 +108,12 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: st
     another length than the query's, or (for cosine) of norm zero take no part.
     """
     rows = corpus.filter("embedding IS NOT NULL").select(F.col("id").cast("string").alias("id"), "embedding")
-    found = []
-    for part in in_parts(queries.select("qid", "qvec")):
+
+    def of_part(part: DataFrame) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(part.toArrow())
-        found.append(rows.mapInArrow(lambda batches, q=shared: _nearest(batches, q.value, k, metric), "qid long, id string, similarity double"))
-    return ranked(_union(found), "similarity", k)
+        return ranked(rows.mapInArrow(lambda batches: _nearest(batches, shared.value, k, metric), "qid long, id string, similarity double"), "similarity", k)
+
+    return by_parts(queries.select("qid", "qvec"), of_part)
 
 
 class Bm25Index:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ann, corpus, search, segment
+from ..operators import ann, batch as batches, corpus, search, segment, substring
 from ..operators.corpus import law_documents, table, text_corpus
-from ..sources import markup
+from ..sources import html, markup
 from ..streaming import ingest
 from . import sql_functions
 
@@ -149,28 +149,54 @@ def read_law_detail_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("law_id", "article_number", "title", long(F.size("paragraphs")).alias("n_paragraphs"))
 
 
-_ART, _H1 = "(?s)<article>(.*?)</article>", "(?s)<h1>(.*?)</h1>"
+#: A page's body as the texts of its nodes, each stripped, without tags.
+SQL_NODES = "array_to_string(list_transform(string_split(regexp_replace(a, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(x, chr(10) || chr(13) || chr(9) || ' ')), '')"
+SQL_DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
 
 
-@query("read_law_html", f"SELECT page_id, trim(regexp_extract(a, '{_H1}', 1)) AS number, len(regexp_extract_all(a, '(?s)<p>')) AS n_p FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_ART}', 1)) AS a FROM pages) WHERE regexp_matches(a, '{_H1}')")
+@query("read_law_html", f"SELECT page_id, {SQL_DECODED.format('trim(h)')} AS number, {SQL_DECODED.format(SQL_NODES)} AS content FROM (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages) WHERE h <> ''")
 def read_law_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = markup.blocks(table(spark, sf_dir, "pages"), "page_id", "html", _ART, _H1, content="(?s)^(.*)$")
-    return rows.select("page_id", F.trim("number").alias("number"), long(F.regexp_count("content", F.lit("<p>"))).alias("n_p"))
+    rows = html.law_pages(table(spark, sf_dir, "pages"), "page_id", block=("body", None), number=("h1", None), title=None, content=("article", None))
+    return rows.select("page_id", "number", "content")
 
 
-SQL_BLOCKS = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '제' || doc_id || '조' END AS number, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS title, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS content FROM documents"
+SQL_TRIM = "trim({}, chr(10) || chr(13) || chr(9) || ' ')"
+SQL_PAGES = f"""WITH d AS (SELECT doc_id, source, text, k, instr(text, chr(10)) AS cut FROM documents, (VALUES (1), (2), (3)) v(k)),
+ b AS (SELECT doc_id, k, '제' || doc_id || '조의' || k AS number, CASE WHEN (doc_id + k) % 3 = 0 THEN NULL WHEN k = 2 THEN source || '<&' ELSE source END AS title,
+ CASE WHEN k = 3 THEN {SQL_TRIM.format("'①' || text")} WHEN cut > 0 THEN {SQL_TRIM.format("left(text, cut)")} || {SQL_TRIM.format("substr(text, cut + 1)")} ELSE {SQL_TRIM.format("text")} END AS content FROM d WHERE (doc_id + k) % 7 <> 0)"""
 
 
-@query("read_statute_html", f"SELECT doc_id, number, title, content FROM ({SQL_BLOCKS}) WHERE number IS NOT NULL")
+@query("read_statute_html", SQL_PAGES + " SELECT doc_id, number, title, content FROM b")
 def read_statute_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statute pages made of the texts: some blocks have no number, some no title."""
+    return _statute_pages(spark, sf_dir).select("doc_id", "number", "title", "content")
+
+
+SQL_CONTENT_LINES = "ln AS (SELECT doc_id, number, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS no FROM b WHERE k = 3), l2 AS (SELECT doc_id, number, no, trim(line, chr(13) || chr(9) || ' ') AS line FROM ln WHERE trim(line, chr(13) || chr(9) || ' ') <> '')"
+
+
+@query("read_html_paragraphs", SQL_PAGES + f", {SQL_CONTENT_LINES} SELECT doc_id, number, '①' AS paragraph, trim(substr(string_agg(line, ' ' ORDER BY no), 2)) AS content FROM l2 GROUP BY 1, 2")
+def read_html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _statute_pages(spark, sf_dir).select("doc_id", "number", F.explode("paragraphs").alias("p"))
+    return rows.select("doc_id", "number", F.col("p.number").alias("paragraph"), F.trim("p.content").alias("content"))
+
+
+def _statute_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statute pages made of the texts, three articles each: classes in either quotes and among
+    others, a nested division, references for what markup needs, inline tags, unclosed ones, some without number or title."""
     d = table(spark, sf_dir, "documents")
-    span = lambda name, c: F.concat(F.lit(f'<span class="article-{name}">'), c, F.lit("</span>"))
-    number = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(span("number", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))))
-    title = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(span("title", F.col("source")))
-    block = F.concat(F.lit('<div class="article">'), number, title, F.lit('<div class="article-content">'), _xml(F.col("text")), F.lit("</div></div>"))
-    page = F.concat(F.lit("<html><body>"), block, F.lit("</body></html>"))
-    return markup.blocks(d.select("doc_id", page.alias("html")), "doc_id", "html", **markup.STATUTE_BLOCK).select("doc_id", "number", "title", "content")
+    lit, ident = F.lit, F.col("doc_id").cast("string")
+    cut = F.instr("text", "\n")
+    nested = F.concat(lit("<div>"), _xml(F.left("text", cut)), lit("</div>"), _xml(F.substring(F.col("text"), cut + 1, F.length("text"))))
+    whole = F.when(cut > 0, nested).otherwise(_xml(F.col("text")))
+    body = {1: whole, 2: whole, 3: F.concat(lit("&#9312;"), _xml(F.col("text")))}
+    opened = {1: '<div class="article">', 2: "<div id=x class='main article'>", 3: '<DIV CLASS="article  last">'}
+    page = [lit("<html><head><style>div.article{}</style></head><body><div class='articles'><!-- <div class=\"article\"> -->")]
+    for k in (1, 2, 3):
+        number = F.when((F.col("doc_id") + k) % 7 == 0, lit("")).otherwise(F.concat(lit("<p><span class='article-number'> <b>제"), ident, lit(f"조</b>의{k}</span>")))
+        inline = ("<i> ", " </i>&lt;&amp;") if k == 2 else ("", "")
+        title = F.when((F.col("doc_id") + k) % 3 == 0, lit("")).otherwise(F.concat(lit('<span class="article-title x">' + inline[0]), F.col("source"), lit(inline[1] + "</span>")))
+        page += [lit(opened[k]), number, title, lit('<div class="article-content"><script>var x = "</b>";</script>'), body[k], lit("</div><br/></div>")]
+    return html.law_pages(d.select("doc_id", F.concat(*page, lit("</div></body></html>")).alias("html")), "doc_id")
 
 
 @query("law_type_filter", "SELECT CAST(doc_id AS VARCHAR) AS law_id, 'name ' || source AS law_name, lang AS law_type FROM documents WHERE doc_id % 7 <> 0 AND lang = 'de' AND contains('name ' || source, 'src1') ORDER BY 1 LIMIT 100")
@@ -186,6 +212,12 @@ def probe_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.selector_counts(table(spark, sf_dir, "pages"), "page_id", "html", _SELECTORS)
 
 
+@query("probe_marker_context", "SELECT page_id, instr(html, 'the ') AS at, substr(html, greatest(1, instr(html, 'the ') - 200), instr(html, 'the ') + 500 - greatest(1, instr(html, 'the ') - 200)) AS context FROM pages WHERE contains(html, 'the ') AND NOT contains(html, '<ol>')")
+def probe_marker_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no selector occurs: the text around the first marker."""
+    return markup.marker_contexts(table(spark, sf_dir, "pages"), "page_id", "html", {"ordered": "<ol>"}, "the ")
+
+
 @query("concat_page_text", "SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def concat_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.page_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
@@ -386,6 +418,14 @@ query("positive_score", f"WITH {SQL_TEXT} SELECT id, (length(content) - length(r
 query("list_rank", SQL_KEYWORD + "SELECT qid, rank, id FROM r WHERE rank <= 50")(lambda s, d: _keyword(50)(s, d).select("qid", "rank", "id"))
 
 
+@query("substring_index_search", f"WITH {SQL_TEXT}, {SQL_ASKED}, {SQL_HITS}, {SQL_RANKED} SELECT qid, id, score, rank FROM r WHERE rank <= 100")
+def substring_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search for the stated queries by a saved index of trigrams."""
+    docs = text_corpus(spark, sf_dir).select("id", "content")
+    index = substring.TrigramIndex.build(docs, corpus.scratch_folder(spark))
+    return search.keyword_search(docs, asked(spark, sf_dir), 100, index=index)
+
+
 def _vectors(k: int, metric: str = "cosine") -> Query:
     return lambda s, d: rounded(search.vector_search(corpus.vectors(s, d), vector_probes(s, d), k, metric), "similarity")
 
@@ -398,7 +438,7 @@ query("semantic_rank", SQL_V + "SELECT qid, id, rank FROM vr WHERE rank <= 100")
 @query("vector_cross_join", SQL_V + "SELECT qid, id, round(similarity, 6) AS similarity FROM vh")
 def vector_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated queries against all rows, unranked."""
-    q, _ = search.held(vector_probes(spark, sf_dir))
+    q, _ = batches.held(vector_probes(spark, sf_dir))
     rows = corpus.vectors(spark, sf_dir).crossJoin(q)
     return rounded(rows.select("qid", "id", V.cosine(F.col("embedding"), F.col("qvec")).alias("similarity")), "similarity")
 
@@ -435,7 +475,7 @@ SQL_FUSED = f"WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_SCORED}" + SQL_VEC + """, u AS
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q, _ = search.held(probes(spark, sf_dir))
+    q, _ = batches.held(probes(spark, sf_dir))
     return q, search.vector_search(corpus.vectors(spark, sf_dir), q, 20), search.Bm25Index(text_corpus(spark, sf_dir)).search(q, 20)
 
 
@@ -488,7 +528,7 @@ SQL_OUTER = f"WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_LEX}" + SQL_VEC + """, fo AS (
 
 
 def _outer(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
-    q, _ = search.held(probes(spark, sf_dir))
+    q, _ = batches.held(probes(spark, sf_dir))
     return search.fuse_full_outer(search.vector_search(corpus.vectors(spark, sf_dir), q, 20), search.ranked(search.text_rank(text_corpus(spark, sf_dir), q), "score", 20), **how)
 
 

@@ -1,10 +1,12 @@
-"""Statute XML and HTML held in string columns."""
+"""Statute XML, and probes of HTML, held in string columns (HTML as a tree: ``html``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 # The tags of the statute service's XML.
 LIST_SCHEMA = "`법령일련번호` STRING, `법령명한글` STRING, `법령구분명` STRING, `공포일자` STRING, `시행일자` STRING"
 DETAIL_SCHEMA = (
@@ -55,26 +57,20 @@ def exploded_articles(details: DataFrame) -> DataFrame:
     return details.select("law_id", "law_name", F.explode_outer("articles").alias("a")).select("law_id", "law_name", "a.*")
 
 
-def blocks(rows: DataFrame, key: str, column: str, block: str, number: str, title: str | None = None, content: str | None = None) -> DataFrame:
-    """(key, at, number, title, content) of the HTML blocks that match ``block`` (one group:
-    the inside); blocks without a number go, a missing title is null, a missing content ''."""
-    inside = rows.select(key, F.posexplode(F.regexp_extract_all(column, F.lit(block), F.lit(1))).alias("at", "inside"))
-    part = lambda p: F.get(F.regexp_extract_all("inside", F.lit(p), F.lit(1)), F.lit(0)) if p else F.lit(None).cast("string")
-    out = inside.select(key, F.col("at").cast("long").alias("at"), part(number).alias("number"), part(title).alias("title"), F.coalesce(part(content), F.lit("")).alias("content"))
-    return out.filter("number IS NOT NULL")
-
-
-#: Blocks of statute pages.
-STATUTE_BLOCK = {
-    "block": r'(?s)<div[^>]*class="article"[^>]*>(.*?)</div>\s*(?=<div[^>]*class="article"|</body|$)',
-    "number": r'(?s)<span[^>]*class="article-number"[^>]*>(.*?)</span>',
-    "title": r'(?s)<span[^>]*class="article-title"[^>]*>(.*?)</span>',
-    "content": r'(?s)<div[^>]*class="article-content"[^>]*>(.*?)(?:</div>|$)',
-}
-
-
 def selector_counts(rows: DataFrame, key: str, column: str, patterns: dict[str, str]) -> DataFrame:
     """(key, selector, n): how often each candidate pattern occurs in a page."""
     pairs = ", ".join(f"'{name}', n_{i}" for i, name in enumerate(patterns))
     counted = rows.select(key, *(F.coalesce(F.regexp_count(column, F.lit(p)), F.lit(0)).cast("long").alias(f"n_{i}") for i, p in enumerate(patterns.values())))
     return counted.select(key, F.expr(f"stack({len(patterns)}, {pairs}) AS (selector, n)"))
+
+
+def marker_contexts(rows: DataFrame, key: str, column: str, patterns: dict[str, str], marker: str = text.ARTICLE_HEAD, before: int = 200, after: int = 500) -> DataFrame:
+    """(key, at, context) of pages on which no pattern occurs but the marker does: the place of its
+    first occurrence (from 1) and the text from ``before`` characters ahead to ``after`` behind its start."""
+    none = F.lit(True)
+    for p in patterns.values():
+        none &= F.regexp_count(column, F.lit(p)) == 0
+    found = rows.filter(none).withColumn("_first", F.regexp_extract(column, f"({marker})", 1)).filter("_first <> ''")
+    at = F.instr(F.col(column), F.col("_first")).cast("long")
+    start = F.greatest(F.lit(1).cast("long"), at - before)
+    return found.select(key, at.alias("at"), F.substring(F.col(column), start.cast("int"), (at + after - start).cast("int")).alias("context"))

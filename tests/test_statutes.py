@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 from statuta.functions import text as T
-from statuta.operators import ann, corpus, search, segment
+from statuta.operators import ann, batch, corpus, search, segment
 from statuta.plans import registry, sql_functions
 from statuta.sources import markup
 from statuta.streaming import ingest
@@ -99,7 +99,7 @@ def test_searches_beyond_the_broadcast_bound_are_the_same(spark, articles, monke
         ]
 
     want = results()
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 2)
+    monkeypatch.setattr(batch, "BROADCAST_QUERIES", 2)
     assert results() == want and all(want)
 
 
@@ -175,13 +175,6 @@ def test_xml(spark):
     assert [(r.article_number, len(r.paragraphs)) for r in rows] == [("0", 0), ("1", 1), ("2", 2)]
 
 
-def test_html(spark):
-    block = '<div class="article"><span class="article-number">제1조</span><div class="article-content">본문</div></div>'
-    page = f'<body>{block}<div class="article"><span class="article-title">t</span></div></body>'
-    got = markup.blocks(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html", **markup.STATUTE_BLOCK).collect()
-    assert [(r.number, r.title, r.content) for r in got] == [("제1조", None, "본문")]
-
-
 def test_segmentation(spark):
     body = "머리말 제1조 (목적) 짧다 제1조(목적) 이 법은 두 번째로 나온 긴 조문이다 제2조(정의) " + "가" * 3000 + " 제5조의2(x) 제3조(벌칙) 벌칙은 이 조문에 적는다"
     rows = spark.createDataFrame([("L", body)], "law_id string, text string")
