@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .batch import by_parts, held
+from .batch import BROADCAST_QUERIES, by_parts, held
+from .corpus import scratch_folder
+from .postings import PostingIndex, saturated
 from .substring import TrigramIndex, scan
 
 DIGITS = 9
@@ -116,106 +118,93 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: st
     return by_parts(queries.select("qid", "qvec"), of_part)
 
 
-class Bm25Index:
-    """Term statistics of a whole corpus (id, content) for many batches of queries.
+def term_statistics(corpus: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, n, avgdl, idf) of a corpus (id, content) without an index, in one pass over the texts.
 
-    Without ``save`` the index is the table of terms alone, persisted; a batch's words are
-    then counted in the texts.  Indexes over one plan share what is persisted: ``close`` it
-    when files have changed behind Spark's back.  A saved index also has the postings, dealt
-    into folders by a hash of the term, of which a batch reads those of its own terms.
+    A negative idf is replaced by ``epsilon`` times the mean over all terms, negative ones included.
     """
+    spark, folder = corpus.sparkSession, scratch_folder(corpus.sparkSession)
+    words = corpus.select(F.coalesce(text.tokens(F.col("content")), F.array().cast("array<string>")).alias("words"))
+    # Each document counts once under each of its terms and once, with its length, under null.
+    seen = words.select(F.size("words").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("term"))
+    seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")).write.parquet(folder)
+    counted = spark.read.parquet(folder)
+    n, length = counted.filter("term IS NULL").select("df", "length").first() or (0, 0)
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = counted.filter("term IS NOT NULL").select("term", "df", raw.alias("raw"))
+    mean = terms.agg(F.avg("raw")).first()[0] or 0.0
+    return terms.select("term", "df", F.lit(n).cast("long").alias("n"), F.lit(length / n if n else 0.0).alias("avgdl"), F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
+
+
+class Bm25Index:
+    """BM25 over a saved posting index: ``build`` it once from a corpus (id, content), ``load`` it, search any number of batches."""
+
+    def __init__(self, index: PostingIndex) -> None:
+        self.index = index
 
-    FOLDERS = 64
-
-    def __init__(self, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> None:
-        self.k1, self.b, self.epsilon = k1, b, epsilon
-        self._words = corpus.select("id", F.coalesce(text.tokens(F.col("content")), F.array().cast("array<string>")).alias("words"))
-        self._postings: DataFrame | None = None
-        # One pass: each document counts once under each of its terms and once, with its length, under null.
-        seen = self._words.select(F.size("words").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("term"))
-        self._table = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")).persist()
-
-    def close(self) -> None:
-        self._table.unpersist()
-
-    @property
-    def facts(self) -> DataFrame:
-        """One row: n, avgdl."""
-        return self._table.filter("term IS NULL").select(F.col("df").alias("n"), F.try_divide(F.col("length").cast("double"), F.col("df")).alias("avgdl"))
-
-    @property
-    def terms(self) -> DataFrame:
-        """(term, df, n, avgdl, idf); a negative idf is replaced by epsilon times the mean over all terms."""
-        raw = self._table.filter("term IS NOT NULL").crossJoin(F.broadcast(self.facts)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg(F.avg("raw").alias("mean"))
-        idf = F.when(F.col("raw") < 0, self.epsilon * F.col("mean")).otherwise(F.col("raw"))
-        return raw.crossJoin(F.broadcast(mean)).select("term", "df", "n", "avgdl", idf.alias("idf"))
-
-    @property
-    def postings(self) -> DataFrame:
-        """(term, id, tf, dl)."""
-        if self._postings is not None:
-            return self._postings
-        each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term"))
-        return each.filter("term IS NOT NULL").groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-
-    def save(self, path: str) -> None:
-        self._table.write.parquet(f"{path}/terms")
-        folder = F.pmod(F.xxhash64("term"), F.lit(self.FOLDERS)).alias("folder")
-        self.postings.select("*", folder).repartition("folder").sortWithinPartitions("term").write.partitionBy("folder").parquet(f"{path}/postings")
+    @classmethod
+    def build(cls, corpus: DataFrame, path: str | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25Index:
+        """Without a path the index lies in a fresh folder of the shared store."""
+        return cls(PostingIndex.build(corpus, path or scratch_folder(corpus.sparkSession), text.tokens, k1=k1, b=b, epsilon=epsilon))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25Index:
-        out = cls.__new__(cls)
-        out.k1, out.b, out.epsilon = k1, b, epsilon
-        out._table, out._postings = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings")
-        return out
+    def load(cls, spark: SparkSession, path: str) -> Bm25Index:
+        return cls(PostingIndex(spark, path))
+
+    @staticmethod
+    def _words(queries: DataFrame) -> DataFrame:
+        """(qid, term, times): every query token counts, repeats too."""
+        return valid_queries(queries).select("qid", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
     def matches(self, queries: DataFrame) -> DataFrame:
-        """(qid, id, term, times, tf, dl, idf, avgdl): every query token counts, repeats too."""
-        queries, few = held(valid_queries(queries).select("qid", "query"))
+        """(qid, id, term, times, tf, dl, idf, avgdl) of every posting of a query's term."""
+        q, few = held(self._words(queries), 10 * BROADCAST_QUERIES)
         mark = F.broadcast if few else (lambda df: df)
-        q = queries.select("qid", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-        wanted = self.terms.join(mark(q.select("term").distinct()), "term").select("term", "idf", "avgdl")
-        if self._postings is not None:
-            wanted = wanted.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(self.FOLDERS)))
-            rows = self._postings.join(mark(wanted), ["folder", "term"])
-        else:
-            # The outer form: the plain one infers a filter for which the texts would be split twice.
-            each = self._words.select("id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).join(mark(wanted), "term")
-            rows = each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("idf").alias("idf"), F.max("avgdl").alias("avgdl"))
-        return rows.join(mark(q), "term").select("qid", "id", "term", "times", "tf", "dl", "idf", "avgdl")
+        rows = self.index.postings(mark(self.index.known(q)))
+        return rows.join(mark(q), "term").select("qid", "id", "term", "times", "tf", "dl", "idf", F.lit(self.index.facts.avgdl).alias("avgdl"))
 
     def scores(self, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
-        """(qid, id, score), of the ids in ``within`` if given; statistics stay those of the whole corpus."""
-        rows = self.matches(queries)
-        part = F.col("times") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
+        """(qid, id, score) of all matches, or those of the ids in ``within``; statistics stay those of the whole corpus."""
+        f, rows = self.index.facts, self.matches(queries)
+        part = F.col("times") * F.col("idf") * saturated(F.col("tf"), F.col("dl"), f.avgdl, f.k1, f.b)
         found = rows.groupBy("qid", "id").agg(F.sum(part).alias("score"))
         return found if within is None else found.join(within.select("id"), "id", "left_semi").select("qid", "id", "score")
 
     def search(self, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
-        """The k best, cut first, then without scores of zero or less."""
-        return ranked(self.scores(queries, within), "score", k).filter("score > 0")
+        """The k best with scores above 0: by block maxima, without scoring all matches; within some ids by all their scores."""
+        if within is not None:
+            return ranked(self.scores(queries, within), "score", k).filter("score > 0")
+        return by_parts(queries.select("qid", "query"), lambda part: ranked(self.index.top(self._words(part), k), "score", k))
+
+
+def text_index(corpus: DataFrame, path: str | None = None) -> PostingIndex:
+    """A saved index of lexemes with their places, for ``text_rank``."""
+    return PostingIndex.build(corpus, path or scratch_folder(corpus.sparkSession), text.lexemes, places=True)
 
 
-def text_rank(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+def text_rank(corpus: DataFrame, queries: DataFrame, index: PostingIndex | None = None) -> DataFrame:
     """(qid, id, score) of full-text search: documents with all lexemes of the query.
 
     One lexeme: 0.1 * sum of 1/j^2 over its n occurrences, over pi^2/6.  Several:
     one minus the product over pairs of positions of distinct lexemes, at most 100
     apart, of 1 - 0.1 sqrt(1 / (1.005 + 0.05 e^(d/1.5 - 2))).
 
-    The corpus is split into words once; a document's places of a query's words are then
-    one row.  No more than 100 places follow within 100 words, so each place is held against
-    the next 100.
+    With an index, only the postings of the queries' lexemes are read.  Without one the corpus is
+    split into words once; a document's places of a query's words are one row in either case.  No
+    more than 100 places follow within 100 words, so each place is held against the next 100.
     """
     queries, few = held(valid_queries(queries).select("qid", "query"))
     q = queries.select("qid", F.array_distinct(text.lexemes(F.col("query"))).alias("lex")).filter(F.size("lex") > 0)
-    wanted = q.select("qid", F.size("lex").alias("need"), F.posexplode("lex").alias("nth", "word"))
-    words = corpus.select("id", F.posexplode_outer(text.lexemes(F.col("content"))).alias("at", "word"))
-    hits = words.join(F.broadcast(wanted) if few else wanted, "word")
-    found = hits.groupBy("qid", "id", "need").agg(F.sort_array(F.collect_list(F.struct("at", "nth"))).alias("places"))
-    found = found.filter(F.size(F.array_distinct(F.transform("places", lambda p: p["nth"]))) == F.col("need"))
+    wanted = q.select("qid", F.size("lex").alias("need"), F.posexplode("lex").alias("nth", "term"))
+    mark = F.broadcast if few else (lambda df: df)
+    if index is not None:
+        hits = index.postings(mark(wanted)).withColumn("places", F.transform("places", lambda at: F.struct(at.alias("at"), F.col("nth").alias("nth"))))
+        found = hits.groupBy("qid", "id", "need").agg(F.count("*").alias("words"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places")).filter("words = need")
+    else:
+        words = corpus.select("id", F.posexplode_outer(text.lexemes(F.col("content"))).alias("at", "term"))
+        hits = words.join(mark(wanted), "term")
+        found = hits.groupBy("qid", "id", "need").agg(F.sort_array(F.collect_list(F.struct("at", "nth"))).alias("places"))
+        found = found.filter(F.size(F.array_distinct(F.transform("places", lambda p: p["nth"]))) == F.col("need"))
     harmonic = F.aggregate(F.sequence(F.lit(1), F.size("places")), F.lit(0.0), lambda acc, j: acc + 1.0 / (j * j))
     joint = _proximity(F.col("places.at"), F.col("places.nth"))
     return found.select("qid", "id", F.when(F.col("need") == 1, 0.1 * harmonic / 1.64493406685).otherwise(joint).alias("score"))
@@ -302,12 +291,12 @@ def hybrid_search(
     unless ``flags`` and ``vectors`` (id, embedding) hold them.  ``where`` is a condition on the
     corpus for both arms, or (``filter_scope`` "vector") for the vector arm alone; BM25's
     statistics are the index's in any case.  ``cut`` keeps another number than k of the
-    up to 4k candidates.
+    up to 4k candidates.  Without an index one is built for this batch alone; give a saved one.
     """
     if filter_scope not in ("both", "vector"):
         raise ValueError("filter_scope is 'both' or 'vector'")
     queries, few = held(queries.select("qid", "query", "qvec"))
-    index = index or Bm25Index(corpus)
+    index = index or Bm25Index.build(corpus)
     allowed = None if where is None else corpus.filter(where)
     if vectors is None:
         rows = corpus if allowed is None else allowed
@@ -319,10 +308,10 @@ def hybrid_search(
     return best.withColumn("highlighted", text.highlight(F.col("content"), text.keywords_by_space(F.col("query"))))
 
 
-def hybrid_search_sql(corpus: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None) -> DataFrame:
+def hybrid_search_sql(corpus: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None, index: PostingIndex | None = None) -> DataFrame:
     """Cosine and full-text arms of 2k each, full outer join, cut to k."""
     queries, _ = held(queries.select("qid", "query", "qvec"))
-    fused = fuse_full_outer(vector_search(corpus if vectors is None else vectors, queries, 2 * k), ranked(text_rank(corpus, queries), "score", 2 * k))
+    fused = fuse_full_outer(vector_search(corpus if vectors is None else vectors, queries, 2 * k), ranked(text_rank(corpus, queries, index), "score", 2 * k))
     return ranked(fused, "relevance", k)
 
 

@@ -390,9 +390,13 @@ SQL_VCORPUS = "vc AS (SELECT 'doc_' || vec_id AS id, CAST(embedding AS DOUBLE[])
 SQL_VEC = f", {SQL_VCORPUS}, vh AS (SELECT qid, id, list_cosine_similarity(embedding, qvec) AS similarity FROM vc, q), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 9) DESC NULLS LAST, id) AS rank FROM vh) "
 
 
-@query("bm25_corpus_stats", f"WITH {SQL_TEXT}, {SQL_INDEX} SELECT term, df, n, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM tm")
+SQL_TERMS = """w AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM documents), st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM w),
+ dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM w) GROUP BY 1), raw AS (SELECT term, df, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, st), mn AS (SELECT avg(raw) AS mean FROM raw)"""
+
+
+@query("bm25_corpus_stats", f"WITH {SQL_TERMS} SELECT term, df, n, round(avgdl, 6) AS avgdl, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, mn")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.Bm25Index(text_corpus(spark, sf_dir)).terms, "avgdl", "idf")
+    return rounded(search.term_statistics(text_corpus(spark, sf_dir)), "avgdl", "idf")
 
 
 simple("doc_length", f"WITH {SQL_TEXT} SELECT id, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n FROM t", lambda: ["id", long(F.size(T.tokens(_content()))).alias("n")])
@@ -447,27 +451,44 @@ simple("cosine_similarity", "SELECT vec_id, round(list_cosine_similarity(v, list
 query("l2sq_distance", f"WITH {SQL_VPROBES}, {SQL_VCORPUS}, vh AS (SELECT qid, id, 1 - list_sum(list_transform(range(1, 65), lambda i: (embedding[i] - qvec[i]) ** 2)) AS similarity FROM vc, q), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 9) DESC, id) AS rank FROM vh) SELECT qid, id, round(similarity, 6) AS similarity, rank FROM vr WHERE rank <= 10")(_vectors(10, "l2sq"))
 
 
+_INDEXES: dict[tuple[str, str, str], search.Bm25Index | search.PostingIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, kind: str) -> search.Bm25Index | search.PostingIndex:
+    """The saved index of the texts, built once a session: searches take it, as they do in use."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _INDEXES:
+        _INDEXES[key] = (search.Bm25Index.build if kind == "bm25" else search.text_index)(text_corpus(spark, sf_dir))
+    return _INDEXES[key]
+
+
+def bm25(spark: SparkSession, sf_dir: str) -> search.Bm25Index:
+    return _index(spark, sf_dir, "bm25")  # type: ignore[return-value]
+
+
+def places(spark: SparkSession, sf_dir: str) -> search.PostingIndex:
+    return _index(spark, sf_dir, "places")  # type: ignore[return-value]
+
+
 @query("bm25_search", SQL_BM25 + "SELECT qid, id, round(score, 6) AS score, rank FROM kr WHERE rank <= 20 AND score > 0")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.Bm25Index(text_corpus(spark, sf_dir)).search(asked(spark, sf_dir), 20), "score")
+    return rounded(bm25(spark, sf_dir).search(asked(spark, sf_dir), 20), "score")
 
 
 @query("bm25_topk", SQL_BM25 + "SELECT qid, id, rank FROM kr WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through an index that is saved and loaded."""
-    folder = corpus.scratch_folder(spark)
-    search.Bm25Index(text_corpus(spark, sf_dir)).save(folder)
-    return search.ranked(search.Bm25Index.load(spark, folder).scores(asked(spark, sf_dir)), "score", 10).select("qid", "id", "rank")
+    """From all scores, those of zero or less too."""
+    return search.ranked(bm25(spark, sf_dir).scores(asked(spark, sf_dir)), "score", 10).select("qid", "id", "rank")
 
 
 @query("bm25_score", SQL_BM25 + "SELECT qid, id, round(score, 6) AS score FROM kh")
 def bm25_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.Bm25Index(text_corpus(spark, sf_dir)).scores(asked(spark, sf_dir)), "score")
+    return rounded(bm25(spark, sf_dir).scores(asked(spark, sf_dir)), "score")
 
 
 @query("bm25_term_join", SQL_BM25 + "SELECT qid, id, term, times, tf, CAST(dl AS BIGINT) AS dl FROM qt JOIN post USING (term)")
 def bm25_term_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.Bm25Index(text_corpus(spark, sf_dir)).matches(asked(spark, sf_dir)).select("qid", "id", "term", "times", "tf", "dl")
+    return bm25(spark, sf_dir).matches(asked(spark, sf_dir)).select("qid", "id", "term", "times", "tf", "dl")
 
 
 SQL_FUSED = f"WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_SCORED}" + SQL_VEC + """, u AS (SELECT qid, id, 0.7 / (60 + rank) AS part, rank AS vector_rank, NULL AS keyword_rank FROM vr WHERE rank <= 20 UNION ALL SELECT qid, id, 0.3 / (60 + rank), NULL, rank FROM kr WHERE rank <= 20 AND score > 0),
@@ -476,7 +497,7 @@ SQL_FUSED = f"WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_SCORED}" + SQL_VEC + """, u AS
 
 def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, _ = batches.held(probes(spark, sf_dir))
-    return q, search.vector_search(corpus.vectors(spark, sf_dir), q, 20), search.Bm25Index(text_corpus(spark, sf_dir)).search(q, 20)
+    return q, search.vector_search(corpus.vectors(spark, sf_dir), q, 20), bm25(spark, sf_dir).search(q, 20)
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +517,7 @@ query("rerank_sort", SQL_HYBRID + "SELECT qid, id, rank FROM br WHERE rank <= 10
 
 @query("hybrid_search", SQL_HYBRID + "SELECT qid, id, law_name, round(final, 6) AS final, rank, list_reduce(list_filter(string_split(query, ' '), lambda x: length(x) > 1), lambda a, k: replace(a, k, '<mark>' || k || '</mark>'), content) AS highlighted FROM br WHERE rank <= 10")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.hybrid_search(text_corpus(spark, sf_dir), probes(spark, sf_dir), 10, BOOSTS, vectors=corpus.vectors(spark, sf_dir), flags=corpus.definitions(spark, sf_dir))
+    best = search.hybrid_search(text_corpus(spark, sf_dir), probes(spark, sf_dir), 10, BOOSTS, index=bm25(spark, sf_dir), vectors=corpus.vectors(spark, sf_dir), flags=corpus.definitions(spark, sf_dir))
     return rounded(best.select("qid", "id", "law_name", "final", "rank", "highlighted"), "final")
 
 
@@ -508,7 +529,7 @@ SQL_WITHIN = f"""WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_SCORED.replace("row_number(
 @query("hybrid_search_filtered", SQL_WITHIN)
 def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter on both arms; k is such that all fused candidates are seen."""
-    best = search.hybrid_search(text_corpus(spark, sf_dir), probes(spark, sf_dir), 10, BOOSTS, vectors=corpus.vectors(spark, sf_dir), flags=corpus.definitions(spark, sf_dir), where=F.col("chunk_type") == "en", cut=40)
+    best = search.hybrid_search(text_corpus(spark, sf_dir), probes(spark, sf_dir), 10, BOOSTS, index=bm25(spark, sf_dir), vectors=corpus.vectors(spark, sf_dir), flags=corpus.definitions(spark, sf_dir), where=F.col("chunk_type") == "en", cut=40)
     return rounded(best.select("qid", "id", "fused"), "fused")
 
 
@@ -520,8 +541,8 @@ SQL_LEX = f"""ql AS (SELECT qid, list_distinct(list_filter(regexp_split_to_array
  th AS (SELECT * FROM sg UNION ALL SELECT fd.qid, fd.id, coalesce(score, 0) FROM fd LEFT JOIN mu ON fd.qid = mu.qid AND fd.id = mu.id WHERE need > 1),
  tr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM th) """
 SQL_TS = f"WITH {SQL_TEXT}, {SQL_ASKED}, {SQL_LEX}"
-query("ts_rank", SQL_TS + "SELECT qid, id, round(score, 6) AS score FROM th")(lambda s, d: rounded(search.text_rank(text_corpus(s, d), asked(s, d)), "score"))
-query("keyword_rank", SQL_TS + "SELECT qid, id, rank FROM tr WHERE rank <= 100")(lambda s, d: search.ranked(search.text_rank(text_corpus(s, d), asked(s, d)), "score", 100).select("qid", "id", "rank"))
+query("ts_rank", SQL_TS + "SELECT qid, id, round(score, 6) AS score FROM th")(lambda s, d: rounded(search.text_rank(text_corpus(s, d), asked(s, d), places(s, d)), "score"))
+query("keyword_rank", SQL_TS + "SELECT qid, id, rank FROM tr WHERE rank <= 100")(lambda s, d: search.ranked(search.text_rank(text_corpus(s, d), asked(s, d), places(s, d)), "score", 100).select("qid", "id", "rank"))
 query("ts_match", f"WITH {SQL_TEXT} SELECT id, len(list_intersect(list_distinct(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')), ['the', 'thing'])) = 2 AS matched FROM t")(lambda s, d: text_corpus(s, d).select("id", T.matches_all(_content(), F.lit("The thing!")).alias("matched")))
 SQL_OUTER = f"WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_LEX}" + SQL_VEC + """, fo AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.id, k.id) AS id, v.rank AS semantic_rank, k.rank AS keyword_rank, 100 * (0.7 / (60 + coalesce(v.rank, 999999)) + 0.3 / (60 + coalesce(k.rank, 999999))) AS relevance
  FROM (SELECT * FROM vr WHERE rank <= 20) v FULL OUTER JOIN (SELECT * FROM tr WHERE rank <= 20) k ON v.qid = k.qid AND v.id = k.id) """
@@ -529,12 +550,12 @@ SQL_OUTER = f"WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_LEX}" + SQL_VEC + """, fo AS (
 
 def _outer(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
     q, _ = batches.held(probes(spark, sf_dir))
-    return search.fuse_full_outer(search.vector_search(corpus.vectors(spark, sf_dir), q, 20), search.ranked(search.text_rank(text_corpus(spark, sf_dir), q), "score", 20), **how)
+    return search.fuse_full_outer(search.vector_search(corpus.vectors(spark, sf_dir), q, 20), search.ranked(search.text_rank(text_corpus(spark, sf_dir), q, places(spark, sf_dir)), "score", 20), **how)
 
 
 query("fuse_full_outer", SQL_OUTER + "SELECT qid, id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance FROM fo")(lambda s, d: rounded(_outer(s, d), "relevance"))
 query("rrf_sql", SQL_OUTER + "SELECT qid, id, round(100 * (0.4 / (10 + coalesce(semantic_rank, 1000)) + 0.6 / (10 + coalesce(keyword_rank, 1000))), 6) AS relevance FROM fo")(lambda s, d: rounded(_outer(s, d, k=10, weights=(0.4, 0.6), absent=1000).select("qid", "id", "relevance"), "relevance"))
-query("hybrid_search_sql", SQL_OUTER + "SELECT * FROM (SELECT qid, id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 9) DESC, id) AS rank FROM fo) WHERE rank <= 10")(lambda s, d: rounded(search.hybrid_search_sql(text_corpus(s, d), probes(s, d), 10, corpus.vectors(s, d)), "relevance"))
+query("hybrid_search_sql", SQL_OUTER + "SELECT * FROM (SELECT qid, id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 9) DESC, id) AS rank FROM fo) WHERE rank <= 10")(lambda s, d: rounded(search.hybrid_search_sql(text_corpus(s, d), probes(s, d), 10, corpus.vectors(s, d), places(s, d)), "relevance"))
 SQL_WEB = SQL_KEYWORD + """, wb AS (SELECT qid, rank, id, score, round(100 * score / greatest(max(score) OVER (PARTITION BY qid), 0.0001), 6) AS share, law_name, title, query, content FROM r JOIN t USING (id) JOIN q USING (qid) WHERE rank <= 100) """
 SQL_BODY = "regexp_replace(regexp_replace(list_reduce(list_filter(regexp_split_to_array(trim(query), '[\\s,]+'), lambda x: x <> ''), lambda a, k: replace(a, k, '<mark>' || k || '</mark>'), content), '\\n\\n+', '<br><br>', 'g'), '\\n', ' ', 'g')"
 query("web_search", SQL_WEB + f"SELECT qid, rank, id, score, share, law_name, title, {SQL_BODY} AS body FROM wb")(lambda s, d: rounded(search.web_search(text_corpus(s, d), batch(s)), "share"))

@@ -1,0 +1,95 @@
+"""Saved indexes: block maxima against full sums, places against the texts."""
+
+import math
+import random
+from collections import Counter
+
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from statuta.operators import postings, search
+
+FACTS = postings.Facts(1000, 20.0, 1.0, 1, 1.5, 0.75, 0.25)
+
+
+def shard(docs, per_block):
+    """Rows of a shard of (words) documents as the index has them, and the plain scores' ingredients."""
+    rows = {}
+    for i, words in enumerate(docs):
+        for term, tf in Counter(words).items():
+            rows.setdefault((term, i // per_block), []).append((f"d{i:04}", tf, len(words)))
+    part = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 20.0))
+    out = [(t, b, [x[0] for x in p], [x[1] for x in p], [x[2] for x in p], max(part(tf, dl) for _, tf, dl in p)) for (t, b), p in rows.items()]
+    return pd.DataFrame(out, columns=["term", "block", "ids", "tfs", "dls", "top"]), part
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abcdef", min_size=1, max_size=12), min_size=1, max_size=60), st.dictionaries(st.sampled_from("abcdefg"), st.floats(-1, 3), min_size=1, max_size=4), st.integers(1, 8), st.integers(1, 10))
+def test_best_of_a_shard_equals_all_scores(docs, weights, k, per_block):
+    rows, part = shard(docs, per_block)
+    got = postings.Shard(rows, FACTS).best(sorted(weights.items()), k)
+    scores = {}
+    for i, words in enumerate(docs):
+        s = sum(w * part(words.count(t), len(words)) for t, w in sorted(weights.items()) if t in words)
+        if round(s, 9) > 0:
+            scores[f"d{i:04}"] = s
+    want = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_blocks_are_skipped():
+    rng = random.Random(1)
+    docs = ["".join(rng.choice("ab" if i % 50 == 0 else "abcdefghijklmnopqrstuvwxyz" * 4) for _ in range(30)) for i in range(4000)]
+    rows, _ = shard(docs, 20)
+    s = postings.Shard(rows, FACTS)
+    assert len(s.best([("a", 2.0), ("b", 1.0)], 10)) == 10
+    assert s.met == 200 and s.visited < 120
+
+
+def test_index_of_a_corpus(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SHARD", 64)
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    rng = random.Random(2)
+    words = [*("the a of".split() * 20), *"law 법 조 safety gas GAS".split(), *(f"w{i}" for i in range(40))]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("none", None)], "id string, content string").selectExpr("*", "1 AS term", "2 AS shard")
+    index = search.Bm25Index.build(docs, str(tmp_path / "b"))
+    assert index.index.facts.shards == 6
+    q = spark.createDataFrame([(1, "gas"), (2, "the law the"), (3, "unknown"), (4, ""), (5, "조 GAS safety"), (6, None), (7, "gas unknown")], "qid long, query string")
+    for k in (3, 1000):
+        got = {(r.qid, r.id, r.rank): r.score for r in index.search(q, k).collect()}
+        want = {(r.qid, r.id, r.rank): r.score for r in search.ranked(index.scores(q), "score", k).filter("score > 0").collect()}
+        assert got == pytest.approx(want) and len(want) >= 9
+    facts = {r.term: (r.df, round(r.idf, 9)) for r in search.term_statistics(docs).collect()}
+    known = {r.term: r.idf for r in index.index.known(spark.createDataFrame([(t,) for t in facts], "term string")).collect()}
+    assert {t: round(x, 9) for t, x in known.items()} == {t: x[1] for t, x in facts.items()} and facts["gas"][0] == sum("gas" in t.split() for t in texts)
+    assert index.index.facts.avgdl == pytest.approx(sum(len(t.split()) for t in texts) / 401) and not math.isnan(index.index.facts.mean_idf)
+    plan = index.index.of_terms(spark.createDataFrame([("gas",)], "term string"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan
+    empty = search.Bm25Index.build(docs.limit(0), str(tmp_path / "e"))
+    assert empty.search(q, 3).count() == 0
+
+
+def test_text_rank_is_the_same_by_the_index(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 30, 400]))) for _ in range(60)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("none", None)], "id string, content string")
+    q = spark.createDataFrame(list({1: "a", 2: "B c", 3: "c-d e", 4: "a a", 5: "zz a", 6: "", 7: "h g f e d"}.items()), "qid long, query string")
+    index = search.text_index(docs, str(tmp_path / "t"))
+    one, other = ({(r.qid, r.id): r.score for r in search.text_rank(docs, q, i).collect()} for i in (None, index))
+    assert other == pytest.approx(one) and len(one) > 60
+    words = spark.createDataFrame([("c",)], "term string")
+    places = {r.id: r.places for r in index.postings(words).select("id", "places").collect()}
+    assert places == {str(i): [n for n, w in enumerate(t.split()) if w == "c"] for i, t in enumerate(texts) if "c" in t}
+
+
+def test_a_frequent_word_is_no_single_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SHARD", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little data is one task's
+    docs = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("the x"), F.col("id").cast("string")).alias("content"))
+    index = search.Bm25Index.build(docs, str(tmp_path / "b"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = index.index.of_terms(spark.createDataFrame([("the",)], "term string")).select(F.input_file_name()).distinct().count()
+    assert files > 2

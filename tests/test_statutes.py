@@ -41,18 +41,18 @@ def test_keyword_and_edges(spark, articles):
 def test_bm25_by_hand(spark, articles, tmp_path):
     docs = spark.createDataFrame([("a", "x x y"), ("b", "y z"), ("c", "z w q r")], "id string, content string")
     q = spark.createDataFrame([(1, "x z z")], "qid long, query string")
-    got = {r.id: r.score for r in search.Bm25Index(docs).scores(q).collect()}
+    got = {r.id: r.score for r in search.Bm25Index.build(docs).scores(q).collect()}
     idf = {t: math.log(3 - df + 0.5) - math.log(df + 0.5) for t, df in {"x": 1, "y": 2, "z": 2, "w": 1, "q": 1, "r": 1}.items()}
     mean = sum(idf.values()) / 6
     idf = {t: 0.25 * mean if v < 0 else v for t, v in idf.items()}
     part = lambda tf, dl, t: idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 3))
     assert got == pytest.approx({"a": part(2, 3, "x"), "b": 2 * part(1, 2, "z"), "c": 2 * part(1, 4, "z")})
     folder = f"{tmp_path}/index"
-    search.Bm25Index(docs).save(folder)
+    search.Bm25Index.build(docs, folder)
     assert {r.id: r.score for r in search.Bm25Index.load(spark, folder).scores(q).collect()} == pytest.approx(got)
-    assert {r.id for r in search.Bm25Index(docs).scores(q, docs.filter("id <> 'b'")).collect()} == {"a", "c"}
+    assert {r.id for r in search.Bm25Index.build(docs).scores(q, docs.filter("id <> 'b'")).collect()} == {"a", "c"}
     two = docs.filter("id <> 'c'")  # one of two documents: every idf is 0 and the arm is empty
-    assert search.Bm25Index(two).search(spark.createDataFrame([(1, "x")], "qid long, query string"), 5).count() == 0
+    assert search.Bm25Index.build(two).search(spark.createDataFrame([(1, "x")], "qid long, query string"), 5).count() == 0
 
 
 def test_fusions_differ_for_an_absent_arm(spark):
@@ -92,7 +92,7 @@ def test_searches_beyond_the_broadcast_bound_are_the_same(spark, articles, monke
             rows(search.keyword_search(articles, q, 3)),
             rows(search.vector_search(articles, q, 3).drop("similarity")),
             rows(search.vector_search(articles, q, 3, "l2sq").drop("similarity")),
-            rows(search.Bm25Index(articles).search(q, 3).select("qid", "id", "rank")),
+            rows(search.Bm25Index.build(articles).search(q, 3).select("qid", "id", "rank")),
             rows(search.text_rank(articles, q).select("qid", "id")),
             rows(search.hybrid_search(articles, q, 2, {"article": 0}).select("qid", "id", "rank")),
             rows(search.web_search(articles, q, 3).select("qid", "id", "body")),
