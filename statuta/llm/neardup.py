@@ -220,8 +220,17 @@ def meetings(keys: DataFrame, p: Params) -> DataFrame:
     mixed = common.written(keys.join(mixed.hint("merge"), ["hub", "element"]))
     cols = ("x", "part", "size", "delta", "place")
     sides = [mixed.filter(kind).select("hub", "element", *(F.col(c).alias(f"{side}_{c}") for c in cols)) for kind, side in (("small", "s"), ("large", "l"))]
-    s, g = (rows.groupBy("hub", "element", f"{k}_part").agg(F.min(f"{k}_size").alias(f"{k}_least"), F.max(f"{k}_size").alias(f"{k}_most")) for rows, k in zip(sides, "sl", strict=True))
-    near = (100 * F.col("l_most") >= p.percent * F.col("s_least")) & (100 * F.col("s_most") >= p.percent * F.col("l_least"))
+    # Of each component its least and greatest figures: a pair of components stays if some pair of members could fit.
+    s, g = (
+        rows.groupBy("hub", "element", f"{k}_part").agg(
+            *(f(f"{k}_{c}").alias(f"{k}_{c}_{name}") for c in ("size", "delta") for f, name in ((F.min, "least"), (F.max, "most"))), F.max(F.col(f"{k}_delta") - F.col(f"{k}_place")).alias(f"{k}_room")
+        )
+        for rows, k in zip(sides, "sl", strict=True)
+    )
+    r = (100 - p.percent) / (100 + p.percent)
+    need = F.greatest(F.lit(1.0), F.ceil((F.col("s_delta_least") + F.col("l_delta_least") - r * (F.col("s_size_most") + F.col("l_size_most"))) / 2 - 1e-9))
+    near = (100 * F.col("l_size_most") >= p.percent * F.col("s_size_least")) & (100 * F.col("s_size_most") >= p.percent * F.col("l_size_least"))
+    near &= (F.col("s_delta_least") <= F.col("l_delta_most")) & (F.col("s_room") >= need) & (F.col("l_room") >= need)
     pairs = s.join(g.hint("merge"), ["hub", "element"]).filter((F.col("s_part") != F.col("l_part")) & near).select("hub", "element", "s_part", "l_part")
     out = pairs.join(sides[0].hint("merge"), ["hub", "element", "s_part"]).join(sides[1].hint("merge"), ["hub", "element", "l_part"])
     out._written_at = mixed._written_at
