@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,10 +54,12 @@ def highlight(content: Column, keywords: Column, before: str = "<mark>", after:
     return F.aggregate(keywords, content, lambda acc, k: F.replace(acc, k, F.concat(F.lit(before), k, F.lit(after))))
 
 
-def highlight_ignoring_case(content: Column, keywords: Sequence[str], style: str = "background:#ff0") -> Column:
-    """As ``highlight`` for fixed keywords, keeping the text as it was written."""
-    tag = f'<mark style="{style}">$1</mark>'
-    return reduce(lambda acc, k: F.regexp_replace(acc, "(?iu)(\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E)", tag), keywords, content)
+def highlight_ignoring_case(content: Column, keywords: Column | Sequence[str], style: str = "background:#ff0") -> Column:
+    """As ``highlight`` but without regard to case, keeping the text as it was written; keywords are literal."""
+    if not isinstance(keywords, Column):
+        keywords = F.array(*map(F.lit, keywords)).cast("array<string>")
+    pattern = lambda k: F.concat(F.lit("(?iu)(\\Q"), F.replace(k, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.aggregate(keywords, content, lambda acc, k: F.regexp_replace(acc, pattern(k), F.lit(f'<mark style="{style}">$1</mark>')))
 
 
 def normalized_newlines(content: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import text
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -185,3 +187,48 @@ def first_per_group(rows: DataFrame, group: str, order: str, n: int) -> DataFram
     """The first n rows of each group; Spark keeps n per group on each side of the shuffle."""
     w = Window.partitionBy(group).orderBy(order)
     return rows.withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= n)
+
+
+def metadata_project(corpus: DataFrame) -> DataFrame:
+    """id, title, number and kind with their defaults: an empty title is untitled, the number is the id's part
+    after the first underscore, a missing kind is article."""
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("untitled"))
+    return corpus.select("id", title.alias("title"), F.get(F.split("id", "_"), F.lit(1)).alias("number"), F.coalesce("chunk_type", F.lit("article")).alias("kind"))
+
+
+def count_by(rows: DataFrame, column: str = "law_name", missing: str = "Unknown") -> DataFrame:
+    """(column, n); null counts under ``missing``."""
+    return rows.groupBy(F.coalesce(column, F.lit(missing)).alias(column)).agg(F.count("*").alias("n"))
+
+
+def term_coverage(corpus: DataFrame, terms: Sequence[str], group: str = "law_name") -> DataFrame:
+    """(group, term, n, percent): documents of each group that hold each term, in one pass over the texts."""
+    counts = [F.count_if(F.contains("content", F.lit(t))).alias(f"n_{i}") for i, t in enumerate(terms)]
+    each = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"n_{i}").alias("n")) for i, t in enumerate(terms)))
+    rows = corpus.groupBy(group).agg(F.count("*").alias("all"), *counts).select(group, "all", F.explode(each).alias("t"))
+    return rows.select(group, "t.term", "t.n", F.round(100.0 * F.col("t.n") / F.col("all"), 1).alias("percent"))
+
+
+def occurrence_totals(corpus: DataFrame, term: str, group: str = "law_name") -> DataFrame:
+    """(group, total): occurrences of a term over all documents of each group."""
+    return corpus.groupBy(group).agg(F.sum(text.occurrences(F.col("content"), F.lit(term))).alias("total"))
+
+
+def ingest_tally(rows: DataFrame, good: Column, group: str = "law_name") -> DataFrame:
+    """(group, success, failed), and one row of null for all groups; what can't be told failed."""
+    ok = F.coalesce(good, F.lit(False))
+    return rows.rollup(group).agg(F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
+
+
+def report(corpus: DataFrame, terms: Sequence[str], samples: int = 3, preview: int = 100, group: str = "law_name") -> DataFrame:
+    """One row per group: n, mean_length, coverage (term, n, percent; in the order of the terms) and samples
+    (id, preview of the content) of its first documents by id.  One pass over the texts for the figures, one
+    for the samples, of which each task keeps as many as are asked for."""
+    figures = corpus.groupBy(group).agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(F.length("content"))).alias("mean_length"),
+        F.array(*(F.struct(F.lit(t).alias("term"), (c := F.count_if(F.contains("content", F.lit(t)))).alias("n"), F.round(100.0 * c / F.count("*"), 1).alias("percent")) for t in terms)).alias("coverage"),
+    )
+    first = first_per_group(corpus.select(group, "id", text.preview(F.col("content"), preview).alias("preview")), group, "id", samples)
+    shown = first.groupBy(F.col(group).alias("_group")).agg(F.sort_array(F.collect_list(F.struct("id", "preview"))).alias("samples"))
+    return figures.join(shown, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")

@@ -20,7 +20,7 @@ from ..functions import text
 from .batch import BROADCAST_QUERIES, by_parts, held
 from .corpus import scratch_folder
 from .postings import PostingIndex, saturated
-from .substring import TrigramIndex, scan
+from .substring import CANDIDATES, TrigramIndex, scan
 
 DIGITS = 9
 
@@ -258,15 +258,17 @@ def rule_boost(query: Column, title: Column, kind: Column, definition: Column, b
 def rerank(fused: DataFrame, corpus: DataFrame, queries: DataFrame, boosts: Mapping[str, float], flags: DataFrame | None = None) -> DataFrame:
     """Adds the corpus's other columns and final (fused plus boosts), and orders by it, then by fused, then id.
 
-    ``fused`` holds a few candidates a query: it is broadcast to the corpus if the batch of
-    queries is within its bound, so the corpus is read once and not shuffled.  Where
+    ``fused`` holds a few candidates a query: it is broadcast to the corpus if it has no more than
+    ``CANDIDATES`` rows, so the corpus is read once and not shuffled.  Where
     is_definition is in a table of its own (id, is_definition), that is ``flags``.
     """
     queries, few = held(queries.select("qid", "query"))
     mark = F.broadcast if few else (lambda df: df)
-    rows = corpus.join(mark(fused), "id")
+    fused, small = held(fused, CANDIDATES)
+    rows = corpus.join(fused, "id")
     if flags is not None:
-        own = flags.join(mark(fused.select("id").distinct()), "id")
+        ids = fused.select("id").distinct()
+        own = flags.join(F.broadcast(ids) if small else ids, "id")
         rows = rows.join(own, "id", "left").withColumn("is_definition", F.coalesce("is_definition", F.lit(False)))
     final = F.col("fused") + rule_boost(F.col("query"), F.col("title"), F.col("chunk_type"), F.col("is_definition"), boosts)
     w = Window.partitionBy("qid").orderBy(F.round("final", DIGITS).desc(), F.round("fused", DIGITS).desc(), "id")
@@ -295,7 +297,7 @@ def hybrid_search(
     """
     if filter_scope not in ("both", "vector"):
         raise ValueError("filter_scope is 'both' or 'vector'")
-    queries, few = held(queries.select("qid", "query", "qvec"))
+    queries, _ = held(queries.select("qid", "query", "qvec"))
     index = index or Bm25Index.build(corpus)
     allowed = None if where is None else corpus.filter(where)
     if vectors is None:
@@ -304,7 +306,8 @@ def hybrid_search(
         rows = vectors if allowed is None else vectors.join(allowed.select("id"), "id", "left_semi")
     fused = fuse_by_sum(vector_search(rows, queries, 2 * k), index.search(queries, 2 * k, allowed if filter_scope == "both" else None))
     payload = corpus.select("id", "content", "law_name", "title", "chunk_type", *([] if flags is not None else ["is_definition"]))
-    best = rerank(fused.persist() if few else fused, payload, queries, boosts, flags).filter(F.col("rank") <= (cut or k))
+    best = rerank(fused, payload.drop("content"), queries, boosts, flags).filter(F.col("rank") <= (cut or k))
+    best = _fetched(payload.select("id", "content"), best)
     return best.withColumn("highlighted", text.highlight(F.col("content"), text.keywords_by_space(F.col("query"))))
 
 
@@ -321,26 +324,86 @@ def with_share(hits: DataFrame) -> DataFrame:
     return hits.withColumn("max_score", most).withColumn("share", 100 * F.col("score") / F.col("max_score"))
 
 
-def web_search(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
-    """Keyword search with normalised scores, highlighted content and the response's fields."""
-    queries, few = held(queries.select("qid", "query"))
-    hits = with_share(keyword_search(corpus, queries, k)).join(queries, "qid")
-    rows = corpus.select("id", "content", "law_name", "title").join(F.broadcast(hits) if few else hits, "id")
-    marked = text.normalized_newlines(text.highlight(F.col("content"), text.keywords_by_comma(F.col("query"))))
-    return rows.select("qid", "rank", "id", "score", "share", "law_name", "title", marked.alias("body"))
+#: Fixed values of the response: the law named where a document has none, and the marks' style.
+DEFAULT_LAW = "수소경제육성및수소안전관리에관한법률"
+MARK_STYLE = "background-color: #fef08a; padding: 2px 4px; border-radius: 2px;"
+
 
+def _fetched(corpus: DataFrame, hits: DataFrame) -> DataFrame:
+    """The corpus's rows of hits (id, ...): hits are broadcast if they are no more than ``CANDIDATES``."""
+    hits, _ = held(hits, CANDIDATES)
+    return corpus.join(hits, "id")
 
-def responses(hits: DataFrame) -> DataFrame:
-    """One row per query: hit count, law names in order of first hit, and the ranked articles."""
-    grouped = hits.groupBy("qid").agg(F.count("*").alias("n_hits"), F.sort_array(F.collect_list(F.struct("rank", "id", "law_name"))).alias("articles"))
-    return grouped.withColumn("laws", F.array_distinct(F.transform("articles", lambda a: a["law_name"])))
 
+def web_search(corpus: DataFrame, queries: DataFrame, k: int = 100, index: TrigramIndex | None = None, default_law: str = DEFAULT_LAW, style: str = MARK_STYLE) -> DataFrame:
+    """Keyword search with the fields of a response, a row for each hit: qid, query, rank, id, law_name,
+    article_number, title, content, highlighted_content, relevance_score, article_type, score, keywords.
 
-def evaluate(corpus: DataFrame, expected: DataFrame, k: int = 20) -> DataFrame:
-    """expected(qid, query, expected_min) with found and passed, k hits a query at most."""
-    found = keyword_search(corpus, expected, k).groupBy("qid").agg(F.count("*").alias("found"))
-    rows = expected.join(found, "qid", "left").withColumn("found", F.coalesce("found", F.lit(0)).cast("long"))
-    return rows.withColumn("passed", F.col("found") >= F.col("expected_min"))
+    Missing or empty values have defaults: the number is the id's part after the first underscore.
+    Scores are percent of the query's best.  Marks ignore case and keep the text as it is written.
+    ``corpus`` has id, content, law_name, title, chunk_type and, if it likes, article_number.
+    """
+    hits = with_share(keyword_search(corpus, queries, k, index=index))
+    named, _ = held(queries.select("qid", "query"))
+    number = F.get(F.split("id", "_"), F.lit(1))
+    if "article_number" in corpus.columns:
+        number = F.coalesce(F.nullif("article_number", F.lit("")), number)
+    rows = corpus.select("id", "content", "law_name", "title", "chunk_type", number.alias("article_number"))
+    rows = _fetched(rows, hits).join(named, "qid")
+    filled = lambda name, default: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default)).alias(name if name != "chunk_type" else "article_type")
+    marked = text.normalized_newlines(text.highlight_ignoring_case(F.col("content"), text.keywords_by_comma(F.col("query")), style))
+    return rows.select(
+        "qid", "query", "rank", "id", filled("law_name", default_law), "article_number", filled("title", ""), "content", marked.alias("highlighted_content"),
+        F.col("share").alias("relevance_score"), filled("chunk_type", "article"), "score", text.keywords_by_space(F.col("query")).alias("keywords"),
+    )
+
+
+#: The fields of an article in a response.
+ARTICLE_FIELDS = ("rank", "id", "law_name", "article_number", "title", "content", "highlighted_content", "relevance_score", "article_type", "related_articles")
+
+
+def responses(hits: DataFrame, method: str = "keyword", related: DataFrame | None = None, weights: tuple[float, float] | None = None) -> DataFrame:
+    """One row per query: qid, query, total_found, keywords, relevant_laws (in order of their first hit, none
+    empty), articles (``ARTICLE_FIELDS``, by rank) and metadata.
+
+    ``hits`` is the result of ``web_search``, or has its columns; ``related`` (id, related_articles array of
+    strings) are a hit's related articles, an empty array where it has none.
+    """
+    none = F.array().cast("array<string>")
+    rows = hits.withColumn("related_articles", none) if related is None else hits.join(related, "id", "left").withColumn("related_articles", F.coalesce("related_articles", none))
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ARTICLE_FIELDS if c not in rows.columns})
+    grouped = rows.groupBy("qid").agg(F.first("query").alias("query"), F.first("keywords").alias("keywords"), F.count("*").alias("total_found"), F.sort_array(F.collect_list(F.struct(*ARTICLE_FIELDS))).alias("articles"))
+    laws = F.array_distinct(F.filter(F.transform("articles", lambda a: a["law_name"]), lambda name: F.coalesce(name != "", F.lit(False))))
+    v, b = weights or (None, None)
+    facts = F.struct(F.lit(False).alias("llm_used"), F.lit(method).alias("search_method"), F.lit(v).cast("double").alias("vector_weight"), F.lit(b).cast("double").alias("bm25_weight"))
+    return grouped.select("qid", "query", "total_found", "keywords", laws.alias("relevant_laws"), "articles", facts.alias("metadata"))
+
+
+def hybrid_responses(best: DataFrame, related: DataFrame | None = None, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+    """``responses`` of a ``hybrid_search``: the score is the final one, the number the id's part after the first underscore."""
+    rows = best.withColumnsRenamed({"highlighted": "highlighted_content", "final": "relevance_score", "chunk_type": "article_type"})
+    if "article_number" not in rows.columns:
+        rows = rows.withColumn("article_number", F.get(F.split("id", "_"), F.lit(1)))
+    return responses(rows.withColumn("keywords", text.keywords_by_space(F.col("query"))), "hybrid", related, weights)
+
+
+def query_plan(queries: DataFrame, column: str = "query") -> DataFrame:
+    """Adds what is read out of each query: words, legal_terms and article_refs; a null query has none of them."""
+    q = F.coalesce(F.col(column), F.lit(""))
+    return queries.withColumns({"words": text.tokens(q), "legal_terms": text.legal_terms(q), "article_refs": text.article_refs(q)})
+
+
+def evaluate(corpus: DataFrame, expected: DataFrame, k: int = 20, top: int = 3) -> DataFrame:
+    """expected(qid, query, expected_min) with found, passed, by_law and by_tier (arrays of name and n, by
+    name) and the ids of the first ``top`` hits; k hits a query at most."""
+    hits = keyword_search(corpus, expected, k)
+    rows = _fetched(corpus.select("id", F.coalesce("law_name", F.lit("Unknown")).alias("law_name")), hits.select("id", "qid", "rank")).withColumn("tier", text.tier(F.col("law_name")))
+    total = rows.groupBy("qid").agg(F.count("*").alias("found"), F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "id")))), lambda x: x["id"]).alias("top_hits"))
+    out = expected.join(total, "qid", "left").withColumns({"found": F.coalesce("found", F.lit(0)).cast("long"), "top_hits": F.coalesce("top_hits", F.array().cast("array<string>"))})
+    for name, column in (("by_law", "law_name"), ("by_tier", "tier")):
+        counts = rows.groupBy("qid", F.col(column).alias("name")).agg(F.count("*").alias("n")).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("name", "n"))).alias(name))
+        out = out.join(counts, "qid", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<name:string,n:bigint>>")))
+    return out.withColumn("passed", F.col("found") >= F.col("expected_min"))
 
 
 def verdict(evaluated: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from . import corpus
 
 #: A mark that no text holds: it is drawn anew for each session.
 _CUT = f"\x01{uuid.uuid4().hex}\x01"
@@ -145,6 +146,37 @@ def reference_edges(rows: DataFrame) -> DataFrame:
     return refs.join(known, ["law_id", "dst"], "left").select("law_id", "src", "dst", F.coalesce("known", F.lit(False)).alias("resolved"))
 
 
+def degrees(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(law_id, article_number, n_out, n_in) of every article: resolved references it makes, and such to it."""
+    known = edges.filter("resolved")
+    out, into = (known.groupBy("law_id", F.col(c).alias("article_number")).agg(F.count("*").alias(n)) for c, n in (("src", "n_out"), ("dst", "n_in")))
+    key = ["law_id", "article_number"]
+    nodes = rows.select(*key).distinct().join(out, key, "left").join(into, key, "left")
+    return nodes.select(*key, F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"), F.coalesce("n_in", F.lit(0)).cast("long").alias("n_in"))
+
+
+def related_articles(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """(law_id, article_number, related, distance): what a seed (law_id, article_number) reaches by up to
+    ``hops`` resolved references, itself left out, with the least number of them.
+
+    Breadth first: each hop joins the frontier, those reached for the first time, with the edges.
+    Beyond three hops each hop's finds are written to the shared folder, so plans don't grow.
+    """
+    steps = edges.filter("resolved").select("law_id", F.col("src").alias("at"), F.col("dst").alias("related")).distinct()
+    own = seeds.select("law_id", "article_number").distinct()
+    seen = own.select("law_id", "article_number", F.col("article_number").alias("related"), F.lit(0).cast("long").alias("distance"))
+    frontier, key = seen, ["law_id", "article_number", "related"]
+    for hop in range(1, hops + 1):
+        reached = frontier.select("law_id", "article_number", F.col("related").alias("at")).join(steps, ["law_id", "at"]).select(key).distinct()
+        frontier = reached.join(seen.select(key), key, "left_anti").withColumn("distance", F.lit(hop).cast("long"))
+        if hops > 3:
+            folder = corpus.scratch_folder(edges.sparkSession)
+            frontier.write.parquet(folder)
+            frontier = edges.sparkSession.read.parquet(folder)
+        seen = seen.unionByName(frontier)
+    return seen.filter("distance > 0")
+
+
 def load_rules(nested: DataFrame) -> DataFrame:
     """(business_type, law, article_number) of nested rules (business_type, required_laws array of (law, articles))."""
     return nested.select("business_type", F.explode("required_laws").alias("r")).select("business_type", F.col("r.law").alias("law"), F.explode("r.articles").alias("article_number"))
@@ -180,9 +212,9 @@ class WordVectors:
     Null and empty texts, and such without a known word, give the zero vector.
     """
 
-    def __init__(self, corpus: DataFrame, dim: int = 64, sample_rows: int = 20_000, least: int = 5, seed: int = 1) -> None:
-        share = min(1.0, sample_rows / max(1, corpus.count()))
-        sample = corpus.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
+    def __init__(self, texts: DataFrame, dim: int = 64, sample_rows: int = 20_000, least: int = 5, seed: int = 1) -> None:
+        share = min(1.0, sample_rows / max(1, texts.count()))
+        sample = texts.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
         words = sample.select(F.coalesce(text.tokens(F.lower("content")), F.array().cast("array<string>")).alias("words"))
         self.model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, maxIter=1, numPartitions=8, inputCol="words", outputCol="vector").fit(words)
 

@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-BATCH = [(1, "the"), (2, "password"), (3, "que la"), (4, ""), (5, "  "), (6, "ción"), (7, "th thing"), (8, "no such text")]
+BATCH = [(1, "the"), (2, "password"), (3, "que la"), (4, ""), (5, "  "), (6, "ción"), (7, "th thing"), (8, "no such text"), (9, "The")]
 #: Searches ask for every row whose id is divisible by this; a text query is the row's first three words.
 EVERY = 100
 EXPECTED = [(1, "the", 10), (2, "password", 5), (3, "que la", 3), (4, "no such text", 1)]
@@ -284,10 +284,10 @@ def check_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- projections, filters ---------------------------------------------------------------
-simple("metadata_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src3' AND chunk_type = 'en'", lambda: ["id"], where=lambda: (F.col("law_name") == "src3") & (F.col("chunk_type") == "en"))
+query("metadata_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE law_name = 'src3' AND chunk_type = 'en'")(lambda s, d: corpus.metadata_filter(text_corpus(s, d), {"law_name": "src3", "chunk_type": "en"}).select("id"))
 simple("like_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE content LIKE '%t_k_n%'", lambda: ["id"], where=lambda: _content().like("%t_k_n%"))
 simple("contains_filter", f"WITH {SQL_TEXT} SELECT id FROM t WHERE contains(content, 'token')", lambda: ["id"], where=lambda: F.contains("content", F.lit("token")))
-simple("metadata_project", f"WITH {SQL_TEXT} SELECT id, coalesce(nullif(title, ''), 'untitled') AS title, split_part(id, '_', 2) AS number, coalesce(chunk_type, 'article') AS kind FROM t", lambda: ["id", F.coalesce(F.nullif(_title(), F.lit("")), F.lit("untitled")).alias("title"), F.get(F.split("id", "_"), F.lit(1)).alias("number"), F.coalesce("chunk_type", F.lit("article")).alias("kind")])
+query("metadata_project", f"WITH {SQL_TEXT} SELECT id, coalesce(nullif(title, ''), 'untitled') AS title, split_part(id, '_', 2) AS number, coalesce(chunk_type, 'article') AS kind FROM t")(lambda s, d: corpus.metadata_project(text_corpus(s, d)))
 simple("require_fields", f"WITH {SQL_TEXT} SELECT id FROM t WHERE length(id) > 0 AND length(trim(title)) > 20", lambda: ["id"], where=lambda: (F.length("id") > 0) & (F.length(F.trim("title")) > 20))
 simple("content_bounds", f"WITH {SQL_TEXT} SELECT id, substr(content, 1, 2000) AS content FROM t WHERE length(content) > 10", lambda: ["id", T.truncated(_content()).alias("content")], where=lambda: F.length("content") > 10)
 simple("law_tier", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 3 THEN '시행규칙' WHEN doc_id % 4 = 1 THEN '시행령' ELSE '법률' END AS tier FROM documents", lambda: ["doc_id", T.tier(F.concat("law_name", F.when(F.col("doc_id") % 4 == 1, " 시행령").when(F.col("doc_id") % 4 == 3, " 시행규칙").otherwise(""), F.when(F.col("doc_id") % 3 == 0, " 시행규칙").otherwise(""))).alias("tier")])
@@ -324,7 +324,7 @@ def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("count_by_law", "SELECT coalesce(source, 'Unknown') AS law_name, count(*) AS n FROM documents GROUP BY 1")
 def count_by_law(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_corpus(spark, sf_dir).groupBy(F.coalesce("law_name", F.lit("Unknown")).alias("law_name")).agg(F.count("*").alias("n"))
+    return corpus.count_by(text_corpus(spark, sf_dir))
 
 
 @query("avg_content_length", "SELECT source AS law_name, round(avg(length(text))) AS mean_length FROM documents GROUP BY 1")
@@ -334,11 +334,7 @@ def avg_content_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_coverage", "SELECT source AS law_name, term, count(*) FILTER (contains(text, term)) AS n, round(100.0 * count(*) FILTER (contains(text, term)) / count(*), 1) AS percent FROM documents, (VALUES " + _values([(t,) for t in TERMS]) + ") v(term) GROUP BY 1, 2")
 def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts per term in one pass over the texts, then one row per law and term."""
-    counts = [F.count_if(F.contains("content", F.lit(t))).alias(f"n_{i}") for i, t in enumerate(TERMS)]
-    wide = text_corpus(spark, sf_dir).groupBy("law_name").agg(F.count("*").alias("all"), *counts)
-    pairs = ", ".join(f"'{t}', n_{i}" for i, t in enumerate(TERMS))
-    return wide.select("law_name", "all", F.expr(f"stack({len(TERMS)}, {pairs}) AS (term, n)")).select("law_name", "term", "n", F.round(100.0 * F.col("n") / F.col("all"), 1).alias("percent"))
+    return corpus.term_coverage(text_corpus(spark, sf_dir), TERMS)
 
 
 @query("distinct_laws", "SELECT DISTINCT source AS law_name FROM documents WHERE source <> ''")
@@ -351,12 +347,12 @@ query("distinct", "SELECT DISTINCT lang, source FROM documents")(lambda s, d: ta
 
 @query("occurrence_totals", f"WITH {SQL_TEXT} SELECT law_name, sum((length(content) - length(replace(content, 'the', ''))) / 3) AS total FROM t GROUP BY 1")
 def occurrence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_corpus(spark, sf_dir).groupBy("law_name").agg(F.sum(T.occurrences(_content(), F.lit("the"))).alias("total"))
+    return corpus.occurrence_totals(text_corpus(spark, sf_dir), "the")
 
 
 @query("ingest_tally", "SELECT source AS law_name, count(*) FILTER (length(text) > 10) AS success, count(*) FILTER (NOT length(text) > 10) AS failed FROM documents GROUP BY ROLLUP (source)")
 def ingest_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_corpus(spark, sf_dir).rollup("law_name").agg(F.count_if(F.length("content") > 10).alias("success"), F.count_if(~(F.length("content") > 10)).alias("failed"))
+    return corpus.ingest_tally(text_corpus(spark, sf_dir), F.length("content") > 10)
 
 
 @query("max_score", f"WITH {SQL_TEXT}, {SQL_BATCH}, {SQL_HITS} SELECT qid, greatest(max(score), 0.0001) AS max_score FROM h GROUP BY qid")
@@ -375,6 +371,10 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("eval_expectations", SQL_EVAL + "SELECT qid, query, CAST(expected_min AS BIGINT) AS expected_min, found, passed FROM e")(lambda s, d: _evaluated(s, d).select("qid", "query", "expected_min", "found", "passed"))
 SQL_VERDICT = SQL_EVAL + "SELECT count(*) FILTER (passed) AS n_passed, count(*) AS n, count(*) FILTER (passed) / count(*) AS rate, CASE WHEN count(*) FILTER (passed) = count(*) THEN 'pass' WHEN count(*) FILTER (passed) / count(*) >= 0.75 THEN 'warn' ELSE 'fail' END AS verdict FROM e"
 query("pass_rate", SQL_EVAL + "SELECT count(*) FILTER (passed) AS n_passed, count(*) AS n, count(*) FILTER (passed) / count(*) AS rate FROM e")(lambda s, d: search.verdict(_evaluated(s, d)).select("n_passed", "n", "rate"))
+query("evaluate_search_details", SQL_EVAL + """, m AS (SELECT r.qid, rank, r.id, coalesce(law_name, 'Unknown') AS name FROM r JOIN t ON r.id = t.id WHERE rank <= 20), bl AS (SELECT qid, string_agg(name || ':' || n, ',' ORDER BY name) AS by_law FROM (SELECT qid, name, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1)
+ SELECT e.qid, e.found, coalesce(by_law, '') AS by_law, CASE WHEN e.found > 0 THEN '법률:' || e.found ELSE '' END AS by_tier, coalesce((SELECT string_agg(id, ',' ORDER BY rank) FROM m WHERE m.qid = e.qid AND rank <= 3), '') AS top_hits FROM e LEFT JOIN bl ON bl.qid = e.qid""")(
+    lambda s, d: _evaluated(s, d).select("qid", "found", *(F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), x["n"].cast("string"))), ",").alias(c) for c in ("by_law", "by_tier")), F.array_join("top_hits", ",").alias("top_hits"))
+)
 query("evaluate_search", SQL_VERDICT)(lambda s, d: search.verdict(_evaluated(s, d)))
 
 SQL_INDEX = f"""w AS (SELECT id, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS words FROM t),
@@ -517,8 +517,11 @@ query("rerank_sort", SQL_HYBRID + "SELECT qid, id, rank FROM br WHERE rank <= 10
 
 @query("hybrid_search", SQL_HYBRID + "SELECT qid, id, law_name, round(final, 6) AS final, rank, list_reduce(list_filter(string_split(query, ' '), lambda x: length(x) > 1), lambda a, k: replace(a, k, '<mark>' || k || '</mark>'), content) AS highlighted FROM br WHERE rank <= 10")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.hybrid_search(text_corpus(spark, sf_dir), probes(spark, sf_dir), 10, BOOSTS, index=bm25(spark, sf_dir), vectors=corpus.vectors(spark, sf_dir), flags=corpus.definitions(spark, sf_dir))
-    return rounded(best.select("qid", "id", "law_name", "final", "rank", "highlighted"), "final")
+    return rounded(_hybrid(spark, sf_dir).select("qid", "id", "law_name", "final", "rank", "highlighted"), "final")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid_search(text_corpus(spark, sf_dir), probes(spark, sf_dir), 10, BOOSTS, index=bm25(spark, sf_dir), vectors=corpus.vectors(spark, sf_dir), flags=corpus.definitions(spark, sf_dir))
 
 
 SQL_WITHIN = f"""WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_SCORED.replace("row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM kh", "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM kh SEMI JOIN (SELECT id FROM t WHERE chunk_type = 'en') USING (id)")}
@@ -556,12 +559,29 @@ def _outer(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
 query("fuse_full_outer", SQL_OUTER + "SELECT qid, id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance FROM fo")(lambda s, d: rounded(_outer(s, d), "relevance"))
 query("rrf_sql", SQL_OUTER + "SELECT qid, id, round(100 * (0.4 / (10 + coalesce(semantic_rank, 1000)) + 0.6 / (10 + coalesce(keyword_rank, 1000))), 6) AS relevance FROM fo")(lambda s, d: rounded(_outer(s, d, k=10, weights=(0.4, 0.6), absent=1000).select("qid", "id", "relevance"), "relevance"))
 query("hybrid_search_sql", SQL_OUTER + "SELECT * FROM (SELECT qid, id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 9) DESC, id) AS rank FROM fo) WHERE rank <= 10")(lambda s, d: rounded(search.hybrid_search_sql(text_corpus(s, d), probes(s, d), 10, corpus.vectors(s, d), places(s, d)), "relevance"))
-SQL_WEB = SQL_KEYWORD + """, wb AS (SELECT qid, rank, id, score, round(100 * score / greatest(max(score) OVER (PARTITION BY qid), 0.0001), 6) AS share, law_name, title, query, content FROM r JOIN t USING (id) JOIN q USING (qid) WHERE rank <= 100) """
-SQL_BODY = "regexp_replace(regexp_replace(list_reduce(list_filter(regexp_split_to_array(trim(query), '[\\s,]+'), lambda x: x <> ''), lambda a, k: replace(a, k, '<mark>' || k || '</mark>'), content), '\\n\\n+', '<br><br>', 'g'), '\\n', ' ', 'g')"
-query("web_search", SQL_WEB + f"SELECT qid, rank, id, score, share, law_name, title, {SQL_BODY} AS body FROM wb")(lambda s, d: rounded(search.web_search(text_corpus(s, d), batch(s)), "share"))
-query("format_response", SQL_WEB + "SELECT qid, count(*) AS n_hits, string_agg(id, ',' ORDER BY rank) AS ids, string_agg(law_name, ',' ORDER BY rank) AS laws FROM wb GROUP BY qid")(
-    lambda s, d: search.responses(search.web_search(text_corpus(s, d), batch(s))).select("qid", "n_hits", F.array_join(F.transform("articles", lambda a: a["id"]), ",").alias("ids"), F.array_join(F.transform("articles", lambda a: a["law_name"]), ",").alias("laws"))
+SQL_WEB = SQL_KEYWORD + """, wb AS (SELECT qid, query, rank, id, score, round(100 * score / greatest(max(score) OVER (PARTITION BY qid), 0.0001), 6) AS relevance_score, coalesce(nullif(law_name, ''), '수소경제육성및수소안전관리에관한법률') AS law_name,
+ split_part(id, '_', 2) AS article_number, coalesce(title, '') AS title, content, coalesce(nullif(chunk_type, ''), 'article') AS article_type, list_filter(string_split(query, ' '), lambda x: length(x) > 1) AS keywords FROM r JOIN t USING (id) JOIN q USING (qid) WHERE rank <= 100) """
+SQL_BODY = "regexp_replace(regexp_replace(list_reduce(list_filter(regexp_split_to_array(trim(query), '[\\s,]+'), lambda x: x <> ''), lambda a, k: regexp_replace(a, '(?i)(' || k || ')', '<mark style=\"background-color: #fef08a; padding: 2px 4px; border-radius: 2px;\">\\1</mark>', 'g'), content), '\\n\\n+', '<br><br>', 'g'), '\\n', ' ', 'g')"
+query("web_search", SQL_WEB + f"SELECT qid, query, rank, id, law_name, article_number, title, content, {SQL_BODY} AS highlighted_content, relevance_score, article_type, score, keywords FROM wb")(lambda s, d: rounded(search.web_search(text_corpus(s, d), batch(s)), "relevance_score"))
+SQL_LAWS = "lw AS (SELECT qid, string_agg(law_name, ',' ORDER BY r) AS laws FROM (SELECT qid, law_name, min(rank) AS r FROM wb GROUP BY 1, 2) GROUP BY 1)"
+
+
+def _flat(found: DataFrame, *extra: str) -> DataFrame:
+    """A response's articles as rows, with its header."""
+    rows = found.select("qid", "query", "total_found", F.array_join("keywords", ",").alias("keywords"), F.array_join("relevant_laws", ",").alias("laws"), "metadata.search_method", *extra, F.explode("articles").alias("a"))
+    return rounded(rows.select("qid", "query", "total_found", "keywords", "laws", "search_method", *extra, *(f"a.{c}" for c in search.ARTICLE_FIELDS)), "relevance_score")
+
+
+query("format_response", SQL_WEB + f", {SQL_LAWS} SELECT qid, query, count(*) OVER (PARTITION BY qid) AS total_found, array_to_string(keywords, ',') AS keywords, laws, 'keyword' AS search_method, rank, id, law_name, article_number, title, content, {SQL_BODY} AS highlighted_content, relevance_score, article_type, CAST([] AS VARCHAR[]) AS related_articles FROM wb JOIN lw USING (qid)")(
+    lambda s, d: _flat(search.responses(search.web_search(text_corpus(s, d), batch(s))))
 )
+query(
+    "format_hybrid_response",
+    SQL_HYBRID + """, hb AS (SELECT qid, query, rank, id, law_name, split_part(id, '_', 2) AS article_number, title, content, round(final, 6) AS relevance_score, list_filter(string_split(query, ' '), lambda x: length(x) > 1) AS keywords FROM br WHERE rank <= 10),
+ lw AS (SELECT qid, string_agg(law_name, ',' ORDER BY r) AS laws FROM (SELECT qid, law_name, min(rank) AS r FROM hb GROUP BY 1, 2) GROUP BY 1)
+ SELECT qid, query, count(*) OVER (PARTITION BY qid) AS total_found, array_to_string(keywords, ',') AS keywords, laws, 'hybrid' AS search_method, CAST(0.7 AS DOUBLE) AS vector_weight, rank, id, law_name, article_number, title, content,
+ list_reduce(keywords, lambda a, k: replace(a, k, '<mark>' || k || '</mark>'), content) AS highlighted_content, relevance_score, lang AS article_type, CAST([] AS VARCHAR[]) AS related_articles FROM hb JOIN lw USING (qid) JOIN (SELECT 'doc_' || doc_id AS id, lang FROM documents) USING (id)""",
+)(lambda s, d: _flat(search.hybrid_responses(_hybrid(s, d)).withColumn("vector_weight", F.col("metadata.vector_weight")), "vector_weight"))
 
 # --- windows, limits, sets ---------------------------------------------------------------
 query("first_n_per_group", f"WITH {SQL_TEXT} SELECT id, law_name, rn FROM (SELECT *, row_number() OVER (PARTITION BY law_name ORDER BY id) AS rn FROM t) WHERE rn <= 3")(lambda s, d: corpus.first_per_group(text_corpus(s, d).select("id", "law_name"), "law_name", "id", 3))
@@ -588,7 +608,11 @@ simple("preview", f"WITH {SQL_TEXT} SELECT id, CASE WHEN length(content) > 400 T
 simple("compose_metadata", f"WITH {SQL_TEXT} SELECT id, law_name, title AS label, true AS full_article FROM t", lambda: ["id", F.struct("law_name", _title().alias("label"), F.lit(True).alias("full_article")).alias("m")])
 _compose = _QUERIES["compose_metadata"]
 _QUERIES["compose_metadata"] = lambda s, d: _compose(s, d).select("id", "m.*")
-simple("query_plan_columns", "SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words, text AS original FROM benchmark", lambda: ["item_id", T.tokens(F.col("text")).alias("words"), F.col("text").alias("original")], source="benchmark")
+SQL_ADDED = "CASE item_id % 3 WHEN 0 THEN ' 수소충전소 설치 제12조제3항' WHEN 1 THEN ' 검사를 제5조의2 제7조제1항제2호' ELSE ' 법' END"
+query("query_plan_columns", f"SELECT item_id, q AS original, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') AS words, CASE item_id % 3 WHEN 0 THEN ['설치기준', '수소충전소'] WHEN 1 THEN ['안전검사'] ELSE CAST([] AS VARCHAR[]) END AS legal_terms, CASE item_id % 3 WHEN 0 THEN ['제12조제3항'] WHEN 1 THEN ['제5조', '제7조제1항제2호'] ELSE CAST([] AS VARCHAR[]) END AS article_refs FROM (SELECT item_id, text || {SQL_ADDED} AS q FROM benchmark)")(
+    lambda s, d: search.query_plan(table(s, d, "benchmark").select("item_id", F.concat("text", F.element_at(F.array(*map(F.lit, (" 수소충전소 설치 제12조제3항", " 검사를 제5조의2 제7조제1항제2호", " 법"))), (F.col("item_id") % 3 + 1).cast("int"))).alias("original")), "original")
+)
+
 
 
 # --- statutes --------------------------------------------------------------------------------
@@ -606,6 +630,42 @@ query("first_wins_dedup", SQL_ARTICLES + ", b AS (SELECT *, row_number() OVER (P
 query("extract_article_refs", SQL_ARTICLES + "SELECT law_id, article_number, list_sort(list_distinct(regexp_extract_all(content, '제[0-9]+조(?:제[0-9]+항)?(?:제[0-9]+호)?'))) AS refs FROM a WHERE length(content) > 10")(lambda s, d: _articles(s, d).select("law_id", "article_number", T.distinct_refs(_content()).alias("refs")))
 query("article_reference_graph", SQL_ARTICLES + "SELECT law_id, article_number AS src, d AS dst, d <> '제99조' AND d IN (SELECT article_number FROM a b WHERE b.law_id = a.law_id AND length(b.content) > 10) AS resolved FROM a, (VALUES (1), (2)) v(k), LATERAL (SELECT CASE WHEN k = 1 THEN regexp_extract(content, '제[0-9]+조') ELSE '제99조' END AS d) WHERE title = 'second' AND content LIKE 'see %'")(lambda s, d: segment.reference_edges(_articles(s, d)))
 
+#: Every document as a law of five articles, which refer to their next and to another one.
+SQL_CITED = """c AS (SELECT 'law_' || doc_id AS law_id, '제' || i || '조' AS article_number, doc_id, i FROM documents, (VALUES (1), (2), (3), (4), (5)) v(i)),
+ ed AS (SELECT DISTINCT law_id, article_number AS src, '제' || k || '조' AS dst FROM (SELECT *, unnest([i % 5 + 1, (doc_id * i + 1) % 5 + 1, 7]) AS k FROM c) WHERE k <> i AND k <> 7)"""
+SQL_REACHED = f"""WITH RECURSIVE {SQL_CITED}, rc AS (SELECT law_id, article_number, article_number AS related, 0 AS distance FROM c WHERE i = doc_id % 5 + 1
+ UNION ALL SELECT rc.law_id, rc.article_number, ed.dst, distance + 1 FROM rc JOIN ed ON ed.law_id = rc.law_id AND ed.src = rc.related WHERE distance < 2),
+ rl AS (SELECT law_id, article_number, related, CAST(min(distance) AS BIGINT) AS distance FROM rc GROUP BY 1, 2, 3 HAVING min(distance) > 0)"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(law_id, article_number, content, i)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("law_"), F.col("doc_id").cast("string")).alias("law_id"), F.explode(F.array(*map(F.lit, range(1, 6)))).alias("i"))
+    name = lambda k: F.concat(F.lit("제"), k.cast("string"), F.lit("조"))
+    content = F.concat(name(F.col("i")), F.lit(" see "), name(F.col("i") % 5 + 1), F.lit("제2항, "), name((F.col("doc_id") * F.col("i") + 1) % 5 + 1), F.lit(" and 제7조"))
+    return d.select("law_id", name(F.col("i")).alias("article_number"), content.alias("content"), "doc_id", "i")
+
+
+query("article_degrees", f"WITH {SQL_CITED} SELECT law_id, article_number, (SELECT count(*) FROM ed WHERE ed.law_id = c.law_id AND src = article_number) AS n_out, (SELECT count(*) FROM ed WHERE ed.law_id = c.law_id AND dst = article_number) AS n_in FROM c")(
+    lambda s, d: segment.degrees(segment.reference_edges(_cited(s, d)), _cited(s, d))
+)
+query("related_articles", SQL_REACHED + " SELECT * FROM rl")(lambda s, d: segment.related_articles(segment.reference_edges(_cited(s, d)), _cited(s, d).filter(F.col("i") == F.col("doc_id") % 5 + 1)))
+
+
+@query("respond_with_related", f"""{SQL_REACHED}, h AS (SELECT law_id || '_' || article_number AS id, row_number() OVER (ORDER BY law_id || '_' || article_number) AS rank FROM c WHERE i = doc_id % 5 + 1)
+ SELECT CAST(1 AS BIGINT) AS qid, rank, id, coalesce(string_agg(related, ',' ORDER BY related), '') AS related FROM h LEFT JOIN (SELECT law_id || '_' || article_number AS id, related FROM rl) USING (id) GROUP BY ALL""")
+def respond_with_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response whose hits are one article of each law, with what each reaches in two hops."""
+    rows = _cited(spark, sf_dir)
+    ident = F.concat_ws("_", "law_id", "article_number").alias("id")
+    docs = rows.filter(F.col("i") == F.col("doc_id") % 5 + 1).select(ident, F.lit("see 제").alias("content"), F.col("law_id").alias("law_name"), "article_number", F.lit("").alias("title"), F.lit("article").alias("chunk_type"), "law_id")
+    found = search.web_search(docs, spark.createDataFrame([(1, "see 제")], "qid long, query string"), 10**6)
+    related = segment.related_articles(segment.reference_edges(rows), docs.select("law_id", "article_number")).groupBy(ident).agg(F.sort_array(F.collect_list("related")).alias("related_articles"))
+    articles = search.responses(found, related=related).select("qid", F.explode("articles").alias("a"))
+    return articles.select("qid", "a.rank", "a.id", F.array_join("a.related_articles", ",").alias("related"))
+
+
+
 SQL_MARKED = "replace(replace(chr(10) || text, chr(10) || 'T', chr(10) || '①T'), chr(10) || 'A', chr(10) || '②A')"
 SQL_LINES = f"md AS (SELECT doc_id, {SQL_MARKED} AS text FROM documents), ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM md), l2 AS (SELECT doc_id, no, trim(line) AS line FROM ln WHERE trim(line) <> ''), g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[①-⑮]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS grp FROM l2)"
 SQL_PARAGRAPHS = f"WITH {SQL_LINES}, m AS (SELECT doc_id, grp, string_agg(line, ' ' ORDER BY no) AS body FROM g WHERE grp > 0 GROUP BY 1, 2) SELECT doc_id, CAST(grp AS BIGINT) AS grp, substr(body, 1, 1) AS number, trim(substr(body, 2)) AS content FROM m"
@@ -684,9 +744,11 @@ query("compliance_match", "WITH r AS (SELECT DISTINCT lang AS business_type, sou
 query("load_rules", "SELECT DISTINCT lang AS business_type, source AS law, k AS article_number FROM documents, (VALUES ('1'), ('2')) v(k)")(
     lambda s, d: segment.load_rules(table(s, d, "documents").groupBy(F.col("lang").alias("business_type")).agg(F.transform(F.collect_set("source"), lambda x: F.struct(x.alias("law"), F.array(F.lit("1"), F.lit("2")).alias("articles"))).alias("required_laws")))
 )
-query("corpus_report", f"WITH {SQL_TEXT} SELECT law_name, count(*) AS n, round(avg(length(content))) AS mean_length, round(100.0 * count(*) FILTER (contains(content, 'the')) / count(*), 1) AS percent, min(id) AS first_id FROM t GROUP BY 1")(
-    lambda s, d: text_corpus(s, d).groupBy("law_name").agg(F.count("*").alias("n"), F.round(F.avg(F.length("content"))).alias("mean_length"), F.round(100.0 * F.count_if(F.contains("content", F.lit("the"))) / F.count("*"), 1).alias("percent"), F.min("id").alias("first_id"))
-)
+query(
+    "corpus_report",
+    f"WITH {SQL_TEXT}, f AS (SELECT law_name, id, content, row_number() OVER (PARTITION BY law_name ORDER BY id) AS rn FROM t), sm AS (SELECT law_name, string_agg(id, ',' ORDER BY id) AS samples, min(CASE WHEN rn = 1 THEN CASE WHEN length(content) > 100 THEN left(content, 100) || '...' ELSE content END END) AS preview FROM f WHERE rn <= 3 GROUP BY 1)"
+    + " SELECT law_name, count(*) AS n, round(avg(length(content))) AS mean_length, term, count(*) FILTER (contains(content, term)) AS n_term, round(100.0 * count(*) FILTER (contains(content, term)) / count(*), 1) AS percent, any_value(samples) AS samples, any_value(preview) AS preview FROM t JOIN sm USING (law_name), (VALUES " + _values([(t,) for t in TERMS]) + ") v(term) GROUP BY law_name, term",
+)(lambda s, d: corpus.report(text_corpus(s, d), TERMS).withColumn("c", F.explode("coverage")).select("law_name", "n", "mean_length", "c.term", F.col("c.n").alias("n_term"), "c.percent", F.array_join("samples.id", ",").alias("samples"), F.col("samples")[0]["preview"].alias("preview")))
 
 # --- no SQL form: tests check these against brute force or properties --------------------------
 query("embed_documents")(lambda s, d: segment.embed(text_corpus(s, d).select("id", "content")).select("id", "embedding"))
@@ -712,6 +774,19 @@ def by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT id, law_name, relevance_score FROM search_documents(max_results => 50, search_query => 'tion')")
 
 
+SQL_ONE = SQL_OUTER.replace(SQL_PROBES, SQL_PROBES.replace(f"doc_id % {EVERY} = 0", "doc_id = (SELECT min(doc_id) FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id > 7)"))
+
+
+@query("hybrid_search_by_name", SQL_ONE + "SELECT id, semantic_rank, keyword_rank, round(relevance, 6) AS relevance_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 9) DESC, id) AS rank FROM fo) WHERE rank <= 10")
+def hybrid_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid function by its SQL name: the query is a text's first words with its vector, the search goes over all rows."""
+    sql_functions.register(spark, text_corpus(spark, sf_dir), corpus.vectors(spark, sf_dir), places(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").filter("doc_id > 7").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    words, vector = docs.orderBy("doc_id").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " "), F.col("embedding").cast("array<double>")).first()
+    rows = spark.sql("SELECT * FROM hybrid_search(search_query => :words, query_vector => :vector, max_results => 10)", {"words": words, "vector": F.array(*map(F.lit, vector))})
+    return rounded(rows, "relevance_score")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.postings import PostingIndex
+
 _HITS = "length(content) - length(replace(content, search_query, ''))"
 
 FUNCTIONS = {
@@ -29,16 +31,39 @@ FUNCTIONS = {
                     sqrt(aggregate(embedding, 0D, (acc, x) -> acc + x * x)) * sqrt(aggregate(query_vector, 0D, (acc, x) -> acc + x * x))) AS similarity
                 FROM {vectors} WHERE embedding IS NOT NULL))
         WHERE place <= max_results""",
+    "hybrid_search": """
+        (search_query STRING, query_vector ARRAY<DOUBLE>, max_results INT DEFAULT 10)
+        RETURNS TABLE (id STRING, relevance_score DOUBLE, semantic_rank BIGINT, keyword_rank BIGINT)
+        RETURN WITH lex AS (SELECT DISTINCT term FROM (SELECT explode(filter(split(lower(search_query), '[^\\\\p{{L}}\\\\p{{N}}]+'), t -> t <> '')) AS term)),
+        need AS (SELECT count(*) AS n FROM lex),
+        hits AS (SELECT p.id, p.term, p.places FROM (SELECT term, e.ids AS id, e.places FROM (SELECT term, explode(arrays_zip(ids, places)) AS e FROM {places} WHERE term IN (SELECT term FROM lex))) p),
+        whole AS (SELECT id, any_value(size(places)) AS n FROM hits GROUP BY id HAVING count(*) = (SELECT n FROM need)),
+        at AS (SELECT h.id, h.term, explode(h.places) AS place FROM hits h JOIN whole USING (id)),
+        near AS (SELECT a.id, 1 - exp(sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.place - b.place) / 1.5 - 2)))))) AS score
+            FROM at a JOIN at b ON a.id = b.id AND a.term < b.term AND abs(a.place - b.place) <= 100 GROUP BY a.id),
+        texts AS (SELECT w.id, CASE WHEN (SELECT n FROM need) = 1 THEN 0.1 * aggregate(sequence(1, w.n), 0D, (acc, j) -> acc + 1D / (j * j)) / 1.64493406685 ELSE coalesce(near.score, 0D) END AS score FROM whole w LEFT JOIN near ON near.id = w.id),
+        keyword AS (SELECT id, CAST(place AS BIGINT) AS place FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, id) AS place FROM texts) WHERE place <= 2 * max_results),
+        semantic AS (SELECT id, CAST(place AS BIGINT) AS place FROM (SELECT id, row_number() OVER (ORDER BY round(similarity, 9) DESC NULLS LAST, id) AS place FROM (
+            SELECT id, try_divide(
+                aggregate(zip_with(embedding, query_vector, (x, y) -> x * y), 0D, (acc, z) -> acc + z),
+                sqrt(aggregate(embedding, 0D, (acc, x) -> acc + x * x)) * sqrt(aggregate(query_vector, 0D, (acc, x) -> acc + x * x))) AS similarity
+            FROM {vectors} WHERE size(embedding) = size(query_vector)) WHERE similarity IS NOT NULL) WHERE place <= 2 * max_results),
+        fused AS (SELECT coalesce(s.id, k.id) AS id, s.place AS semantic_rank, k.place AS keyword_rank, 100 * (0.7D / (60 + coalesce(s.place, 999999)) + 0.3D / (60 + coalesce(k.place, 999999))) AS score FROM semantic s FULL OUTER JOIN keyword k ON s.id = k.id)
+        SELECT id, score, semantic_rank, keyword_rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS place FROM fused) WHERE place <= max_results""",
 }
 
 
-def register(spark: SparkSession, corpus: DataFrame, vectors: DataFrame | None = None) -> None:
-    """Makes temporary table functions over a corpus (id, content, law_name) and, if given,
-    vectors (id, embedding array<double>), for this session."""
-    names = {"corpus": "searched_corpus", "vectors": "searched_vectors"}
-    corpus.createOrReplaceTempView(names["corpus"])
-    if vectors is not None:
-        vectors.createOrReplaceTempView(names["vectors"])
+def register(spark: SparkSession, corpus: DataFrame, vectors: DataFrame | None = None, places: PostingIndex | None = None) -> None:
+    """Makes temporary table functions over a corpus (id, content, law_name) and, if given, vectors (id,
+    embedding array<double>) and a saved index of places (``search.text_index``), for this session.
+
+    ``hybrid_search`` needs both, and gives what ``search.hybrid_search_sql`` does for one query.
+    """
+    views = {"corpus": corpus, "vectors": vectors, "places": None if places is None else places.rows}
+    names = {name: f"searched_{name}" for name in views}
+    for name, rows in views.items():
+        if rows is not None:
+            rows.createOrReplaceTempView(names[name])
     for name, body in FUNCTIONS.items():
-        if vectors is not None or "{vectors}" not in body:
+        if all(rows is not None or f"{{{view}}}" not in body for view, rows in views.items()):
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body.format(**names)}")
