@@ -231,8 +231,14 @@ def meetings(keys: DataFrame, p: Params) -> DataFrame:
     need = F.greatest(F.lit(1.0), F.ceil((F.col("s_delta_least") + F.col("l_delta_least") - r * (F.col("s_size_most") + F.col("l_size_most"))) / 2 - 1e-9))
     near = (100 * F.col("l_size_most") >= p.percent * F.col("s_size_least")) & (100 * F.col("s_size_most") >= p.percent * F.col("l_size_least"))
     near &= (F.col("s_delta_least") <= F.col("l_delta_most")) & (F.col("s_room") >= need) & (F.col("l_room") >= need)
-    pairs = s.join(g.hint("merge"), ["hub", "element"]).filter((F.col("s_part") != F.col("l_part")) & near).select("hub", "element", "s_part", "l_part")
-    out = pairs.join(sides[0].hint("merge"), ["hub", "element", "s_part"]).join(sides[1].hint("merge"), ["hub", "element", "l_part"])
+    pairs = s.join(g.hint("merge"), ["hub", "element"]).filter((F.col("s_part") != F.col("l_part")) & near)
+    # A member meets the other component's bounds before its members.
+    need = F.greatest(F.lit(1.0), F.ceil((F.col("s_delta") + F.col("l_delta_least") - r * (F.col("s_size") + F.col("l_size_most"))) / 2 - 1e-9))
+    near = (100 * F.col("l_size_most") >= p.percent * F.col("s_size")) & (100 * F.col("s_size") >= p.percent * F.col("l_size_least"))
+    near &= (F.col("s_delta") <= F.col("l_delta_most")) & (F.col("s_delta") - F.col("s_place") >= need) & (F.col("l_room") >= need)
+    pairs = pairs.select("hub", "element", "s_part", "l_part", *(f"l_{c}" for c in ("size_least", "size_most", "delta_least", "delta_most", "room")))
+    met = pairs.join(sides[0].hint("merge"), ["hub", "element", "s_part"]).filter(near).select("hub", "element", "l_part", *(f"s_{c}" for c in cols))
+    out = met.join(sides[1].hint("merge"), ["hub", "element", "l_part"])
     out._written_at = mixed._written_at
     return out
 
