@@ -741,7 +741,7 @@ def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     laws.drop("doc_id").write.parquet(f"{folder}/in")
     ingest.incremental_ingest(spark, f"{folder}/in", f"{folder}/table", f"{folder}/checkpoint", parts=8)
     drop = laws.filter("doc_id % 5 <> 0").select("law_id", "text", F.lit(2).cast("long").alias("version"))
-    return ingest.full_refresh(spark, drop, f"{folder}/table", parts=8).select("law_id", "article_number", "version")
+    return ingest.full_refresh(spark, drop, f"{folder}/table", parts=8).select("law_id", "article_number", "version").distinct()
 
 
 query("compliance_match", "WITH r AS (SELECT DISTINCT lang AS business_type, source AS law FROM documents) SELECT r.business_type, r.law, CAST(k AS VARCHAR) AS article_number, EXISTS (SELECT 1 FROM documents d WHERE d.source = r.law AND d.doc_id % 50 = k) AS matched FROM r, (VALUES (1), (2), (60)) v(k)")(

@@ -64,7 +64,13 @@ def incremental_ingest(spark: SparkSession, source: str, root: str, checkpoint:
         corpus.upsert_table(batch.sparkSession, root, chunked(batch), group="law_id", parts=parts)
 
     stream = newest_only(spark.readStream.schema(_LAWS).parquet(source))
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(parts))  # the state is dealt as the table is; a checkpoint keeps its number
+    try:
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return current_rows(spark, root)
 
 

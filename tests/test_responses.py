@@ -74,3 +74,17 @@ def test_query_plan_and_marker_contexts(spark):
     pages = spark.createDataFrame([(1, "x" * 300 + "제3조 (목적)" + "y" * 900), (2, "<li>제1조(a)"), (3, "none"), (4, "제1조(a)b"), (5, None)], "page long, html string")
     got = {r.page: (r.at, r.context) for r in markup.marker_contexts(pages, "page", "html", {"item": "<li>"}).collect()}
     assert got == {1: (301, "x" * 200 + "제3조 (목적)" + "y" * 492), 4: (1, "제1조(a)b")} and len(got[1][1]) == pytest.approx(700)
+
+
+def test_hybrid_function_by_name_equals_the_operator(spark, tmp_path):
+    from statuta.plans import sql_functions
+
+    words = ["gas law one", "gas gas", "law and gas", "x", "", "Gas-law"]
+    rows = spark.createDataFrame([(f"d{i}", t, "L", [float(i), 1.0]) for i, t in enumerate(words)], "id string, content string, law_name string, embedding array<double>")
+    index = search.text_index(rows, str(tmp_path / "t"))
+    sql_functions.register(spark, rows, rows.select("id", "embedding"), index)
+    for text in ("gas", "law gas", "unknown"):
+        q = spark.createDataFrame([(1, text, [1.0, 2.0])], "qid long, query string, qvec array<double>")
+        want = {r.id: (r.semantic_rank, r.keyword_rank, pytest.approx(r.relevance)) for r in search.hybrid_search_sql(rows, q, 4, index=index).collect()}
+        got = {r.id: (r.semantic_rank, r.keyword_rank, r.relevance_score) for r in spark.sql("SELECT * FROM hybrid_search(query_vector => array(1D, 2D), search_query => :t, max_results => 4)", {"t": text}).collect()}
+        assert got == want and len(got) == 4
