@@ -65,7 +65,8 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "id") -> DataF
 
 def one_each(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row of each key: the greatest by ``order``, equal ones told apart by a hash of the row,
-    so the choice doesn't depend on how rows are dealt.  An aggregate with map-side combine, no sort."""
+    so the choice doesn't depend on how rows are dealt.  An aggregate with map-side combine (over
+    whole rows, so sort-based)."""
     last = F.max_by(F.struct(*rows.columns), F.struct(*order, F.xxhash64(*rows.columns))).alias("row")
     return rows.groupBy(key).agg(last).select("row.*")
 
@@ -128,6 +129,20 @@ def upsert_table(spark: SparkSession, root: str, incoming: DataFrame, key: str =
     spark.createDataFrame(rows, _PLACES).coalesce(1).write.mode("append").parquet(f"{root}/places")
 
 
+def vacuum_table(spark: SparkSession, root: str) -> list[str]:
+    """Deletes the folders under ``root`` that no part's last entry names, and returns their names.
+
+    For a time when nobody reads an older state or merges: a reader of before would miss its files.
+    """
+    kept = {f.rstrip("/").rsplit("/", 2)[-2] for f in _places(spark, root)["folder"].dropna()}
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [s.getPath() for s in store.listStatus(path) if s.getPath().getName().startswith("data-") and s.getPath().getName() not in kept]
+    for p in gone:
+        store.delete(p, True)
+    return sorted(p.getName() for p in gone)
+
+
 _PLACES = "number long, part long, folder string, parts long"
 
 

@@ -385,3 +385,15 @@ def test_late_repeated_and_missing_laws(spark, tmp_path):
             ingest.full_refresh(spark, full.limit(0), f"{tmp_path}/root")
     finally:
         ingest.corpus.upsert_table = plain
+
+
+def test_vacuum_keeps_what_the_table_reads(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, law_name string, version long")
+    root = str(tmp_path / "t")
+    corpus.upsert_table(spark, root, rows(*((i, "a", 1) for i in range(40))), parts=4)
+    corpus.upsert_table(spark, root, rows((1, "b", 2)))
+    corpus.upsert_table(spark, root, rows((1, "c", 3), (2, "c", 3)))
+    before = sorted(map(tuple, corpus.current_table(spark, root).collect()))
+    gone = corpus.vacuum_table(spark, root)
+    assert 1 <= len(gone) <= 2 and all(g.startswith("data-") for g in gone) and corpus.vacuum_table(spark, root) == []
+    assert sorted(map(tuple, corpus.current_table(spark, root).collect())) == before and len(before) == 40
