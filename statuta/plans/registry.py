@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ann, batch as batches, corpus, search, segment, substring
+from ..operators import ann, batch as batches, corpus, search, segment, semantic, substring
 from ..operators.corpus import law_documents, table, text_corpus
 from ..sources import html, markup
 from ..streaming import ingest
@@ -763,6 +763,7 @@ query(
 # --- no SQL form: tests check these against brute force or properties --------------------------
 query("embed_documents")(lambda s, d: segment.embed(text_corpus(s, d).select("id", "content")).select("id", "embedding"))
 query("embed_documents_trained")(lambda s, d: segment.WordVectors(text_corpus(s, d)).embed(text_corpus(s, d).select("id", "content")).select("id", "embedding"))
+query("embed_documents_semantic")(lambda s, d: semantic.SemanticVectors(text_corpus(s, d)).embed(text_corpus(s, d).select("id", "content")).select("id", "embedding"))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> ann.CellIndex:
