@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexemes import lexemes
+
 # Particles, dictionary, title words and patterns of the statute domain.
 STOPWORDS = ["은", "는", "이", "가", "을", "를", "의", "에", "와", "과"]
 LEGAL_TERMS = [("설치", "설치기준"), ("운영", "운영기준"), ("검사", "안전검사"), ("인증", "인증기준"), ("충전소", "수소충전소"), ("저장소", "수소저장소")]
@@ -87,11 +89,6 @@ def preview(content: Column, n: int) -> Column:
     return F.when(F.length(content) > n, F.concat(F.left(content, F.lit(n)), F.lit("..."))).otherwise(content)
 
 
-def lexemes(text: Column) -> Column:
-    """Lower-case words of letters and digits, as full-text search without stemming has them."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
 def matches_all(content: Column, query: Column) -> Column:
     """Every lexeme of the query occurs in the content; an empty query matches nothing."""
     q, own = F.array_distinct(lexemes(query)), F.array_distinct(lexemes(content))

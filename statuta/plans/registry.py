@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexemes
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import ann, batch as batches, corpus, search, segment, semantic, substring
@@ -536,8 +537,17 @@ def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best.select("qid", "id", "fused"), "fused")
 
 
-SQL_LEX = f"""ql AS (SELECT qid, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS lex FROM q), wl AS (SELECT qid, len(lex) AS need, unnest(lex) AS word FROM ql WHERE len(lex) > 0),
- toks AS (SELECT id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS l FROM t)),
+def sql_lexemes(text: str) -> str:
+    """Typed lexemes of a column, taken to pieces by SQL; a text with words alone is split between them."""
+    page, skipped, hyphenated = lexemes.IS_PAGE, lexemes.IS_SKIPPED, lexemes.IS_HYPHENATED
+    kinds = f"WHEN NOT regexp_matches(x, '[^\\p{{L}}\\p{{N}}]') THEN [x] WHEN regexp_matches(x, '{skipped}') THEN [] WHEN regexp_matches(x, '{page}') THEN [x, regexp_extract(x, '{page}', 1), regexp_extract(x, '{page}', 2)]"
+    typed = f"flatten(list_transform(regexp_extract_all(lower({text}), '{lexemes.TOKEN}'), lambda x: CASE {kinds} WHEN regexp_matches(x, '{hyphenated}') THEN list_concat([x], string_split(x, '-')) ELSE [x] END))"
+    plain = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"CASE WHEN regexp_matches(lower({text}), '[<&@/]|[.][a-z0-9]|[+-][\\p{{L}}\\p{{N}}]') THEN {typed} ELSE {plain} END"
+
+
+SQL_LEX = f"""ql AS (SELECT qid, list_distinct({sql_lexemes('query')}) AS lex FROM q), wl AS (SELECT qid, len(lex) AS need, unnest(lex) AS word FROM ql WHERE len(lex) > 0),
+ toks AS (SELECT id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM (SELECT id, {sql_lexemes('content')} AS l FROM t)),
  pl AS (SELECT qid, id, need, toks.word, pos FROM toks JOIN wl USING (word)), fd AS (SELECT qid, id, max(need) AS need, count(*) AS n FROM pl GROUP BY 1, 2 HAVING count(DISTINCT word) = max(need)),
  sg AS (SELECT qid, id, 0.1 * list_sum(list_transform(range(1, n + 1), lambda j: 1.0 / (j * j))) / 1.64493406685 AS score FROM fd WHERE need = 1),
  mu AS (SELECT a.qid, a.id, 1 - exp(sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)))))) AS score FROM pl a JOIN pl b ON a.qid = b.qid AND a.id = b.id AND a.word < b.word AND abs(a.pos - b.pos) <= 100 GROUP BY 1, 2),
@@ -546,7 +556,15 @@ SQL_LEX = f"""ql AS (SELECT qid, list_distinct(list_filter(regexp_split_to_array
 SQL_TS = f"WITH {SQL_TEXT}, {SQL_ASKED}, {SQL_LEX}"
 query("ts_rank", SQL_TS + "SELECT qid, id, round(score, 6) AS score FROM th")(lambda s, d: rounded(search.text_rank(text_corpus(s, d), asked(s, d), places(s, d)), "score"))
 query("keyword_rank", SQL_TS + "SELECT qid, id, rank FROM tr WHERE rank <= 100")(lambda s, d: search.ranked(search.text_rank(text_corpus(s, d), asked(s, d), places(s, d)), "score", 100).select("qid", "id", "rank"))
-query("ts_match", f"WITH {SQL_TEXT} SELECT id, len(list_intersect(list_distinct(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')), ['the', 'thing'])) = 2 AS matched FROM t")(lambda s, d: text_corpus(s, d).select("id", T.matches_all(_content(), F.lit("The thing!")).alias("matched")))
+query("ts_match", f"WITH {SQL_TEXT} SELECT id, len(list_intersect({sql_lexemes('content')}, ['the', 'thing'])) = 2 AS matched FROM t")(lambda s, d: text_corpus(s, d).select("id", T.matches_all(_content(), F.lit("The thing!")).alias("matched")))
+# Each text's id in an address, a mail address, compounds and numbers behind its law's name; the oracle lays out what must come of them.
+query("typed_lexemes", """SELECT 'doc_' || doc_id AS id, array_to_string(list_concat(list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[^a-z0-9]+'), lambda x: x <> ''),
+ ['www.law' || doc_id || '.go.kr/a/' || doc_id || '?v=1', 'www.law' || doc_id || '.go.kr', '/a/' || doc_id || '?v=1', 'desk.' || doc_id || '@office.go.kr', '수소-안전' || doc_id, '수소', '안전' || doc_id, '-' || doc_id, '1.' || doc_id || '.2', 'a', '제' || doc_id || '조']), '|') AS lexemes FROM documents""")(
+    lambda s, d: table(s, d, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"),
+        F.array_join(T.lexemes(F.concat(F.regexp_replace(F.coalesce("source", F.lit("")), "[^A-Za-z0-9]+", " "), F.replace(F.lit(" <p class='x'>HTTPS://www.law#.go.kr/A/#?v=1 Desk.#@office.go.kr, 수소-안전# -# 1.#.2 &amp; A&lt;제#조(…)</p>"), F.lit("#"), F.col("doc_id").cast("string")))), "|").alias("lexemes"),
+    )
+)
 SQL_OUTER = f"WITH {SQL_TEXT}, {SQL_PROBES}, {SQL_LEX}" + SQL_VEC + """, fo AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.id, k.id) AS id, v.rank AS semantic_rank, k.rank AS keyword_rank, 100 * (0.7 / (60 + coalesce(v.rank, 999999)) + 0.3 / (60 + coalesce(k.rank, 999999))) AS relevance
  FROM (SELECT * FROM vr WHERE rank <= 20) v FULL OUTER JOIN (SELECT * FROM tr WHERE rank <= 20) k ON v.qid = k.qid AND v.id = k.id) """
 
