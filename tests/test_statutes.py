@@ -95,7 +95,7 @@ def test_searches_beyond_the_broadcast_bound_are_the_same(spark, articles, monke
             rows(search.Bm25Index.build(articles).search(q, 3).select("qid", "id", "rank")),
             rows(search.text_rank(articles, q).select("qid", "id")),
             rows(search.hybrid_search(articles, q, 2, {"article": 0}).select("qid", "id", "rank")),
-            rows(search.web_search(articles, q, 3).select("qid", "id", "body")),
+            rows(search.web_search(articles, q, 3).select("qid", "id", "highlighted_content")),
         ]
 
     want = results()
