@@ -93,3 +93,26 @@ def test_a_frequent_word_is_no_single_file(spark, tmp_path, monkeypatch):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = index.index.rows.filter("term = 'the'").select(F.input_file_name().alias("f")).distinct().count()
     assert files > 2
+
+
+def test_no_pair_of_query_and_document_is_shuffled(spark, tmp_path, monkeypatch):
+    """Scores are complete within a shard: of all pairs none is grouped, of the best only each task's k are dealt out."""
+    monkeypatch.setattr(postings, "SHARD", 50)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 30, 200]))) for _ in range(600)]
+    docs = spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], "id string, content string")
+    bm25, places = search.Bm25Index.build(docs, str(tmp_path / "b")), search.text_index(docs, str(tmp_path / "t"))
+    q = spark.createDataFrame([(i, " ".join(rng.sample("abcdefgh", 1 + i % 3))) for i in range(30)], "qid long, query string")
+    within = docs.filter("id < '300'")
+    for rows in (bm25.scores(q), bm25.scores(q, within), search.text_rank(docs, q, places), bm25.scores(q, k=3)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [qid" not in plan and "Join" not in plan.split("MapInArrow")[0]
+    for k in (1, 7):
+        for got, want in (
+            (search.text_rank(docs, q, places, k), search.text_rank(docs, q)),
+            (bm25.scores(q, within, k), bm25.scores(q).join(within.select("id"), "id", "left_semi")),
+        ):
+            assert got.groupBy("qid").count().agg(F.max("count")).first()[0] <= k * 2 * spark.sparkContext.defaultParallelism
+            best = lambda df: {(r.qid, r.rank, r.id): r.score for r in search.ranked(df.select("qid", "id", "score"), "score", k).collect()}  # noqa: B023, E731
+            assert best(got) == pytest.approx(best(want))
+    assert bm25.matches(q).count() > 1000
