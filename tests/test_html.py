@@ -62,3 +62,18 @@ def test_joiner_and_other_selectors(spark):
     assert got == []
     row = html.law_pages(df, "page", block=("article", None), number=("h1", None), title=("i", None), content=("p", None), joiner=" ").first()
     assert (row.number, row.title, row.content) == ("T u", "u", "x")
+
+
+def test_sql_takes_references_as_the_parser_does(spark, tmp_path):
+    """A title cut within a reference: as in HTML, a named one needs no semicolon."""
+    import duckdb
+    from statuta.plans import registry
+
+    cut = ["a &amp", "a &am", "a &lt", "&quot", "a &#x27", "a &#x2", "a &#x", "&amp;lt;", "&amp;amp", "b"]
+    pages = [(i, f"<html><body><h1>{x}</h1><article><h1>{x}</h1>p; q &amp; {x}<p>27; &amp;gt</p></article></body></html>") for i, x in enumerate(cut)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, registry.queries()["read_law_html"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.oracles()["read_law_html"]).fetchall())
+    assert [n for _, n, _ in got][:3] == ["a &", "a &am", "a <"]
