@@ -263,6 +263,16 @@ class Encoder:
         n = self._n[at]
         return self._flat[np.repeat(self._start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
+    def swapped(self, ids: np.ndarray, at: np.ndarray, swap: dict[int, list[int]]) -> np.ndarray:
+        """The best path's ids with other ids for the words at some positions."""
+        if not swap:
+            return ids
+        ends, out, done = np.cumsum(self._n[at]), [], 0
+        for pos in sorted(swap):
+            out += [ids[done : ends[pos] - self._n[at[pos]]], np.array(swap[pos], dtype=np.int32)]
+            done = int(ends[pos])
+        return np.concatenate([*out, ids[done:]])
+
     def encode_words(self, words: list[str]) -> np.ndarray:
         return self.ids_at(self.at(words))
 
@@ -277,7 +287,11 @@ class Encoder:
         gaps = self._gap[at]
         k = min(n - 1, len(words))
         cheap = np.lexsort((np.arange(len(words)), gaps))[:k] if len(words) <= 4 * n or k == 0 else self._least(gaps, k)
-        open_words = [(int(i), self._options(words[i], n)) for i in cheap if np.isfinite(gaps[i])]
+        open_words = []
+        for i in cheap:
+            if np.isfinite(gaps[i]):  # of equals the search may find another first: the best path is the table's
+                options, own = self._options(words[i], n), self.ids_at(at[[i]]).tolist()
+                open_words.append((int(i), [(options[0][0], own), *(o for o in options if o[1] != own)][:n]))
         score, count = float(self._score[at].sum()), int(self._n[at].sum())
         queue: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         found = []
@@ -323,7 +337,7 @@ def encoder(path: str) -> Encoder:
 _ENCODED = "doc_id long, n_chars long, n_pieces long, score double, n_best_scores array<double>, n_best_pieces array<long>, ids array<int>, round_trip boolean"
 
 
-def encode(documents: DataFrame, path: str, n: int = 4, keep_ids: bool = True) -> DataFrame:
+def encode(documents: DataFrame, path: str, n: int = 4, keep_ids: bool = True, keep_n_best: bool = False) -> DataFrame:
     """Per row: doc_id, n_chars, the best segmentation's n_pieces, score and ids, the
     scores and piece counts of the ``n`` best segmentations (best first; fewer if
     the text has fewer), and whether decoding gives the text back.
@@ -331,29 +345,32 @@ def encode(documents: DataFrame, path: str, n: int = 4, keep_ids: bool = True) -
     A null text stays null in all columns but doc_id; an empty one has no pieces
     and score 0.  Equal scores come in the search's own fixed order.  A literal word mark in a text decodes as a space, so round_trip is
     false there.  Repeated rows give repeated results, an empty table none.
-    With ``keep_ids`` false, ids is null.
+    With ``keep_ids`` false, ids is null; with ``keep_n_best``, n_best_ids holds the ids of the ``n`` best.
     """
+    schema = _ENCODED + (", n_best_ids array<array<int>>" if keep_n_best else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in common.small(batches, 1, limit=1 << 22):
-            texts, out = batch.column(1).to_pylist(), [[] for _ in range(7)]
+            texts, out = batch.column(1).to_pylist(), [[] for _ in range(7 + keep_n_best)]
             for lo, hi in common.runs(texts, 1 << 20):
                 split = [None if t is None else words_of(t) for t in texts[lo:hi]]
                 tool.learn({w for ws in split if ws for w in ws})
                 for t, ws in zip(texts[lo:hi], split, strict=True):
                     if ws is None:
-                        row = [None] * 7
+                        row = [None] * (7 + keep_n_best)
                     else:
                         at = tool.at(ws)
                         ids, best = tool.ids_at(at), tool.n_best_words(ws, n, at)
                         row = [len(t), len(ids), best[0][0], [b[0] for b in best], [b[1] for b in best], ids if keep_ids else None, tool.decode(ids.tolist()) == t]
+                        if keep_n_best:
+                            row.append([tool.swapped(ids, at, b[2]) for b in best])
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(out, kinds, strict=True))], names=[c.split()[0] for c in _ENCODED.split(", ")])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(out, kinds, strict=False))], names=[c.split()[0] for c in schema.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ENCODED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

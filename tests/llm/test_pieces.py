@@ -73,3 +73,13 @@ def test_frame(spark):
     back = {r.text for r in pieces.decode(got, PATH).collect()}
     assert back == {r.text for r in both.collect()}
     assert pieces.encode(both.limit(0), PATH).count() == 0
+
+
+def test_query_gives_the_ids_of_all_segmentations(spark):
+    from statuta.llm import queries
+
+    rows = queries.op3_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    for r in rows:
+        assert r.n_best_ids[0] == r.ids and len(r.n_best_ids) == len(r.n_best_scores)
+        assert [len(x) for x in r.n_best_ids] == r.n_best_pieces and len({tuple(x) for x in r.n_best_ids}) == len(r.n_best_ids)
+        assert len({TOOL.decode(x) for x in r.n_best_ids}) == 1
