@@ -58,11 +58,14 @@ def incremental_ingest(spark: SparkSession, source: str, root: str, checkpoint:
     are dropped before any merge; the upsert makes a replayed batch harmless.  Of each law only the
     newest version's chunks stay, whatever order versions arrive in, and only the parts of the
     table that hold laws of the batch are rewritten.  Returns the table's rows (see ``current_rows``).
+    Table and state have ``parts`` parts, or more if the first files are large.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        corpus.upsert_table(batch.sparkSession, root, chunked(batch), group="law_id", parts=parts)
+        with corpus.staged(batch, root) as laws:  # read several times below, and the state must change but once
+            _upserted(batch.sparkSession, laws, root, parts)
 
+    parts = corpus.parts_of(spark, source, parts)
     stream = newest_only(spark.readStream.schema(_LAWS).parquet(source))
     setting = "spark.sql.shuffle.partitions"
     before = spark.conf.get(setting)
@@ -91,10 +94,16 @@ def full_refresh(spark: SparkSession, full: DataFrame, root: str, as_of: int | N
         old = table.groupBy("law_id").agg(F.max("version").alias("version")).filter(F.coalesce(F.col("version") < as_of, F.lit(True)))
         gone = old.join(full.select("law_id").distinct(), "law_id", "left_anti")
         laws = laws.unionByName(gone.select("law_id", F.lit("").alias("text"), F.lit(as_of).cast("long").alias("version")))
-    corpus.upsert_table(spark, root, chunked(laws), group="law_id", parts=parts)
+    with corpus.staged(laws, root) as rows:
+        _upserted(spark, rows, root, parts)
     return current_rows(spark, root)
 
 
+def _upserted(spark: SparkSession, laws: DataFrame, root: str, parts: int) -> None:
+    with corpus.staged(chunked(laws), root) as chunks:
+        corpus.upsert_table(spark, root, chunks, group="law_id", parts=parts)
+
+
 def current_rows(spark: SparkSession, root: str) -> DataFrame | None:
     """The chunks under ``root``, without the marks of empty laws."""
     rows = corpus.current_table(spark, root)
