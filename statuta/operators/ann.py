@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from .batch import by_parts, held
-from .search import DIGITS, ranked
+from .search import DIGITS, nearest as best_of, ranked
 from .substring import CANDIDATES
 
 _CODEWORDS = 256
@@ -146,10 +146,14 @@ class CellIndex:
         return by_parts(usable, lambda part: self._exact(part, k, probe) if shortlist is None else self._coded(part, k, probe, shortlist))
 
     def _exact(self, q: DataFrame, k: int, probe: int) -> DataFrame:
-        # Rows meet a cell's queries as one array, so a row is not repeated before it is scored.
-        asked = self._near(q, probe).groupBy("cell").agg(F.collect_list("qid").alias("qids"))
-        hits = self.rows.join(F.broadcast(asked), "cell").select("id", "embedding", F.explode("qids").alias("qid")).join(q, "qid")
-        return ranked(hits.select("qid", "id", vectors.cosine(F.col("embedding"), F.col("qvec")).alias("similarity")), "similarity", k)
+        near = self._near(q, probe).toArrow().to_pandas()
+        own = q.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).toArrow()
+        place = {qid: i for i, qid in enumerate(own["qid"].to_pylist())}
+        of_cell = {int(c): [place[qid] for qid in g["qid"].tolist()] for c, g in near.groupby("cell")}
+        shared = q.sparkSession.sparkContext.broadcast((own, of_cell))
+        rows = self.rows.filter(F.col("cell").isin(list(of_cell))).select(F.col("id").cast("string").alias("id"), "embedding", "cell")
+        # A task multiplies a cell's vectors with the cell's queries and keeps k a query: no pair is made or shuffled.
+        return ranked(rows.mapInArrow(lambda batches: best_of(batches, shared.value[0], k, of_cell=shared.value[1]), "qid long, id string, similarity double"), "similarity", k)
 
     def shortlist(self, q: DataFrame, probe: int, most: int) -> DataFrame:
         """(qid, id, distance): by their codes the nearest ``most`` rows of each query's cells."""
