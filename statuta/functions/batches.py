@@ -19,3 +19,10 @@ def sliced(batches: Iterator[pa.RecordBatch], *texts: int, limit: int = 1 << 22)
         ends = [*cuts.tolist(), batch.num_rows]
         for lo, hi in zip([0, *cuts.tolist()], ends, strict=True):
             yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
+
+
+def pieces_of(arrays: Iterator[pa.Array], limit: int = 1 << 20) -> Iterator[list[str | None]]:
+    """A column of strings as lists of about ``limit`` bytes of text: only one of them is held as Python objects."""
+    for part in sliced((pa.RecordBatch.from_arrays([a], names=["text"]) for a in arrays), 0, limit=limit):
+        yield part.column(0).to_pylist()

@@ -8,13 +8,13 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import batches, text, vectors
 from . import corpus
 
 #: A mark that no text holds: it is drawn anew for each session.
@@ -93,10 +93,10 @@ def split_text(value: str, size: int = 512, overlap: int = 50) -> list[str]:
 def split_long_text(content: Column, size: int = 512, overlap: int = 50) -> Column:
     """``split_text`` as an Arrow function: each cut depends on the one before it."""
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
-            yield values.map(lambda v: None if v is None else split_text(v, size, overlap))
+    @F.arrow_udf("array<string>")
+    def split(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches.pieces_of(arrays):
+            yield pa.array([None if v is None else split_text(v, size, overlap) for v in values], pa.list_(pa.string()))
 
     return split(content)
 
@@ -229,12 +229,12 @@ def embed(rows: DataFrame, model=hashing_model, batch: int = 32, content: str =
     """Adds a vector column by a model function (list of texts -> list of vectors), made once
     per worker by calling ``model()`` and given texts in batches; a null text counts as empty."""
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = model()
-        for values in batches:
-            texts = values.fillna("").tolist()
-            yield pd.Series([list(map(float, v)) for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])])
+        for values in batches.pieces_of(arrays):
+            texts = [v or "" for v in values]
+            yield pa.array([list(map(float, v)) for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])], pa.list_(pa.float64()))
 
     return rows.withColumn(name, run(F.col(content)))
 
