@@ -36,11 +36,11 @@ FUNCTIONS = {
         RETURNS TABLE (id STRING, relevance_score DOUBLE, semantic_rank BIGINT, keyword_rank BIGINT)
         RETURN WITH lex AS (SELECT DISTINCT term FROM (SELECT explode(filter(split(lower(search_query), '[^\\\\p{{L}}\\\\p{{N}}]+'), t -> t <> '')) AS term)),
         need AS (SELECT count(*) AS n FROM lex),
-        hits AS (SELECT p.id, p.term, p.places FROM (SELECT term, e.ids AS id, e.places FROM (SELECT term, explode(arrays_zip(ids, places)) AS e FROM {places} WHERE term IN (SELECT term FROM lex))) p),
-        whole AS (SELECT id, any_value(size(places)) AS n FROM hits GROUP BY id HAVING count(*) = (SELECT n FROM need)),
-        at AS (SELECT h.id, h.term, explode(h.places) AS place FROM hits h JOIN whole USING (id)),
-        near AS (SELECT a.id, 1 - exp(sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.place - b.place) / 1.5 - 2)))))) AS score
-            FROM at a JOIN at b ON a.id = b.id AND a.term < b.term AND abs(a.place - b.place) <= 100 GROUP BY a.id),
+        hits AS (SELECT term, e.ids AS id, e.places FROM (SELECT term, explode(arrays_zip(ids, places)) AS e FROM {places} WHERE term IN (SELECT term FROM lex))),
+        whole AS (SELECT id, any_value(size(places)) AS n, collect_list(named_struct('term', term, 'places', places)) AS found FROM hits GROUP BY id HAVING count(*) = (SELECT n FROM need)),
+        near AS (SELECT id, 1 - exp(sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(p - q) / 1.5 - 2)))))) AS score
+            FROM whole LATERAL VIEW explode(found) x AS a LATERAL VIEW explode(found) y AS b LATERAL VIEW explode(a.places) z AS p LATERAL VIEW explode(b.places) u AS q
+            WHERE a.term < b.term AND abs(p - q) <= 100 GROUP BY id),
         texts AS (SELECT w.id, CASE WHEN (SELECT n FROM need) = 1 THEN 0.1 * aggregate(sequence(1, w.n), 0D, (acc, j) -> acc + 1D / (j * j)) / 1.64493406685 ELSE coalesce(near.score, 0D) END AS score FROM whole w LEFT JOIN near ON near.id = w.id),
         keyword AS (SELECT id, CAST(place AS BIGINT) AS place FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, id) AS place FROM texts) WHERE place <= 2 * max_results),
         semantic AS (SELECT id, CAST(place AS BIGINT) AS place FROM (SELECT id, row_number() OVER (ORDER BY round(similarity, 9) DESC NULLS LAST, id) AS place FROM (
