@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +35,7 @@ MARK = "▁"
 _WORD = re.compile(" +[^ ]*")
 _LOW = -1e18
 #: Words remembered by a worker; beyond that it starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 _BASE = 0x2545F4914F6CDD1D
 
 
@@ -78,8 +78,18 @@ class Pieces:
         self.tables = {n: (np.array([h for h, _ in sorted(v)], dtype=np.uint64), np.array([i for _, i in sorted(v)], dtype=np.int32)) for n, v in by_length.items()}
         #: Upper bits of the pieces' hashes: most strings that are no piece are seen here.
         self.sieve = np.zeros(1 << 20, dtype=bool)
-        for hashes, _ in self.tables.values():
+        #: By piece length, where the pieces of each upper 16 bits begin, and the most of any.
+        self.starts: dict[int, tuple[np.ndarray, int]] = {}
+        for n, (hashes, _) in self.tables.items():
             self.sieve[hashes >> np.uint64(44)] = True
+            upper = (hashes >> np.uint64(48)).astype(np.int64)
+            counts = np.bincount(upper, minlength=1 << 16)
+            self.starts[n] = np.minimum(np.cumsum(counts) - counts, len(hashes) - 1).astype(np.int32), int(counts.max())
+        #: The piece of a single character, or -1.
+        self.single = np.full(0x110000, -1, dtype=np.int32)
+        for t, i in self.id.items():
+            if len(t) == 1:
+                self.single[ord(t)] = i
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -99,21 +109,31 @@ class Pieces:
         np.cumsum(((p + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ p << np.uint64(7)) * _powers(_BASE, n)[:n, None], axis=0, out=sums[1:])
         down, out = _powers(pow(_BASE, -1, 1 << 64), n)[:, None], {}
         for k in range(1, min(self.longest, n) + 1):
-            score, own = np.full((n + 1 - k, words), self.unknown_score if k == 1 else _LOW), np.full((n + 1 - k, words), -1, dtype=np.int32)
-            used = np.full(n + 1 - k, k == 1)
-            if k in self.tables:
-                table, ids = self.tables[k]
-                h = ((sums[k:] - sums[: n + 1 - k]) * down[: n + 1 - k]).ravel()
-                at = np.flatnonzero(self.sieve[h >> np.uint64(44)])
-                place = np.minimum(np.searchsorted(table, h[at]), len(table) - 1)
-                hit = table[place] == h[at]
-                at, found = at[hit], ids[place[hit]]
-                score.ravel()[at], own.ravel()[at] = self.score[found], found
-                used[at // words] = True
-            if used.any():
-                out[k] = score, own, used
+            if k == 1:
+                own = self.single[points]
+                out[k] = np.where(own >= 0, self.score[own], self.unknown_score), own, np.ones(n, dtype=bool)
+            elif k in self.tables:
+                at, found = self._found(k, ((sums[k:] - sums[: n + 1 - k]) * down[: n + 1 - k]).ravel())
+                if len(at):
+                    score, own, used = np.full((n + 1 - k, words), _LOW), np.full((n + 1 - k, words), -1, dtype=np.int32), np.zeros(n + 1 - k, dtype=bool)
+                    score.ravel()[at], own.ravel()[at] = self.score[found], found
+                    used[at // words] = True
+                    out[k] = score, own, used
         return out
 
+    def _found(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces of ``k`` characters, and their ids."""
+        (table, ids), (starts, most) = self.tables[k], self.starts[k]
+        at = np.flatnonzero(self.sieve[h >> np.uint64(44)])
+        h = h[at]
+        place = starts[h >> np.uint64(48)]
+        hit = table[place] == h
+        for _ in range(1, most):  # others of the same upper bits follow
+            left = np.flatnonzero(~hit)
+            place[left] = np.minimum(place[left] + 1, len(table) - 1)
+            hit[left] = table[place[left]] == h[left]
+        return at[hit], ids[place[hit]]
+
     def forward(self, edges: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi from the start: best score of each node, and length of the piece that ends there (the shortest of equals)."""
         best, last = np.full((n + 1, words), _LOW), np.zeros((n + 1, words), dtype=np.int16)
@@ -129,19 +149,23 @@ class Pieces:
     def best_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For words of one length: best score, cost of the second-best path (inf if none),
         the best paths' ids one after the other, and how many ids each has."""
-        n = len(words[0])
-        points = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), n).T)
+        return self.paths("".join(words), len(words))
+
+    def paths(self, joined: str, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best_paths`` of so many words of one length, one after the other."""
+        n = len(joined) // count
+        points = np.ascontiguousarray(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(count, n).T)
         edges = self.edges(points)
-        best, last = self.forward(edges, n, len(words))
-        taken = np.zeros((n, len(words)), dtype=np.int16)  # length of the best path's piece that starts here
-        at, cols = np.full(len(words), n), np.arange(len(words))
+        best, last = self.forward(edges, n, count)
+        taken = np.zeros((n, count), dtype=np.int16)  # length of the best path's piece that starts here
+        at, cols = np.full(count, n), np.arange(count)
         while len(cols):
             k = last[at[cols], cols]
             at[cols] -= k
             taken[at[cols], cols] = k
             cols = cols[at[cols] > 0]
         # A second path leaves the best one: it uses some edge that the best path doesn't.
-        back, other = np.full((n + 1, len(words)), _LOW), np.full(len(words), _LOW)
+        back, other = np.full((n + 1, count), _LOW), np.full(count, _LOW)
         back[n] = 0
         for i in range(n - 1, -1, -1):
             for k, (score, _, used) in edges.items():
@@ -159,12 +183,12 @@ class Pieces:
             ids[on] = edges[int(length)][1][start[on], col[on]]
         alone = np.flatnonzero(ids < 0)
         if len(alone):  # characters that no piece covers
-            chars = [self.spelled(words[c][i]) for c, i in zip(col[alone].tolist(), start[alone].tolist(), strict=True)]
+            chars = [self.spelled(joined[c * n + i]) for c, i in zip(col[alone].tolist(), start[alone].tolist(), strict=True)]
             n_ids = np.ones(len(ids), dtype=np.int64)
             n_ids[alone] = [len(x) for x in chars]
             ids, col = np.repeat(ids, n_ids), np.repeat(col, n_ids)
             ids[ids < 0] = np.fromiter(itertools.chain.from_iterable(chars), dtype=np.int32)
-        return best[n], best[n] - other, ids, np.bincount(col, minlength=len(words))
+        return best[n], best[n] - other, ids, np.bincount(col, minlength=count)
 
     def spelled(self, char: str) -> list[int]:
         """A character that no piece covers: its bytes' pieces, or the unknown piece."""
@@ -220,39 +244,61 @@ def words_of(text: str) -> list[str]:
     return [w[1:] for w in _WORD.findall(" " + text)]
 
 
+class _Numbered(dict):
+    """Words by number: one that isn't there yet gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        return at
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
+        self._alternatives: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[str, int] = {}
+        self._index = _Numbered()
         self._score, self._gap = np.empty(0), np.empty(0)
         self._n, self._flat = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
-        self._start = np.empty(0, dtype=np.int64)
-        self._alternatives: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self._start, self._spoken = np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+
+    def learn(self, words: Iterable[str]) -> None:
+        self.places(list(words))
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self._index]
-        if len(self._index) + len(new) > CACHE_WORDS:
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the words stand in the tables, which take up the new ones."""
+        if len(self._index) > CACHE_WORDS:
             self._forget()
-            new = list(words)
-        groups: dict[int, list[str]] = {}
-        for w in new:
-            groups.setdefault(len(w), []).append(w)
-        scores, gaps, counts, flat = [self._score], [self._gap], [self._n], [self._flat]
-        for size, own in groups.items():
-            step = max(1, (1 << 16) // (size + 1))
-            for i in range(0, len(own), step):
-                part = own[i : i + step]
-                score, gap, ids, n = self.pieces.best_paths([MARK + w.replace(" ", MARK) for w in part])
-                at = len(self._index)
-                self._index.update(zip(part, range(at, at + len(part)), strict=True))
-                for column, values in zip((scores, gaps, counts, flat), (score, gap, n, ids), strict=True):
-                    column.append(values)
-        if groups:
-            self._score, self._gap, self._n, self._flat = (np.concatenate(c) for c in (scores, gaps, counts, flat))
-            self._start = np.cumsum(self._n) - self._n
+        known = len(self._index)
+        at = np.fromiter(map(self._index.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self._index) > known:
+            self._take(list(itertools.islice(self._index, known, None)))
+        return at
+
+    def _take(self, new: list[str]) -> None:
+        """The tables' rows of the words that were numbered last, worked out length by length."""
+        sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        order = np.argsort(sizes, kind="stable")
+        own, sizes = [new[i] for i in order.tolist()], sizes[order]
+        scores, gaps, counts, flat, spoken, lo = [], [], [], [], [], 0
+        while lo < len(own):
+            size = int(sizes[lo])
+            hi = min(int(np.searchsorted(sizes, size, "right")), lo + max(1, (1 << 16) // (size + 1)))
+            part = own[lo:hi]
+            score, gap, ids, n = self.pieces.paths((MARK + MARK.join(part)).replace(" ", MARK), len(part))
+            said = list(map(self.pieces.spoken.__getitem__, ids.tolist()))
+            whole = [b"".join(said[e - k : e]).decode("utf-8", "replace") == " " + w for w, k, e in zip(part, n.tolist(), np.cumsum(n).tolist(), strict=True)]
+            for column, values in zip((scores, gaps, counts, flat, spoken), (score, gap, n, ids, np.array(whole)), strict=True):
+                column.append(values)
+            lo = hi
+        score, gap, n, spoken = (np.concatenate(c) for c in (scores, gaps, counts, spoken))
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        start = len(self._flat) + np.cumsum(n) - n
+        self._score, self._gap, self._n = np.append(self._score, score[back]), np.append(self._gap, gap[back]), np.append(self._n, n[back])
+        self._start, self._spoken, self._flat = np.append(self._start, start[back]), np.append(self._spoken, spoken[back]), np.concatenate((self._flat, *flat))
 
     def at(self, words: list[str]) -> np.ndarray:
         """Where the words, all learned, stand in the tables."""
@@ -263,15 +309,17 @@ class Encoder:
         n = self._n[at]
         return self._flat[np.repeat(self._start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
-    def swapped(self, ids: np.ndarray, at: np.ndarray, swap: dict[int, list[int]]) -> np.ndarray:
-        """The best path's ids with other ids for the words at some positions."""
-        if not swap:
-            return ids
-        ends, out, done = np.cumsum(self._n[at]), [], 0
+    def swapped(self, ids: np.ndarray, ends: np.ndarray, swap: dict[int, list[int]]) -> list[np.ndarray]:
+        """The best path's ids with other ids for the words at some positions, in pieces; ``ends`` is where each word's end."""
+        out, done = [], 0
         for pos in sorted(swap):
-            out += [ids[done : ends[pos] - self._n[at[pos]]], np.array(swap[pos], dtype=np.int32)]
-            done = int(ends[pos])
-        return np.concatenate([*out, ids[done:]])
+            out += [ids[done : ends[pos - 1] if pos else 0], np.array(swap[pos], dtype=np.int32)]
+            done = ends[pos]
+        return [*out, ids[done:]]
+
+    def says(self, at: np.ndarray, ids: np.ndarray, text: str) -> bool:
+        """Whether decoding gives the text back: it does if it does word by word."""
+        return bool(self._spoken[at].all()) or self.decode(ids.tolist()) == text
 
     def encode_words(self, words: list[str]) -> np.ndarray:
         return self.ids_at(self.at(words))
@@ -290,7 +338,8 @@ class Encoder:
         open_words = []
         for i in cheap:
             if np.isfinite(gaps[i]):  # of equals the search may find another first: the best path is the table's
-                options, own = self._options(words[i], n), self.ids_at(at[[i]]).tolist()
+                first = int(self._start[at[i]])
+                options, own = self._options(words[i], n), self._flat[first : first + int(self._n[at[i]])].tolist()
                 open_words.append((int(i), [(options[0][0], own), *(o for o in options if o[1] != own)][:n]))
         score, count = float(self._score[at].sum()), int(self._n[at].sum())
         queue: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
@@ -317,7 +366,7 @@ class Encoder:
     def _options(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         key = (word, n)
         if key not in self._alternatives:
-            if len(self._alternatives) > 50_000:
+            if len(self._alternatives) > 20_000:
                 self._alternatives.clear()
             self._alternatives[key] = self.pieces.n_best(MARK + word.replace(" ", MARK), n)
         return self._alternatives[key]
@@ -337,6 +386,42 @@ def encoder(path: str) -> Encoder:
 _ENCODED = "doc_id long, n_chars long, n_pieces long, score double, n_best_scores array<double>, n_best_pieces array<long>, ids array<int>, round_trip boolean"
 
 
+def _lists(sizes: list[int | None], values: pa.Array) -> pa.ListArray:
+    """The values in lists of these sizes, null for None."""
+    ends = np.cumsum([0] + [n or 0 for n in sizes])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([n is None for n in sizes], pa.bool_()))
+
+
+def _encoded(tool: Encoder, doc_ids: pa.Array, texts: list[str | None], n: int, keep_ids: bool, keep_n_best: bool) -> pa.RecordBatch:
+    split = [None if t is None else words_of(t) for t in texts]
+    places = tool.places([w for ws in split if ws for w in ws])
+    flat, out, parts, sizes, done, first = tool.ids_at(places), [[] for _ in range(6)], [], [], 0, 0
+    for t, ws in zip(texts, split, strict=True):
+        if ws is None:
+            row = [None] * 6
+        else:
+            at = places[done : done + len(ws)]
+            ends = np.cumsum(tool._n[at])
+            ids = flat[first : first + (int(ends[-1]) if ws else 0)]
+            best = tool.n_best_words(ws, n, at)
+            row = [len(t), len(ids), best[0][0], [b[0] for b in best], [b[1] for b in best], tool.says(at, ids, t)]
+            done, first = done + len(ws), first + len(ids)
+            if keep_n_best:
+                sizes += row[4]
+                for b in best:
+                    parts += tool.swapped(ids, ends, b[2])
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+    own = [*(pa.array(c, type=k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()), strict=True))]
+    own.insert(5, _lists(out[1], pa.array(flat, pa.int32())) if keep_ids else pa.nulls(len(texts), pa.list_(pa.int32())))
+    names = [c.split()[0] for c in _ENCODED.split(", ")]
+    if keep_n_best:
+        ids = _lists(sizes, pa.array(np.concatenate([np.empty(0, dtype=np.int32), *parts]), pa.int32()))
+        own.append(_lists([None if s is None else len(s) for s in out[3]], ids))
+        names.append("n_best_ids")
+    return pa.RecordBatch.from_arrays([doc_ids, *own], names=names)
+
+
 def encode(documents: DataFrame, path: str, n: int = 4, keep_ids: bool = True, keep_n_best: bool = False) -> DataFrame:
     """Per row: doc_id, n_chars, the best segmentation's n_pieces, score and ids, the
     scores and piece counts of the ``n`` best segmentations (best first; fewer if
@@ -352,23 +437,9 @@ def encode(documents: DataFrame, path: str, n: int = 4, keep_ids: bool = True, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in common.small(batches, 1, limit=1 << 22):
-            texts, out = batch.column(1).to_pylist(), [[] for _ in range(7 + keep_n_best)]
-            for lo, hi in common.runs(texts, 1 << 20):
-                split = [None if t is None else words_of(t) for t in texts[lo:hi]]
-                tool.learn({w for ws in split if ws for w in ws})
-                for t, ws in zip(texts[lo:hi], split, strict=True):
-                    if ws is None:
-                        row = [None] * (7 + keep_n_best)
-                    else:
-                        at = tool.at(ws)
-                        ids, best = tool.ids_at(at), tool.n_best_words(ws, n, at)
-                        row = [len(t), len(ids), best[0][0], [b[0] for b in best], [b[1] for b in best], ids if keep_ids else None, tool.decode(ids.tolist()) == t]
-                        if keep_n_best:
-                            row.append([tool.swapped(ids, at, b[2]) for b in best])
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(out, kinds, strict=False))], names=[c.split()[0] for c in schema.split(", ")])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in common.runs(texts, 1 << 21):
+                yield _encoded(tool, batch.column(0).slice(lo, hi - lo), texts[lo:hi], n, keep_ids, keep_n_best)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
